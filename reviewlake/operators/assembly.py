@@ -279,10 +279,11 @@ def _card(df: DataFrame) -> DataFrame:
 def report_card(reports: DataFrame) -> DataFrame:
     """All key figures of a report document in one row; a plain projection."""
     errors = F.col("analysis.errors")
-    by_severity = [
-        F.size(F.filter(errors, lambda e, s=s: e["severity"] == s)).alias(s.lower())
-        for s in ("High", "Medium", "Low")
-    ]
+
+    def of_severity(severity):
+        return F.size(F.filter(errors, lambda e: e["severity"] == severity)).alias(severity.lower())
+
+    by_severity = [of_severity(s) for s in ("High", "Medium", "Low")]
     return _card(
         reports.select(
             F.col("id").alias("run"),

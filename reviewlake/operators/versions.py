@@ -23,14 +23,14 @@ def line_delta(pairs: DataFrame, *keys: str) -> DataFrame:
     Both sides are counted per (pair, line) in one map-side combined
     aggregation, so a long file spreads over its lines.
     """
-    sides = [
-        F.transform(
+
+    def tagged(side, in_right):
+        return F.transform(
             split_lines(normalise_eol(side)),
-            lambda line, n=n: F.struct(line.alias("line"), F.lit(n).alias("in_right")),
+            lambda line: F.struct(line.alias("line"), F.lit(in_right).alias("in_right")),
         )
-        for n, side in enumerate(("left", "right"))
-    ]
-    lines = pairs.select(*keys, F.inline(F.concat(*sides)))
+
+    lines = pairs.select(*keys, F.inline(F.concat(tagged("left", 0), tagged("right", 1))))
     per_line = lines.groupBy(*keys, "line").agg(
         F.count_if(F.col("in_right") == 0).alias("l"), F.count_if(F.col("in_right") == 1).alias("r")
     )
