@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # The characters JavaScript counts as white space, and the ones
 # its "." does not match.
 JS_SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+JS_SPACE_CHARS = "".join(
+    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+)
 JS_LINE_END = r"\n\r\u2028\u2029"
 
 CASE_TITLE = rf"(?<![A-Za-z0-9_])it\([{JS_SPACE}]*(['\"`])([^{JS_LINE_END}]+?)\1"
@@ -100,10 +103,8 @@ def extract_cases(df: DataFrame, test_code: str, *keys: str) -> DataFrame:
 
 
 def trim_js(text) -> Column:
-    """Trim every character JavaScript's ``trim`` removes."""
-    return F.regexp_replace(
-        _col(text), rf"\A[{JS_SPACE}]++|(?<![{JS_SPACE}])[{JS_SPACE}]++\z", ""
-    )
+    """Trim every character JavaScript's ``trim`` removes; looks at the ends only."""
+    return F.btrim(_col(text), F.lit(JS_SPACE_CHARS))
 
 
 def js_length(text) -> Column:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlake import schemas as S
+from reviewlake.functions.json_text import json_of
 from reviewlake.functions.labels import (
     before_after_label,
     caught_label,
@@ -138,74 +140,10 @@ def assemble_reports(
     )
 
 
-# --- JSON text --------------------------------------------------------------
-
-_KEEP_NULLS = {"ignoreNullFields": "false"}
-
-
-def _member(name: str, text: Column) -> Column:
-    return F.concat(F.lit(f'"{name}":'), text)
-
-
-def _object(*members: Column) -> Column:
-    """Members that are NULL are left out."""
-    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-
-
-def _list(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-
-
-def _json(value: Column) -> Column:
-    """A value with its nulls written out."""
-    return F.to_json(value, _KEEP_NULLS)
-
-
-def _string(value: Column) -> Column:
-    """A JSON string; NULL stays NULL.  A one-element list, without its brackets."""
-    listed = F.to_json(F.array(value))
-    return F.when(value.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
-
-
-def _issue_json(issue: Column) -> Column:
-    # A null line is written, an absent suggestion is not.
-    line = F.coalesce(issue["line"].cast("string"), F.lit("null"))
-    return _object(
-        _member("id", _string(issue["id"])),
-        _member("type", _string(issue["type"])),
-        _member("description", _string(issue["description"])),
-        _member("line", line),
-        _member("severity", _string(issue["severity"])),
-        _member("suggestion", _string(issue["suggestion"])),
-    )
-
-
-def report_json() -> Column:
-    """A report row as one JSON text that passes the report schema.
-
-    Nullable fields are written as null; absent optional ones are left out.
-    """
-    source, analysis, tests = F.col("source"), F.col("analysis"), F.col("tests")
-    return _object(
-        _member("schemaVersion", F.col("schemaVersion").cast("string")),
-        *[_member(c, _string(F.col(c))) for c in ("id", "title", "fileName", "language")],
-        _member("source", F.to_json(source)),
-        _member("originalCode", _string(F.col("originalCode"))),
-        _member(
-            "analysis",
-            _object(
-                _member("errors", _list(F.transform(analysis["errors"], _issue_json))),
-                _member("risk_level", _string(analysis["risk_level"])),
-                _member("summary", _string(analysis["summary"])),
-            ),
-        ),
-        _member("fix", F.to_json("fix")),
-        _member("tests", _json(tests)),
-        _member("report", F.to_json("report")),
-        _member("verification", F.to_json("verification")),
-        _member("detection", F.to_json("detection")),
-        _member("timings", F.to_json("timings")),
-    )
+def report_json(indent: int | None = None) -> Column:
+    """A report row as one JSON text that passes the report schema."""
+    fields = [F.col(name) for name in T.DataType.fromDDL(S.REPORT).names]
+    return json_of(F.struct(*fields), S.REPORT, indent)
 
 
 # --- from reports -----------------------------------------------------------

@@ -17,8 +17,11 @@ MAX_WORDS = 20
 
 def _violations(df: DataFrame, **rules: Column) -> DataFrame:
     """(rule, run) for every rule a row breaks."""
+    rows = df.filter(reduce(Column.__or__, rules.values()))
+    if len(rules) == 1:
+        return rows.select(F.lit(*rules).alias("rule"), "run")
     broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
-    return df.select(F.explode(broken).alias("rule"), "run")
+    return rows.select(F.explode(broken).alias("rule"), "run")
 
 
 def issue_order(issues: DataFrame) -> DataFrame:
@@ -36,11 +39,11 @@ def issue_lines(issues: DataFrame, originals: DataFrame) -> DataFrame:
 
 def clean_is_low(analyses: DataFrame, issues: DataFrame) -> DataFrame:
     """A run without issues has risk level Low."""
-    tagged = analyses.select("run", "risk_level", F.lit(0).alias("n")).unionByName(
-        issues.select("run", F.lit(None).cast("string").alias("risk_level"), F.lit(1).alias("n"))
+    raised = analyses.filter(F.col("risk_level") != "Low").select("run", F.lit(0).alias("n"))
+    per_run = raised.unionByName(issues.select("run", F.lit(1).alias("n"))).groupBy("run").agg(
+        F.max("n").alias("n")
     )
-    per_run = tagged.groupBy("run").agg(F.max("risk_level").alias("risk"), F.sum("n").alias("n"))
-    return _violations(per_run, clean_is_low=(F.col("n") == 0) & (F.col("risk") != "Low"))
+    return _violations(per_run, clean_is_low=F.col("n") == 0)
 
 
 def issue_links(issues: DataFrame, fixes: DataFrame, cases: DataFrame) -> DataFrame:

@@ -17,14 +17,20 @@ def is_tests_file(name: Column, tests_file: str = TESTS_FILE) -> Column:
     return name == tests_file
 
 
-def artifact_kind(file: Column, ext: Column, tests_file: str = TESTS_FILE) -> Column:
-    """Which required artifact a file of a run folder is; NULL for any other file."""
-    return (
-        F.when(file == "analysis.json", "analysis")
-        .when(file == F.concat(F.lit("fixed"), ext), "fixed")
-        .when(file == "fixes.json", "fixes")
-        .when(is_tests_file(file, tests_file), "tests")
-        .when(file == "report.json", "report")
+def lacking_files(
+    ext: Column, analysis: Column, fixed: Column, fixes: Column, tests: Column, report: Column,
+    tests_file: str = TESTS_FILE,
+) -> Column:
+    """Names of the required files a run lacks, from a flag per file that is there."""
+    names = {
+        "analysis.json": analysis,
+        F.concat(F.lit("fixed"), ext): fixed,
+        "fixes.json": fixes,
+        tests_file: tests,
+        "report.json": report,
+    }
+    return F.array_compact(
+        F.array(*[F.when(~there, n if isinstance(n, Column) else F.lit(n)) for n, there in names.items()])
     )
 
 
@@ -43,27 +49,22 @@ def missing_artifacts(runs: DataFrame, files: DataFrame, tests_file: str = TESTS
         "tests": is_tests_file(file, tests_file),
         "report": file == "report.json",
     }
-    none = F.lit(None).cast("string")
-    tagged = runs.select("run", "ext", none.alias("file")).unionByName(
-        files.select("run", none.alias("ext"), "file")
-    )
+    none = F.lit(None)
+    tagged = runs.select(
+        "run", (F.col("ext") == ".ts").alias("is_ts"), none.cast("string").alias("file")
+    ).unionByName(files.select("run", none.cast("boolean").alias("is_ts"), "file"))
     flags = (
         tagged.groupBy("run")
         .agg(
-            F.max("ext").alias("ext"),
+            F.max("is_ts").alias("is_ts"),
             *[F.coalesce(F.max(there), F.lit(False)).alias(kind) for kind, there in seen.items()],
         )
-        .filter(F.col("ext").isNotNull())
+        .filter(F.col("is_ts").isNotNull())
     )
-    has_fixed = F.when(F.col("ext") == ".ts", F.col("fixed_ts")).otherwise(F.col("fixed_js"))
-    lacking = F.array_compact(
-        F.array(
-            F.when(~F.col("analysis"), "analysis.json"),
-            F.when(~has_fixed, F.concat(F.lit("fixed"), "ext")),
-            F.when(~F.col("fixes"), "fixes.json"),
-            F.when(~F.col("tests"), tests_file),
-            F.when(~F.col("report"), "report.json"),
-        )
+    ext = F.when(F.col("is_ts"), ".ts").otherwise(".js")
+    fixed = F.when(F.col("is_ts"), F.col("fixed_ts")).otherwise(F.col("fixed_js"))
+    lacking = lacking_files(
+        ext, F.col("analysis"), fixed, F.col("fixes"), F.col("tests"), F.col("report"), tests_file
     )
     return flags.select("run", F.explode(lacking).alias("missing"))
 

@@ -26,21 +26,28 @@ def before_after(test_runs: DataFrame) -> DataFrame:
     return test_runs.groupBy("run").agg(*picked)
 
 
-def verification(test_runs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Normalised counts of both versions side by side, with an all-pass flag each.
+def normalised(passed: Column, failed: Column, total: Column, n_cases: Column) -> dict[str, Column]:
+    """Counts of one test run.
 
     A test file that crashes on import reports no tests at all; every case
-    then counts as failed.  Other counts stay as reported.
+    then counts as failed.  Other counts stay as reported, skipped tests too.
     """
+    crashed = F.coalesce(total, F.lit(0)) == 0
+    counts = {
+        "passed": F.when(crashed, F.lit(0)).otherwise(passed),
+        "failed": F.when(crashed, n_cases).otherwise(failed),
+        "total": F.when(crashed, n_cases).otherwise(total),
+    }
+    return {name: count.cast("bigint") for name, count in counts.items()}
+
+
+def verification(test_runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Normalised counts of both versions side by side, with an all-pass flag each."""
     sides = before_after(test_runs).join(case_counts(cases), "run", "left")
     n_cases = F.coalesce("n_cases", F.lit(0))
     columns = []
     for v in VERSIONS:
-        crashed = F.coalesce(F.col(f"{v}_total"), F.lit(0)) == 0
-        columns += [
-            F.when(crashed, F.lit(0)).otherwise(F.col(f"{v}_passed")).cast("bigint").alias(f"{v}_passed"),
-            F.when(crashed, n_cases).otherwise(F.col(f"{v}_failed")).cast("bigint").alias(f"{v}_failed"),
-            F.when(crashed, n_cases).otherwise(F.col(f"{v}_total")).cast("bigint").alias(f"{v}_total"),
-        ]
+        counts = normalised(*[F.col(f"{v}_{c}") for c in _COUNTS], n_cases)
+        columns += [count.alias(f"{v}_{c}") for c, count in counts.items()]
     flags = [all_pass(f"{v}_failed", f"{v}_total").alias(f"{v}_ok") for v in VERSIONS]
     return sides.select("run", *columns).select("*", *flags)

@@ -3,13 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Artifact kinds whose time ends a stage; "start" is the run's own start stamp.
-STAGE_ARTIFACTS = {
-    "analyze": ["analysis"],
-    "fix": ["fixed", "fixes"],
-    "test": ["tests"],
-    "report": ["report"],
-}
+# The run's own start stamp and the artifacts whose file times end a stage.
+STAMPED = ["start", "analysis", "fixed", "fixes", "tests", "report"]
 MAX_ATTEMPTS = 2
 
 
@@ -18,48 +13,37 @@ def _round_ms(micros: Column) -> Column:
     return F.floor((micros + 500) / 1000).cast("bigint")
 
 
-def stage_timings(stamps: DataFrame, enabled: bool = True) -> DataFrame:
-    """Per run the five durations in ms, from stamps(run, artifact, ts).
+def gated_spans(start: Column, analyze: Column, fix: Column, test: Column, report: Column) -> dict[str, Column]:
+    """The five durations in ms from end times in microseconds.
 
-    All five are NULL unless the stages ended in order: the analysis strictly
-    after the start, each later stage not before the one ahead of it.
+    All are NULL unless the stages ended in order: the analysis strictly after
+    the start, each later stage not before the one ahead of it.
     """
-    at = F.unix_micros("ts")
-    ends = [
-        F.max(F.when(F.col("artifact").isin(kinds), at)).alias(stage)
-        for stage, kinds in STAGE_ARTIFACTS.items()
-    ]
-    # Both halves of the fix have to be there.
-    fix_parts = [
-        F.max(F.when(F.col("artifact") == kind, F.lit(True))).alias(f"_{kind}")
-        for kind in STAGE_ARTIFACTS["fix"]
-    ]
-    wide = stamps.groupBy("run").agg(
-        F.max(F.when(F.col("artifact") == "start", at)).alias("start"), *ends, *fix_parts
-    )
-    in_order = (
-        F.lit(enabled)
-        & F.col("_fixed")
-        & F.col("_fixes")
-        & (F.col("start") < F.col("analyze"))
-        & (F.col("analyze") <= F.col("fix"))
-        & (F.col("fix") <= F.col("test"))
-        & (F.col("test") <= F.col("report"))
-    )
+    in_order = (start < analyze) & (analyze <= fix) & (fix <= test) & (test <= report)
     spans = {
-        "analyze_ms": ("start", "analyze"),
-        "fix_ms": ("analyze", "fix"),
-        "test_ms": ("fix", "test"),
-        "report_ms": ("test", "report"),
-        "total_ms": ("start", "report"),
+        "analyze_ms": analyze - start,
+        "fix_ms": fix - analyze,
+        "test_ms": test - fix,
+        "report_ms": report - test,
+        "total_ms": report - start,
     }
-    return wide.select(
-        "run",
-        *[
-            F.when(in_order, _round_ms(F.col(b) - F.col(a))).alias(name)
-            for name, (a, b) in spans.items()
-        ],
+    return {name: F.when(in_order, _round_ms(span)) for name, span in spans.items()}
+
+
+def fix_time(fixed: Column, fixes: Column) -> Column:
+    """The fix stage ends with the later of its two files, and needs both."""
+    return F.when(fixed.isNotNull() & fixes.isNotNull(), F.greatest(fixed, fixes))
+
+
+def stage_timings(stamps: DataFrame) -> DataFrame:
+    """Per run the five durations, from stamps(run, artifact, ts)."""
+    at = F.unix_micros("ts")
+    ends = [F.max(F.when(F.col("artifact") == name, at)).alias(name) for name in STAMPED]
+    wide = stamps.groupBy("run").agg(*ends)
+    spans = gated_spans(
+        F.col("start"), F.col("analysis"), fix_time(F.col("fixed"), F.col("fixes")), F.col("tests"), F.col("report")
     )
+    return wide.select("run", *[span.alias(name) for name, span in spans.items()])
 
 
 def live_total(*stage_ms: str) -> Column:

@@ -17,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- lineitem: issues, bugs, fixes, cases ------------------------------------
 
-SEVERITY = F.when(F.col("flag") == "R", "High").when(F.col("flag") == "A", "Medium").otherwise("Low")
+
+def severity():
+    return F.when(F.col("flag") == "R", "High").when(F.col("flag") == "A", "Medium").otherwise("Low")
 
 
 def issue_lines(lineitem: DataFrame) -> DataFrame:
@@ -40,13 +42,18 @@ def truth(lineitem: DataFrame) -> DataFrame:
 
 
 def issues(lineitem: DataFrame) -> DataFrame:
-    """One issue per (order, line number)."""
+    """One issue per (order, line number); of several rows the last flag counts.
+
+    Flags and states are ranked as numbers, which aggregate without sorting.
+    """
+    flag = F.col("l_returnflag")
     per_line = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_returnflag").alias("flag"),
-        F.max("l_linestatus").alias("status"),
+        F.max(F.when(flag == "R", 3).when(flag == "N", 2).otherwise(1)).alias("flag"),
+        F.max(F.col("l_linestatus") == "O").alias("open"),
         F.min("l_partkey").alias("part"),
     )
     line = F.col("l_linenumber").cast("bigint")
+    rank = F.col("flag")
     return per_line.select(
         F.col("l_orderkey").alias("run"),
         (line - 1).alias("pos"),
@@ -54,23 +61,23 @@ def issues(lineitem: DataFrame) -> DataFrame:
         F.lit("Logical").alias("type"),
         F.concat(F.lit("part "), F.col("part").cast("string")).alias("description"),
         line.alias("line"),
-        SEVERITY.alias("severity"),
+        F.when(rank == 3, "High").when(rank == 2, "Low").otherwise("Medium").alias("severity"),
         F.when(F.col("part") % 2 == 0, F.lit("replace it")).alias("suggestion"),
-        "status",
+        (~F.col("open")).alias("fixed"),
         "part",
     )
 
 
 def fixes(issue_rows: DataFrame) -> DataFrame:
     """Fixes: issues whose rows are all filled."""
-    return issue_rows.filter("status = 'F'").select(
+    return issue_rows.filter("fixed").select(
         "run", "pos", "issue_id", F.concat(F.lit("fixed "), "description").alias("change")
     )
 
 
 def cases(issue_rows: DataFrame) -> DataFrame:
     """A tagged case for every fixed issue, an untagged one for the others."""
-    tagged = F.col("status") == "F"
+    tagged = F.col("fixed")
     name = F.when(tagged, F.concat(F.lit("["), "issue_id", F.lit("] "), "description")).otherwise(
         F.col("description")
     )
@@ -108,8 +115,10 @@ def run_files(lineitem: DataFrame) -> DataFrame:
 def durations(lineitem: DataFrame) -> DataFrame:
     """Total time per run from its quantities; none for runs of even totals."""
     ms = F.sum(F.col("l_quantity").cast("bigint")) * 731
-    return lineitem.groupBy(F.col("l_orderkey").alias("run")).agg(ms.alias("_ms")).select(
-        "run", F.when(F.col("_ms") % 2 == 1, F.col("_ms")).alias("total_ms")
+    return (
+        lineitem.groupBy(F.col("l_orderkey").alias("run"))
+        .agg(ms.alias("_ms"))
+        .select("run", F.when(F.col("_ms") % 2 == 1, F.col("_ms")).alias("total_ms"))
     )
 
 
@@ -120,11 +129,12 @@ def runs(orders: DataFrame) -> DataFrame:
     )
 
 
-RISK = (
-    F.when(F.col("o_orderpriority").startswith("1"), "High")
-    .when(F.col("o_orderpriority").startswith("5"), "Low")
-    .otherwise("Medium")
-)
+def risk():
+    return (
+        F.when(F.col("o_orderpriority").startswith("1"), "High")
+        .when(F.col("o_orderpriority").startswith("5"), "Low")
+        .otherwise("Medium")
+    )
 
 
 def heads(orders: DataFrame) -> DataFrame:
@@ -141,7 +151,7 @@ def heads(orders: DataFrame) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("author"),
         F.concat(F.lit("// "), "o_orderpriority", F.lit("\nbefore")).alias("original_code"),
         F.concat(F.lit("// "), "o_orderpriority", F.lit("\nafter")).alias("fixed_code"),
-        RISK.alias("risk_level"),
+        risk().alias("risk_level"),
         F.concat(F.lit("priority "), "o_orderpriority").alias("analysis_summary"),
         F.lit("vitest").alias("framework"),
         F.lit("").alias("test_code"),
@@ -152,11 +162,12 @@ def heads(orders: DataFrame) -> DataFrame:
 
 # --- events -------------------------------------------------------------------
 
-STATUS = (
-    F.when(F.col("event_type").isin("click", "view"), "running")
-    .when(F.col("event_type").isin("purchase", "signup"), "done")
-    .otherwise("error")
-)
+def status():
+    return (
+        F.when(F.col("event_type").isin("click", "view"), "running")
+        .when(F.col("event_type").isin("purchase", "signup"), "done")
+        .otherwise("error")
+    )
 
 
 def stage_name(number):
@@ -170,8 +181,8 @@ def progress_events(events: DataFrame) -> DataFrame:
         F.struct("ts", "event_id").alias("seq"),
         F.lit("stage").alias("type"),
         stage_name(F.col("event_id") % 4).alias("stage"),
-        STATUS.alias("status"),
-        F.when(STATUS == "done", F.round(F.col("value") * 100).cast("bigint")).alias("ms"),
+        status().alias("status"),
+        F.when(status() == "done", F.round(F.col("value") * 100).cast("bigint")).alias("ms"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 

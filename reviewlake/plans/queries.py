@@ -64,7 +64,7 @@ def detection_optional(orders, lineitem):
 def severity_counts(lineitem):
     rows = lineitem.select(
         F.col("l_orderkey").alias("run"), F.col("l_returnflag").alias("flag")
-    ).withColumn("severity", C.SEVERITY)
+    ).withColumn("severity", C.severity())
     return scoring.severity_counts(rows)
 
 
@@ -112,7 +112,7 @@ def case_guards(part, lineitem):
         F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("issue_id"),
         F.struct("l_orderkey", "l_suppkey", "l_quantity", F.col("l_returnflag")).alias("pos"),
         F.col("l_returnflag").alias("flag"),
-    ).withColumn("severity", C.SEVERITY)
+    ).withColumn("severity", C.severity())
     return links.cases_with_issue(cases, issues).drop("pos")
 
 
@@ -407,7 +407,7 @@ def contract_audit(orders, lineitem, part):
         F.col("o_orderkey").alias("run"),
         F.array_join(F.array_repeat("o_orderpriority", (F.col("o_orderkey") % 7 + 1).cast("int")), "\n").alias("code"),
     )
-    analyses = orders.select(F.col("o_orderkey").alias("run"), C.RISK.alias("risk_level"))
+    analyses = orders.select(F.col("o_orderkey").alias("run"), C.risk().alias("risk_level"))
     advice = part.select(
         F.col("p_partkey").alias("run"),
         F.array_repeat(

@@ -43,5 +43,5 @@ REPORT = (
 
 META = "struct<name: string, fileName: string, language: string, ext: string, startedAt: string>"
 TRUTH = "struct<bugs: array<struct<id: string, line: bigint, description: string>>>"
-TEST_RESULT = "numPassedTests bigint, numFailedTests bigint, numTotalTests bigint"
+TEST_RESULT = "struct<numPassedTests: bigint, numFailedTests: bigint, numTotalTests: bigint>"
 INDEX_ENTRY = "id string, fileName string, recordedAt string, author string, issues bigint"

@@ -5,7 +5,8 @@ touches the driver; contents are read where they are processed, and a query
 that needs just names and times never opens the files.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake import schemas as S
@@ -63,13 +64,16 @@ def read_reports(spark: SparkSession, path: str) -> Checked:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Seeded bugs from ``<run>.expected.json``: run, pos, bug_id, line, description."""
+    """Ground truth files ``<run>.expected.json``: run and its list of bugs, maybe empty."""
     files = read_files(spark, path, "*.expected.json")
     run = F.regexp_extract("file", r"\A(.*)\.expected\.json\z", 1)
     checked = check_json(files.select(run.alias("run"), "text"), "text", TRUTH, S.TRUTH)
-    bugs = split_checked(checked).valid.select(
-        "run", F.posexplode("value.bugs").alias("pos", "bug")
-    )
+    return split_checked(checked).valid.select("run", "value.bugs")
+
+
+def truth_bugs(truth: DataFrame) -> DataFrame:
+    """Ground truth as rows: run, pos, bug_id, line, description."""
+    bugs = truth.select("run", F.posexplode("bugs").alias("pos", "bug"))
     return bugs.select(
         "run",
         F.col("pos").cast("bigint").alias("pos"),
@@ -98,7 +102,7 @@ def test_results(files: DataFrame) -> Checked:
         F.col("version").isin(S.VERSIONS)
     )
     checked = split_checked(
-        check_json(found, "text", TEST_RESULT, f"struct<{S.TEST_RESULT}>".replace(" bigint", ": bigint"))
+        check_json(found, "text", TEST_RESULT, S.TEST_RESULT)
     )
     counts = checked.valid.select(
         "run",
@@ -121,6 +125,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return versions.filter(F.col("version") == latest).drop("version")
 
 
+def read_index_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    """Like ``read_index``, but no index yet is an empty one."""
+    try:
+        return read_index(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], S.INDEX_ENTRY)
+
+
 # --- events -----------------------------------------------------------------
 
 _EVENT_FIELDS = {

@@ -2,6 +2,7 @@
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ from reviewlake.sources.readers import EVENT_COLUMNS
 def write_reports(reports: DataFrame, path: str) -> None:
     """One JSON document per run in a folder ``run=<id>``; only those runs are replaced."""
     (
-        reports.select(F.col("id").alias("run"), report_json().alias("value"))
+        reports.select(F.col("id").alias("run"), report_json(0).alias("value"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("lineSep", "\n")
         .partitionBy("run")
         .text(path)
     )
@@ -37,8 +39,8 @@ def publish_reports(reports: DataFrame, path: str, buckets: int = 256) -> None:
         touched = new.select("bucket").distinct()
         kept = old.join(touched, "bucket", "left_semi").join(new.select("run"), "run", "left_anti")
         merged = new.unionByName(kept)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         merged = new
     (
