@@ -22,16 +22,14 @@ def lacking_files(
     tests_file: str = TESTS_FILE,
 ) -> Column:
     """Names of the required files a run lacks, from a flag per file that is there."""
-    names = {
-        "analysis.json": analysis,
-        F.concat(F.lit("fixed"), ext): fixed,
-        "fixes.json": fixes,
-        tests_file: tests,
-        "report.json": report,
-    }
-    return F.array_compact(
-        F.array(*[F.when(~there, n if isinstance(n, Column) else F.lit(n)) for n, there in names.items()])
-    )
+    names = [
+        F.when(~analysis, "analysis.json"),
+        F.when(~fixed, F.concat(F.lit("fixed"), ext)),
+        F.when(~fixes, "fixes.json"),
+        F.when(~tests, tests_file),
+        F.when(~report, "report.json"),
+    ]
+    return F.array_compact(F.array(*names))
 
 
 def missing_artifacts(runs: DataFrame, files: DataFrame, tests_file: str = TESTS_FILE) -> DataFrame:
