@@ -159,14 +159,21 @@ def parse_events(lines: DataFrame, line: str, *keys: str) -> DataFrame:
     return parsed.select(*keys, *[c.alias(n) for n, c in fields.items()], report.alias("report"))
 
 
-def read_event_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def _event_reader(spark: SparkSession, stream: bool, per_batch: int | None):
+    reader = (spark.readStream if stream else spark.read).format("text").schema("value string")
+    return reader.option("maxFilesPerTrigger", per_batch) if stream and per_batch else reader
+
+
+def read_event_files(
+    spark: SparkSession, path: str, stream: bool = False, per_batch: int | None = None
+) -> DataFrame:
     """One ``<run>.ndjson`` file per run; ``seq`` is the line number.
 
     Empty lines are skipped, and so is a last line without its newline.
+    ``per_batch`` limits the files of one micro-batch.
     """
-    reader = spark.readStream if stream else spark.read
     files = (
-        reader.format("text").schema("value string").option("wholetext", "true")
+        _event_reader(spark, stream, per_batch).option("wholetext", "true")
         .option("pathGlobFilter", "*.ndjson").load(path)
         .select(
             F.regexp_extract("_metadata.file_path", r"([^/]*)\.ndjson\z", 1).alias("run"),
@@ -179,10 +186,11 @@ def read_event_files(spark: SparkSession, path: str, stream: bool = False) -> Da
     )
 
 
-def read_event_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_event_lines(
+    spark: SparkSession, path: str, stream: bool = False, per_batch: int | None = None
+) -> DataFrame:
     """Event lines of many runs, as ``write_events`` writes them (run and seq inside)."""
-    reader = spark.readStream if stream else spark.read
-    lines = reader.format("text").schema("value string").load(path).filter("value <> ''")
+    lines = _event_reader(spark, stream, per_batch).load(path).filter("value <> ''")
     keyed = lines.withColumn("_k", J.parse_strict("value")).select(
         F.try_variant_get("_k", "$.run", "string").alias("run"),
         F.try_variant_get("_k", "$.seq", "bigint").alias("seq"),
