@@ -9,7 +9,7 @@ where they only aggregate; ``until_first_error`` and ``run_outcome`` are batch,
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -135,6 +135,20 @@ def watch_elapsed(events: DataFrame, delay: str = "6 hours") -> DataFrame:
     return stage_elapsed(events.withWatermark("started_at", delay), "started_at")
 
 
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """State settings for ``follow_runs``.
+
+    Timed state lives in RocksDB; it expires along with new data, so a query
+    over what is available now comes to an end.
+    """
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return spark
+
+
 _OUTCOME = "run string, outcome string, message string, report string, events_read bigint, stages string"
 
 
@@ -196,7 +210,7 @@ def follow_runs(events: DataFrame, ttl_ms: int = 6 * 3600 * 1000) -> DataFrame:
 
     Events count in arrival order; after its first error event a run is not
     read any further.  The state per run is one small row, dropped ``ttl_ms``
-    after its last event.  Needs the RocksDB state store.
+    after its last event.  ``prepare_session`` has to come first.
     """
     columns = events.select("run", "seq", "type", "stage", "status", "message", "report")
     return columns.groupBy("run").transformWithStateInPandas(
@@ -205,10 +219,3 @@ def follow_runs(events: DataFrame, ttl_ms: int = 6 * 3600 * 1000) -> DataFrame:
         outputMode="Update",
         timeMode="ProcessingTime",
     )
-
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

@@ -8,6 +8,7 @@ from reviewlake.schemas import STAGES
 from reviewlake.sources import readers, writers
 from reviewlake.streaming import progress
 
+START = 1_790_000_000
 DDL = (
     "run string, seq bigint, type string, stage string, status string, ms bigint, "
     "message string, report string, ts timestamp, started_at timestamp"
@@ -17,7 +18,7 @@ DDL = (
 def table(spark, rows):
     """rows of (run, seq, type, stage, status, ms, message, report); times follow seq."""
     return spark.createDataFrame(rows, DDL.split(", ts")[0]).withColumns(
-        {"ts": F.timestamp_millis(F.col("seq") * 1500), "started_at": F.timestamp_seconds(F.lit(0))}
+        {"ts": F.timestamp_millis(F.col("seq") * 1500), "started_at": F.timestamp_seconds(F.lit(START))}
     )
 
 
@@ -130,7 +131,7 @@ def test_streamed_progress_equals_batch(spark, tmp_path):
 
 @pytest.mark.parametrize("n_batches", [1, 3])
 def test_followed_runs_equal_batch(spark, tmp_path, n_batches):
-    progress.use_rocksdb(spark)
+    progress.prepare_session(spark)
     rows = random_events(2)
     # Events arrive in order: earlier seq numbers in earlier batches.
     log = as_log(spark, rows, str(tmp_path / "log"), lambda r: min(n_batches - 1, r[1] // 4))
@@ -153,7 +154,7 @@ def test_old_runs_leave_the_state(spark, tmp_path):
     rows = [stage("old", 0, "fix", "running"), stage("new", 1, "fix", "running")]
     path = str(tmp_path / "log")
     early = table(spark, rows[:1])
-    late = table(spark, rows[1:]).withColumn("started_at", F.timestamp_seconds(F.lit(100_000)))
+    late = table(spark, rows[1:]).withColumn("started_at", F.timestamp_seconds(F.lit(START + 100_000)))
     for part in (early, late, late.withColumn("run", F.lit("newer")), early.withColumn("run", F.lit("too late"))):
         writers.write_events(part.coalesce(1), path)
     streamed = readers.read_event_lines(spark, path, stream=True, per_batch=1)
