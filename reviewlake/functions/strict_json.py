@@ -7,6 +7,8 @@ otherwise; checks nest, and run in the order the fields are declared.
 """
 
 from collections.abc import Callable
+from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions.text import _col
 from reviewlake.schemas import SAFE_INTEGER
 
-Check = Callable[[Column, Column], Column]
+Check = Callable[["Value", str], str]
 
 _END = "\x7fend-of-value\x7f"
 
@@ -24,12 +26,14 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def parse_strict(text) -> Column:
-    """A JSON text as VARIANT, or NULL unless it is exactly one JSON value.
+def parse_listed(text) -> Column:
+    """A JSON text as a VARIANT list whose first element it is, or NULL unless
+    the text is exactly one JSON value.
 
     The parser stops after the first value, so the text goes into a list in
     front of an end mark; the mark must come out as the second and last
     element.  A text that holds the mark itself gets a mark longer than it.
+    The list is handed on as it is, since taking the value out copies it.
     """
     x = _col(text)
     mark = F.when(F.contains(x, F.lit(_END)), F.repeat(F.lit("~"), F.length(x) + 1)).otherwise(
@@ -37,12 +41,17 @@ def parse_strict(text) -> Column:
     )
     listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), mark, F.lit('"]')))
 
-    def only_value(v):
+    def if_whole(v):
         closed = F.try_variant_get(v, "$[1]", "string") == mark
         single = F.try_variant_get(v, "$[2]", "variant").isNull()
-        return F.when(closed & single, F.try_variant_get(v, "$[0]", "variant"))
+        return F.when(closed & single, v)
+
+    return _bind(listed, if_whole)
 
-    return _bind(listed, only_value)
+
+def parse_strict(text) -> Column:
+    """A JSON text as VARIANT, or NULL unless it is exactly one JSON value."""
+    return F.try_variant_get(parse_listed(text), "$[0]", "variant")
 
 
 def object_text(text) -> Column:
@@ -60,42 +69,71 @@ def extract_reason(text, value) -> Column:
 
 
 # --- checks -----------------------------------------------------------------
+#
+# A check takes a value and its path as SQL text and gives SQL text: NULL for a
+# good value, else the path of the first bad field.  Text, because a document
+# needs hundreds of expressions and one parse is far cheaper than building each.
+
+
+class Value(NamedTuple):
+    """SQL of a VARIANT and a place inside it."""
+
+    variant: str
+    place: str = "$"
+
+    def read(self, kind: str) -> str:
+        return f"try_variant_get({self.variant}, '{self.place}', '{kind}')"
+
+    @property
+    def sql(self) -> str:
+        return self.variant if self.place == "$" else self.read("variant")
+
+    @property
+    def type(self) -> str:
+        return f"schema_of_variant({self.sql})"
+
+
+_names = count()
+
 
+def _at(path: str, step: str) -> str:
+    return f"concat_ws('.', {path}, {step})"
 
-def _type(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
+def _unless(ok: str, path: str) -> str:
+    return f"if(coalesce({ok}, false), null, coalesce({path}, ''))"
 
-def _unless(ok: Column, path: Column) -> Column:
-    return F.when(~F.coalesce(ok, F.lit(False)), F.coalesce(path, F.lit("")))
+
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """SQL that evaluates ``value`` once and names it."""
+    name = f"v{next(_names)}"
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
 
 
 def text() -> Check:
-    return lambda value, path: _unless(_type(value) == "STRING", path)
+    return lambda value, path: _unless(f"{value.type} = 'STRING'", path)
 
 
 def one_of(values: list[str]) -> Check:
+    """One of some plain words."""
+    listed = ", ".join(f"'{v}'" for v in values)
+
     def check(value, path):
-        ok = (_type(value) == "STRING") & F.try_variant_get(value, "$", "string").isin(values)
-        return _unless(ok, path)
+        return _unless(f"{value.type} = 'STRING' and {value.read('string')} in ({listed})", path)
 
     return check
 
 
-def _as_double(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
-
-
-def _is_number(value: Column) -> Column:
-    return _type(value).rlike(r"\A(BIGINT|DECIMAL|DOUBLE)")
+def _is_number(value: Value) -> str:
+    return f"{value.type} rlike '^(BIGINT|DECIMAL|DOUBLE)'"
 
 
 def number() -> Check:
     """A finite number."""
 
     def check(value, path):
-        finite = F.abs(_as_double(value)) <= F.lit(1.7976931348623157e308)
-        return _unless(_is_number(value) & finite, path)
+        finite = f"abs({value.read('double')}) <= 1.7976931348623157E308D"
+        return _unless(f"{_is_number(value)} and {finite}", path)
 
     return check
 
@@ -104,63 +142,69 @@ def integer() -> Check:
     """A number without a fraction, within the range doubles hold exactly."""
 
     def check(value, path):
-        number_ = _as_double(value)
-        whole = (number_ == F.rint(number_)) & (F.abs(number_) <= F.lit(float(SAFE_INTEGER)))
-        return _unless(_is_number(value) & whole, path)
+        n = value.read("double")
+        whole = f"{_is_number(value)} and {n} = rint({n}) and abs({n}) <= {SAFE_INTEGER}D"
+        plain = f"{value.read('bigint')} between -{SAFE_INTEGER} and {SAFE_INTEGER}"
+        return _unless(f"if({value.type} = 'BIGINT', {plain}, {whole})", path)
 
     return check
 
 
 def equals(constant: int) -> Check:
-    return lambda value, path: _unless(
-        _is_number(value) & (_as_double(value) == F.lit(float(constant))), path
-    )
+    def check(value, path):
+        return _unless(f"{_is_number(value)} and {value.read('double')} = {constant}D", path)
+
+    return check
 
 
 def nullable(inner: Check) -> Check:
     """JSON null is fine; an absent key is not."""
 
     def check(value, path):
-        null = F.coalesce(F.is_variant_null(value), F.lit(False))
-        return F.when(~null, inner(value, path))
+        return f"if(coalesce(is_variant_null({value.sql}), false), null, {inner(value, path)})"
 
     return check
 
 
 def optional(inner: Check) -> Check:
     """An absent key is fine; JSON null is not."""
-    return lambda value, path: F.when(value.isNotNull(), inner(value, path))
+    return lambda value, path: f"if({value.sql} is null, null, {inner(value, path)})"
 
 
 def list_of(inner: Check) -> Check:
     def check(value, path):
-        items = F.try_variant_get(value, "$", "array<variant>")
-        bad = F.filter(
-            F.transform(items, lambda item, i: inner(item, F.concat_ws(".", path, i.cast("string")))),
-            lambda p: p.isNotNull(),
-        )
-        return F.coalesce(_unless(items.isNotNull(), path), F.get(bad, F.lit(0)))
+        item, i = f"v{next(_names)}", f"i{next(_names)}"
+        of_item = inner(Value(item), _at(path, f"cast({i} as string)"))
+
+        def first(items):
+            bad = f"filter(transform({items}, ({item}, {i}) -> {of_item}), p -> p is not null)"
+            return f"coalesce({_unless(f'{items} is not null', path)}, get({bad}, 0))"
+
+        return _let(value.read("array<variant>"), first)
 
     return check
 
 
 def fields(**checks: Check) -> Check:
-    """An object with the given fields; other keys are ignored."""
+    """An object with the given fields; other keys are ignored.
+
+    The object is taken apart once, into a map; looking every field up in the
+    VARIANT would decode its keys again and again.
+    """
 
     def check(value, path):
-        def parts(v):
-            is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-            inner = [
-                one(F.try_variant_get(v, f"$.{name}", "variant"), F.concat_ws(".", path, F.lit(name)))
+        def first(members):
+            parts = [
+                one(Value(f"try_element_at({members}, '{name}')"), _at(path, f"'{name}'"))
                 for name, one in checks.items()
             ]
-            return F.coalesce(_unless(is_object, path), *inner)
+            return f"coalesce({_unless(f'{members} is not null', path)}, {', '.join(parts)})"
 
-        return _bind(value, parts)
+        return _let(value.read("map<string,variant>"), first)
 
     return check
 
 
-def first_bad_path(value, check: Check) -> Column:
+def first_bad_path(value: Value, check: Check) -> Column:
     """Path of the first bad field ('' is the value itself), NULL when all is well."""
-    return check(_col(value), F.lit(None).cast("string"))
+    return F.expr(check(value, "cast(null as string)"))

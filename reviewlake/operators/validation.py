@@ -97,26 +97,25 @@ STAGE_SHAPES = {
 # --- operators --------------------------------------------------------------
 
 
-def _checked(value: Column, missing: Column, check: J.Check, typed: str, out: str) -> Column:
-    """Rows (reason, bad_path, out) of one VARIANT, to be inlined.
+def _checked(
+    df: DataFrame, text: str, missing: Column, check: J.Check, typed: str, out: str
+) -> DataFrame:
+    """Add ``reason``, ``bad_path`` and the typed ``out`` of one JSON text per row.
 
-    As a generator the check runs once per row; filters on its result stay
-    above it instead of repeating it.
+    Parsing and checking sit in generators, so they run once per row; filters
+    on the result stay above them instead of repeating them.
     """
-    looked_at = F.transform(
-        F.array(value),
-        lambda v: F.struct(v.alias("v"), F.when(v.isNotNull(), J.first_bad_path(v, check)).alias("bad")),
+    looked_at = df.select("*", F.inline(F.array(F.struct(J.parse_listed(text).alias("_v")))))
+    bad = F.when(F.col("_v").isNotNull(), J.first_bad_path(J.Value("_v", "$[0]"), check))
+    looked_at = looked_at.select("*", F.inline(F.array(F.struct(bad.alias("bad_path")))))
+    good = F.col("_v").isNotNull() & F.col("bad_path").isNull()
+    reason = F.when(F.col("_v").isNull(), missing).when(F.col("bad_path").isNotNull(), "bad_field")
+    return looked_at.select(
+        *df.columns,
+        reason.alias("reason"),
+        "bad_path",
+        F.when(good, F.try_variant_get("_v", "$[0]", typed)).alias(out),
     )
-    def outcome(r):
-        reason = F.when(r["v"].isNull(), missing).when(r["bad"].isNotNull(), "bad_field")
-        good = r["v"].isNotNull() & r["bad"].isNull()
-        return F.struct(
-            reason.alias("reason"),
-            r["bad"].alias("bad_path"),
-            F.when(good, F.try_variant_get(r["v"], "$", typed)).alias(out),
-        )
-
-    return F.inline(F.transform(looked_at, outcome))
 
 
 def check_json(df: DataFrame, text: str, check: J.Check, typed: str, out: str = "value") -> DataFrame:
@@ -125,7 +124,7 @@ def check_json(df: DataFrame, text: str, check: J.Check, typed: str, out: str =
     Adds ``reason`` (``bad_json``, ``bad_field`` or NULL), ``bad_path`` and the
     typed ``out``, which is NULL unless the whole value is valid.
     """
-    return df.select("*", _checked(J.parse_strict(text), F.lit("bad_json"), check, typed, out))
+    return _checked(df, text, F.lit("bad_json"), check, typed, out)
 
 
 def split_checked(df: DataFrame, out: str = "value") -> Checked:
@@ -151,8 +150,7 @@ def check_response(df: DataFrame, text: str, check: J.Check, typed: str, out: st
     """``extract_json`` followed by the shape check: a stage's raw answer to a typed value."""
     spans = df.withColumn("_span", J.object_text(text))
     missing = F.when(F.col("_span").isNull(), "no_object").otherwise("bad_json")
-    checked = _checked(J.parse_strict("_span"), missing, check, typed, out)
-    return spans.select("*", checked).drop("_span")
+    return _checked(spans, "_span", missing, check, typed, out).drop("_span")
 
 
 def request_problem(code: Column, language: Column, file_name: Column) -> Column:

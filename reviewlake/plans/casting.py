@@ -249,7 +249,7 @@ def version_pairs(documents: DataFrame) -> DataFrame:
     group of n gives n - 1 pairs.
     """
     titled = documents.select(
-        F.col("doc_id"), "source", "text", F.element_at(F.split("text", "\n", -1), 1).alias("title")
+        F.col("doc_id"), "source", "text", F.substring_index("text", "\n", 1).alias("title")
     )
     firsts = (
         titled.groupBy("title")

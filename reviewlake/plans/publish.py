@@ -14,7 +14,7 @@ from reviewlake.functions import strict_json as J
 from reviewlake.functions import text as T
 from reviewlake.operators import assembly, index, links, scoring, testruns, timing
 from reviewlake.operators import validation as V
-from reviewlake.session import configure
+from reviewlake.session import configure, settle
 from reviewlake.sources import readers, writers
 
 META = J.fields(
@@ -119,9 +119,16 @@ def build_reports(
     author: str | None = None,
     with_timings: bool = True,
     method: str = assembly.TIMING_METHOD,
+    settled: bool = False,
 ) -> Published:
-    """Reports of all complete, valid runs; the others with the first thing wrong."""
+    """Reports of all complete, valid runs; the others with the first thing wrong.
+
+    ``settled`` writes the checked runs to the checkpoint folder once, for use
+    by several outputs.
+    """
     rows = _checked_rows(run_rows(files))
+    if settled:
+        rows = settle(rows)
     good = rows.filter(F.col("problem").isNull())
     cases = F.transform(
         T.case_titles("tests.text"),
@@ -192,7 +199,7 @@ def publish_runs(
     """
     configure(spark)
     truth_rows = readers.read_truth(spark, truth) if truth else None
-    built = build_reports(readers.read_runs(spark, runs), truth_rows, **options)
+    built = build_reports(readers.read_runs(spark, runs), truth_rows, settled=True, **options)
     if buckets is None:
         writers.write_reports(built.reports, f"{out}/reports")
     else:

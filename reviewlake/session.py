@@ -1,6 +1,8 @@
 """Session settings the operators rely on."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only; sizing (executors, memory, shuffle partitions) stays
 # with whoever starts the session.
@@ -14,6 +16,8 @@ RUNTIME_CONF = {
     # it then needs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Whole files travel to the alignment kernel; bound a batch by its size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
@@ -22,3 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing the rows once, to where every executor can read them.
+
+    The folder is the one the cluster names in spark.checkpoint.dir; only where
+    there is none, as in tests, a local one is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reviewlake-"))
+    return df.checkpoint()
