@@ -1,9 +1,12 @@
 """JSON text of a typed value, with nulls written and absent fields left out.
 
 Spark's own writer either drops every null or writes every one; documents need
-``line: null`` next to an absent ``suggestion``.
+``line: null`` next to an absent ``suggestion``.  The expression is put together
+as SQL text and parsed once.
 """
 
+from itertools import count
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,52 +14,52 @@ from pyspark.sql import types as T
 # Fields that are left out when they have no value; any other NULL is written.
 OPTIONAL_FIELDS = {"suggestion", "model", "author", "verification", "detection", "timings"}
 
+_names = count()
+
 
-def _string(value: Column) -> Column:
+def _text_of(value: str) -> str:
     """A quoted string: the only element of a JSON list, without its brackets."""
-    listed = F.to_json(F.array(value))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    listed = f"to_json(array({value}))"
+    return f"substr({listed}, 2, length({listed}) - 2)"
 
 
-def _number(value: Column) -> Column:
+def _number_of(value: str) -> str:
     """Whole numbers without a fraction, whatever their type."""
-    whole = (value == F.rint(value)) & (F.abs(value) < 1e15)
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    whole = f"{value} = rint({value}) and abs({value}) < 1e15"
+    return f"if({whole}, cast(cast({value} as bigint) as string), cast({value} as string))"
 
 
-def _wrapped(open_: str, close: str, items: Column, empty: Column, indent: int | None) -> Column:
+def _wrapped(open_: str, close: str, items: str, empty: str, indent: int | None) -> str:
     if indent is None:
-        return F.concat(F.lit(open_), items, F.lit(close))
-    inner = F.concat(F.lit(open_ + "\n"), items, F.lit("\n" + " " * indent + close))
-    return F.when(empty, F.lit(open_ + close)).otherwise(inner)
+        return f"concat('{open_}', {items}, '{close}')"
+    return f"if({empty}, '{open_}{close}', concat('{open_}\n', {items}, '\n{' ' * indent}{close}'))"
 
 
-def json_text(value: Column, of: T.DataType, indent: int | None = None) -> Column:
-    """Compact text, or the two-space layout starting at ``indent`` columns."""
+def _json(value: str, of: T.DataType, indent: int | None) -> str:
     deeper = None if indent is None else indent + 2
     pad = "" if deeper is None else " " * deeper
     between = "," if indent is None else ",\n"
-    null = F.lit("null")
     if isinstance(of, T.StructType):
         colon = ":" if indent is None else ": "
         members = []
         for field in of:
-            child = value[field.name]
-            member = F.concat(F.lit(f'{pad}"{field.name}"{colon}'), json_text(child, field.dataType, deeper))
-            members.append(F.when(child.isNotNull(), member) if field.name in OPTIONAL_FIELDS else member)
-        text = _wrapped("{", "}", F.concat_ws(between, *members), F.lit(False), indent)
+            child = f"{value}.{field.name}"
+            member = f"concat('{pad}\"{field.name}\"{colon}', {_json(child, field.dataType, deeper)})"
+            members.append(f"if({child} is null, null, {member})" if field.name in OPTIONAL_FIELDS else member)
+        text = _wrapped("{", "}", f"concat_ws('{between}', {', '.join(members)})", "false", indent)
     elif isinstance(of, T.ArrayType):
-        items = F.transform(value, lambda e: F.concat(F.lit(pad), json_text(e, of.elementType, deeper)))
-        text = _wrapped("[", "]", F.array_join(items, between), F.size(value) == 0, indent)
+        item = f"j{next(_names)}"
+        items = f"transform({value}, {item} -> concat('{pad}', {_json(item, of.elementType, deeper)}))"
+        text = _wrapped("[", "]", f"array_join({items}, '{between}')", f"size({value}) = 0", indent)
     elif isinstance(of, T.StringType):
-        text = _string(value)
+        text = _text_of(value)
     elif isinstance(of, (T.DoubleType, T.FloatType)):
-        text = _number(value)
+        text = _number_of(value)
     else:
-        text = value.cast("string")
-    return F.when(value.isNull(), null).otherwise(text)
+        text = f"cast({value} as string)"
+    return f"if({value} is null, 'null', {text})"
 
 
-def json_of(value: Column, ddl: str, indent: int | None = None) -> Column:
-    """``json_text`` of a column whose type is given as DDL, e.g. ``schemas.ANALYSIS``."""
-    return json_text(value, T.DataType.fromDDL(ddl), indent)
+def json_of(value: str, ddl: str, indent: int | None = None) -> Column:
+    """JSON of a column of the given type: compact, or laid out from ``indent`` columns on."""
+    return F.expr(_json(value, T.DataType.fromDDL(ddl), indent))

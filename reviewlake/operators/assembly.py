@@ -142,8 +142,8 @@ def assemble_reports(
 
 def report_json(indent: int | None = None) -> Column:
     """A report row as one JSON text that passes the report schema."""
-    fields = [F.col(name) for name in T.DataType.fromDDL(S.REPORT).names]
-    return json_of(F.struct(*fields), S.REPORT, indent)
+    names = T.DataType.fromDDL(S.REPORT).names
+    return json_of(f"struct({', '.join(names)})", S.REPORT, indent)
 
 
 # --- from reports -----------------------------------------------------------

@@ -15,6 +15,7 @@ from reviewlake.functions.text import normalise_eol, split_lines
 
 DIFF_ROW = "kind string, left string, right string, left_no bigint, right_no bigint"
 _BATCH_ROWS = 20_000
+_BATCH_CHARS = 32_000_000
 
 
 def line_delta(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -44,6 +45,7 @@ def line_delta(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def _aligned_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, n_keys: int):
     columns = [[] for _ in schema]
+    chars = 0
 
     def flush():
         batch = pa.RecordBatch.from_arrays(
@@ -70,8 +72,10 @@ def _aligned_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, n_key
                 )
                 for c, value in zip(columns, row):
                     c.append(value)
-                if len(columns[0]) >= _BATCH_ROWS:
+                chars += len(row[-4] or "") + len(row[-3] or "")
+                if len(columns[0]) >= _BATCH_ROWS or chars >= _BATCH_CHARS:
                     yield flush()
+                    chars = 0
     if columns[0]:
         yield flush()
 

@@ -196,6 +196,9 @@ def run_events(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("run"),
         F.struct("ts", "event_id").alias("seq"),
         kind.alias("type"),
+        stage_name(F.col("event_id") % 4).alias("stage"),
+        status().alias("status"),
+        F.when(kind == "stage", F.round(F.col("value") * 100).cast("bigint")).alias("ms"),
         F.when(kind == "error", F.concat(F.lit("failed at "), F.col("event_id").cast("string"))).alias("message"),
         F.when(kind == "result", F.col("props")).alias("report"),
     )

@@ -228,6 +228,28 @@ SELECT CAST(run AS VARCHAR) AS run,
   issue_id, 'Logical' AS type, 'part ' || part AS description, line, severity,
   CASE WHEN part % 2 = 0 THEN 'replace it' END AS suggestion
 FROM issues JOIN orders ON o_orderkey = run
+""",
+    "index_entries": """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'src/order' || o_orderkey || '.ts' AS "fileName",
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS "recordedAt",
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS author,
+  coalesce(n, 0) AS issues
+FROM orders LEFT JOIN (
+  SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey
+) ON l_orderkey = o_orderkey
+""",
+    "analyze_prompts": f"""
+WITH requests AS (SELECT doc_id, {_TRIM.format(x='text')} AS code FROM documents),
+  sized AS (
+    SELECT *, length(code) + length(regexp_replace(code, '[^\\x{{10000}}-\\x{{10ffff}}]', '', 'g')) AS units
+    FROM requests),
+  numbered AS (
+    SELECT doc_id, generate_subscripts(lines, 1) AS n, unnest(lines) AS line
+    FROM (SELECT doc_id, string_split(code, chr(10)) AS lines FROM sized WHERE code <> '' AND units <= 20000))
+SELECT doc_id, 'doc' || doc_id || '.ts' AS file_name,
+  'Review this typescript code.' || chr(10) || chr(10) || string_agg(n || '| ' || line, chr(10) ORDER BY n)
+    || chr(10) || chr(10) || 'Return {{{{shape}}}}' || chr(10) AS prompt
+FROM numbered GROUP BY doc_id
 """,
     "to_lines": """
 SELECT doc_id, CAST(generate_subscripts(lines, 1) AS BIGINT) AS line_no, unnest(lines) AS line
@@ -387,6 +409,19 @@ SELECT user_id AS run,
   arg_max(props, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS report,
   count(*) AS events_read
 FROM seen GROUP BY user_id
+""",
+    "seen_state": f"""
+WITH stops AS (
+    SELECT user_id, min((ts, event_id)) AS stop FROM events WHERE event_type = 'error' GROUP BY user_id),
+  seen AS (
+    SELECT e.user_id AS run, {_STAGE.format(n='(e.event_id % 4)')} AS stage, e.ts, e.event_id,
+      CASE WHEN e.event_type IN ('click', 'view') THEN 'running' ELSE 'done' END AS status,
+      CAST(round(e.value * 100) AS BIGINT) AS ms
+    FROM events e LEFT JOIN stops s ON s.user_id = e.user_id
+    WHERE e.event_type IN ('click', 'view', 'signup')
+      AND (s.user_id IS NULL OR (e.ts, e.event_id) < s.stop))
+SELECT run, stage, arg_max(status, (ts, event_id)) AS status, arg_max(ms, (ts, event_id)) AS ms
+FROM seen GROUP BY run, stage
 """,
     "line_delta": f"""
 WITH {_PAIRS},

@@ -24,14 +24,14 @@ def stage_values(stage: str) -> dict[str, Column]:
     code = F.col("code")
     if stage == "analyze":
         return {"language": F.col("language"), "code_input": number_lines(code)}
-    analysis = json_of(F.col("analysis"), S.ANALYSIS, 0)
+    analysis = json_of("analysis", S.ANALYSIS, 0)
     if stage == "fix":
         return {"language": F.col("language"), "code_input": code, "analysis_json": analysis}
     if stage == "test":
         return {"language": F.col("language"), "fixed_code": F.col("fix.fixedCode"), "analysis_json": analysis}
     return {
         "analysis_json": analysis,
-        "fixes_json": json_of(F.col("fix.fixes"), f"array<{S.FIX_ITEM}>", 0),
+        "fixes_json": json_of("fix.fixes", f"array<{S.FIX_ITEM}>", 0),
         "test_count": F.size("tests.cases").cast("string"),
     }
 

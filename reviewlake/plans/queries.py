@@ -20,6 +20,7 @@ from reviewlake.operators import (
     versions,
 )
 from reviewlake.plans import casting as C
+from reviewlake.plans import prompts
 from reviewlake.session import configure
 from reviewlake.streaming import progress
 
@@ -183,6 +184,12 @@ def flatten_report(orders, lineitem):
     return assembly.flatten_issues(valid)
 
 
+@query("orders", "lineitem")
+def index_entries(orders, lineitem):
+    """What the index holds about every assembled report."""
+    return assembly.index_entries(_reports(orders, lineitem))
+
+
 # --- text ---------------------------------------------------------------------
 
 
@@ -219,6 +226,21 @@ def fill_placeholders(part):
     )
 
 
+@query("documents")
+def analyze_prompts(documents):
+    """Documents as requests: checked, line-numbered and put into the stage's template."""
+    requests = documents.select(
+        "doc_id", F.col("text").alias("code"), F.lit(None).cast("string").alias("language"),
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file_name"),
+    )
+    templates = documents.sparkSession.createDataFrame(
+        [("analyzer", "Review this {{language}} code.\n\n{{code_input}}\n\nReturn {{shape}}\n")],
+        "name string, template string",
+    )
+    valid = V.validate_requests(requests).valid
+    return prompts.stage_prompts(valid, templates, "analyze").select("doc_id", "file_name", "prompt")
+
+
 @query("events")
 def extract_json(events):
     texts = events.select("event_id", F.concat(F.lit("note "), "props", F.lit(" end")).alias("text"))
@@ -368,6 +390,12 @@ def run_outcome(events):
     return progress.run_outcome(C.run_events(events))
 
 
+@query("events")
+def seen_state(events):
+    """Stage states as a reader sees them, who stops at a run's first error."""
+    return progress.stage_state(progress.until_first_error(C.run_events(events)))
+
+
 # --- versions -----------------------------------------------------------------
 
 

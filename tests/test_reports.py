@@ -176,5 +176,5 @@ def test_contract_audit(spark):
 
 def test_typed_json_of_nested_values(spark):
     df = spark.createDataFrame([([],), (None,)], "x array<struct<issueId: string, change: string>>")
-    texts = [r[0] for r in df.select(json_of(F.col("x"), f"array<{S.FIX_ITEM}>", 0)).collect()]
+    texts = [r[0] for r in df.select(json_of("x", f"array<{S.FIX_ITEM}>", 0)).collect()]
     assert texts == ["[]", "null"]

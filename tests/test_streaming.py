@@ -141,12 +141,14 @@ def test_followed_runs_equal_batch(spark, tmp_path, n_batches):
     for _, row in sorted(emitted, key=lambda e: e[0]):
         got[row.run] = row
     assert len({number for number, _ in emitted}) == n_batches
+    states = {}
+    for s in progress.stage_state(progress.until_first_error(log)).collect():
+        states.setdefault(s.run, {})[s.stage] = s.status
     for r in progress.run_outcome(log).collect():
         mine = got.pop(r.run)
         assert (mine.outcome, mine.message, mine.report, mine.events_read) == tuple(r)[1:]
-        seen = progress.until_first_error(log).filter(F.col("run") == r.run)
-        states = {s.stage: s.status for s in progress.stage_state(seen).collect()}
-        assert mine.stages.split(",") == [states.get(s, "pending") for s in STAGES]
+        seen = states.get(r.run, {})
+        assert mine.stages.split(",") == [seen.get(s, "pending") for s in STAGES]
     assert not got
 
 
