@@ -102,20 +102,20 @@ def _checked(
 ) -> DataFrame:
     """Add ``reason``, ``bad_path`` and the typed ``out`` of one JSON text per row.
 
-    Parsing and checking sit in generators, so they run once per row; filters
-    on the result stay above them instead of repeating them.
+    Parsing, checking and reading sit in generators, so each runs once per row;
+    filters on a result stay above it instead of repeating it.
     """
-    looked_at = df.select("*", F.inline(F.array(F.struct(J.parse_listed(text).alias("_v")))))
-    bad = F.when(F.col("_v").isNotNull(), J.first_bad_path(J.Value("_v", "$[0]"), check))
-    looked_at = looked_at.select("*", F.inline(F.array(F.struct(bad.alias("bad_path")))))
-    good = F.col("_v").isNotNull() & F.col("bad_path").isNull()
-    reason = F.when(F.col("_v").isNull(), missing).when(F.col("bad_path").isNotNull(), "bad_field")
-    return looked_at.select(
-        *df.columns,
-        reason.alias("reason"),
-        "bad_path",
-        F.when(good, F.try_variant_get("_v", "$[0]", typed)).alias(out),
-    )
+
+    def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+    parsed = once(df, J.parse_listed(text), "_v")
+    found = F.col("_v").isNotNull()
+    checked = once(parsed, F.when(found, J.first_bad_path(J.Value("_v", "$[0]"), check)), "bad_path")
+    good = found & F.col("bad_path").isNull()
+    read = once(checked, F.when(good, F.try_variant_get("_v", "$[0]", typed)), out)
+    reason = F.when(~found, missing).when(F.col("bad_path").isNotNull(), "bad_field")
+    return read.select(*df.columns, reason.alias("reason"), "bad_path", out)
 
 
 def check_json(df: DataFrame, text: str, check: J.Check, typed: str, out: str = "value") -> DataFrame:

@@ -37,13 +37,12 @@ def stage_values(stage: str) -> dict[str, Column]:
 
 
 def stage_prompts(rows: DataFrame, templates: DataFrame, stage: str) -> DataFrame:
-    """Rows with the ``prompt`` of one stage; the template table gives one row, hence the broadcast."""
-    template = templates.filter(F.col("name") == TEMPLATES[stage]).groupBy().agg(
-        F.max("template").alias("_template")
-    )
+    """Rows with the ``prompt`` of one stage; its template is read once, as a scalar."""
+    named = templates.filter(F.col("name") == TEMPLATES[stage])
+    template = named.groupBy().agg(F.max("template")).scalar()
     values = F.create_map(*[x for k, v in stage_values(stage).items() for x in (F.lit(k), v)])
     return (
-        rows.join(F.broadcast(template))
+        rows.withColumn("_template", template)
         .withColumn("prompt", render_template("_template", values))
         .drop("_template")
     )

@@ -55,3 +55,17 @@ def test_share_of_changes_adds_up(spark):
     rows = driver.queries()["side_by_side"](spark, SF_DIR)
     total = driver.queries()["diff_stats"](spark, SF_DIR).groupBy().sum("rows", "differing").first()
     assert tuple(total) == (rows.count(), rows.filter("kind = 'changed'").count())
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(driver.queries()))
+def test_plan_scales(spark, name):
+    """No pairs of everything with everything, and Python only where lines are aligned."""
+    df = driver.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert ("MapInArrow" in plan) == (name in WITHOUT_SQL)
+    assert "PythonUDF" not in plan
+    # Scans read the columns they need, never a whole table for a few of them.
+    if "FileScan" in plan and name in {"severity_counts", "detection", "to_lines", "stage_state"}:
+        assert "l_extendedprice" not in plan and "n_chars" not in plan and "props" not in plan
