@@ -10,7 +10,9 @@ from reviewlake.functions.labels import (
     before_after_label,
     caught_label,
     fmt_secs,
+    fmt_time,
     missed_label,
+    or_dash,
     severity_label,
 )
 from reviewlake.operators.nesting import MAX_ITEMS, bounded_list
@@ -240,6 +242,24 @@ def report_card(reports: DataFrame) -> DataFrame:
     )
 
 
+def headline_values() -> Column:
+    """Figures of a report row for the placeholders of a slide; what is absent becomes a dash.
+
+    For ``text.fill_placeholders``.  The names are fixed values.
+    """
+    figures = {
+        "ISSUES": F.size("analysis.errors"),
+        "FIXED": F.size("fix.fixes"),
+        "TESTS": F.col("verification.fixed.total"),
+        "ORIG_PASS": F.col("verification.original.passed"),
+        "FIXED_PASS": F.col("verification.fixed.passed"),
+        "CAUGHT": F.col("detection.caught"),
+        "EXPECTED": F.col("detection.expected"),
+    }
+    pairs = [x for name, value in figures.items() for x in (F.lit(name), or_dash(value))]
+    return F.create_map(*pairs, F.lit("TIME"), fmt_time("timings.totalMs"))
+
+
 def report_card_rows(
     runs: DataFrame,
     issues: DataFrame,

@@ -192,7 +192,7 @@ WHERE NOT EXISTS (
 """,
     "upsert_index": """
 SELECT CAST(o_custkey AS VARCHAR) AS id, 'src/order' || o_orderkey || '.ts' AS file_name,
-  o_orderdate AS recorded_at,
+  strftime(o_orderdate, '%Y-%m-%d') AS recorded_at,
   CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS author
 FROM orders
 QUALIFY row_number() OVER (

@@ -133,12 +133,14 @@ def upsert_index(orders):
     entries = orders.select(
         F.col("o_custkey").cast("string").alias("id"),
         F.concat(F.lit("src/order"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("file_name"),
-        F.col("o_orderdate").alias("recorded_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("recorded_at"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("author"),
         "o_orderkey",
+        "o_orderdate",
     )
-    old = entries.filter("recorded_at < '1999-01-01'")
-    new = entries.filter("recorded_at >= '1999-01-01'")
+    change = F.lit("1999-01-01").cast("timestamp_ntz")
+    old = entries.filter(F.col("o_orderdate") < change).drop("o_orderdate")
+    new = entries.filter(F.col("o_orderdate") >= change).drop("o_orderdate")
     latest = I.upsert_index(old, new, "recorded_at", "o_orderkey")
     return I.sort_index(latest.drop("o_orderkey"))
 

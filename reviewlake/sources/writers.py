@@ -5,6 +5,7 @@ import time
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from reviewlake.operators.assembly import report_json
 from reviewlake.operators.index import sort_index
@@ -75,6 +76,15 @@ def event_lines(events: DataFrame) -> DataFrame:
     return events.select(F.coalesce(with_report, head).alias("value"))
 
 
+def _known(events: DataFrame) -> DataFrame:
+    return events.select(*[c for c in events.columns if c in {*EVENT_COLUMNS, "ts", "started_at"}])
+
+
 def write_events(events: DataFrame, path: str) -> None:
-    known = [c for c in events.columns if c in {*EVENT_COLUMNS, "ts", "started_at"}]
-    event_lines(events.select(*known)).write.mode("append").text(path)
+    event_lines(_known(events)).write.mode("append").text(path)
+
+
+def stream_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The same for a stream of events; start the writer with the trigger of choice."""
+    lines = event_lines(_known(events)).writeStream.format("text").outputMode("append")
+    return lines.option("checkpointLocation", checkpoint).option("path", path)

@@ -4,6 +4,7 @@ import samples
 from pyspark.sql import functions as F
 
 from reviewlake import schemas as S
+from reviewlake.functions import text as T
 from reviewlake.functions.json_text import json_of
 from reviewlake.operators import assembly, audit, index, timing
 from reviewlake.operators import validation as V
@@ -86,6 +87,22 @@ def test_flat_tables_and_card(spark):
     assert tuple(entry) == ("cart", "samples/cart.ts", "2026-09-27T14:19:07.227Z", "someone", 5)
 
 
+def test_headline_values(spark):
+    bare = samples.report()
+    bare["id"] = "bare"
+    del bare["verification"], bare["detection"]
+    timed = samples.report()
+    timed["id"] = "timed"
+    timed["timings"] = dict.fromkeys(("analyzeMs", "fixMs", "testMs", "reportMs"), 1) | {"totalMs": 90_000, "method": "m"}
+    slide = F.lit("{{ISSUES}} {{FIXED}} {{TESTS}} {{ORIG_PASS}} {{FIXED_PASS}} {{CAUGHT}}/{{EXPECTED}} {{TIME}} {{URL}}")
+    rows = read(spark, samples.report(), bare, timed).select(
+        "id", T.fill_placeholders(slide, assembly.headline_values()).alias("text")
+    )
+    assert {r.id: r.text for r in rows.collect()} == {
+        "cart": "5 5 12 3 12 5/5 1 task –", "bare": "5 5 – – – –/– 1 task –", "timed": "5 5 12 3 12 5/5 1.5 min –",
+    }
+
+
 def test_index_upsert(spark):
     old = spark.createDataFrame([(i, "f", "2026-01-01", "x", 1) for i in ("b", "a", "B", "ab")], ENTRY)
     new = spark.createDataFrame(

@@ -162,3 +162,15 @@ def test_old_runs_leave_the_state(spark, tmp_path):
     streamed = readers.read_event_lines(spark, path, stream=True, per_batch=1)
     seen = {row.run for _, row in run_stream(spark, progress.watch_elapsed(streamed, "1 hour"), tmp_path, "update")}
     assert seen == {"old", "new", "newer"}
+
+
+def test_events_are_passed_on(spark, tmp_path):
+    rows = random_events(3)
+    log = as_log(spark, rows, str(tmp_path / "log"), lambda r: r[1] % 2)
+    streamed = readers.read_event_lines(spark, str(tmp_path / "log"), stream=True)
+    writer = writers.stream_events(streamed, str(tmp_path / "copy"), str(tmp_path / "checkpoint"))
+    query = writer.trigger(availableNow=True).start()
+    assert query.awaitTermination(180) and query.exception() is None
+    columns = ["run", "seq", "type", "stage", "status", "ms", "message", "report", "ts", "started_at"]
+    back = readers.read_event_lines(spark, str(tmp_path / "copy")).withColumn("ms", F.col("ms").cast("bigint"))
+    assert sorted(map(str, back.select(*columns).collect())) == sorted(map(str, log.select(*columns).collect()))
