@@ -15,6 +15,7 @@ JS_SPACE_CHARS = "".join(
 )
 JS_LINE_END = r"\n\r\u2028\u2029"
 
+# The patterns of test titles, issue tags and placeholders.
 CASE_TITLE = rf"(?<![A-Za-z0-9_])it\([{JS_SPACE}]*(['\"`])([^{JS_LINE_END}]+?)\1"
 ISSUE_TAG = r"\[(E[0-9]+)\]"
 PLACEHOLDER = r"\{\{([A-Za-z0-9_]+)\}\}"

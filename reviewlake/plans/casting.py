@@ -8,7 +8,7 @@ source lines, return flags are severities, and so on.  Every row takes part.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.schemas import STAGES
+from reviewlake.schemas import SOURCE_KINDS, STAGES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,7 +145,7 @@ def heads(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("order "), key).alias("title"),
         F.concat(F.lit("src/order"), key, F.lit(".ts")).alias("file_name"),
         F.lit("typescript").alias("language"),
-        F.lit("bob").alias("kind"),
+        F.lit(SOURCE_KINDS[0]).alias("kind"),
         F.lit("manual").alias("model"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("recorded_at"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("author"),

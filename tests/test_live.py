@@ -4,7 +4,7 @@ import samples
 
 from reviewlake.operators import assembly, validation as V
 from reviewlake.plans import live
-from reviewlake.schemas import STAGES
+from reviewlake.schemas import SOURCE_KINDS, STAGES
 
 START = 1_790_518_747_000_000
 
@@ -41,6 +41,6 @@ def test_live_reports(spark):
     assert set(docs) == {"ok", "retried"}
     doc = docs["ok"]
     assert (doc["analysis"], doc["fix"], doc["tests"], doc["report"]) == tuple(good[s] for s in STAGES)
-    assert doc["source"] == {"kind": "watsonx", "model": "m-1", "recordedAt": "2026-09-27T14:19:38.500Z"}
+    assert doc["source"] == {"kind": SOURCE_KINDS[1], "model": "m-1", "recordedAt": "2026-09-27T14:19:38.500Z"}
     assert doc["title"] == "snippet.ts" and "verification" not in doc and "detection" not in doc
     assert doc["timings"]["totalMs"] == 6000 and docs["retried"]["timings"]["totalMs"] == 4 * 2250

@@ -1,6 +1,8 @@
 import random
 import re
+import sys
 from functools import cache
+from itertools import count, zip_longest
 
 import samples
 from hypothesis import given, settings
@@ -9,42 +11,42 @@ from hypothesis import strategies as st
 from reviewlake.functions.lcs import align
 from reviewlake.operators import secrets, versions
 
+sys.setrecursionlimit(5000)
 PAIRS = "pair string, left string, right string"
 
 
 def by_definition(a, b):
-    """Alignment read off the recursive definition of the longest common subsequence."""
+    """The alignment as an edit script, read off the recursive definition."""
 
     @cache
-    def best(i, j):
+    def common(i, j):
         if i == len(a) or j == len(b):
             return 0
-        return 1 + best(i + 1, j + 1) if a[i] == b[j] else max(best(i + 1, j), best(i, j + 1))
-
-    rows, gone, come, i, j = [], [], [], 0, 0
-
-    def close():
-        width = max(len(gone), len(come))
-        rows.extend(
-            (False, x, y)
-            for x, y in zip(gone + [None] * (width - len(gone)), come + [None] * (width - len(come)))
-        )
-        gone.clear()
-        come.clear()
-
-    while (i, j) != (len(a), len(b)):
-        left, right = i < len(a), j < len(b)
-        if left and right and a[i] == b[j]:
-            close()
-            rows.append((True, i, j))
-            i, j = i + 1, j + 1
-        elif right and (not left or best(i, j + 1) >= best(i + 1, j)):
-            come.append(j)
-            j += 1
+        if a[i] == b[j]:
+            return 1 + common(i + 1, j + 1)
+        return max(common(i + 1, j), common(i, j + 1))
+
+    def script(i, j):
+        if i == len(a) and j == len(b):
+            return ""
+        if i == len(a):
+            return "+" * (len(b) - j)
+        if j == len(b):
+            return "-" * (len(a) - i)
+        if a[i] == b[j]:
+            return "=" + script(i + 1, j + 1)
+        # A tie counts as an addition.
+        tie_or_better = common(i, j + 1) >= common(i + 1, j)
+        return "+" + script(i, j + 1) if tie_or_better else "-" + script(i + 1, j)
+
+    left, right, rows = count(), count(), []
+    for part in re.findall("=|[-+]+", script(0, 0)):
+        if part == "=":
+            rows.append((True, next(left), next(right)))
         else:
-            gone.append(i)
-            i += 1
-    close()
+            gone = [next(left) for _ in range(part.count("-"))]
+            come = [next(right) for _ in range(part.count("+"))]
+            rows += [(False, x, y) for x, y in zip_longest(gone, come)]
     return rows
 
 
