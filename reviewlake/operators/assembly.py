@@ -1,5 +1,7 @@
 """Build, publish, flatten and summarise report documents."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from reviewlake.functions.labels import (
     or_dash,
     severity_label,
 )
-from reviewlake.operators.nesting import MAX_ITEMS, bounded_list
+from reviewlake.operators.nesting import MAX_ITEMS, bounded_list, overflow
 
 TIMING_METHOD = "measured from the time each stage wrote its output file"
 
@@ -68,6 +70,27 @@ def nest_children(
     return tagged.groupBy("run").agg(*lists, *sizes)
 
 
+def long_report_rows(
+    issues: DataFrame, fixes: DataFrame, cases: DataFrame, max_items: int = MAX_ITEMS
+) -> DataFrame:
+    """All children, as rows (run, kind, pos, item), of the runs no document can hold.
+
+    Together with ``assemble_reports`` this covers every run: a run is either
+    one document there, or has all its rows here.  ``item`` is JSON text.
+    """
+    kinds = {
+        "errors": (issues, ISSUE_FIELDS, S.ISSUE),
+        "fixes": (fixes, FIX_FIELDS, S.FIX_ITEM),
+        "cases": (cases, CASE_FIELDS, S.CASE),
+    }
+    parts = [
+        rows.select("run", F.lit(kind).alias("kind"), F.col("pos").cast("bigint").alias("pos"), _item(names, ddl).alias("item"))
+        .withColumn("item", json_of("item", ddl))
+        for kind, (rows, names, ddl) in kinds.items()
+    ]
+    return overflow(reduce(DataFrame.unionByName, parts), "run", max_items=max_items)
+
+
 def verification_struct(command: Column) -> Column:
     sides = [
         F.struct(*[F.col(f"{v}_{c}").alias(c) for c in ("passed", "failed", "total")]).alias(v)
@@ -77,7 +100,10 @@ def verification_struct(command: Column) -> Column:
 
 
 def detection_struct() -> Column:
-    return F.when(F.col("expected").isNotNull(), F.struct("expected", "caught", "missed"))
+    """Absent without ground truth, and where the missed bugs are too many for a list
+    (``scoring.missed_bugs`` has them)."""
+    known = F.col("expected").isNotNull() & F.col("missed").isNotNull()
+    return F.when(known, F.struct("expected", "caught", "missed"))
 
 
 def timings_struct(method: str = TIMING_METHOD) -> Column:
@@ -100,21 +126,22 @@ def assemble_reports(
 
     Every input has one row per run.  ``children`` comes from ``nest_children``;
     a run without children gets empty lists, one whose lists are too long to
-    nest is left out here (its rows are in ``nesting.overflow``).  Verification,
+    nest is left out here and has its rows in ``long_report_rows``.  Verification,
     detection and timings are optional, as tables and per run.
     """
     joined = heads.join(children, "run", "left")
-    for kind in ("errors", "fixes", "cases"):
-        size = F.coalesce(f"n_{kind}", F.lit(0))
-        joined = joined.withColumn(kind, F.when(size == 0, F.array()).otherwise(F.col(kind)))
-    joined = joined.filter("errors IS NOT NULL AND fixes IS NOT NULL AND cases IS NOT NULL")
+    joined = joined.withColumns(
+        {
+            kind: F.when(F.coalesce(f"n_{kind}", F.lit(0)) == 0, F.array()).otherwise(F.col(kind))
+            for kind in ("errors", "fixes", "cases")
+        }
+    ).filter("errors IS NOT NULL AND fixes IS NOT NULL AND cases IS NOT NULL")
     parts = {}
     if verification is not None:
         joined = joined.join(verification, "run", "left")
         parts["verification"] = verification_struct(F.lit(None) if command is None else command)
     if detection is not None:
         joined = joined.join(detection, "run", "left")
-        joined = joined.filter(F.col("expected").isNull() | F.col("missed").isNotNull())
         parts["detection"] = detection_struct()
     if timings is not None:
         joined = joined.join(timings, "run", "left")

@@ -69,6 +69,13 @@ def test_assembled_from_flat_tables(spark):
     )
     assert short.first().cases is None and short.first().n_cases == 12
     assert assembly.assemble_reports(heads, short).count() == 0
+    tables = [f(source) for f in (assembly.flatten_issues, assembly.flatten_fixes, assembly.flatten_cases)]
+    rows = assembly.long_report_rows(*tables, max_items=5).collect()
+    items = {(r.kind, r.pos): json.loads(r.item) for r in rows}
+    assert len(items) == len(rows) == 22
+    assert [items["errors", i] for i in range(5)] == samples.analysis()["errors"]
+    assert items["cases", 11] == {"name": "edge 11", "issueId": None}
+    assert assembly.long_report_rows(*tables).count() == 0
 
 
 def test_flat_tables_and_card(spark):
