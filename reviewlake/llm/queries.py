@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, simhash
+from reviewlake.llm import bpe, exact, flac, mixing, simhash, urls
 from reviewlake.llm.common import table
 
+MIX_WEIGHTS = [3, 1, 2]
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_simhash)}
-ORACLES: dict[str, str] = {}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, most=2)
+
+
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_simhash, op5_mixing, op9_flac, op10_url_filter)}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": exact.ORACLE,
+    "op5_mixing": mixing.oracle(MIX_WEIGHTS),
+    "op10_url_filter": urls.oracle(URL_RULES),
+}
