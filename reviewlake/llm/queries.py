@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, exact, flac, mixing, quality, simhash, toxicity, urls
+from reviewlake.llm import bpe, exact, flac, hpylm, mixing, quality, simhash, toxicity, urls
 from reviewlake.llm.common import table
 
 MIX_WEIGHTS = [3, 1, 2]
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_simhash, op5_mixing, op7_quality, op8_toxicity, op9_flac, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op7_quality, op8_toxicity, op9_flac, op10_url_filter)}
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
     "op5_mixing": mixing.oracle(MIX_WEIGHTS),
