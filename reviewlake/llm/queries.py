@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, exact, flac, hpylm, mixing, quality, simhash, toxicity, urls
+from reviewlake.llm import bpe, exact, flac, hpylm, lines, mixing, quality, simhash, toxicity, urls
 from reviewlake.llm.common import table
 
 MIX_WEIGHTS = [3, 1, 2]
@@ -37,6 +37,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, most=2)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op7_quality, op8_toxicity, op9_flac, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op6_line_dedup, op7_quality, op8_toxicity, op9_flac, op10_url_filter)}
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
     "op5_mixing": mixing.oracle(MIX_WEIGHTS),
