@@ -256,8 +256,13 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, decoded again, digested in one pass."""
+def encode_and_decode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, decoded again, digested in one pass.
+
+    With keep_ids also ids, an array of int.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,19 +271,22 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         encoder = Encoder(path)
         for batch in batches:
             for first, texts in slices(batch.column("text")):
-                count, ids_sha, text_sha = [], [], []
+                count, ids_sha, text_sha, raws = [], [], [], []
                 for raw in encoder.encode(texts):
                     ids = np.frombuffer(raw, "<u4")
                     count.append(len(ids))
+                    raws.append(raw if keep_ids else b"")
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     text_sha.append(hashlib.sha256(encoder.bpe.decode(ids.tolist()).encode()).hexdigest())
                 keys = batch.column("doc_id").slice(first, len(texts))
-                yield pa.record_batch(
-                    [keys, pa.array(count, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                columns = [keys, pa.array(count, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+                if keep_ids:
+                    ends = pa.array(np.cumsum([0, *count], dtype=np.int32))
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+                yield pa.record_batch(columns, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    names = [c.split()[0] for c in schema.split(", ")]
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 

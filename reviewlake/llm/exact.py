@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, id_and_text, settle, slices
+from reviewlake.llm.common import bounded_batches, id_and_text, matching, settle, slices
 
 BLOCK = 8192
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -137,23 +137,18 @@ def identities(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return out
 
 
-def deduplicate(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too.
-
-    Texts are equal when they are after each run of white space became one space; NULL counts as empty, and empty texts
-    are equal to one another.  Of equal texts the smallest doc_id stays (a NULL one only if there is no other);
-    of repeated rows with that id exactly one.  The input must give the same rows in the same order when it is
-    read again, as tables do.
-    """
+def groups(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """deduplicate() with `row`, the number of the input's row."""
     bounded_batches(docs.sparkSession)
     rows = identities(id_and_text(docs, id_col, text_col), size)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = rows.groupBy("n", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    alike = rows.groupBy("n", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
     # Written out, so that the join below meets two plain tables and a large group can be split.
-    groups = settle(groups.filter("group_size > 1"))
-    found = rows.join(groups, ["n", "name"], "left")
+    alike = settle(alike.filter("group_size > 1"))
+    found = rows.join(alike, ["n", "name"], "left")
     alone = F.col("group_size").isNull()
     return found.select(
+        "row",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -162,6 +157,24 @@ def deduplicate(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text
     )
 
 
+def deduplicate(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too.
+
+    Texts are equal when they are after each run of white space became one space; NULL counts as empty, and empty texts
+    are equal to one another.  Of equal texts the smallest doc_id stays (a NULL one only if there is no other);
+    of repeated rows with that id exactly one.  The input must give the same rows in the same order when it is
+    read again, as tables do.
+    """
+    return groups(docs, size, id_col, text_col).drop("row")
+
+
+def distinct(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    dropped = settle(groups(docs, size, id_col, text_col).filter("NOT kept").select(F.col("row").alias("_row")))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return matching(numbered, dropped, "_row", "left_anti").drop("_row")
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -9,6 +9,7 @@ each pattern's flow is used up.
 from __future__ import annotations
 
 import heapq
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,106 +98,131 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return [sum(e[1] for e in graph[1 + p] if e[0] == start) for p in range(patterns)]
 
 
-def mix(
-    docs: DataFrame,
-    weights: list[int] | dict,
-    share: float = 1.5,
-    most: int = 2,
-    seed: int = 42,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row.
-
-    source_col holds a source or an array of sources; NULL is a source of its own.  `weights` are per source, or a list
-    that repeats over the sources by code point, NULL last.  A document's size is its number of words; NULL and empty
-    texts have none and are taken zero words (and no copy).  `taken` counts repeats and is never above `most` sizes;
-    the one document of a pattern where its flow ends is taken in part, and copies rounds that part.  Repeated rows
-    are taken each by the same order.  source_size and target are those of the first of a row's sources.
-    """
+def _placed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with _size (words), _pattern (its set of sources as text) and _place, its seeded place in the pattern."""
     kind = dict(docs.dtypes)[source_col]
-    sources = F.array_sort(F.array_distinct(docs[source_col])) if kind.startswith("array") else F.array(docs[source_col])
-    rows = docs.select(
-        docs[id_col].alias("doc_id"), word_count(docs[text_col]).alias("size"), sources.alias("sources")
+    own = F.array_sort(F.array_distinct(docs[source_col])) if kind.startswith("array") else F.array(docs[source_col])
+    none = F.coalesce(F.size(own), F.lit(0)) <= 0
+    own = F.when(none, F.array(F.lit(None).cast("string"))).otherwise(own.cast("array<string>"))
+    key = F.coalesce(docs[id_col].cast("string"), F.lit(""))
+    return docs.withColumns(
+        {
+            "_size": word_count(docs[text_col]),
+            "_pattern": F.to_json(F.struct(own.alias("s")), {"ignoreNullFields": "false"}),
+            "_place": F.md5(F.concat(F.lit(f"{seed}:"), key)),
+        }
     )
-    none = F.coalesce(F.size("sources"), F.lit(0)) <= 0
-    rows = rows.withColumn("sources", F.when(none, F.array(F.lit(None))).otherwise(F.col("sources")))
-    # The seeded place of a document in its pattern: the digits of a digest, then the id.
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = settle(rows.withColumn("place", place))
-    grouped = rows.groupBy("sources").agg(F.sum("size").alias("size")).collect()  # one row per pattern
-    patterns = sorted(((tuple(r.sources), int(r.size or 0)) for r in grouped), key=lambda p: [(s is None, s or "") for s in p[0]])
-    names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    if not names:
-        schema = "size long, source_size long, target double, taken long, copies long"
-        return rows.select("doc_id", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")))
-    by_source = {s: sum(n for p, n in patterns if s in p) for s in names}
+
+
+def _plan(rows: DataFrame, weights: list[int] | dict, share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Per pattern: source_size, target, full copies and the rest; and where the rest ends.  As many rows as patterns."""
+    spark = rows.sparkSession
+    grouped = rows.groupBy("_pattern").agg(F.sum("_size").alias("size")).collect()
+    patterns = [(tuple(json.loads(r._pattern)["s"]), int(r.size or 0), r._pattern) for r in grouped]
+    patterns.sort(key=lambda p: [(s is None, s or "") for s in p[0]])
+    names = sorted({s for p, _, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    by_source = {s: sum(n for p, n, _ in patterns if s in p) for s in names}
     weight = weights if isinstance(weights, dict) else {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    total = {s: 0 for s in names}
-    for p, n in patterns:
-        total[p[0]] += n
-    target = targets(by_source, weight, share * sum(total.values()) / max(1, sum(by_source.values())), most)
+    # A word in several sources counts once in the share.
+    total = sum(n for _, n, _ in patterns)
+    target = targets(by_source, weight, share * total / max(1, sum(by_source.values())), most)
+    place = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow(
-        [n for _, n in patterns],
-        [[names.index(s) for s in p] for p, _ in patterns],
+        [n for _, n, _ in patterns],
+        [[place[s] for s in p] for p, _, _ in patterns],
         [round(target[s]) for s in names],
         most,
     )
-    spark = docs.sparkSession
     plan = [
-        (list(p), by_source[p[0]], float(target[p[0]]), f // n if n else 0, f % n if n else 0)
-        for (p, n), f in zip(patterns, flow)
+        (key, by_source[p[0]], float(target[p[0]]), f // n if n else 0, f % n if n else 0)
+        for (p, n, key), f in zip(patterns, flow)
     ]
-    inner = docs.schema[source_col].dataType
-    inner = inner.simpleString() if not kind.startswith("array") else inner.elementType.simpleString()
-    plan = spark.createDataFrame(plan, f"sources array<{inner}>, source_size long, target double, full long, rest long")
-    # As many rows as patterns: small beside the documents, and of a size known here.
-    key = F.to_json(F.struct("sources"), {"ignoreNullFields": "false"})
-    plan = plan.withColumn("pattern", key).drop("sources")
-    rows = rows.withColumn("pattern", key)
-    return _pick(rows, plan)
+    plan = spark.createDataFrame(plan, "_pattern string, source_size long, target double, full long, rest long")
+    return plan, _ends(rows, plan)
 
 
-def _pick(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Add one more copy to each pattern's documents in seeded order until its rest is used up.
+def _ends(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Where each pattern's rest ends in seeded order: _pattern, prefix of the place, words left there, rows there.
 
-    Where the rest ends is found by slots of the seeded order: sizes are summed per slot, the slot it ends in is split
-    further by the next digits, until a slot is one document or cannot be split.  No pattern's documents meet in one task.
+    Sizes are summed per slot of the order; the slot a rest ends in is split further by the next digits, until it
+    is one row or cannot be split.  No pattern's documents meet in one task.
     """
-    live = plan.filter("rest > 0").select("pattern", F.col("rest").alias("left"), F.lit("").alias("prefix"))
-    sized = rows.filter("size > 0").select("pattern", "place", "size")
+    live = plan.filter("rest > 0").select("_pattern", F.col("rest").alias("left"), F.lit("").alias("prefix"))
+    sized = rows.filter("_size > 0").select("_pattern", "_place", "_size")
     found = []
     for cut in range(DIGITS, 32 + DIGITS, DIGITS):
         slots = (
-            sized.join(F.broadcast(live), "pattern")
-            .filter(F.col("place").startswith(F.col("prefix")))
-            .groupBy("pattern", "left", F.substring("place", 1, cut).alias("slot"))
-            .agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+            sized.join(F.broadcast(live), "_pattern")
+            .filter(F.col("_place").startswith(F.col("prefix")))
+            .groupBy("_pattern", "left", F.substring("_place", 1, cut).alias("slot"))
+            .agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
         )
-        upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("slot"))
+        upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("slot"))  # 4096 slots at most
         ends = slots.withColumn("upto", upto).filter("upto >= left AND upto - size < left")
-        ends = settle(ends.select("pattern", F.expr("left - (upto - size)").alias("left"), F.col("slot").alias("prefix"), "n"))
+        ends = ends.select("_pattern", F.expr("left - (upto - size)").alias("left"), F.col("slot").alias("prefix"), "n")
+        ends = settle(ends)
         whole = (F.col("n") == 1) | F.lit(cut >= 32)
         found.append(ends.filter(whole))
         live = ends.filter(~whole).drop("n")
         if not live.head(1):
             break
-    last = reduce(DataFrame.union, found)
-    # Rows of one place are copies of one id: they share the rest evenly but for a remainder at the first of them.
-    last = last.select("pattern", F.col("left").alias("part"), "prefix", "n")
-    joined = rows.join(F.broadcast(plan), "pattern").join(F.broadcast(last), "pattern", "left")
-    at = F.substring("place", 1, F.length("prefix"))
+    return reduce(DataFrame.union, found)
+
+
+def _taken(rows: DataFrame, plan: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """rows with source_size, target, taken and copies; a map, as both tables have one row per pattern."""
+    joined = rows.join(F.broadcast(plan), "_pattern").join(F.broadcast(ends), "_pattern", "left")
+    at = F.substring("_place", 1, F.length("prefix"))
+    # Rows of one place are repeated rows of one id: they share what is left there.
     extra = (
-        F.when((F.col("size") == 0) | (F.col("rest") == 0), F.lit(0))
-        .when(at < F.col("prefix"), F.col("size"))
-        .when(at == F.col("prefix"), F.least(F.col("size"), F.floor(F.col("part") / F.col("n"))))
+        F.when((F.col("_size") == 0) | (F.col("rest") == 0), F.lit(0))
+        .when(at < F.col("prefix"), F.col("_size"))
+        .when(at == F.col("prefix"), F.least("_size", F.floor(F.col("left") / F.col("n"))))
         .otherwise(F.lit(0))
         .cast("long")
     )
-    taken = F.col("full") * F.col("size") + extra
-    copies = F.when(F.col("size") > 0, F.col("full") + (2 * extra >= F.col("size")).cast("long")).otherwise(F.lit(0))
-    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.cast("long").alias("copies"))
+    taken = F.col("full") * F.col("_size") + extra
+    copies = F.when(F.col("_size") > 0, F.col("full") + (2 * extra >= F.col("_size")).cast("long")).otherwise(F.lit(0))
+    joined = joined.withColumns({"taken": taken, "copies": copies.cast("long")})
+    return joined.drop("_pattern", "_place", "full", "rest", "left", "prefix", "n")
+
+
+def mix(
+    docs: DataFrame,
+    weights: list[int] | dict,
+    share: float = 1.5,
+    most: int = 2,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every row.
+
+    source_col holds a source or an array of sources; NULL or no source is a source of its own.  `weights` are per
+    source, or a list that repeats over the sources by code point, NULL last.  A document's size is its number of
+    words; NULL and empty texts have none and are taken zero words (and no copy).  `taken` counts repeats and is never
+    above `most` sizes; the one document of a pattern where its flow ends is taken in part, and copies rounds that
+    part.  Repeated rows share one place in the order.  source_size and target are those of the first of a row's sources.
+    """
+    picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    rows = settle(_placed(picked, seed, "doc_id", "text", "source").drop("text", "source"))
+    plan, ends = _plan(rows, weights, share, most)
+    return _taken(rows, plan, ends, most).select(
+        "doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "copies"
+    )
+
+
+def mixture(
+    docs: DataFrame, weights: list[int] | dict, share: float = 1.5, most: int = 2, seed: int = 42,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of docs with all their columns, each as often as its copies."""
+    placed = _placed(docs, seed, id_col, text_col, source_col)
+    plan, ends = _plan(settle(placed.select("_size", "_pattern", "_place")), weights, share, most)
+    rows = _taken(placed, plan, ends, most).filter("copies > 0")
+    again = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select(*docs.columns)
 
 
 def oracle(weights: list[int], share: float = 1.5, most: int = 2, seed: int = 42) -> str:

@@ -227,3 +227,25 @@ def classify(
     return scored.select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.lit(prior).alias("prior")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold; learnt as in classify().
+
+    Texts are scored and rows dropped in one map, without a join.
+    """
+    bounded_batches(docs.sparkSession)
+    out = held_out(F.col("doc_id"), FOLDS, HELD_OUT)
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).filter(~out)
+    net, _ = learn(id_and_text(docs, id_col, text_col).filter(~out), trusted)
+    text = [f.name for f in docs.schema].index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = wordhash.Hasher()
+        for batch in batches:
+            texts = pa.compute.fill_null(batch.column(text), "").cast(pa.binary())
+            for first, part in slices(texts):
+                keep = np.full(len(part), True) if net is None else _sigmoid(net.scores(features(part, hasher))) >= threshold
+                yield batch.slice(first, len(part)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ cost by dynamic programming over the partitions, probes the values within them a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, components, forget, id_and_text, settle, slices
+from reviewlake.llm.common import bounded_batches, components, forget, id_and_text, matching, settle, slices
 
 BITS = 64
 SEED = 42
@@ -28,18 +30,27 @@ PROBE_COST = 1.0
 _HASHES = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """Majority of each bit over the hashes of all word shingles, repeats included; no words give zero."""
+def hashed_shingles(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of all runs of so many words, in order; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()  # of bytes: A-Z only, and white space of ASCII
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         parts, total = iter([b" ".join(words)]), 1
     else:
         total = len(words) - shingle + 1
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, seed) for p in parts), np.uint64, total)
+    return np.fromiter((digest(p, seed) for p in parts), np.uint64, total)
+
+
+def fingerprint(text: bytes, shingle: int, seed: int, repeats: bool = True) -> int:
+    """Majority of each bit over the hashes of all word shingles, or of the distinct ones; no words give zero."""
+    hashes = hashed_shingles(text, shingle, seed)
+    hashes = hashes if repeats else np.unique(hashes)
+    total = len(hashes)
+    if not total:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, total, _HASHES):
         block = hashes[at : at + _HASHES].view(np.uint8).reshape(-1, 8)
@@ -47,7 +58,9 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col="doc_id", text_col="text", repeats: bool = True
+) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row's whole text."""
     bounded_batches(docs.sparkSession)
 
@@ -55,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col="do
         for batch in batches:
             found = []
             for _, texts in slices(batch.column("text").cast(pa.binary())):
-                found += [fingerprint(t, shingle, seed) for t in texts]
+                found += [fingerprint(t, shingle, seed, repeats) for t in texts]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
@@ -191,8 +204,27 @@ def allocate(fp: np.ndarray, groups: list[list[int]], expected: list[np.ndarray]
     return out
 
 
-def links(distinct: DataFrame, most: int = 3, parts: int = 4) -> DataFrame:
-    """a, b: all pairs of distinct fingerprints that differ in 1 to `most` bits, a < b."""
+def best_parts(n: int, most: int) -> int:
+    """The number of partitions of least work for n fingerprints: values probed and candidates met, spread evenly."""
+
+    def work(parts: int) -> float:
+        width, goal, total = BITS // parts, most - parts + 1, 0.0
+        if goal < -parts:
+            return float("inf")
+        thresholds = [goal // parts + (i < goal % parts) for i in range(parts)]
+        for t in thresholds:
+            total += sum(math.comb(width, d) for d in range(t + 1)) * (PROBE_COST + n / 2.0**width)
+        return total
+
+    return min(range(2, 9), key=work)
+
+
+def links(distinct: DataFrame, most: int = 3, parts: int | None = None) -> DataFrame:
+    """a, b: all pairs of distinct fingerprints that differ in 1 to `most` bits, a < b.
+
+    Every number of partitions gives all pairs; without one, that of least estimated work is taken.
+    """
+    parts = parts or best_parts(distinct.count(), most)
     groups = correlated_partitions(distinct, parts)
     expected = estimates(distinct, groups, most)
     masks = [[flips(len(g), d) for d in range(most + 1)] for g in groups]
@@ -227,7 +259,7 @@ def links(distinct: DataFrame, most: int = 3, parts: int = 4) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 3, most: int = 3, parts: int = 4, seed: int = SEED, id_col="doc_id", text_col="text"
+    docs: DataFrame, shingle: int = 3, most: int = 3, parts: int | None = None, seed: int = SEED, id_col="doc_id", text_col="text"
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
@@ -248,3 +280,81 @@ def near_duplicates(
     return marked.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# Stages of similar_groups(): close pairs first, so that a large group shrinks before wide ones are searched.
+REACHES = (2, 4, 8)
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = SEED, id_col="doc_id", text_col="text"
+) -> DataFrame:
+    """row, doc_id, root (a row): rows connected by a similarity of their word shingles of at least `similarity`.
+
+    Fingerprints of the distinct words find candidates, the exact Jaccard similarity of the shingles decides.  A changed
+    word changes one word but `shingle` shingles, so similar texts have near fingerprints of words.  Candidates are sought
+    within 2, then 4, then 8 bits; after each reach a component goes on as the row with most links, so a large group
+    does not meet pair by pair.  Rows of equal fingerprints meet the first and the one before.  Texts without words
+    are similar to one another; a NULL text is empty.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    keyed = rows.select(F.col("row").alias("doc_id"), "text")
+    marked = settle(fingerprints(keyed, 1, seed, repeats=False).withColumnRenamed("doc_id", "row"))
+    order = Window.partitionBy("fp").orderBy("row")
+    equal = marked.select("row", F.lag("row").over(order).alias("before"), F.first("row").over(order).alias("first"))
+    equal = equal.filter("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("x"), F.col("row").alias("y"))
+    known = settle(_similar(settle(equal), keyed, shingle, similarity, seed))
+    live = marked
+    for reach in REACHES:
+        live = _leaders(marked, known) if known.head(1) else marked
+        distinct = settle(live.groupBy("fp").agg(F.min("row").alias("row")))
+        near = links(distinct, reach)
+        near = near.join(distinct.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a")
+        near = near.join(distinct.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select("x", "y")
+        known = settle(known.union(_similar(settle(near), keyed, shingle, similarity, seed)).distinct())
+    of = components(known, "x", "y")
+    ids = rows.select("row", "doc_id")
+    return ids.join(of, ids.row == of.node, "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+
+
+def _leaders(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of marked without those linked to another; of each component the row with most links stays."""
+    of = components(known, "x", "y")
+    degree = known.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", (-F.col("node")).alias("node")))
+    leader = of.join(degree, "node").groupBy("root").agg((-best["node"]).alias("node")).select("node")
+    others = of.select("node").join(leader, "node", "left_anti").withColumnRenamed("node", "row")
+    return settle(matching(marked, settle(others), "row", "left_anti"))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The pairs x, y of rows (doc_id, text) whose sets of shingles have the similarity at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column("text").cast(pa.binary())):
+                sets = [np.unique(hashed_shingles(t, shingle, seed)).view(np.int64) for t in texts]
+                ends = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
+                yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), lists], names=["id", "s"])
+
+    ids = settle(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    sets = settle(matching(rows, ids, "doc_id", "left_semi").mapInArrow(run, "id long, s array<long>"))
+    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("p")), "x")
+    both = both.join(sets.select(F.col("id").alias("y"), F.col("s").alias("q")), "y")
+    common = F.size(F.array_intersect("p", "q"))
+    total = F.size("p") + F.size("q") - common
+    return both.filter((common >= F.lit(similarity) * total) | (total == 0)).select("x", "y")
+
+
+def without_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs, with all their columns: of each group of similar ones that with the smallest doc_id (NULL last)."""
+    found = similar_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    found = settle(found)
+    first = found.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    many = settle(first.filter("n > 1").select("root", F.col("first.row").alias("first")))
+    dropped = settle(found.join(many, "root").filter("row <> first").select(F.col("row").alias("_row")))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return matching(numbered, dropped, "_row", "left_anti").drop("_row")
