@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,12 @@ def settle(df: DataFrame, *sort: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Drop the shuffle files of finished steps: Spark deletes them once the driver's JVM has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that settle() wrote and no later step reads."""
     for df in tables:
@@ -60,6 +67,16 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Keys up to this number are sent to every executor (16 MB); more are met by a shuffled join.
+FEW_KEYS = 2_000_000
+
+
+def matching(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """A left semi or left anti join; the keys are counted first and only broadcast if they are few."""
+    few = keys.count() <= FEW_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, key, how)
+
+
 def slices(texts: pa.Array, most: int = 2 * 1024 * 1024) -> Iterator[tuple[int, list]]:
     """(first row, rows) in runs of about `most` bytes; one long text makes a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
