@@ -12,6 +12,7 @@ right line is taken as added first.
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import zip_longest
 from math import isqrt
 
 
@@ -71,12 +72,7 @@ def _rows(left: list[str], masks: _Masks) -> Iterator[int]:
 
 
 def _paired(removed: list[int], added: list[int]) -> Iterator[tuple]:
-    for k in range(max(len(removed), len(added))):
-        yield (
-            False,
-            removed[k] if k < len(removed) else None,
-            added[k] if k < len(added) else None,
-        )
+    return ((False, i, j) for i, j in zip_longest(removed, added))
 
 
 def align(left: list[str], right: list[str]) -> Iterator[tuple[bool, int | None, int | None]]:

@@ -63,11 +63,6 @@ def object_text(text) -> Column:
     return F.when(found, F.substr(x, first, last - first + 1))
 
 
-def extract_reason(text, value) -> Column:
-    """Why no object came out of a text: ``no_object``, ``bad_json`` or NULL."""
-    return F.when(object_text(text).isNull(), "no_object").when(_col(value).isNull(), "bad_json")
-
-
 # --- checks -----------------------------------------------------------------
 #
 # A check takes a value and its path as SQL text and gives SQL text: NULL for a

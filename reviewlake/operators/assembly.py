@@ -17,7 +17,7 @@ from reviewlake.functions.labels import (
     or_dash,
     severity_label,
 )
-from reviewlake.operators.nesting import MAX_ITEMS, bounded_list, overflow
+from reviewlake.operators.nesting import ordered_list
 
 TIMING_METHOD = "measured from the time each stage wrote its output file"
 
@@ -37,13 +37,11 @@ def _item(fields: dict[str, str], ddl: str) -> Column:
     return F.struct(*[F.col(c).alias(name) for name, c in fields.items()]).cast(ddl)
 
 
-def nest_children(
-    issues: DataFrame, fixes: DataFrame, cases: DataFrame, max_items: int = MAX_ITEMS
-) -> DataFrame:
-    """Per run the ordered lists ``errors``, ``fixes`` and ``cases`` and their sizes.
+def nest_children(issues: DataFrame, fixes: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per run the ordered lists ``errors``, ``fixes`` and ``cases``.
 
     The three child tables go through a single aggregation.  Positions are
-    unique and 0-based per run and kind.  See ``nesting`` for lists too long.
+    unique per run and kind, and may have gaps.
     """
     kinds = {
         "errors": (issues, _item(ISSUE_FIELDS, S.ISSUE), S.ISSUE),
@@ -62,21 +60,14 @@ def nest_children(
             ],
         )
         tagged = part if tagged is None else tagged.unionByName(part)
-    lists = [
-        bounded_list(F.col(f"_{kind}"), "pos", F.col("kind") == kind, max_items).alias(kind)
-        for kind in kinds
-    ]
-    sizes = [F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind in kinds]
-    return tagged.groupBy("run").agg(*lists, *sizes)
+    lists = [ordered_list(F.col(f"_{kind}"), "pos", F.col("kind") == kind).alias(kind) for kind in kinds]
+    return tagged.groupBy("run").agg(*lists)
 
 
-def long_report_rows(
-    issues: DataFrame, fixes: DataFrame, cases: DataFrame, max_items: int = MAX_ITEMS
-) -> DataFrame:
-    """All children, as rows (run, kind, pos, item), of the runs no document can hold.
+def child_rows(issues: DataFrame, fixes: DataFrame, cases: DataFrame) -> DataFrame:
+    """All children of all runs as rows (run, kind, pos, item); ``item`` is JSON text.
 
-    Together with ``assemble_reports`` this covers every run: a run is either
-    one document there, or has all its rows here.  ``item`` is JSON text.
+    The row form of what ``nest_children`` puts into documents, for readers that take no document whole.
     """
     kinds = {
         "errors": (issues, ISSUE_FIELDS, S.ISSUE),
@@ -88,22 +79,22 @@ def long_report_rows(
         .withColumn("item", json_of("item", ddl))
         for kind, (rows, names, ddl) in kinds.items()
     ]
-    return overflow(reduce(DataFrame.unionByName, parts), "run", max_items=max_items)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def verification_struct(command: Column) -> Column:
+    """Absent unless both versions have a result."""
     sides = [
         F.struct(*[F.col(f"{v}_{c}").alias(c) for c in ("passed", "failed", "total")]).alias(v)
         for v in S.VERSIONS
     ]
-    return F.when(F.col("original_total").isNotNull(), F.struct(command.alias("command"), *sides))
+    both = F.col("original_total").isNotNull() & F.col("fixed_total").isNotNull()
+    return F.when(both, F.struct(command.alias("command"), *sides))
 
 
 def detection_struct() -> Column:
-    """Absent without ground truth, and where the missed bugs are too many for a list
-    (``scoring.missed_bugs`` has them)."""
-    known = F.col("expected").isNotNull() & F.col("missed").isNotNull()
-    return F.when(known, F.struct("expected", "caught", "missed"))
+    """Absent without ground truth."""
+    return F.when(F.col("expected").isNotNull(), F.struct("expected", "caught", "missed"))
 
 
 def timings_struct(method: str = TIMING_METHOD) -> Column:
@@ -125,17 +116,13 @@ def assemble_reports(
     """One report document per head row, in the column layout of ``schemas.REPORT``.
 
     Every input has one row per run.  ``children`` comes from ``nest_children``;
-    a run without children gets empty lists, one whose lists are too long to
-    nest is left out here and has its rows in ``long_report_rows``.  Verification,
-    detection and timings are optional, as tables and per run.
+    a run without children gets empty lists.  Verification, detection and
+    timings are optional, as tables and per run.
     """
     joined = heads.join(children, "run", "left")
     joined = joined.withColumns(
-        {
-            kind: F.when(F.coalesce(f"n_{kind}", F.lit(0)) == 0, F.array()).otherwise(F.col(kind))
-            for kind in ("errors", "fixes", "cases")
-        }
-    ).filter("errors IS NOT NULL AND fixes IS NOT NULL AND cases IS NOT NULL")
+        {kind: F.coalesce(kind, F.array()) for kind in ("errors", "fixes", "cases")}
+    )
     parts = {}
     if verification is not None:
         joined = joined.join(verification, "run", "left")
@@ -169,10 +156,37 @@ def assemble_reports(
     )
 
 
+def _or_null(value: Column) -> Column:
+    """A value that is written as null when it has none; plain NULLs are left out by to_json."""
+    return F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
+
+
+def _plain_number(value: Column) -> Column:
+    """A double as JSON writes it: whole numbers without a fraction."""
+    whole = (value == F.rint(value)) & (F.abs(value) < 1e15)
+    return F.when(whole, value.cast("bigint").cast("variant")).otherwise(value.cast("variant"))
+
+
 def report_json(indent: int | None = None) -> Column:
-    """A report row as one JSON text that passes the report schema."""
+    """A report row as one JSON text that passes the report schema; laid out from ``indent`` columns on, or compact.
+
+    Absent optional fields are left out, absent lines and issue ids are null.
+    """
     names = T.DataType.fromDDL(S.REPORT).names
-    return json_of(f"struct({', '.join(names)})", S.REPORT, indent)
+    if indent is not None:
+        return json_of(f"struct({', '.join(names)})", S.REPORT, indent)
+
+    def with_null(items: str, field: str) -> Column:
+        return F.transform(items, lambda e: e.withField(field, _or_null(e[field])))
+
+    spans = [f"{stage}Ms" for stage in (*S.STAGES, "total")]
+    timings = F.struct(*[_plain_number(F.col(f"timings.{n}")).alias(n) for n in spans], F.col("timings.method"))
+    changed = {
+        "analysis": F.col("analysis").withField("errors", with_null("analysis.errors", "line")),
+        "tests": F.col("tests").withField("cases", with_null("tests.cases", "issueId")),
+        "timings": F.when(F.col("timings").isNotNull(), timings),
+    }
+    return F.to_json(F.struct(*[changed.get(n, F.col(n)).alias(n) for n in names]))
 
 
 # --- from reports -----------------------------------------------------------
@@ -211,14 +225,20 @@ def flatten_test_runs(reports: DataFrame) -> DataFrame:
     return verified.select(F.col("id").alias("run"), F.inline(sides))
 
 
-def flatten_versions(reports: DataFrame) -> DataFrame:
-    """The pair of file versions of every report, ready for ``versions``."""
-    return reports.select(
-        F.col("id").alias("run"), F.col("originalCode").alias("left"), F.col("fix.fixedCode").alias("right")
+def index_rows(heads: DataFrame, issues: DataFrame) -> DataFrame:
+    """The index entry of every run from flat tables: issues are counted, not gathered."""
+    counts = issues.groupBy("run").agg(F.count("*").alias("issues"))
+    return heads.join(counts, "run", "left").select(
+        F.col("run").cast("string").alias("id"),
+        F.col("file_name").alias("fileName"),
+        F.col("recorded_at").alias("recordedAt"),
+        "author",
+        F.coalesce("issues", F.lit(0).cast("bigint")).alias("issues"),
     )
 
 
 def index_entries(reports: DataFrame) -> DataFrame:
+    """The same from report documents."""
     return reports.select(
         "id",
         "fileName",

@@ -1,29 +1,15 @@
-"""Nest child rows into one ordered list per parent, with a size bound.
+"""Nest child rows into one ordered list per parent.
 
-A list cell has to fit into one row, so a parent with more children than
-``max_items`` keeps them as rows: its list is NULL, its count is exact, and
-``overflow`` selects exactly those child rows.  Nothing is dropped.
+A list is one cell of its parent's row, as the document it belongs to is one row by definition.  Whatever can be
+counted, filtered or flattened is taken from the child rows instead; nothing here depends on their number.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 100_000
 
-
-def bounded_list(item: Column, pos, keep: Column | None = None, max_items: int = MAX_ITEMS) -> Column:
-    """Aggregate: items ordered by ``pos``, NULL when there are more than ``max_items``.
-
-    ``pos`` is the unique 0-based position within the parent, so at most
-    ``max_items`` items are ever gathered for one parent.
-    """
-    wanted = F.lit(True) if keep is None else keep
-    near = wanted & (F.col(pos) < max_items)
-    listed = F.sort_array(F.collect_list(F.when(near, F.struct(F.col(pos).alias("p"), item.alias("v")))))
-    return F.when(F.size(listed) == F.count_if(wanted), F.transform(listed, lambda e: e["v"]))
-
-
-def overflow(children: DataFrame, *keys: str, pos: str = "pos", max_items: int = MAX_ITEMS) -> DataFrame:
-    """Child rows of the parents whose list is too long to nest."""
-    too_long = children.filter(F.col(pos) >= max_items).select(*keys).distinct()
-    return children.join(too_long, list(keys), "left_semi")
+def ordered_list(item: Column, pos: str, keep: Column | None = None) -> Column:
+    """Aggregate: the items of the rows to keep, ordered by their unique position."""
+    placed = F.struct(F.col(pos).alias("p"), item.alias("v"))
+    listed = F.sort_array(F.collect_list(placed if keep is None else F.when(keep, placed)))
+    return F.transform(listed, lambda e: e["v"])

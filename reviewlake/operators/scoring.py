@@ -9,11 +9,9 @@ no pair of bug and issue is ever formed.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.operators.nesting import MAX_ITEMS, bounded_list
+from reviewlake.operators.nesting import ordered_list
 
 TOLERANCE = 2
-# Up to this tolerance an issue is spread over every line it reaches.
-_SPREAD_LIMIT = 8
 
 
 def mark_caught(truth: DataFrame, issues: DataFrame, tol: int = TOLERANCE) -> DataFrame:
@@ -56,15 +54,10 @@ def missed_bugs(truth: DataFrame, issues: DataFrame, tol: int = TOLERANCE) -> Da
 def detection_counts(truth: DataFrame, issues: DataFrame, tol: int = TOLERANCE) -> DataFrame:
     """Per run: bugs ``expected`` and ``caught``.
 
-    For small tolerances two map-side combined aggregations do, without a join:
-    issues mark the lines in reach, bugs are counted per line.
+    Two map-side combined aggregations, without a join: issues mark the lines in
+    reach, bugs are counted per line.  An issue makes ``2 * tol + 1`` rows.
     """
-    if tol > _SPREAD_LIMIT:
-        marked = mark_caught(truth, issues, tol)
-        return marked.groupBy("run").agg(
-            F.count("*").alias("expected"), F.count_if("caught").alias("caught")
-        )
-    reached = F.explode(F.array(*[F.col("line") + d for d in range(-tol, tol + 1)]))
+    reached = F.explode(F.sequence(F.col("line") - tol, F.col("line") + tol))
     marks = issues.filter(F.col("line").isNotNull()).select(
         "run", reached.alias("line"), F.lit(0).alias("bugs"), F.lit(1).alias("hit")
     )
@@ -80,13 +73,10 @@ def detection_counts(truth: DataFrame, issues: DataFrame, tol: int = TOLERANCE)
     )
 
 
-def detection(
-    truth: DataFrame, issues: DataFrame, tol: int = TOLERANCE, max_items: int = MAX_ITEMS
-) -> DataFrame:
+def detection(truth: DataFrame, issues: DataFrame, tol: int = TOLERANCE) -> DataFrame:
     """Per run: ``expected``, ``caught`` and the ids ``missed`` in truth order.
 
-    ``truth`` has (run, pos, bug_id, line).  A run whose list is too long to
-    nest has ``missed`` NULL; ``missed_bugs`` holds its rows.
+    ``truth`` has (run, pos, bug_id, line).  ``missed_bugs`` has the missed ones as rows.
     """
     return (
         mark_caught(truth, issues, tol)
@@ -94,7 +84,7 @@ def detection(
         .agg(
             F.count("*").alias("expected"),
             F.count_if("caught").alias("caught"),
-            bounded_list(F.col("bug_id"), "pos", ~F.col("caught"), max_items).alias("missed"),
+            ordered_list(F.col("bug_id"), "pos", ~F.col("caught")).alias("missed"),
         )
     )
 

@@ -7,13 +7,12 @@ from reviewlake.functions.text import to_lines
 
 # Fixed value: the pattern a line is searched for.
 SECRET_PATTERN = r"(?i)(api[_-]?key|secret|token|password|bearer|apikey)\s*[:=]"
-_BINARY_HEAD = 8000
 
 
 def _scanned(path: Column, text: Column) -> Column:
-    # A file with a NUL near its start is binary; notes and the sample
-    # environment file are exempt.
-    binary = F.contains(F.left(text, F.lit(_BINARY_HEAD)), F.lit("\x00"))
+    # A file with a NUL anywhere is binary; notes and the sample environment
+    # file are exempt.
+    binary = F.contains(text, F.lit("\x00"))
     return ~binary & ~path.endswith(".md") & (path != ".env.example")
 
 

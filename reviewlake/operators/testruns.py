@@ -27,12 +27,12 @@ def before_after(test_runs: DataFrame) -> DataFrame:
 
 
 def normalised(passed: Column, failed: Column, total: Column, n_cases: Column) -> dict[str, Column]:
-    """Counts of one test run.
+    """Counts of one test run; all NULL where the run has no result.
 
     A test file that crashes on import reports no tests at all; every case
     then counts as failed.  Other counts stay as reported, skipped tests too.
     """
-    crashed = F.coalesce(total, F.lit(0)) == 0
+    crashed = total == 0
     counts = {
         "passed": F.when(crashed, F.lit(0)).otherwise(passed),
         "failed": F.when(crashed, n_cases).otherwise(failed),

@@ -61,25 +61,29 @@ def first_valid_attempt(attempts: DataFrame) -> DataFrame:
     wins; if none is valid the last error stands.  ``elapsed_ms`` runs from the
     first attempt to the end of the deciding one (times in microseconds).
     """
-    valid = F.col("error").isNull()
-    outcome = (
-        attempts.filter(F.col("attempt") <= MAX_ATTEMPTS)
-        .groupBy("run", "stage")
-        .agg(
-            F.min(F.when(valid, F.col("attempt"))).alias("attempt"),
-            F.min_by("result", F.when(valid, F.col("attempt"))).alias("result"),
-            F.max_by("error", F.when(~valid, F.col("attempt"))).alias("_error"),
-            F.min_by("ended", F.when(valid, F.col("attempt"))).alias("_won"),
-            F.max("ended").alias("_ended"),
-            F.min("started").alias("_started"),
-        )
-    )
-    failed = F.col("attempt").isNull()
-    return outcome.select(
-        "run",
-        "stage",
-        "attempt",
-        F.when(~failed, F.col("result")).alias("result"),
-        F.when(failed, F.col("_error")).alias("error"),
-        _round_ms(F.coalesce("_won", "_ended") - F.col("_started")).alias("elapsed_ms"),
-    )
+    outcome = attempts.groupBy("run", "stage").agg(*attempt_aggregates(F.col("attempt") <= MAX_ATTEMPTS, "result", "error"))
+    return outcome.filter("_started IS NOT NULL").select("run", "stage", *attempt_outcome("result", "error"))
+
+
+def attempt_aggregates(counts: Column, result: str, error: str, prefix: str = "") -> list[Column]:
+    """The aggregates over the attempts that count, of which ``attempt_outcome`` makes the outcome."""
+    valid = counts & F.col(error).isNull()
+    return [
+        F.min(F.when(valid, F.col("attempt"))).alias(f"{prefix}attempt"),
+        F.min_by(result, F.when(valid, F.col("attempt"))).alias(f"{prefix}_result"),
+        F.max_by(error, F.when(counts & F.col(error).isNotNull(), F.col("attempt"))).alias(f"{prefix}_error"),
+        F.min_by("ended", F.when(valid, F.col("attempt"))).alias(f"{prefix}_won"),
+        F.max(F.when(counts, F.col("ended"))).alias(f"{prefix}_ended"),
+        F.min(F.when(counts, F.col("started"))).alias(f"{prefix}_started"),
+    ]
+
+
+def attempt_outcome(result: str, error: str, prefix: str = "", elapsed: str = "elapsed_ms") -> list[Column]:
+    """attempt, result, error and elapsed time in ms, from ``attempt_aggregates``."""
+    failed = F.col(f"{prefix}attempt").isNull()
+    return [
+        F.col(f"{prefix}attempt"),
+        F.when(~failed, F.col(f"{prefix}_result")).alias(result),
+        F.when(failed, F.col(f"{prefix}_error")).alias(error),
+        _round_ms(F.coalesce(f"{prefix}_won", f"{prefix}_ended") - F.col(f"{prefix}_started")).alias(elapsed),
+    ]

@@ -83,14 +83,17 @@ def _aligned_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, n_key
 def side_by_side(pairs: DataFrame, *keys: str) -> DataFrame:
     """Aligned rows of every pair: ``pos``, ``kind``, both lines and their numbers.
 
-    Pairs are independent rows, so this is a plain map over partitions with no
-    shuffle.  The kernel handles files of any length in bounded memory.
+    Pairs are independent rows.  An alignment costs the product of its lines while
+    partitions are sized by bytes, so the pairs are dealt out evenly first.
+    The kernel handles files of any length in bounded memory.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     prepared = pairs.select(
         *keys, normalise_eol("left").alias("left"), normalise_eol("right").alias("right")
     ).filter(F.col("left").isNotNull() & F.col("right").isNotNull())
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prepared = prepared.repartition(parts, F.xxhash64(*keys) if keys else F.rand(1))
     key_ddl = ", ".join(f"`{k}` {prepared.schema[k].dataType.simpleString()}" for k in keys)
     ddl = ", ".join(p for p in (key_ddl, "pos bigint", DIFF_ROW) if p)
     arrow = to_arrow_schema(pairs.sparkSession.createDataFrame([], ddl).schema)

@@ -8,7 +8,8 @@ source lines, return flags are severities, and so on.  Every row takes part.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.schemas import SOURCE_KINDS, STAGES
+from reviewlake.functions.text import iso_time
+from reviewlake.schemas import RECORDED, STAGES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,12 +88,16 @@ def cases(issue_rows: DataFrame) -> DataFrame:
 
 
 def test_runs(lineitem: DataFrame) -> DataFrame:
-    """Test results: filled rows on the original, open rows on the fixed version."""
+    """Test results: filled rows on the original, open rows on the fixed version.
+
+    Every seventh run crashed, so it reports no tests.
+    """
     version = F.when(F.col("l_linestatus") == "F", "original").otherwise("fixed")
+    ran = F.col("l_orderkey") % 7 != 3
     return lineitem.groupBy(F.col("l_orderkey").alias("run"), version.alias("version")).agg(
-        F.count_if(F.col("l_returnflag") == "N").alias("passed"),
-        F.count_if(F.col("l_returnflag") == "R").alias("failed"),
-        F.count("*").alias("total"),
+        F.count_if(ran & (F.col("l_returnflag") == "N")).alias("passed"),
+        F.count_if(ran & (F.col("l_returnflag") == "R")).alias("failed"),
+        F.count_if(ran).alias("total"),
     )
 
 
@@ -145,9 +150,9 @@ def heads(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("order "), key).alias("title"),
         F.concat(F.lit("src/order"), key, F.lit(".ts")).alias("file_name"),
         F.lit("typescript").alias("language"),
-        F.lit(SOURCE_KINDS[0]).alias("kind"),
+        F.lit(RECORDED).alias("kind"),
         F.lit("manual").alias("model"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("recorded_at"),
+        iso_time(F.col("o_orderdate").cast("timestamp")).alias("recorded_at"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("author"),
         F.concat(F.lit("// "), "o_orderpriority", F.lit("\nbefore")).alias("original_code"),
         F.concat(F.lit("// "), "o_orderpriority", F.lit("\nafter")).alias("fixed_code"),
@@ -242,6 +247,62 @@ def responses(events: DataFrame) -> DataFrame:
     )
 
 
+def result_files(orders: DataFrame) -> DataFrame:
+    """Two result files per order; some are cut off, some hold a fraction or lack a count."""
+    k = F.col("o_orderkey")
+    version = F.explode(F.array(F.lit("original"), F.lit("fixed"), F.lit("draft")))
+    rows = orders.select(k.cast("string").alias("run"), k.alias("k"), version.alias("version"))
+    k = F.col("k")
+    number = (k % 10).cast("string")
+    text = (
+        F.when(k % 13 == 1, F.concat(F.lit('{"numPassedTests": '), number))
+        .when(k % 13 == 2, F.concat(F.lit('{"numPassedTests": '), number, F.lit('.5, "numFailedTests": 0, "numTotalTests": 1}')))
+        .when(k % 13 == 3, F.concat(F.lit('{"numPassedTests": '), number, F.lit(', "numTotalTests": 1}')))
+        .otherwise(
+            F.concat(
+                F.lit('{"numTotalTests": 12, "numPassedTests": '), number, F.lit(', "numFailedTests": '),
+                F.when(F.col("version") == "fixed", "0").otherwise("2.0"), F.lit(', "other": [1, {}]}'),
+            )
+        )
+    )
+    file = F.concat(F.lit("vitest-"), "version", F.lit(".json"))
+    return rows.select("run", file.alias("file"), text.alias("text"))
+
+
+def truth_lists(orders: DataFrame) -> DataFrame:
+    """Ground truth as lists: up to four bugs per order, maybe none."""
+    k = F.col("o_orderkey")
+    numbers = F.filter(F.array(*[F.lit(n) for n in range(4)]), lambda n: n < k % 5)
+    bug = F.transform(
+        numbers,
+        lambda n: F.struct(
+            F.concat(F.lit("bug-"), n.cast("string")).alias("id"),
+            (k % 40 + n * 3).cast("bigint").alias("line"),
+            F.when(n != 1, F.col("o_orderpriority")).alias("description"),
+        ),
+    )
+    return orders.select(k.alias("run"), bug.alias("bugs"))
+
+
+def event_texts(events: DataFrame) -> DataFrame:
+    """Events as lines of text; some are no JSON, some have values of other kinds."""
+    e = F.col("event_id")
+    ms = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    line = (
+        F.when(e % 17 == 3, F.concat(F.lit("oops "), e.cast("string")))
+        .when(e % 17 == 4, F.lit('{"type": "error", "message": "stopped"} x'))
+        .when(F.col("event_type") == "error", F.concat(F.lit('{"type": "error", "message": "failed at '), e.cast("string"), F.lit('"}')))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"type":"result","report":'), "props", F.lit("}")))
+        .otherwise(
+            F.concat(
+                F.lit('{"type": "stage", "stage": "'), stage_name(e % 4), F.lit('", "status": "'), status(),
+                F.lit('", "ms": '), F.when(e % 2 == 0, ms).otherwise("null"), F.lit("}"),
+            )
+        )
+    )
+    return events.select(e.alias("event_id"), line.alias("line"))
+
+
 # --- documents ----------------------------------------------------------------
 
 

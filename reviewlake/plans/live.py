@@ -4,8 +4,6 @@ The answers were given outside, at most two per stage; this job picks the first
 valid one of each stage and assembles what the four stages agreed on.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,39 +12,34 @@ from reviewlake.operators import assembly, timing
 from reviewlake.operators import validation as V
 from reviewlake.plans.publish import Published
 
-LIVE_METHOD = "measured around each model call"
-
-
-def stage_outcomes(responses: DataFrame, stage: str) -> DataFrame:
-    """Per run the ``<stage>`` answer, or its ``<stage>_error``, and ``<stage>_ms``.
+def stage_outcomes(responses: DataFrame) -> DataFrame:
+    """Per run the answer of each stage, its ``<stage>_error`` and ``<stage>_ms``, and when the last answer ended.
 
-    responses(run, stage, attempt, text, started, ended), times in microseconds.
+    responses(run, stage, attempt, text, started, ended), times in microseconds.  Every answer is
+    checked against its own stage's shape; all stages are then folded in one aggregation.
     """
-    check, ddl = V.STAGE_SHAPES[stage]
-    checked = V.check_response(responses.filter(F.col("stage") == stage), "text", check, ddl)
-    attempts = checked.select(
-        "run", "stage", "attempt", "started", "ended",
-        F.col("value").alias("result"), F.col("reason").alias("error"),
-    )
-    picked = timing.first_valid_attempt(attempts)
-    return picked.select(
-        "run",
-        F.col("result").alias(stage),
-        F.col("error").alias(f"{stage}_error"),
-        F.col("elapsed_ms").alias(f"{stage}_ms"),
-    )
+    rows = responses.select("run", "stage", "attempt", "text", "started", "ended")
+    folds = []
+    for stage in S.STAGES:
+        check, ddl = V.STAGE_SHAPES[stage]
+        mine = F.col("stage") == stage
+        rows = V.check_response(rows.withColumn("_mine", F.when(mine, F.col("text"))), "_mine", check, ddl, f"{stage}_value")
+        rows = rows.withColumnRenamed("reason", f"{stage}_reason").drop("_mine", "bad_path")
+        counts = mine & (F.col("attempt") <= timing.MAX_ATTEMPTS)
+        folds += timing.attempt_aggregates(counts, f"{stage}_value", f"{stage}_reason", f"{stage}_")
+    wide = rows.groupBy("run").agg(*folds, F.max("ended").alias("_ended"))
+    picked = [c for s in S.STAGES for c in timing.attempt_outcome(s, f"{s}_error", f"{s}_", f"{s}_ms")[1:]]
+    return wide.select("run", *picked, "_ended")
 
 
-def live_reports(requests: DataFrame, responses: DataFrame, model: str, method: str = LIVE_METHOD) -> Published:
+def live_reports(requests: DataFrame, responses: DataFrame, model: str, method: str) -> Published:
     """requests(run, code, language, file_name) with their answers to reports.
 
     A run whose stage failed or is still missing is rejected with that stage;
     stages follow each other, so the first one counts.  Live reports have no
     test runs and no detection.
     """
-    ended = responses.groupBy("run").agg(F.max("ended").alias("_ended"))
-    tables = [stage_outcomes(responses, stage) for stage in S.STAGES]
-    rows = reduce(lambda left, right: left.join(right, "run", "left"), [*tables, ended], requests)
+    rows = requests.join(stage_outcomes(responses), "run", "left")
     problem = F.coalesce(
         *[
             F.when(
@@ -72,7 +65,7 @@ def live_reports(requests: DataFrame, responses: DataFrame, model: str, method:
             F.col("file_name").alias("fileName"),
             "language",
             F.struct(
-                F.lit(S.SOURCE_KINDS[1]).alias("kind"),
+                F.lit(S.LIVE).alias("kind"),
                 F.lit(model).alias("model"),
                 F.date_format(F.timestamp_micros("_ended"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("recordedAt"),
                 none.cast("string").alias("author"),

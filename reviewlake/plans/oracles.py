@@ -1,8 +1,4 @@
-"""For each registered query, the same result as SQL over the same tables.
-
-Queries without an entry align text line by line, which SQL cannot do on whole
-tables; tests compare them with brute force on small inputs.
-"""
+"""For each registered query, the same result as SQL over the same tables."""
 
 _BUGS = """
   SELECT DISTINCT l_orderkey AS run, CAST(l_linenumber AS BIGINT) AS line
@@ -35,7 +31,7 @@ _ISSUES = """
 """
 _RUNS = """
   test_runs AS (
-    SELECT l_orderkey AS run, count(*) AS n,
+    SELECT l_orderkey AS run, count(*) AS n, l_orderkey % 7 = 3 AS crashed,
       count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'N') AS op,
       count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'R') AS orf,
       count(*) FILTER (WHERE l_linestatus = 'F') AS ot,
@@ -47,13 +43,14 @@ _RUNS = """
 
 
 def _verified(n_cases: str) -> str:
-    return f"""
-      CASE WHEN ot = 0 THEN 0 ELSE op END AS original_passed,
-      CASE WHEN ot = 0 THEN {n_cases} ELSE orf END AS original_failed,
-      CASE WHEN ot = 0 THEN {n_cases} ELSE ot END AS original_total,
-      CASE WHEN ft = 0 THEN 0 ELSE fp END AS fixed_passed,
-      CASE WHEN ft = 0 THEN {n_cases} ELSE ff END AS fixed_failed,
-      CASE WHEN ft = 0 THEN {n_cases} ELSE ft END AS fixed_total"""
+    def side(name: str, passed: str, failed: str, total: str) -> str:
+        # No result row: no counts.  A crash reports no tests: every case failed.
+        return f"""
+      CASE WHEN {total} > 0 THEN CASE WHEN crashed THEN 0 ELSE {passed} END END AS {name}_passed,
+      CASE WHEN {total} > 0 THEN CASE WHEN crashed THEN {n_cases} ELSE {failed} END END AS {name}_failed,
+      CASE WHEN {total} > 0 THEN CASE WHEN crashed THEN {n_cases} ELSE {total} END END AS {name}_total"""
+
+    return side("original", "op", "orf", "ot") + "," + side("fixed", "fp", "ff", "ft")
 
 
 def _secs(ms: str) -> str:
@@ -94,6 +91,46 @@ _PAIRS = """
     FROM firsts f JOIN titled b ON b.doc_id = f.base_id
       JOIN titled o ON o.title = f.title AND o.doc_id <> f.base_id)
 """
+# The table of common subsequences of every pair, a row per left line from the last to the first: cell j counts the
+# lines still in common from line i on the left and j on the right.  Then the path from the first lines: equal lines
+# are taken, else the right line is skipped where that loses nothing.
+_ALIGNED = f"""
+  {_PAIRS},
+  split AS (
+    SELECT base_id, doc_id, source,
+      string_split(replace(lhs, chr(13) || chr(10), chr(10)), chr(10)) AS a,
+      string_split(replace(rhs, chr(13) || chr(10), chr(10)), chr(10)) AS b FROM pairs),
+  cells AS (
+    SELECT base_id, doc_id, a, b, len(a) AS i, list_transform(range(len(b) + 1), lambda x: 0::BIGINT) AS r FROM split
+    UNION ALL
+    SELECT base_id, doc_id, a, b, i - 1,
+      list_reduce(list_concat([[0::BIGINT]], list_transform(list_reverse(range(len(b))), lambda j: [j])),
+        lambda done, j: list_prepend(
+          CASE WHEN a[i] = b[j[1] + 1] THEN r[j[1] + 2] + 1 ELSE greatest(r[j[1] + 1], done[1]) END, done))
+    FROM cells WHERE i > 0),
+  tables AS (SELECT base_id, doc_id, list(r ORDER BY i) AS t FROM cells GROUP BY base_id, doc_id),
+  path AS (
+    SELECT base_id, doc_id, 0 AS i, 0 AS j, 0 AS block, NULL::VARCHAR AS op FROM split
+    UNION ALL
+    SELECT base_id, doc_id, i + (op <> '+')::INT, j + (op <> '-')::INT, block + (op = '=')::INT, op
+    FROM (
+      SELECT p.base_id, p.doc_id, p.i, p.j, p.block,
+        CASE WHEN p.i < len(s.a) AND p.j < len(s.b) AND s.a[p.i + 1] = s.b[p.j + 1] THEN '='
+             WHEN p.j < len(s.b) AND (p.i = len(s.a) OR t.t[p.i + 1][p.j + 2] >= t.t[p.i + 2][p.j + 1]) THEN '+'
+             ELSE '-' END AS op
+      FROM path p JOIN split s USING (base_id, doc_id) JOIN tables t USING (base_id, doc_id)
+      WHERE p.i < len(s.a) OR p.j < len(s.b))),
+  numbered AS (
+    SELECT base_id, doc_id, i, j, op, block,
+      row_number() OVER (PARTITION BY base_id, doc_id, block, op ORDER BY i, j) AS k
+    FROM path WHERE op IS NOT NULL),
+  aligned AS (
+    SELECT base_id, doc_id, block - 1 AS block, 1 AS late, 1 AS k, i AS left_no, j AS right_no FROM numbered WHERE op = '='
+    UNION ALL
+    SELECT coalesce(l.base_id, r.base_id), coalesce(l.doc_id, r.doc_id), coalesce(l.block, r.block), 0, coalesce(l.k, r.k), l.i, r.j
+    FROM (SELECT * FROM numbered WHERE op = '-') l
+      FULL JOIN (SELECT * FROM numbered WHERE op = '+') r USING (base_id, doc_id, block, k))
+"""
 _RENDERED = (
     "'Part ' || p_name || ' of ' || p_brand || ': ' || p_type || ', ' || p_name || "
     "' {unknown} {{{{ name }}}}' || chr(10) || 'end'"
@@ -215,7 +252,8 @@ SELECT CAST(o.o_orderkey AS VARCHAR) AS run, 'src/order' || o.o_orderkey || '.ts
   CASE WHEN o.o_orderstatus <> 'P' THEN o.o_orderstatus END AS author,
   CASE WHEN o.o_orderpriority LIKE '1%' THEN 'High' WHEN o.o_orderpriority LIKE '5%' THEN 'Low' ELSE 'Medium' END AS risk,
   coalesce(l.issues, '') AS issues, coalesce(l.fixes, '') AS fixes, coalesce(l.cases, '') AS cases,
-  v.fixed_passed, d.expected, d.caught,
+  CASE WHEN v.original_total IS NOT NULL AND v.fixed_total IS NOT NULL THEN v.fixed_passed END AS fixed_passed,
+  d.expected, d.caught,
   CASE WHEN d.expected IS NOT NULL THEN coalesce(d.missed, '') END AS missed
 FROM orders o LEFT JOIN lists l ON l.run = o.o_orderkey
   LEFT JOIN verified v ON v.run = o.o_orderkey
@@ -434,6 +472,114 @@ WITH {_PAIRS},
 SELECT base_id, doc_id, CAST(sum(least(l, r)) AS BIGINT) AS common,
   CAST(sum(l - least(l, r)) AS BIGINT) AS removed, CAST(sum(r - least(l, r)) AS BIGINT) AS added
 FROM counted GROUP BY base_id, doc_id
+""",
+    "side_by_side": f"""
+WITH RECURSIVE {_ALIGNED}
+SELECT x.base_id, x.doc_id,
+  CAST(row_number() OVER (PARTITION BY x.base_id, x.doc_id ORDER BY block, late, k) - 1 AS BIGINT) AS pos,
+  CASE late WHEN 1 THEN 'same' ELSE 'changed' END AS kind,
+  s.a[left_no] AS "left", s.b[right_no] AS "right",
+  CAST(left_no AS BIGINT) AS left_no, CAST(right_no AS BIGINT) AS right_no
+FROM aligned x JOIN split s USING (base_id, doc_id)
+""",
+    "diff_stats": f"""
+WITH RECURSIVE {_ALIGNED},
+  counted AS (
+    SELECT source, count(*) AS n, count(*) FILTER (WHERE late = 0) AS differing
+    FROM aligned JOIN split USING (base_id, doc_id) GROUP BY source)
+SELECT source, n AS "rows", differing, CAST(differing * 1000000 // n AS BIGINT) AS ppm FROM counted
+""",
+    "flatten_fixes": f"""
+WITH {_ISSUES}
+SELECT CAST(run AS VARCHAR) AS run,
+  CAST(row_number() OVER (PARTITION BY run ORDER BY line) - 1 AS BIGINT) AS pos,
+  issue_id, 'fixed part ' || part AS change
+FROM issues JOIN orders ON o_orderkey = run WHERE fixed
+""",
+    "flatten_cases": f"""
+WITH {_ISSUES}
+SELECT CAST(run AS VARCHAR) AS run,
+  CAST(row_number() OVER (PARTITION BY run ORDER BY line) - 1 AS BIGINT) AS pos,
+  CASE WHEN fixed THEN '[' || issue_id || '] ' ELSE '' END || 'part ' || part AS name,
+  CASE WHEN fixed THEN issue_id END AS issue_id
+FROM issues JOIN orders ON o_orderkey = run
+""",
+    "flatten_test_runs": f"""
+WITH {_ISSUES}, {_RUNS},
+  verified AS (
+    SELECT t.run, {_verified('i.n')}
+    FROM test_runs t JOIN (SELECT run, count(*) AS n FROM issues GROUP BY run) i ON i.run = t.run
+      JOIN orders ON o_orderkey = t.run)
+SELECT CAST(run AS VARCHAR) AS run, 'original' AS version, original_passed AS passed, original_failed AS failed,
+  original_total AS total FROM verified WHERE original_total IS NOT NULL AND fixed_total IS NOT NULL
+UNION ALL
+SELECT CAST(run AS VARCHAR), 'fixed', fixed_passed, fixed_failed, fixed_total
+FROM verified WHERE original_total IS NOT NULL AND fixed_total IS NOT NULL
+""",
+    "headline": f"""
+WITH {_SCORED}, {_DETECTED}, {_ISSUES}, {_RUNS},
+  counts AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE fixed) AS fixes FROM issues GROUP BY run),
+  verified AS (SELECT t.run, {_verified('c.n')} FROM test_runs t JOIN counts c ON c.run = t.run),
+  shown AS (SELECT * FROM verified WHERE original_total IS NOT NULL AND fixed_total IS NOT NULL)
+SELECT CAST(o.o_orderkey AS VARCHAR) AS run,
+  coalesce(c.n, 0) || ' found, ' || coalesce(c.fixes, 0) || ' fixed, ' || coalesce(CAST(v.original_passed AS VARCHAR), '–')
+    || ' to ' || coalesce(CAST(v.fixed_passed AS VARCHAR), '–') || ' of ' || coalesce(CAST(v.fixed_total AS VARCHAR), '–')
+    || ', ' || coalesce(CAST(d.caught AS VARCHAR), '–') || '/' || coalesce(CAST(d.expected AS VARCHAR), '–') AS headline
+FROM orders o LEFT JOIN counts c ON c.run = o.o_orderkey LEFT JOIN shown v ON v.run = o.o_orderkey
+  LEFT JOIN detected d ON d.run = o.o_orderkey
+""",
+    "validate_reports": """
+SELECT CAST(o_orderkey AS VARCHAR) AS run,
+  CASE WHEN o_orderkey % 16 IN (13, 14) THEN 'bad_json' WHEN o_orderkey % 16 IN (0, 12, 15) THEN NULL ELSE 'bad_field' END AS reason,
+  CASE o_orderkey % 16 WHEN 1 THEN 'schemaVersion' WHEN 2 THEN 'title' WHEN 3 THEN 'language' WHEN 4 THEN 'source.kind'
+    WHEN 5 THEN 'source.recordedAt' WHEN 6 THEN 'source.model' WHEN 7 THEN 'originalCode' WHEN 8 THEN 'analysis.risk_level'
+    WHEN 9 THEN 'analysis.errors.1.line' WHEN 10 THEN 'tests.cases' WHEN 11 THEN 'report.recommendations.1' END AS bad_path
+FROM orders
+""",
+    "test_results": """
+SELECT CAST(o_orderkey AS VARCHAR) AS run, v AS version, o_orderkey % 10 AS passed,
+  CASE v WHEN 'fixed' THEN 0::BIGINT ELSE 2::BIGINT END AS failed, 12::BIGINT AS total
+FROM orders, (VALUES ('original'), ('fixed')) versions(v) WHERE o_orderkey % 13 NOT IN (1, 2, 3)
+""",
+    "rejected_results": """
+SELECT CAST(o_orderkey AS VARCHAR) AS run, v AS version,
+  CASE o_orderkey % 13 WHEN 1 THEN 'bad_json' ELSE 'bad_field' END AS reason,
+  CASE o_orderkey % 13 WHEN 2 THEN 'numPassedTests' WHEN 3 THEN 'numFailedTests' END AS bad_path
+FROM orders, (VALUES ('original'), ('fixed')) versions(v) WHERE o_orderkey % 13 IN (1, 2, 3)
+""",
+    "truth_bugs": """
+SELECT o_orderkey AS run, n AS pos, 'bug-' || n AS bug_id, o_orderkey % 40 + n * 3 AS line,
+  CASE WHEN n <> 1 THEN o_orderpriority END AS description
+FROM orders, (VALUES (0::BIGINT), (1), (2), (3)) numbers(n) WHERE n < o_orderkey % 5
+""",
+    "parse_events": f"""
+WITH e AS (
+  SELECT *, CASE WHEN event_id % 17 IN (3, 4) THEN 'bad' WHEN event_type = 'error' THEN 'error'
+    WHEN event_type = 'purchase' THEN 'result' ELSE 'stage' END AS kind FROM events)
+SELECT event_id, CASE kind WHEN 'bad' THEN 'error' ELSE kind END AS type,
+  CASE WHEN kind = 'stage' THEN {_STAGE.format(n='(event_id % 4)')} END AS stage,
+  CASE WHEN kind = 'stage' THEN CASE WHEN event_type IN ('click', 'view') THEN 'running' ELSE 'done' END END AS status,
+  CASE WHEN kind = 'stage' AND event_id % 2 = 0 THEN CAST(round(value * 100) AS DOUBLE) END AS ms,
+  CAST(NULL AS VARCHAR) AS error,
+  CASE kind WHEN 'bad' THEN 'bad_json' WHEN 'error' THEN 'failed at ' || event_id END AS message,
+  CASE WHEN kind = 'result' THEN replace(props, ' ', '') END AS report
+FROM e
+""",
+    "event_lines": f"""
+WITH e AS (
+  SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'result' ELSE 'stage' END AS kind FROM events)
+SELECT '{{"run":' || user_id || ',"seq":' || event_id || ',"type":"' || kind || '","stage":"'
+  || {_STAGE.format(n='(event_id % 4)')} || '","status":"'
+  || CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type IN ('purchase', 'signup') THEN 'done' ELSE 'error' END || '"'
+  || CASE kind WHEN 'stage' THEN ',"ms":' || CAST(round(value * 100) AS BIGINT) ELSE '' END
+  || CASE kind WHEN 'error' THEN ',"message":"failed at ' || event_id || '"' ELSE '' END
+  || CASE kind WHEN 'result' THEN ',"report":' || props ELSE '' END || '}}' AS value
+FROM e
+""",
+    "iso_times": """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso,
+  CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) // 1000 END AS ms
+FROM events
 """,
     "contract_audit": f"""
 WITH {_ISSUES}, {_RUNS},
@@ -466,7 +612,7 @@ WITH {_ISSUES}, {_RUNS},
     SELECT 'fixed_is_tested', f.run, 1 FROM fixes f JOIN issues i ON i.run = f.run AND i.issue_id = f.issue_id
     WHERE NOT i.fixed
     UNION ALL
-    SELECT 'tests_prove_fix', run, 1 FROM verified WHERE NOT (fixed_failed = 0 AND original_failed > 0)
+    SELECT 'tests_prove_fix', run, 1 FROM verified WHERE NOT coalesce(fixed_failed = 0 AND original_failed > 0, false)
     UNION ALL
     SELECT 'cases_match_tests', run, 1 FROM (
       SELECT run, CASE WHEN fixed THEN issue_id ELSE '' END || part AS name, count(*) FILTER (WHERE line = 6) AS lost

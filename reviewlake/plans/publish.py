@@ -4,6 +4,7 @@ All files of a run come together in one shuffle; everything but the scoring
 against ground truth is then computed within the run's row.
 """
 
+import uuid
 from functools import reduce
 from typing import NamedTuple
 
@@ -57,7 +58,8 @@ def run_rows(files: DataFrame, tests_file: str = links.TESTS_FILE) -> DataFrame:
         **{f"vitest_{v}": file == f"vitest-{v}.json" for v in S.VERSIONS},
     }
     picked = [
-        F.max(F.when(is_it, F.struct("text", "mtime", "file"))).alias(name)
+        # Where a pattern fits several files the last name counts; texts are not compared.
+        F.max_by(F.when(is_it, F.struct("text", "mtime", "file")), F.when(is_it, file)).alias(name)
         for name, is_it in names.items()
     ]
     artifacts = files.filter(reduce(Column.__or__, names.values()))
@@ -68,7 +70,7 @@ def _by_ext(version: str) -> Column:
     return F.when(F.col("meta_doc.ext") == ".ts", F.col(f"{version}_ts")).otherwise(F.col(f"{version}_js"))
 
 
-def _checked_rows(rows: DataFrame) -> DataFrame:
+def _checked_rows(rows: DataFrame, tests_file: str) -> DataFrame:
     """Add ``<name>_doc`` per JSON artifact, and the first ``reason`` and ``detail``."""
     reasons = []
     for name, (check, ddl) in _DOCUMENTS.items():
@@ -85,6 +87,7 @@ def _checked_rows(rows: DataFrame) -> DataFrame:
         F.col("fixes").isNotNull(),
         F.col("tests").isNotNull(),
         F.col("report").isNotNull(),
+        tests_file,
     )
     no_meta = F.when(F.col("meta").isNull(), F.struct(F.lit("no_run").alias("reason"), F.lit("meta.json").alias("detail")))
     missing = F.when(
@@ -105,8 +108,7 @@ def _checked_rows(rows: DataFrame) -> DataFrame:
 def _scores(good: DataFrame, truth: DataFrame) -> DataFrame:
     """Detection per run with ground truth, 0 of 0 where that holds no bugs."""
     issues = good.select("run", F.explode("analysis_doc.errors").alias("e")).select("run", F.col("e.line").alias("line"))
-    # A truth list already fits into one row, and so does what was missed of it.
-    scored = scoring.detection(readers.truth_bugs(truth), issues, max_items=2**31 - 1)
+    scored = scoring.detection(readers.truth_bugs(truth), issues)
     none = F.col("expected").isNull()
     return truth.select("run").join(scored, "run", "left").select(
         "run",
@@ -120,21 +122,21 @@ def build_reports(
     files: DataFrame,
     truth: DataFrame | None = None,
     *,
-    kind: str = S.SOURCE_KINDS[0],
+    kind: str = S.RECORDED,
     model: str | None = None,
     author: str | None = None,
     with_timings: bool = True,
     method: str = assembly.TIMING_METHOD,
-    settled: bool = False,
+    tests_file: str = links.TESTS_FILE,
+    staging: str | None = None,
 ) -> Published:
     """Reports of all complete, valid runs; the others with the first thing wrong.
 
-    ``settled`` writes the checked runs to the checkpoint folder once, for use
-    by several outputs.
+    ``staging`` names a new folder to write the checked runs to once, for use by several outputs.
     """
-    rows = _checked_rows(run_rows(files))
-    if settled:
-        rows = settle(rows)
+    rows = _checked_rows(run_rows(files, tests_file), tests_file)
+    if staging:
+        rows = settle(rows, staging)
     good = rows.filter(F.col("problem").isNull())
     cases = F.transform(
         T.case_titles("tests.text"),
@@ -198,17 +200,24 @@ def publish_runs(
 ) -> Published:
     """Read run folders, write their reports and update the index.
 
-    ``buckets`` selects the layout for very many runs (see ``sources.writers``).
-    Runs with a problem are returned, not written.
+    ``buckets`` selects the layout for very many runs (see ``sources.writers``).  Runs with a problem
+    and ground truth that is none are written to ``rejected`` beside the reports.  What is returned reads the written tables.
     """
     configure(spark)
-    truth_rows = readers.read_truth(spark, truth) if truth else None
-    built = build_reports(readers.read_runs(spark, runs), truth_rows, settled=True, **options)
+    staging = f"{out}/_staging-{uuid.uuid4().hex}"
+    truth_rows, no_truth = readers.read_truth(spark, truth) if truth else (None, None)
+    built = build_reports(readers.read_runs(spark, runs), truth_rows, staging=staging, **options)
     if buckets is None:
         writers.write_reports(built.reports, f"{out}/reports")
     else:
         writers.publish_reports(built.reports, f"{out}/reports", buckets)
+    rejected = built.rejected
+    if no_truth is not None:
+        at = F.concat_ws(".", F.lit("truth"), F.nullif(F.col("bad_path"), F.lit("")))
+        rejected = rejected.unionByName(no_truth.select("run", "reason", at.alias("detail")))
+    rejected.write.mode("overwrite").parquet(f"{out}/rejected")
     entries = assembly.index_entries(built.reports)
     current = readers.read_index_or_empty(spark, f"{out}/index")
     writers.write_index(index.upsert_index(current, entries, "recordedAt"), f"{out}/index")
-    return built
+    writers.delete(spark, staging)
+    return Published(readers.read_published(spark, f"{out}/reports").valid, spark.read.parquet(f"{out}/rejected"))

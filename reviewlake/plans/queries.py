@@ -22,6 +22,7 @@ from reviewlake.operators import (
 from reviewlake.plans import casting as C
 from reviewlake.plans import prompts
 from reviewlake.session import configure
+from reviewlake.sources import readers, writers
 from reviewlake.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,10 +187,109 @@ def flatten_report(orders, lineitem):
     return assembly.flatten_issues(valid)
 
 
+@query("orders", "lineitem")
+def flatten_fixes(orders, lineitem):
+    return assembly.flatten_fixes(_reports(orders, lineitem))
+
+
+@query("orders", "lineitem")
+def flatten_cases(orders, lineitem):
+    return assembly.flatten_cases(_reports(orders, lineitem))
+
+
+@query("orders", "lineitem")
+def flatten_test_runs(orders, lineitem):
+    return assembly.flatten_test_runs(_reports(orders, lineitem))
+
+
+_HEADLINE = "{{ISSUES}} found, {{FIXED}} fixed, {{ORIG_PASS}} to {{FIXED_PASS}} of {{TESTS}}, {{CAUGHT}}/{{EXPECTED}}"
+
+
+@query("orders", "lineitem")
+def headline(orders, lineitem):
+    filled = T.fill_placeholders(F.lit(_HEADLINE), assembly.headline_values())
+    return _reports(orders, lineitem).select(F.col("id").alias("run"), filled.alias("headline"))
+
+
+@query("orders")
+def validate_reports(orders):
+    """Report documents, most of them broken in one place by their order key."""
+    none = orders.sparkSession.createDataFrame([], "run bigint, expected bigint, caught bigint, missed array<string>")
+    heads = C.heads(orders).withColumns({"model": F.lit("m")})
+    two = F.transform(
+        F.array(F.lit(1), F.lit(2)),
+        lambda n: F.struct(
+            F.concat(F.lit("E"), n.cast("string")).alias("id"), F.lit("Logical").alias("type"), F.lit("d").alias("description"),
+            n.cast("bigint").alias("line"), F.lit("Low").alias("severity"), F.lit(None).cast("string").alias("suggestion"),
+        ),
+    )
+    empty = [F.array().cast(f"array<{kind}>") for kind in (S.FIX_ITEM, S.CASE)]
+    children = heads.select("run", two.alias("errors"), empty[0].alias("fixes"), empty[1].alias("cases"))
+    texts = assembly.assemble_reports(heads, children, detection=none).select(
+        F.col("id").alias("run"), assembly.report_json().alias("good")
+    )
+    k = F.col("run").cast("bigint") % 16
+    swaps = {
+        1: ('"schemaVersion":1', '"schemaVersion":2'),
+        2: ('"title":"', '"heading":"'),
+        3: ('"language":"typescript"', '"language":"python"'),
+        4: (f'"kind":"{S.RECORDED}"', '"kind":"other"'),
+        5: ('"recordedAt":"', '"recordedAt":null,"was":"'),
+        6: ('"model":"m"', '"model":null'),
+        7: ('"originalCode":"', '"originalCode":7,"was":"'),
+        8: ('"risk_level":"', '"risk_level":"Very '),
+        9: ('"line":2', '"line":2.5'),
+        10: ('"cases":[]', '"cases":{}'),
+        11: ('"recommendations":["check it",', '"recommendations":["check it",4,'),
+        12: ('"title":"', '"title":3,"title":"'),  # of a repeated key the last value counts
+        13: ('"schemaVersion":1,', '"schemaVersion":1,,'),
+        15: ('"schemaVersion":1,', '"schemaVersion":1.0,"unknown":[{}],'),
+    }
+    text = F.col("good")
+    for number, (old, new) in swaps.items():
+        text = F.when(k == number, F.replace("good", F.lit(old), F.lit(new))).otherwise(text)
+    text = F.when(k == 14, F.concat("good", F.lit(" trailing"))).otherwise(text)
+    checked = V.check_json(texts.select("run", text.alias("text")), "text", V.REPORT, S.REPORT, "report")
+    return checked.select("run", "reason", "bad_path")
+
+
+@query("orders")
+def test_results(orders):
+    return readers.test_results(C.result_files(orders)).valid
+
+
+@query("orders")
+def rejected_results(orders):
+    return readers.test_results(C.result_files(orders)).rejected.select("run", "version", "reason", "bad_path")
+
+
+@query("orders")
+def truth_bugs(orders):
+    return readers.truth_bugs(C.truth_lists(orders))
+
+
+@query("events")
+def parse_events(events):
+    return readers.parse_events(C.event_texts(events), "line", "event_id")
+
+
+@query("events")
+def event_lines(events):
+    rows = C.run_events(events).withColumn("seq", F.col("seq.event_id"))
+    return writers.event_lines(rows)
+
+
+@query("events")
+def iso_times(events):
+    ts = F.col("ts").cast("timestamp")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("at "), T.iso_time(ts))).otherwise(T.iso_time(ts))
+    return events.select("event_id", T.iso_time(ts).alias("iso"), F.unix_millis(T.parse_iso(text)).alias("ms"))
+
+
 @query("orders", "lineitem")
 def index_entries(orders, lineitem):
-    """What the index holds about every assembled report."""
-    return assembly.index_entries(_reports(orders, lineitem))
+    """What the index holds about every run; its issues are counted, no document is built."""
+    return assembly.index_rows(C.heads(orders), C.issues(lineitem))
 
 
 # --- text ---------------------------------------------------------------------

@@ -8,7 +8,7 @@ artifact names are fixed values that review data has to match.
 ISSUE_TYPES = ["Syntax", "Logical", "Runtime", "Performance", "Security"]
 SEVERITIES = ["Low", "Medium", "High"]
 LANGUAGES = ["typescript", "javascript"]
-SOURCE_KINDS = ["bob", "watsonx"]
+RECORDED, LIVE = SOURCE_KINDS = ["bob", "watsonx"]
 STAGES = ["analyze", "fix", "test", "report"]
 STATUSES = ["running", "done", "error"]
 EVENT_TYPES = ["stage", "result", "error"]

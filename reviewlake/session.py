@@ -1,7 +1,5 @@
 """Session settings the operators rely on."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only; sizing (executors, memory, shuffle partitions) stays
@@ -28,14 +26,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing the rows once, to where every executor can read them.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    there is none, as in tests, a local one is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reviewlake-"))
-    return df.checkpoint()
+def settle(df: DataFrame, folder: str) -> DataFrame:
+    """Cut the lineage by writing the rows once to a folder every executor can read."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -5,7 +5,6 @@ touches the driver; contents are read where they are processed, and a query
 that needs just names and times never opens the files.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +27,24 @@ TRUTH = J.fields(
 )
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark spells it in the paths of its files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, or of the file itself; none where nothing is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Every file below ``path``: folder, file, path, mtime and its text.
 
-    Bytes that are not UTF-8 become U+FFFD.
+    ``folder`` is the path of the file's folder below ``path``, so folders of one
+    name in different places stay apart.  Bytes that are not UTF-8 become U+FFFD.
     """
     files = (
         spark.read.format("binaryFile")
@@ -40,8 +53,9 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         .load(path)
     )
     parts = F.split("path", "/")
+    depth = len(_qualified(spark, path).split("/"))
     return files.select(
-        F.element_at(parts, -2).alias("folder"),
+        F.array_join(F.slice(parts, depth + 1, F.size(parts) - depth - 1), "/").alias("folder"),
         F.element_at(parts, -1).alias("file"),
         "path",
         F.col("modificationTime").alias("mtime"),
@@ -50,7 +64,10 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Artifacts of all run folders below ``root``: run, file, mtime, text."""
+    """Artifacts of all run folders below ``root``: run, file, mtime, text.
+
+    A run is named by its folder's path below ``root``.
+    """
     return read_files(spark, root, "*.{json,ts,js}").select(
         F.col("folder").alias("run"), "file", "mtime", "text"
     )
@@ -63,12 +80,26 @@ def read_reports(spark: SparkSession, path: str) -> Checked:
     return Checked(checked.valid.select("report.*"), checked.rejected)
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_published(spark: SparkSession, path: str) -> Checked:
+    """Reports as ``write_reports`` or ``publish_reports`` have left them, validated again."""
+    if any(name.startswith("bucket=") for name in _names(spark, path)):
+        rows = spark.read.schema("run string, report string, bucket int").parquet(path)
+        texts = rows.select("run", F.col("report").alias("text"))
+    else:
+        whole = spark.read.format("text").option("wholetext", "true").schema("value string, run string")
+        rows = whole.load(path)
+        texts = rows.select("run", F.col("value").alias("text"))
+    checked = validate_reports(texts, "text")
+    return Checked(checked.valid.select("report.*"), checked.rejected)
+
+
+def read_truth(spark: SparkSession, path: str) -> Checked:
     """Ground truth files ``<run>.expected.json``: run and its list of bugs, maybe empty."""
     files = read_files(spark, path, "*.expected.json")
     run = F.regexp_extract("file", r"\A(.*)\.expected\.json\z", 1)
     checked = check_json(files.select(run.alias("run"), "text"), "text", TRUTH, S.TRUTH)
-    return split_checked(checked).valid.select("run", "value.bugs")
+    valid, rejected = split_checked(checked)
+    return Checked(valid.select("run", "value.bugs"), rejected)
 
 
 def truth_bugs(truth: DataFrame) -> DataFrame:
@@ -118,21 +149,50 @@ def read_test_results(spark: SparkSession, root: str) -> Checked:
     return test_results(read_files(spark, root, "vitest-*.json").withColumnRenamed("folder", "run"))
 
 
+INDEX_POINTER = "_current"
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The version the pointer of an index names; 0 without one."""
+    if INDEX_POINTER not in _names(spark, path):
+        return 0
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{INDEX_POINTER}")
+    stream = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).open(pointer)
+    try:
+        return int(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+INDEX = J.list_of(
+    J.fields(
+        id=J.text(), fileName=J.text(), recordedAt=J.text(), author=J.optional(J.nullable(J.text())), issues=J.integer()
+    )
+)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The latest complete version written by ``write_index``."""
-    versions = spark.read.schema(f"{S.INDEX_ENTRY}, version bigint").json(path)
-    latest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == latest).drop("version")
+    """The version ``write_index`` has named as the current one, or an index published as one JSON list.
+
+    The list is a file, or ``index.json`` in the folder; a file that is no such list is an error.
+    """
+    version = current_version(spark, path)
+    if version:
+        return spark.read.schema(S.INDEX_ENTRY).json(f"{path}/version={version}")
+    files = read_files(spark, path, "*.json").filter(F.col("file").isin("index.json", path.rsplit("/", 1)[-1]))
+    ddl = f"array<struct<{S.INDEX_ENTRY.replace(' ', ': ')}>>".replace(",: ", ", ")
+    checked = check_json(files.select("file", "text"), "text", INDEX, ddl, "entries")
+    broken = F.raise_error(F.concat("file", F.lit(" is no index: "), "reason", F.lit(" "), F.coalesce("bad_path", F.lit(""))))
+    entries = F.when(F.col("reason").isNull(), F.col("entries")).otherwise(F.when(broken.isNull(), F.col("entries")))
+    return checked.select(F.inline(entries))
 
 
 def read_index_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """Like ``read_index``, but no index yet is an empty one."""
-    try:
+    names = _names(spark, path)
+    if current_version(spark, path) or "index.json" in names or path.endswith(".json") and names:
         return read_index(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], S.INDEX_ENTRY)
+    return spark.createDataFrame([], S.INDEX_ENTRY)
 
 
 # --- events -----------------------------------------------------------------
@@ -169,8 +229,9 @@ def read_event_files(
 ) -> DataFrame:
     """One ``<run>.ndjson`` file per run; ``seq`` is the line number.
 
-    Empty lines are skipped, and so is a last line without its newline.
-    ``per_batch`` limits the files of one micro-batch.
+    Empty lines are skipped, and so is a last line without its newline.  A
+    stream reads each file once, so files must be whole when they appear; a log
+    that grows is read as event lines.  ``per_batch`` limits the files of one micro-batch.
     """
     files = (
         _event_reader(spark, stream, per_batch).option("wholetext", "true")

@@ -1,15 +1,12 @@
 """Publish reports, the index and events."""
 
-import time
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from reviewlake.operators.assembly import report_json
 from reviewlake.operators.index import sort_index
-from reviewlake.sources.readers import EVENT_COLUMNS
+from reviewlake.sources.readers import EVENT_COLUMNS, INDEX_POINTER, _names, current_version
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -24,28 +21,54 @@ def write_reports(reports: DataFrame, path: str) -> None:
     )
 
 
-def publish_reports(reports: DataFrame, path: str, buckets: int = 256) -> None:
-    """Report documents as lines in a fixed number of buckets, for very many runs.
+def _file_system(spark, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _put(spark, path: str, text: str) -> None:
+    """A small file, complete from the moment it is there."""
+    place, files = _file_system(spark, path)
+    part, _ = _file_system(spark, f"{path}.part")
+    stream = files.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    files.delete(place, False)
+    files.rename(part, place)
+
+
+def delete(spark, path: str) -> None:
+    """Remove a folder this library has written."""
+    place, files = _file_system(spark, path)
+    files.delete(place, True)
+
+
+_BUCKETS = "_buckets-"
+
+
+def publish_reports(reports: DataFrame, path: str, buckets: int = 256, spread: int = 8) -> None:
+    """Report documents as rows in a fixed number of buckets, for very many runs.
 
     Only the buckets of the given runs are read and rewritten; within them a
     document with the same id is replaced.  The old files stay in place until
-    the new ones are complete.
+    the new ones are complete.  The number of buckets belongs to the folder; another
+    one is refused.  Up to ``spread`` tasks write one bucket.
     """
     spark = reports.sparkSession
-    bucket = F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int")
+    marked = [int(n.removeprefix(_BUCKETS)) for n in _names(spark, path) if n.startswith(_BUCKETS)]
+    if marked and marked[0] != buckets:
+        raise ValueError(f"{path} has {marked[0]} buckets")
     new = reports.select(F.col("id").alias("run"), report_json().alias("report"))
-    new = new.withColumn("bucket", bucket)
-    try:
+    merged = new = new.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+    if marked:
         old = spark.read.schema("run string, report string, bucket int").parquet(path)
         touched = new.select("bucket").distinct()
         kept = old.join(touched, "bucket", "left_semi").join(new.select("run"), "run", "left_anti")
         merged = new.unionByName(kept)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        merged = new
+    else:
+        _put(spark, f"{path}/{_BUCKETS}{buckets}", "")
     (
-        merged.repartition("bucket")
+        merged.repartition(F.col("bucket"), F.pmod(F.xxhash64("run", F.lit(spread)), F.lit(spread)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -54,13 +77,20 @@ def publish_reports(reports: DataFrame, path: str, buckets: int = 256) -> None:
 
 
 def write_index(index: DataFrame, path: str) -> int:
-    """The whole index, sorted, as a new version; ``read_index`` picks the latest.
+    """The whole index, sorted, as a new version; the pointer to it is written last.
 
-    The version being read is never overwritten, so the new index may be
-    derived from the current one.
+    The version being read is never overwritten, so the new index may be derived from the current one.
+    Of two publishers at once the second finds its version taken and fails.
+    The version before stays for those still reading it; older ones are removed.
     """
-    version = time.time_ns() // 1_000_000
-    sort_index(index).write.option("ignoreNullFields", "false").json(f"{path}/version={version}")
+    spark = index.sparkSession
+    current = current_version(spark, path)
+    version = current + 1
+    sort_index(index).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/version={version}")
+    _put(spark, f"{path}/{INDEX_POINTER}", str(version))
+    for name in _names(spark, path):
+        if name.startswith("version=") and int(name.removeprefix("version=")) < current:
+            delete(spark, f"{path}/{name}")
     return version
 
 

@@ -121,9 +121,13 @@ def run_outcome(events: DataFrame) -> DataFrame:
 # --- streaming --------------------------------------------------------------
 
 
-def watch_progress(events: DataFrame, delay: str = "6 hours") -> DataFrame:
+def watch_progress(events: DataFrame, delay: str) -> DataFrame:
     """Streaming ``stage_progress``, to be written in update mode.
 
+    Events of runs that started longer than ``delay`` before the newest one are
+    late and not counted; the query's progress reports their number
+    (``numRowsDroppedByWatermark``).
+
     ``started_at`` is the start time every event of a run carries.  As part of
     the grouping key it lets the watermark drop runs that started longer ago
     than ``delay``, which bounds the state.
@@ -131,15 +135,19 @@ def watch_progress(events: DataFrame, delay: str = "6 hours") -> DataFrame:
     return stage_progress(events.withWatermark("started_at", delay), "started_at")
 
 
-def watch_elapsed(events: DataFrame, delay: str = "6 hours") -> DataFrame:
+def watch_elapsed(events: DataFrame, delay: str) -> DataFrame:
+    """Streaming ``stage_elapsed``; late events as in ``watch_progress``."""
     return stage_elapsed(events.withWatermark("started_at", delay), "started_at")
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """State settings for ``follow_runs``.
+    """State settings for ``follow_runs``, read when a query of the session starts.
 
     Timed state lives in RocksDB; it expires along with new data, so a query
-    over what is available now comes to an end.
+    over what is available now comes to an end.  They hold for every query the
+    session starts from then on; ``watch_progress`` and ``watch_elapsed`` give the
+    same rows with and without them.  Use a session of its own
+    (``spark.newSession()``) to keep others as they are.
     """
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -150,54 +158,58 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 _OUTCOME = "run string, outcome string, message string, report string, events_read bigint, stages string"
+_EVENT = "type string, stage string, status string, ms bigint, report string"
 
 
 class _RunFold(StatefulProcessor):
-    """Fold the events of one run in arrival order; the state is a single row."""
+    """Fold the events of one run by their seq, in whatever order and pieces they arrive.
 
-    STATE = (
-        "stopped boolean, message string, report string, events_read bigint, "
-        + ", ".join(f"{s}_status string" for s in STAGES)
-    )
+    Kept are the events before the first error known so far, by seq, and that error as a tombstone.  An
+    earlier error drops the events behind it; events behind the tombstone are not kept at all.
+    """
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, quiet_ms: int, tombstone_ms: int):
+        self.quiet_ms, self.tombstone_ms = quiet_ms, tombstone_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", self.STATE, ttlDurationMs=self.ttl_ms)
+        self.events = handle.getMapState("events", "seq bigint", _EVENT, ttlDurationMs=self.quiet_ms)
+        self.stop = handle.getValueState("stop", "seq bigint, message string", ttlDurationMs=self.tombstone_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stopped, message, report, count, *stages = self.state.get() or (
-            False, None, None, 0, *[PENDING] * len(STAGES),
-        )
+        stop = self.stop.get() if self.stop.exists() else None
         for batch in rows:
-            if stopped:
-                continue
-            batch = batch.sort_values("seq")
-            errors = (batch["type"] == "error").to_numpy()
-            if errors.any():
-                first = int(errors.argmax())
-                message, stopped = batch["message"].iloc[first], True
-                batch = batch.iloc[: first + 1]
-            count += len(batch)
-            results = batch.loc[batch["type"] == "result", "report"]
-            if len(results):
-                report = results.iloc[-1]
-            seen = batch[batch["type"] == "stage"]
-            for i, stage in enumerate(STAGES):
-                statuses = seen.loc[seen["stage"] == stage, "status"]
-                if len(statuses):
-                    stages[i] = statuses.iloc[-1]
-        self.state.update((stopped, message, report, count, *stages))
-        outcome = "error" if stopped else "result" if report is not None else "open"
+            batch = batch.astype(object).where(batch.notna(), None)
+            for e in batch.itertuples(index=False):
+                if stop is not None and e.seq >= stop[0]:
+                    continue
+                if e.type == "error":
+                    stop = (int(e.seq), e.message)
+                    self.stop.update(stop)
+                else:
+                    ms = None if e.ms is None else int(e.ms)
+                    self.events.updateValue((int(e.seq),), (e.type, e.stage, e.status, ms, e.report))
+        kept = []
+        for seq, event in list(self.events.iterator()):
+            if stop is not None and seq[0] > stop[0]:
+                self.events.removeKey(seq)
+            else:
+                kept.append((seq[0], *event))
+        kept.sort(key=lambda e: e[0])
+        results = [e for e in kept if e[1] == "result"]
+        states = []
+        for stage in STAGES:
+            mine = [e for e in kept if e[1] == "stage" and e[2] == stage]
+            spans = [e[4] for e in mine if e[4] is not None]
+            states.append(f"{mine[-1][3] if mine else PENDING}:{spans[-1] if spans else ''}")
+        outcome = "error" if stop is not None else "result" if results else "open"
         yield pd.DataFrame(
             {
                 "run": [key[0]],
                 "outcome": [outcome],
-                "message": [message],
-                "report": [report],
-                "events_read": [count],
-                "stages": [",".join(stages)],
+                "message": [None if stop is None else stop[1]],
+                "report": [results[-1][5] if results else None],
+                "events_read": [len(kept) + (stop is not None)],
+                "stages": [",".join(states)],
             }
         )
 
@@ -205,16 +217,19 @@ class _RunFold(StatefulProcessor):
         pass
 
 
-def follow_runs(events: DataFrame, ttl_ms: int = 6 * 3600 * 1000) -> DataFrame:
-    """Streaming run outcomes, one updated row per run and micro-batch.
+def follow_runs(events: DataFrame, quiet_ms: int, tombstone_ms: int) -> DataFrame:
+    """Streaming run outcomes, one updated row per run and micro-batch; ``stages`` has ``status:ms`` of each.
 
-    Events count in arrival order; after its first error event a run is not
-    read any further.  The state per run is one small row, dropped ``ttl_ms``
-    after its last event.  ``prepare_session`` has to come first.
+    Rows equal ``run_outcome`` over the events so far, however they are cut into files, micro-batches and
+    Arrow batches; a seq that comes twice counts once.  The state of a run is its events before the
+    first error.  The caller names its bounds: events are forgotten ``quiet_ms`` after they came, the
+    tombstone of a stopped run ``tombstone_ms`` after its error; a later event would open the run
+    anew, so the tombstone should live as long as late events can come.  ``prepare_session`` has to come first.
     """
-    columns = events.select("run", "seq", "type", "stage", "status", "message", "report")
+    columns = events.select("run", "seq", "type", "stage", "status", "ms", "message", "report")
+    columns = columns.withColumn("ms", F.col("ms").cast("bigint"))
     return columns.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=_RunFold(ttl_ms),
+        statefulProcessor=_RunFold(quiet_ms, tombstone_ms),
         outputStructType=_OUTCOME,
         outputMode="Update",
         timeMode="ProcessingTime",

@@ -4,9 +4,9 @@ import samples
 
 from reviewlake.operators import assembly, validation as V
 from reviewlake.plans import live
-from reviewlake.schemas import SOURCE_KINDS, STAGES
+from reviewlake.schemas import LIVE, STAGES
 
-START = 1_790_518_747_000_000
+START = 1_933_135_628_000_000
 
 
 def answers():
@@ -31,7 +31,7 @@ def test_live_reports(spark):
         [(r, "x\n", "typescript", "snippet.ts") for r in ("ok", "retried", "failed", "waiting")],
         "run string, code string, language string, file_name string",
     )
-    built = live.live_reports(requests, responses, "m-1")
+    built = live.live_reports(requests, responses, "m-1", "by the clock")
     assert {r.run: (r.reason, r.detail) for r in built.rejected.collect()} == {
         "failed": ("fix stage failed", "no_object"), "waiting": ("analyze stage failed", "no answer"),
     }
@@ -41,6 +41,6 @@ def test_live_reports(spark):
     assert set(docs) == {"ok", "retried"}
     doc = docs["ok"]
     assert (doc["analysis"], doc["fix"], doc["tests"], doc["report"]) == tuple(good[s] for s in STAGES)
-    assert doc["source"] == {"kind": SOURCE_KINDS[1], "model": "m-1", "recordedAt": "2026-09-27T14:19:38.500Z"}
+    assert doc["source"] == {"kind": LIVE, "model": "m-1", "recordedAt": "2031-04-05T06:07:39.500Z"}
     assert doc["title"] == "snippet.ts" and "verification" not in doc and "detection" not in doc
     assert doc["timings"]["totalMs"] == 6000 and docs["retried"]["timings"]["totalMs"] == 4 * 2250

@@ -11,8 +11,8 @@ from reviewlake.plans.queries import QUERIES
 
 SF_DIR = driver.SMALLEST
 TABLES = ["lineitem", "orders", "part", "events", "documents", "pages"]
-# Alignment has no SQL; test_versions compares it with its definition.
-WITHOUT_SQL = {"side_by_side", "diff_stats"}
+# Alignment runs its kernel in Python.
+IN_PYTHON = {"side_by_side", "diff_stats"}
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
 
@@ -31,7 +31,7 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(QUERIES) == set(ORACLES)
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
@@ -66,7 +66,7 @@ def test_plan_scales(spark, name):
     df = driver.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    assert ("MapInArrow" in plan) == (name in WITHOUT_SQL)
+    assert ("MapInArrow" in plan) == (name in IN_PYTHON)
     assert "PythonUDF" not in plan
     # Scans read the columns they need, never a whole table for a few of them.
     if "FileScan" in plan and name in {"severity_counts", "detection", "to_lines", "stage_state"}:

@@ -63,19 +63,12 @@ def test_assembled_from_flat_tables(spark):
     assert docs["empty"]["analysis"]["errors"] == [] and "detection" not in docs["empty"]
     assert "verification" not in docs["empty"] and docs["empty"]["tests"]["cases"] == []
     assert V.validate_reports(built.select(assembly.report_json().alias("t")), "t").rejected.count() == 0
-    # Too many children to nest: the run is left out, and its rows are elsewhere.
-    short = assembly.nest_children(
-        assembly.flatten_issues(source), assembly.flatten_fixes(source), assembly.flatten_cases(source), max_items=5
-    )
-    assert short.first().cases is None and short.first().n_cases == 12
-    assert assembly.assemble_reports(heads, short).count() == 0
     tables = [f(source) for f in (assembly.flatten_issues, assembly.flatten_fixes, assembly.flatten_cases)]
-    rows = assembly.long_report_rows(*tables, max_items=5).collect()
+    rows = assembly.child_rows(*tables).collect()
     items = {(r.kind, r.pos): json.loads(r.item) for r in rows}
     assert len(items) == len(rows) == 22
-    assert [items["errors", i] for i in range(5)] == samples.analysis()["errors"]
-    assert items["cases", 11] == {"name": "edge 11", "issueId": None}
-    assert assembly.long_report_rows(*tables).count() == 0
+    assert [items["errors", i] for i in range(6)] == samples.analysis()["errors"]
+    assert items["cases", 8] == {"name": "edge 8", "issueId": None}
 
 
 def test_flat_tables_and_card(spark):
@@ -83,15 +76,15 @@ def test_flat_tables_and_card(spark):
     issues = assembly.flatten_issues(reports).orderBy("pos").collect()
     assert [(r.pos, r.issue_id, r.line) for r in issues] == [(i, f"E{i + 1}", n) for i, n in enumerate(samples.LINES)]
     assert [r.issue_id for r in assembly.flatten_cases(reports).orderBy("pos").collect()] == samples.TAGS
-    assert assembly.flatten_fixes(reports).count() == 5
+    assert assembly.flatten_fixes(reports).count() == 6
     runs = assembly.flatten_test_runs(reports).orderBy("version").collect()
-    assert [tuple(r) for r in runs] == [("cart", "fixed", 12, 0, 12), ("cart", "original", 3, 9, 12)]
+    assert [tuple(r) for r in runs] == [("cart", "fixed", 10, 0, 10), ("cart", "original", 2, 8, 10)]
     card = assembly.report_card(reports).first()
     assert tuple(card) == (
-        "cart", 5, "2 high · 2 medium · 1 low", 5, 12, "5/5", "none missed", "3 → 12", 12, None,
+        "cart", 6, "1 high · 3 medium · 2 low", 6, 10, "6/6", "none missed", "2 → 10", 10, None,
     )
     entry = assembly.index_entries(reports).first()
-    assert tuple(entry) == ("cart", "samples/cart.ts", "2026-09-27T14:19:07.227Z", "someone", 5)
+    assert tuple(entry) == ("cart", "samples/cart.ts", "2031-04-05T06:07:08.348Z", "someone", 6)
 
 
 def test_headline_values(spark):
@@ -106,7 +99,7 @@ def test_headline_values(spark):
         "id", T.fill_placeholders(slide, assembly.headline_values()).alias("text")
     )
     assert {r.id: r.text for r in rows.collect()} == {
-        "cart": "5 5 12 3 12 5/5 1 task –", "bare": "5 5 – – – –/– 1 task –", "timed": "5 5 12 3 12 5/5 1.5 min –",
+        "cart": "6 6 10 2 10 6/6 1 task –", "bare": "6 6 – – – –/– 1 task –", "timed": "6 6 10 2 10 6/6 1.5 min –",
     }
 
 

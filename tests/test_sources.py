@@ -1,7 +1,9 @@
 import json
 import os
 
+import pytest
 import samples
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as T
@@ -9,7 +11,7 @@ from reviewlake.operators import assembly
 from reviewlake.plans import prompts, publish
 from reviewlake.sources import readers, writers
 
-START_MS = 1_790_518_747_129  # the sample's startedAt
+START_MS = 1_933_135_628_250  # the sample's startedAt
 
 
 def stamp(folder, **offsets):
@@ -24,9 +26,11 @@ def test_read_runs(spark, tmp_path):
     samples.write_run(tmp_path, "a%20b", ".js")
     stamp(tmp_path / "a%20b", report__json=98)
     (tmp_path / "cart.bin").write_bytes(b"\xff")
+    samples.write_run(tmp_path, "cart")
     rows = {(r.run, r.file): r for r in readers.read_runs(spark, str(tmp_path)).collect()}
-    assert len(rows) == 18
-    assert rows["cart", "original.ts"].text == samples.original()
+    assert len(rows) == 27
+    assert {run for run, _ in rows} == {"deep er/cart", "a%20b", "cart"}  # folders of one name are two runs
+    assert rows["deep er/cart", "original.ts"].text == samples.original()
     report = rows["a%20b", "report.json"]
     assert json.loads(report.text) == samples.summary()
     assert round(report.mtime.timestamp() * 1000) == START_MS + 98
@@ -62,15 +66,16 @@ def test_read_sources_and_templates(spark, tmp_path):
         if stage == "analyze":
             assert text == "1| x $1|{{test_count}}|{{fixes_json}}|{{fixed_code}}"
         if stage == "report":
-            assert text == "{{code_input}}|12|" + json.dumps(doc["fix"]["fixes"], indent=2) + "|{{fixed_code}}"
+            assert text == "{{code_input}}|10|" + json.dumps(doc["fix"]["fixes"], indent=2) + "|{{fixed_code}}"
 
 
 def test_read_truth(spark, tmp_path):
     (tmp_path / "cart.expected.json").write_text(json.dumps(samples.truth()))
     (tmp_path / "clean.expected.json").write_text('{"bugs": []}')
     (tmp_path / "bad.expected.json").write_text('{"bugs": [{"id": "x", "line": "1"}]}')
-    truth = readers.read_truth(spark, str(tmp_path))
+    truth, rejected = readers.read_truth(spark, str(tmp_path))
     assert sorted(r.run for r in truth.collect()) == ["cart", "clean"]
+    assert [(r.run, r.reason, r.bad_path) for r in rejected.collect()] == [("bad", "bad_field", "bugs.0.line")]
     rows = readers.truth_bugs(truth).orderBy("pos").collect()
     assert [(r.run, r.pos, r.line) for r in rows] == [("cart", i, n) for i, n in enumerate(samples.LINES)]
 
@@ -82,7 +87,7 @@ def test_read_test_results(spark, tmp_path):
     (tmp_path / "b" / "vitest-other.json").write_text("{}")
     counts, rejected = readers.read_test_results(spark, str(tmp_path))
     assert sorted(map(tuple, counts.collect())) == [
-        ("a", "fixed", 12, 0, 12), ("a", "original", 3, 9, 12), ("b", "original", 3, 9, 12),
+        ("a", "fixed", 10, 0, 10), ("a", "original", 2, 8, 10), ("b", "original", 2, 8, 10),
     ]
     assert [(r.run, r.bad_path) for r in rejected.collect()] == [("b", "numPassedTests")]
 
@@ -110,13 +115,18 @@ def test_write_reports_replaces_only_its_runs(spark, tmp_path):
         "cart": json.dumps(docs[2], indent=2, ensure_ascii=False) + "\n",
         "other": json.dumps(docs[1], indent=2, ensure_ascii=False) + "\n",
     }
-    # The same in buckets, read back whole.
+    # The same in buckets; both layouts are read back as they were written.
     buckets = str(tmp_path / "buckets")
     for some in (docs[:2], docs[2:], docs[2:]):
         writers.publish_reports(reports(*some), buckets, buckets=3)
-    rows = spark.read.parquet(buckets).collect()
-    assert {r.run: json.loads(r.report)["title"] for r in rows} == {"cart": "second edition", "other": "cart"}
-    assert len(rows) == 2
+    with pytest.raises(ValueError, match="3 buckets"):
+        writers.publish_reports(reports(docs[0]), buckets, buckets=5)
+    for path in (out, buckets):
+        valid, rejected = readers.read_published(spark, path)
+        again = {r.id: json.loads(r.t) for r in valid.select("id", assembly.report_json().alias("t")).collect()}
+        assert again == {"cart": docs[2], "other": docs[1]}
+        assert rejected.count() == 0
+    assert spark.read.parquet(buckets).count() == 2
 
 
 def test_read_reports(spark, tmp_path):
@@ -133,15 +143,36 @@ def test_index_is_versioned(spark, tmp_path):
     assert readers.read_index_or_empty(spark, path).count() == 0
     ddl = readers.S.INDEX_ENTRY
     writers.write_index(spark.createDataFrame([("b", "f", "t", None, 1), ("a", "f", "t", "x", 0)], ddl), path)
-    more = readers.read_index(spark, path).union(spark.createDataFrame([("B", "f", "t", "x", 2)], ddl))
-    writers.write_index(more, path)
+    writers.write_index(readers.read_index(spark, path).union(spark.createDataFrame([("B", "f", "t", "x", 2)], ddl)), path)
+    for _ in range(2):
+        writers.write_index(readers.read_index(spark, path), path)
     assert {tuple(r) for r in readers.read_index(spark, path).collect()} == {
         ("b", "f", "t", None, 1), ("a", "f", "t", "x", 0), ("B", "f", "t", "x", 2),
     }
-    newest = max((tmp_path / "index").glob("version=*"))
-    lines = [x for p in sorted(newest.glob("part-*")) for x in p.read_text().splitlines()]
+    # Old versions go, but for the one before, which may still be read.
+    assert sorted(p.name for p in (tmp_path / "index").glob("version=*")) == ["version=3", "version=4"]
+    lines = [x for p in sorted((tmp_path / "index/version=4").glob("part-*")) for x in p.read_text().splitlines()]
     assert [json.loads(x)["id"] for x in lines] == ["a", "b", "B"]
     assert '"author":null' in lines[1]
+    # A version that another publisher has begun is not overwritten, and one that is not finished is not read.
+    (tmp_path / "index/version=5").mkdir()
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        writers.write_index(readers.read_index(spark, path), path)
+    assert readers.read_index(spark, path).count() == 3
+
+
+def test_index_as_one_list(spark, tmp_path):
+    """The form in which an index is published: one JSON list."""
+    entries = [
+        {"id": "a", "fileName": "f", "recordedAt": "t", "author": None, "issues": 2},
+        {"id": "b", "fileName": "g", "recordedAt": "t", "author": "x", "issues": 0},
+    ]
+    (tmp_path / "index.json").write_text(json.dumps(entries, indent=2))
+    for path in (tmp_path, tmp_path / "index.json"):
+        assert sorted(map(tuple, readers.read_index(spark, str(path)).collect())) == [tuple(e.values()) for e in entries]
+    (tmp_path / "index.json").write_text('[{"id": 1}]')
+    with pytest.raises(Exception, match="index.json"):
+        readers.read_index(spark, str(tmp_path)).collect()
 
 
 def test_publish_runs(spark, tmp_path):
@@ -152,7 +183,7 @@ def test_publish_runs(spark, tmp_path):
     }
     stamp(runs / "cart", **times)
     far = samples.analysis()
-    far["errors"] = [far["errors"][0] | {"line": None}, far["errors"][1] | {"line": 23}]
+    far["errors"] = [far["errors"][0] | {"line": None}, far["errors"][1] | {"line": 25}]
     samples.write_run(
         runs, "js-run", ".js", analysis__json=json.dumps(far),
         **{"vitest-original.json": json.dumps(samples.result(0, 0, 0))},
@@ -180,7 +211,7 @@ def test_publish_runs(spark, tmp_path):
     assert set(docs) == {"cart", "js-run"}
     expected = samples.report()
     expected["fix"]["fixedCode"] = samples.fixed()
-    expected["source"]["recordedAt"] = "2026-09-27T14:19:11.129Z"
+    expected["source"]["recordedAt"] = "2031-04-05T06:07:12.250Z"
     expected["verification"]["command"] = "npx vitest run runs/cart/cart.test.ts"
     expected["timings"] = {
         "analyzeMs": 1000, "fixMs": 1500, "testMs": 0, "reportMs": 1500, "totalMs": 4000,
@@ -189,17 +220,32 @@ def test_publish_runs(spark, tmp_path):
     assert docs["cart"] == expected
     js = docs["js-run"]
     assert js["language"] == "javascript" and "timings" not in js
-    assert js["detection"] == {"expected": 5, "caught": 1, "missed": ["bug-12", "bug-20", "bug-29", "bug-33"]}
-    assert js["verification"]["original"] == {"passed": 0, "failed": 12, "total": 12}
+    assert js["detection"] == {"expected": 6, "caught": 1, "missed": ["bug-3", "bug-8", "bug-14", "bug-19", "bug-32"]}
+    assert js["verification"]["original"] == {"passed": 0, "failed": 10, "total": 10}
     index = {r.id: r for r in readers.read_index(spark, f"{out}/index").collect()}
     assert set(index) == {"cart", "js-run"} and index["js-run"].issues == 2
     # What was published is valid, and publishing again changes nothing but the index version.
     texts = spark.createDataFrame([(json.dumps(d),) for d in docs.values()], "text string")
     assert publish.V.validate_reports(texts, "text").rejected.count() == 0
-    publish.publish_runs(spark, str(runs), str(out), author="someone", model="m", with_timings=False)
+    built = publish.publish_runs(spark, str(runs), str(out), author="someone", model="m", with_timings=False)
     docs = {run: json.loads(text) for run, text in published(out / "reports").items()}
     assert "timings" not in docs["cart"] and "detection" not in docs["cart"]
     assert readers.read_index(spark, f"{out}/index").count() == 2
+    assert not list(out.glob("_staging*"))
+    again = readers.read_published(spark, f"{out}/reports").valid
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in built.reports.collect()) == ["cart", "js-run"]
+
+
+def test_named_tests_file(spark, tmp_path):
+    samples.write_run(tmp_path / "runs", "cart", **{"other.test.ts": "it('longer than the other one', () => {});\n" * 99})
+    files = readers.read_runs(spark, str(tmp_path / "runs"))
+    for name, cases in (("cart.test.ts", 10), ("other.test.ts", 99)):
+        built = publish.build_reports(files, tests_file=name)
+        assert built.reports.select(F.size("tests.cases")).first()[0] == cases
+    # Without a name the last one by name counts, however long.
+    assert publish.build_reports(files).reports.select(F.size("tests.cases")).first()[0] == 99
+    lacking = publish.build_reports(files, tests_file="none.test.ts").rejected.first()
+    assert (lacking.reason, lacking.detail) == ("missing", "none.test.ts")
 
 
 def test_event_files(spark, tmp_path):
@@ -233,4 +279,4 @@ def test_file_times_have_milliseconds(spark, tmp_path):
     samples.write_run(tmp_path, "cart")
     stamp(tmp_path / "cart", report__json=98)
     df = readers.read_runs(spark, str(tmp_path)).filter("file = 'report.json'")
-    assert df.select(T.iso_time("mtime")).first()[0] == "2026-09-27T14:19:07.227Z"
+    assert df.select(T.iso_time("mtime")).first()[0] == "2031-04-05T06:07:08.348Z"

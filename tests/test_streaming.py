@@ -123,35 +123,55 @@ def test_streamed_progress_equals_batch(spark, tmp_path):
     log = as_log(spark, rows, str(tmp_path / "log"), lambda r: shuffled[r[:2]])
     streamed = readers.read_event_lines(spark, str(tmp_path / "log"), stream=True, per_batch=1)
     got = {}
-    for number, row in run_stream(spark, progress.watch_progress(streamed), tmp_path, "update"):
+    for number, row in run_stream(spark, progress.watch_progress(streamed, "6 hours"), tmp_path, "update"):
         got[row.run, row.stage] = (row.status, row.seconds)
     expected = {(r.run, r.stage): (r.status, r.seconds) for r in progress.stage_progress(log).collect()}
     assert got == expected and len(got) == 13 * 4
 
 
-@pytest.mark.parametrize("n_batches", [1, 3])
-def test_followed_runs_equal_batch(spark, tmp_path, n_batches):
-    progress.prepare_session(spark)
+LONG = 10**12
+
+
+@pytest.mark.parametrize("cut", ["one", "ordered", "shuffled"])
+def test_followed_runs_equal_batch(spark, tmp_path, cut):
+    """However the events are cut into files, micro-batches and Arrow batches, and in any order."""
+    session = progress.prepare_session(spark.newSession())
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     rows = random_events(2)
-    # Events arrive in order: earlier seq numbers in earlier batches.
-    log = as_log(spark, rows, str(tmp_path / "log"), lambda r: min(n_batches - 1, r[1] // 4))
-    streamed = readers.read_event_lines(spark, str(tmp_path / "log"), stream=True, per_batch=1)
+    random.Random(4).shuffle(rows)
+    place = {
+        "one": lambda r: 0,
+        "ordered": lambda r: min(2, r[1] // 4),
+        "shuffled": lambda r: random.Random(str(r[:2])).randrange(4),
+    }[cut]
+    log = as_log(session, rows, str(tmp_path / "log"), place)
+    streamed = readers.read_event_lines(session, str(tmp_path / "log"), stream=True, per_batch=1)
     got = {}
-    emitted = run_stream(spark, progress.follow_runs(streamed), tmp_path, "update")
+    emitted = run_stream(session, progress.follow_runs(streamed, LONG, LONG), tmp_path, "update")
     for _, row in sorted(emitted, key=lambda e: e[0]):
         got[row.run] = row
-    assert len({number for number, _ in emitted}) == n_batches
     states = {}
     for s in progress.stage_state(progress.until_first_error(log)).collect():
-        states.setdefault(s.run, {})[s.stage] = s.status
+        states.setdefault(s.run, {})[s.stage] = f"{s.status}:{'' if s.ms is None else s.ms}"
     for r in progress.run_outcome(log).collect():
         mine = got.pop(r.run)
         assert (mine.outcome, mine.message, mine.report, mine.events_read) == tuple(r)[1:]
         seen = states.get(r.run, {})
-        assert mine.stages.split(",") == [seen.get(s, "pending") for s in STAGES]
+        assert mine.stages.split(",") == [seen.get(s, "pending:") for s in STAGES]
     assert not got
 
 
+def test_progress_is_the_same_beside_followed_runs(spark, tmp_path):
+    """The state settings of follow_runs change nothing for a plain aggregation."""
+    session = progress.prepare_session(spark.newSession())
+    log = as_log(session, random_events(6), str(tmp_path / "log"), lambda r: r[1] % 2)
+    streamed = readers.read_event_lines(session, str(tmp_path / "log"), stream=True, per_batch=1)
+    got = {}
+    for _, row in run_stream(session, progress.watch_progress(streamed, "6 hours"), tmp_path, "update"):
+        got[row.run, row.stage] = (row.status, row.seconds)
+    assert got == {(r.run, r.stage): (r.status, r.seconds) for r in progress.stage_progress(log).collect()}
+
+
 def test_old_runs_leave_the_state(spark, tmp_path):
     rows = [stage("old", 0, "fix", "running"), stage("new", 1, "fix", "running")]
     path = str(tmp_path / "log")

@@ -1,9 +1,8 @@
 import random
 import re
-import sys
-from functools import cache
-from itertools import count, zip_longest
+from bisect import bisect_left
 
+import pytest
 import samples
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,56 +10,57 @@ from hypothesis import strategies as st
 from reviewlake.functions.lcs import align
 from reviewlake.operators import secrets, versions
 
-sys.setrecursionlimit(5000)
 PAIRS = "pair string, left string, right string"
 
 
-def by_definition(a, b):
-    """The alignment as an edit script, read off the recursive definition."""
-
-    @cache
-    def common(i, j):
-        if i == len(a) or j == len(b):
-            return 0
-        if a[i] == b[j]:
-            return 1 + common(i + 1, j + 1)
-        return max(common(i + 1, j), common(i, j + 1))
-
-    def script(i, j):
-        if i == len(a) and j == len(b):
-            return ""
-        if i == len(a):
-            return "+" * (len(b) - j)
-        if j == len(b):
-            return "-" * (len(a) - i)
-        if a[i] == b[j]:
-            return "=" + script(i + 1, j + 1)
-        # A tie counts as an addition.
-        tie_or_better = common(i, j + 1) >= common(i + 1, j)
-        return "+" + script(i, j + 1) if tie_or_better else "-" + script(i + 1, j)
-
-    left, right, rows = count(), count(), []
-    for part in re.findall("=|[-+]+", script(0, 0)):
-        if part == "=":
-            rows.append((True, next(left), next(right)))
-        else:
-            gone = [next(left) for _ in range(part.count("-"))]
-            come = [next(right) for _ in range(part.count("+"))]
-            rows += [(False, x, y) for x, y in zip_longest(gone, come)]
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the number of matches that can be chained."""
+    ends = []  # ends[k]: smallest last column of a chain of k + 1 matches
+    for x in a:
+        for j in reversed([j for j, y in enumerate(b) if y == x]):
+            k = bisect_left(ends, j)
+            ends[k : k + 1] = [j]
+    return len(ends)
+
+
+def check(a, b):
+    """What every alignment has to be, whichever way it was found."""
+    rows = list(align(a, b))
+    assert [i for _, i, _ in rows if i is not None] == list(range(len(a)))
+    assert [j for _, _, j in rows if j is not None] == list(range(len(b)))
+    assert all(same == (i is not None and j is not None and a[i] == b[j]) or not same for same, i, j in rows)
+    assert sum(same for same, _, _ in rows) == longest_common(a, b)
+    for (same, i, j), (then, p, q) in zip(rows, rows[1:]):
+        if not same and not then:  # in a changed run the lines are paired from its start
+            assert (i is not None or p is None) and (j is not None or q is None)
     return rows
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=16), st.lists(st.sampled_from("abcd"), max_size=16))
-def test_alignment_follows_the_definition(a, b):
-    assert list(align(a, b)) == by_definition(a, b)
+def test_alignment_is_longest_whole_and_paired(a, b):
+    check(a, b)
+
+
+@pytest.mark.parametrize(
+    "a, b, rows",
+    [
+        # Where either line could stay, the one on the left does.
+        ("xy", "yx", [(False, None, 0), (True, 0, 1), (False, 1, None)]),
+        ("ab", "cb", [(False, 0, 0), (True, 1, 1)]),
+        ("aab", "ba", [(False, None, 0), (True, 0, 1), (False, 1, None), (False, 2, None)]),
+        ("abcd", "cdab", [(False, None, 0), (False, None, 1), (True, 0, 2), (True, 1, 3), (False, 2, None), (False, 3, None)]),
+        ("", "ab", [(False, None, 0), (False, None, 1)]),
+    ],
+)
+def test_ties_keep_the_left_line(a, b, rows):
+    assert check(list(a), list(b)) == rows
 
 
 def test_alignment_over_several_blocks():
     rng = random.Random(3)
     a = [str(rng.randrange(40)) for _ in range(300)]
-    b = [x if rng.random() < 0.8 else "new" for x in a if rng.random() < 0.9]
-    assert list(align(a, b)) == by_definition(tuple(a), tuple(b))
+    check(a, [x if rng.random() < 0.8 else "new" for x in a if rng.random() < 0.9])
 
 
 def test_long_files_are_aligned_whole():
@@ -74,15 +74,15 @@ def test_sample_diff(spark):
     left, right = samples.original(), samples.fixed().replace("\n", "\r\n")
     df = spark.createDataFrame([("cart", left, right), ("same", left, left)], PAIRS)
     rows = versions.side_by_side(df, "pair").filter("pair = 'cart'").orderBy("pos").collect()
-    assert len(rows) == 36
+    assert len(rows) == 42
     assert [(r.left_no, r.right_no) for r in rows if r.kind == "changed"] == [
-        (12, 12), (20, 20), (None, 24), (29, 30), (33, 34),
+        (3, 3), (14, 14), (None, 18), (27, 28), (32, 33),
     ]
-    assert rows[23].left is None and rows[23].right == "guard"
+    assert rows[17].left is None and rows[17].right == "guard"
     stats = {r.pair: tuple(r)[1:] for r in versions.diff_stats(versions.side_by_side(df, "pair"), "pair").collect()}
-    assert stats == {"cart": (31, 4, 0, 1), "same": (35, 0, 0, 0)}
+    assert stats == {"cart": (37, 4, 0, 1), "same": (41, 0, 0, 0)}
     delta = {r.pair: tuple(r)[1:] for r in versions.line_delta(df, "pair").collect()}
-    assert delta == {"cart": (31, 4, 5), "same": (35, 0, 0)}
+    assert delta == {"cart": (37, 4, 5), "same": (41, 0, 0)}
 
 
 def test_rows_rebuild_both_files(spark):
@@ -119,7 +119,7 @@ def test_change_share(spark):
 def test_secrets(spark):
     text = "ok\nAPI-KEY = 1\nmy_token:x\npasswords = no\nbearer\n=\nSECRET\t= 2"
     df = spark.createDataFrame(
-        [("src/a.ts", text), ("notes.md", text), (".env.example", text), ("sub/.env.example", "token=1"), ("bin", "\x00" + text), ("clean", "x")],
+        [("src/a.ts", text), ("notes.md", text), (".env.example", text), ("sub/.env.example", "token=1"), ("bin", "\x00" + text), ("late", "x" * 9000 + "\x00\n" + text), ("clean", "x")],
         "path string, text string",
     )
     rows = sorted((r.path, r.line_no) for r in secrets.scan_secrets(df).collect())
