@@ -119,8 +119,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select("hi", "lo", "m")
-        after = small.select(F.inline(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo"), F.col("m")))))
-        after = settle(after.toDF("hi", "lo").filter("hi <> lo").distinct())
+        pairs = F.array(
+            F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        )
+        after = small.select(F.inline(pairs))
+        after = settle(after.filter("hi <> lo").distinct())
         forget(now)
         now, was, seen = after, seen, sign(after)
         if seen == was:
