@@ -67,6 +67,11 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc: the number of each row as every scan of the table counts it, and all its columns, whatever their names."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+
+
 # Keys up to this number are sent to every executor (16 MB); more are met by a shuffled join.
 FEW_KEYS = 2_000_000
 

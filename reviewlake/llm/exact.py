@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, id_and_text, matching, settle, slices
+from reviewlake.llm.common import bounded_batches, id_and_text, matching, numbered, settle, slices
 
 BLOCK = 8192
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -53,8 +53,8 @@ def cut(docs: DataFrame, size: int) -> DataFrame:
                         out.append((rows[i], keys[i], pos, n, block, None if pos else sha))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, pos int, n int, block binary, sha binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(run, "row long, doc_id long, pos int, n int, block binary, sha binary")
 
 
 def named(df: DataFrame, *key: str) -> DataFrame:
@@ -170,9 +170,8 @@ def deduplicate(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text
 
 def distinct(docs: DataFrame, size: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    dropped = settle(groups(docs, size, id_col, text_col).filter("NOT kept").select(F.col("row").alias("_row")))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return matching(numbered, dropped, "_row", "left_anti").drop("_row")
+    dropped = settle(groups(docs, size, id_col, text_col).filter("NOT kept").select("row"))
+    return matching(numbered(docs), dropped, "row", "left_anti").select("doc.*")
 
 
 ORACLE = r"""

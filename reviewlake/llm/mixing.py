@@ -99,18 +99,17 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
 
 
 def _placed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with _size (words), _pattern (its set of sources as text) and _place, its seeded place in the pattern."""
+    """doc (all columns), _size (words), _pattern (its set of sources as text) and _place, its seeded place in the pattern."""
     kind = dict(docs.dtypes)[source_col]
     own = F.array_sort(F.array_distinct(docs[source_col])) if kind.startswith("array") else F.array(docs[source_col])
     none = F.coalesce(F.size(own), F.lit(0)) <= 0
     own = F.when(none, F.array(F.lit(None).cast("string"))).otherwise(own.cast("array<string>"))
     key = F.coalesce(docs[id_col].cast("string"), F.lit(""))
-    return docs.withColumns(
-        {
-            "_size": word_count(docs[text_col]),
-            "_pattern": F.to_json(F.struct(own.alias("s")), {"ignoreNullFields": "false"}),
-            "_place": F.md5(F.concat(F.lit(f"{seed}:"), key)),
-        }
+    return docs.select(
+        F.struct(*docs.columns).alias("doc"),
+        word_count(docs[text_col]).alias("_size"),
+        F.to_json(F.struct(own.alias("s")), {"ignoreNullFields": "false"}).alias("_pattern"),
+        F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("_place"),
     )
 
 
@@ -206,7 +205,8 @@ def mix(
     part.  Repeated rows share one place in the order.  source_size and target are those of the first of a row's sources.
     """
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
-    rows = settle(_placed(picked, seed, "doc_id", "text", "source").drop("text", "source"))
+    rows = _placed(picked, seed, "doc_id", "text", "source")
+    rows = settle(rows.select("doc.doc_id", "_size", "_pattern", "_place"))
     plan, ends = _plan(rows, weights, share, most)
     return _taken(rows, plan, ends, most).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "copies"
@@ -221,8 +221,8 @@ def mixture(
     placed = _placed(docs, seed, id_col, text_col, source_col)
     plan, ends = _plan(settle(placed.select("_size", "_pattern", "_place")), weights, share, most)
     rows = _taken(placed, plan, ends, most).filter("copies > 0")
-    again = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*docs.columns)
+    again = rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select("doc.*")
 
 
 def oracle(weights: list[int], share: float = 1.5, most: int = 2, seed: int = 42) -> str:
