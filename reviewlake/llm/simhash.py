@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, components, forget, id_and_text, matching, settle, slices
+from reviewlake.llm.common import bounded_batches, components, forget, id_and_text, matching, numbered, settle, slices
 
 BITS = 64
 SEED = 42
@@ -172,11 +172,11 @@ def estimates(distinct: DataFrame, groups: list[list[int]], most: int) -> list[n
 
 def allocate(fp: np.ndarray, groups: list[list[int]], expected: list[np.ndarray], most: int) -> np.ndarray:
     """Thresholds (row, partition) of least estimated cost that add up to most - partitions + 1."""
-    goal = most - len(groups) + 1
-    size, n = goal + len(groups) + 1, len(fp)  # sums run from -partitions to goal
+    goal, offset, n = most - len(groups) + 1, len(groups), len(fp)
+    size = goal + 2 * offset + 1  # sums on the way run from -partitions to goal + partitions
     best = np.full((size, n), np.inf, np.float32)
-    best[0 + len(groups)] = 0  # the sum so far is zero
-    offset, picks = len(groups), []
+    best[offset] = 0  # the sum so far is zero
+    picks = []
     for i, g in enumerate(groups):
         value = values(fp, g[:HISTOGRAM_BITS])
         after = np.full((size, n), np.inf, np.float32)
@@ -355,6 +355,5 @@ def without_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     found = settle(found)
     first = found.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     many = settle(first.filter("n > 1").select("root", F.col("first.row").alias("first")))
-    dropped = settle(found.join(many, "root").filter("row <> first").select(F.col("row").alias("_row")))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return matching(numbered, dropped, "_row", "left_anti").drop("_row")
+    dropped = settle(found.join(many, "root").filter("row <> first").select("row"))
+    return matching(numbered(docs), dropped, "row", "left_anti").select("doc.*")
