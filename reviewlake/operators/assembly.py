@@ -64,6 +64,20 @@ def nest_children(issues: DataFrame, fixes: DataFrame, cases: DataFrame) -> Data
     return tagged.groupBy("run").agg(*lists)
 
 
+def child_lists(**kept: Column | None) -> list[Column]:
+    """The same lists as aggregates over one table that holds the columns of all three kinds.
+
+    ``kept`` has a condition by kind where not every row is of it.  Columns: those of ``ISSUE_FIELDS`` and
+    ``FIX_FIELDS``, and ``name`` with ``case_issue_id`` for the cases.
+    """
+    items = {
+        "errors": _item(ISSUE_FIELDS, S.ISSUE),
+        "fixes": _item(FIX_FIELDS, S.FIX_ITEM),
+        "cases": _item(CASE_FIELDS | {"issueId": "case_issue_id"}, S.CASE),
+    }
+    return [ordered_list(item, "pos", kept.get(kind)).alias(kind) for kind, item in items.items()]
+
+
 def child_rows(issues: DataFrame, fixes: DataFrame, cases: DataFrame) -> DataFrame:
     """All children of all runs as rows (run, kind, pos, item); ``item`` is JSON text.
 
@@ -108,7 +122,7 @@ def timings_struct(method: str = TIMING_METHOD) -> Column:
 def assemble_reports(
     heads: DataFrame,
     children: DataFrame,
-    verification: DataFrame | None = None,
+    verification: DataFrame | bool | None = None,
     detection: DataFrame | None = None,
     timings: DataFrame | None = None,
     command: Column | None = None,
@@ -117,7 +131,8 @@ def assemble_reports(
 
     Every input has one row per run.  ``children`` comes from ``nest_children``;
     a run without children gets empty lists.  Verification, detection and
-    timings are optional, as tables and per run.
+    timings are optional, as tables and per run; verification may also be columns of
+    ``children`` (True).
     """
     joined = heads.join(children, "run", "left")
     joined = joined.withColumns(
@@ -125,7 +140,7 @@ def assemble_reports(
     )
     parts = {}
     if verification is not None:
-        joined = joined.join(verification, "run", "left")
+        joined = joined if verification is True else joined.join(verification, "run", "left")
         parts["verification"] = verification_struct(F.lit(None) if command is None else command)
     if detection is not None:
         joined = joined.join(detection, "run", "left")
@@ -248,7 +263,8 @@ def index_entries(reports: DataFrame) -> DataFrame:
     )
 
 
-def _card(df: DataFrame) -> DataFrame:
+def card_of(df: DataFrame) -> DataFrame:
+    """The card from one row of figures per run."""
     return df.select(
         "run",
         "issues",
@@ -271,7 +287,7 @@ def report_card(reports: DataFrame) -> DataFrame:
         return F.size(F.filter(errors, lambda e: e["severity"] == severity)).alias(severity.lower())
 
     by_severity = [of_severity(s) for s in ("High", "Medium", "Low")]
-    return _card(
+    return card_of(
         reports.select(
             F.col("id").alias("run"),
             F.size(errors).cast("bigint").alias("issues"),
@@ -332,4 +348,4 @@ def report_card_rows(
     joined = runs.select("run").join(counts, "run", "left")
     for table in (verification, detection, timings):
         joined = joined.join(table, "run", "left")
-    return _card(joined.na.fill(0, ["issues", "high", "medium", "low", "fixes", "cases"]))
+    return card_of(joined.na.fill(0, ["issues", "high", "medium", "low", "fixes", "cases"]))

@@ -41,13 +41,17 @@ def normalised(passed: Column, failed: Column, total: Column, n_cases: Column) -
     return {name: count.cast("bigint") for name, count in counts.items()}
 
 
-def verification(test_runs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Normalised counts of both versions side by side, with an all-pass flag each."""
-    sides = before_after(test_runs).join(case_counts(cases), "run", "left")
-    n_cases = F.coalesce("n_cases", F.lit(0))
+def normalise_sides(sides: DataFrame, n_cases: Column, *others: str) -> DataFrame:
+    """Rows of ``before_after`` with the counts of both versions normalised, and an all-pass flag each."""
     columns = []
     for v in VERSIONS:
         counts = normalised(*[F.col(f"{v}_{c}") for c in _COUNTS], n_cases)
         columns += [count.alias(f"{v}_{c}") for c, count in counts.items()]
     flags = [all_pass(f"{v}_failed", f"{v}_total").alias(f"{v}_ok") for v in VERSIONS]
-    return sides.select("run", *columns).select("*", *flags)
+    return sides.select("run", *others, *columns).select("*", *flags)
+
+
+def verification(test_runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Normalised counts of both versions side by side, with an all-pass flag each."""
+    sides = before_after(test_runs).join(case_counts(cases), "run", "left")
+    return normalise_sides(sides, F.coalesce("n_cases", F.lit(0)))

@@ -5,11 +5,11 @@ them the columns the operators expect: an order is a run, its line numbers are
 source lines, return flags are severities, and so on.  Every row takes part.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import iso_time
-from reviewlake.schemas import RECORDED, STAGES
+from reviewlake.schemas import RECORDED, STAGES, VERSIONS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,20 +42,28 @@ def truth(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def issues(lineitem: DataFrame) -> DataFrame:
-    """One issue per (order, line number); of several rows the last flag counts.
+def line_facts(lineitem: DataFrame) -> DataFrame:
+    """Everything there is on one (order, line number), in one aggregation: its issue, its fix, its case, test results, time.
 
-    Flags and states are ranked as numbers, which aggregate without sorting.
+    Of several rows the last flag counts.  Flags and states are ranked as numbers, which aggregate without sorting.
     """
-    flag = F.col("l_returnflag")
+    flag, ran = F.col("l_returnflag"), F.col("l_orderkey") % 7 != 3
+    of = {"original": F.col("l_linestatus") == "F", "fixed": F.col("l_linestatus") != "F"}
+    tests = [
+        F.count_if(of[v] & condition).alias(f"{v}_{c}")
+        for v in VERSIONS
+        for c, condition in {"rows": F.lit(True), "passed": ran & (flag == "N"), "failed": ran & (flag == "R"), "total": ran}.items()
+    ]
     per_line = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.max(F.when(flag == "R", 3).when(flag == "N", 2).otherwise(1)).alias("flag"),
         F.max(F.col("l_linestatus") == "O").alias("open"),
         F.min("l_partkey").alias("part"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
+        *tests,
     )
     line = F.col("l_linenumber").cast("bigint")
     rank = F.col("flag")
-    return per_line.select(
+    rows = per_line.select(
         F.col("l_orderkey").alias("run"),
         (line - 1).alias("pos"),
         F.concat(F.lit("E"), line.cast("string")).alias("issue_id"),
@@ -66,9 +74,40 @@ def issues(lineitem: DataFrame) -> DataFrame:
         F.when(F.col("part") % 2 == 0, F.lit("replace it")).alias("suggestion"),
         (~F.col("open")).alias("fixed"),
         "part",
+        "quantity",
+        *[f"{v}_{c}" for v in VERSIONS for c in ("rows", "passed", "failed", "total")],
+    )
+    return rows.withColumns(
+        {
+            "change": F.concat(F.lit("fixed "), "description"),
+            "name": F.when(F.col("fixed"), F.concat(F.lit("["), "issue_id", F.lit("] "), "description")).otherwise(F.col("description")),
+            "case_issue_id": F.when(F.col("fixed"), F.col("issue_id")),
+        }
     )
 
 
+def issues(lineitem: DataFrame) -> DataFrame:
+    """One issue per (order, line number)."""
+    return line_facts(lineitem).select(
+        "run", "pos", "issue_id", "type", "description", "line", "severity", "suggestion", "fixed", "part"
+    )
+
+
+def test_sums() -> list[Column]:
+    """Test results per run as aggregates over ``line_facts``, as ``before_after`` has them."""
+    out = []
+    for v in VERSIONS:
+        there = F.sum(f"{v}_rows") > 0
+        out += [F.when(there, F.sum(f"{v}_{c}")).alias(f"{v}_{c}") for c in ("passed", "failed", "total")]
+    return out
+
+
+def total_ms(quantity: Column) -> Column:
+    """Total time of a run from its quantities; none for runs of even totals."""
+    ms = quantity * 731
+    return F.when(ms % 2 == 1, ms)
+
+
 def fixes(issue_rows: DataFrame) -> DataFrame:
     """Fixes: issues whose rows are all filled."""
     return issue_rows.filter("fixed").select(
@@ -117,16 +156,6 @@ def run_files(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.col("l_orderkey").alias("run"), file.alias("file"))
 
 
-def durations(lineitem: DataFrame) -> DataFrame:
-    """Total time per run from its quantities; none for runs of even totals."""
-    ms = F.sum(F.col("l_quantity").cast("bigint")) * 731
-    return (
-        lineitem.groupBy(F.col("l_orderkey").alias("run"))
-        .agg(ms.alias("_ms"))
-        .select("run", F.when(F.col("_ms") % 2 == 1, F.col("_ms")).alias("total_ms"))
-    )
-
-
 def runs(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.col("o_orderkey").alias("run"),

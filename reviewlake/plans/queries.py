@@ -72,18 +72,20 @@ def severity_counts(lineitem):
 
 @query("orders", "lineitem")
 def report_card(orders, lineitem):
-    issues = C.issues(lineitem)
-    cases = C.cases(issues)
-    scored = scoring.detection(C.truth(lineitem), C.issue_lines(lineitem))
-    return assembly.report_card_rows(
-        C.runs(orders),
-        issues,
-        C.fixes(issues),
-        cases,
-        testruns.verification(C.test_runs(lineitem), cases),
-        scored,
-        C.durations(lineitem),
+    """All figures of a run from one aggregation of its lines, beside its detection."""
+    per_run = C.line_facts(lineitem).groupBy("run").agg(
+        F.count("*").alias("issues"),
+        *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in S.SEVERITIES],
+        F.count_if("fixed").alias("fixes"),
+        F.count("*").alias("cases"),
+        C.total_ms(F.sum("quantity")).alias("total_ms"),
+        *C.test_sums(),
     )
+    counts = ["issues", *[s.lower() for s in S.SEVERITIES], "fixes", "cases"]
+    figures = testruns.normalise_sides(per_run, F.col("cases"), *counts, "total_ms")
+    rows = C.runs(orders).select("run").join(figures, "run", "left")
+    scored = scoring.detection(C.truth(lineitem), C.issue_lines(lineitem))
+    return assembly.card_of(scoring.with_optional(rows.na.fill(0, counts), scored))
 
 
 # --- links --------------------------------------------------------------------
@@ -168,12 +170,15 @@ def assemble(orders, lineitem):
 
 
 def _reports(orders, lineitem):
-    issues = C.issues(lineitem)
-    cases = C.cases(issues)
+    """Documents from one aggregation of a run's lines, beside its detection."""
+    children = C.line_facts(lineitem).groupBy("run").agg(
+        *assembly.child_lists(fixes=F.col("fixed")), F.count("*").alias("n_cases"), *C.test_sums()
+    )
+    children = testruns.normalise_sides(children, F.col("n_cases"), "errors", "fixes", "cases")
     return assembly.assemble_reports(
         C.heads(orders),
-        assembly.nest_children(issues, C.fixes(issues), cases),
-        verification=testruns.verification(C.test_runs(lineitem), cases),
+        children,
+        verification=True,
         detection=scoring.detection(C.truth(lineitem), C.issue_lines(lineitem)),
         command=F.concat(F.lit("npx vitest run runs/"), F.col("run").cast("string"), F.lit("/x.test.ts")),
     )

@@ -71,3 +71,13 @@ def test_plan_scales(spark, name):
     # Scans read the columns they need, never a whole table for a few of them.
     if "FileScan" in plan and name in {"severity_counts", "detection", "to_lines", "stage_state"}:
         assert "l_extendedprice" not in plan and "n_chars" not in plan and "props" not in plan
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["report_card", "assemble", "headline", "flatten_report", "index_entries"])
+def test_few_scans(spark, name):
+    """Composite queries read lineitem at most three times."""
+    df = driver.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 3
+    assert plan.count("Exchange hashpartitioning") <= 7
