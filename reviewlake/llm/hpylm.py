@@ -10,7 +10,8 @@ times the parent's probability, S the generalised Stirling numbers, which sum ov
 
 Texts are dealt into chunks of a bounded size.  A chunk sends its distinct words and pairs, packed and sorted, to the
 partitions that hold them and gets their counts and tables back in the same order, so one row stands for
-thousands of words and nothing that grows with the corpus is broadcast.  Words are known by 64-bit hashes.
+thousands of words and nothing that grows with the corpus is broadcast.  Words are known by 64-bit hashes;
+once counted they are numbered, and pairs travel as numbers.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from reviewlake.llm import wordhash
 from reviewlake.llm.common import bounded_batches, held_out, id_and_text, settle, swept
 
-CHUNK_BYTES = 16 * 1024 * 1024
+CHUNK_BYTES = 8 * 1024 * 1024
 END = np.uint64(0x1234567890ABCDEF)
 # Discounts and strengths of the contexts and of their parent.
 DISCOUNT, STRENGTH = 0.6, 20.0
@@ -92,13 +93,14 @@ class Chunk:
             counts.append(np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)]))))
         words, counts = np.concatenate(words), np.concatenate(counts)
         self.n_tokens = counts + 1
-        self.doc = np.repeat(np.arange(len(counts)), self.n_tokens)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.n_tokens)
         tokens = np.full(len(self.doc), END, np.uint64)
         tokens[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
         self.words, self.word = np.unique(tokens, return_inverse=True)
+        self.word = self.word.astype(np.int32)
         # The context of a text's first word is the end of a text.
         end = np.searchsorted(self.words, END)
-        self.context = np.concatenate([[end], self.word[:-1]])
+        self.context = np.concatenate([[end], self.word[:-1]]).astype(np.int32)
         self.learns = self.train[self.doc]
 
     def word_counts(self) -> np.ndarray:
@@ -107,29 +109,19 @@ class Chunk:
     def pairs(self, buckets: int, heavy: np.ndarray) -> None:
         """Distinct pairs by bucket, context and word: a context's pairs meet in its bucket, those of a heavy one spread."""
         n = len(self.words)
-        key, of = np.unique(self.context * n + self.word, return_inverse=True)
-        u, w = key // n, key % n
+        key, of = np.unique(self.context.astype(np.int64) * n + self.word, return_inverse=True)
+        u, w = (key // n).astype(np.int32), (key % n).astype(np.int32)
+        del key
         own = bucket_of(self.words, buckets)
         bucket = own[u]
         spread = np.isin(self.words[u], heavy)
         bucket[spread] = (own[u[spread]] + own[w[spread]]) % buckets
         order = np.argsort(bucket, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         self.u, self.w, self.bucket, self.pair = u[order], w[order], bucket[order], back[of]
 
 
-def six(word: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of each hash, as bytes."""
-    return np.ascontiguousarray(word, "<u8").view(np.uint8).reshape(-1, 8)[:, 2:].ravel()
-
-
-def unsix(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = raw.reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where the runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
@@ -249,7 +241,7 @@ def score(
         chunks, sent = [p[0] for p in parts], [unpack(p[1]) for p in parts]
         words, of = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
         total = np.bincount(of, np.concatenate([s[1] for s in sent])).astype(np.int64)
-        out = [(1, -1, bucket, float(total.sum()), float((total > 0).sum()), pack(words))]
+        out = [(1, -1, bucket, float(total.sum()), float((total > 0).sum()), None), (5, -1, bucket, float(len(words)), 0.0, None)]
         at = 0
         for chunk, (own, _) in zip(chunks, sent):
             index = of[at : at + len(own)]
@@ -257,7 +249,7 @@ def score(
             out.append((2, chunk, bucket, 0.0, 0.0, pack(total[index])))
             out.append((3, chunk, bucket, 0.0, 0.0, pack(index.astype(np.uint32))))
         often = np.flatnonzero(total * 2 * n >= total.sum())  # at most 2 n words
-        out += [(4, -1, bucket, float(total[i]), 0.0, pack(words[i : i + 1])) for i in often if total[i]]
+        out += [(4, -1, bucket, float(total[i]), float(i), pack(words[i : i + 1])) for i in often if total[i]]
         return _messages(out)
 
     words = settle(
@@ -266,9 +258,17 @@ def score(
     swept(spark)
     total = words.filter("kind = 1").agg(F.sum("a"), F.sum("b")).first()
     n_train, n_words = int(total[0] or 0), int(total[1] or 0)
+    # The words of a bucket are numbered from its base on; as many numbers pass the driver as there are buckets.
+    many = np.zeros(n, np.int64)
+    for r in words.filter("kind = 5").select("bucket", "a").collect():
+        many[r.bucket] = int(r.a)
+    base = np.concatenate([[0], np.cumsum(many)])
+    number = np.dtype("<u4" if base[-1] < 1 << 32 else "<u8")
     # Contexts with more than half a bucket's share of all words: 2 n at most.
-    often = words.filter((F.col("kind") == 4) & (F.col("a") * 2 * n >= n_train)).select("blob").collect()
-    heavy = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(r.blob)[0] for r in often)]))
+    often = words.filter((F.col("kind") == 4) & (F.col("a") * 2 * n >= n_train)).select("bucket", "b", "blob").collect()
+    often = sorted((int(unpack(r.blob)[0][0]), int(base[r.bucket]) + int(r.b)) for r in often)
+    heavy = np.array([h for h, _ in often], np.uint64)
+    heavy_number = np.array([i for _, i in often], np.int64)
 
     # 2. Pairs: each chunk sends its distinct pairs with counts and the words' first probabilities.
     def ask_pairs(docs_of: pa.Table, answers: pa.Table) -> pa.Table:
@@ -276,6 +276,7 @@ def score(
             return _messages([])
         own = Chunk(docs_of.column("blob").to_pylist())
         total = _answers(answers, 2)[0]
+        numbers = base[bucket_of(own.words, n)] + _answers(answers, 3)[0]
         own.pairs(n, heavy)
         count = np.bincount(own.pair[own.learns], minlength=len(own.u)).astype(np.uint32)
         p = (total + 0.5) / (n_train + 0.5 * (n_words + 1))
@@ -287,23 +288,22 @@ def score(
             if j > i:
                 begin = runs(own.u[i:j])
                 length = np.diff(np.append(begin, j - i)).astype(np.uint32)
-                u, w = own.words[own.u[i:j][begin]], own.w[i:j]
-                out.append((0, chunk, b, 0.0, 0.0, pack(six(u), length, six(own.words[w]), count[i:j], code[w])))
+                u, w = numbers[own.u[i:j][begin]], own.w[i:j]
+                out.append((0, chunk, b, 0.0, 0.0, pack(u.astype(number), length, numbers[w].astype(number), count[i:j], code[w])))
         return _messages(out)
 
-    heavy48 = unsix(six(heavy))
     stirling = log_stirling(EXACT, discount)
 
     def seat(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         parts = sorted(zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()))
         chunks, sent = [p[0] for p in parts], [unpack(p[1]) for p in parts]
-        contexts, u = np.unique(np.concatenate([unsix(s[0]) for s in sent]), return_inverse=True)
-        u = np.repeat(u, np.concatenate([s[1] for s in sent]))
-        w = np.concatenate([unsix(s[2]) for s in sent])
+        contexts, u = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
+        u = np.repeat(u.astype(np.int32), np.concatenate([s[1] for s in sent]))
+        w = np.concatenate([s[2] for s in sent])
         order = np.lexsort((w, u))
         same = (u[order][1:] == u[order][:-1]) & (w[order][1:] == w[order][:-1])
-        of = np.empty(len(order), np.int64)
+        of = np.empty(len(order), np.int32)
         of[order] = np.concatenate([[0], np.cumsum(~same)])
         first = order[np.concatenate([[True], ~same])]
         c = np.bincount(of, np.concatenate([s[3] for s in sent])).astype(np.int64)
@@ -315,7 +315,7 @@ def score(
         sums, tables = np.zeros(len(c), np.int64), np.zeros(len(contexts))
         many = np.flatnonzero(c > 1)
         # A heavy context's pairs are spread evenly: its tables are about n times those here.
-        times = np.where(np.isin(contexts, heavy48), float(n), 1.0)
+        times = np.where(np.isin(contexts, heavy_number), float(n), 1.0)
         for sweep in range(burn_in + samples):
             of_context = np.bincount(u1, t, minlength=len(contexts))
             b = (strength + discount * (of_context * times)[u1[many]]) * p[many]
@@ -328,42 +328,38 @@ def score(
         for chunk, s in zip(chunks, sent):
             pair = of[at : at + len(s[3])]
             at += len(s[3])
-            context = np.searchsorted(contexts, unsix(s[0]))
+            context = np.searchsorted(contexts, s[0])
             out.append((2, chunk, bucket, 0.0, 0.0, pack(c[pair].astype(np.uint32), sums[pair].astype(np.uint32), tables[context].astype(np.float32))))
         for i in np.flatnonzero(times > 1):
-            out.append((4, -1, bucket, float(tables[i]), 0.0, pack(contexts[i : i + 1])))
+            out.append((4, -1, bucket, float(tables[i]), float(contexts[i]), None))
         # What the tables send to the parent, by the bucket of the word.
         alive = np.flatnonzero(c)
         names, which = np.unique(w1[alive], return_inverse=True)
         sent_up = np.bincount(which, sums[alive] / samples).astype(np.float32)
-        to = bucket_of(names, n)
-        edges = np.searchsorted(to, np.arange(n + 1))
-        out += [(5, -1, b, 0.0, 0.0, pack(six(names[i:j]), sent_up[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+        edges = np.searchsorted(names, base)
+        for b, (i, j) in enumerate(zip(edges, edges[1:])):
+            if j > i:
+                out.append((5, -1, b, 0.0, 0.0, pack((names[i:j] - base[b].astype(number)).astype(np.uint32), sent_up[i:j])))
         return _messages(out)
 
-    asked = packed.groupBy("chunk").cogroup(words.filter("kind = 2").groupBy("chunk")).applyInArrow(ask_pairs, _MESSAGE)
+    asked = packed.groupBy("chunk").cogroup(words.filter("kind IN (2, 3)").groupBy("chunk")).applyInArrow(ask_pairs, _MESSAGE)
     pairs = settle(asked.groupBy("bucket").applyInArrow(seat, _MESSAGE))
     swept(spark)
-    spread = pairs.filter("kind = 4").groupBy("blob").agg(F.sum("a").alias("a")).collect()  # 2 n at most
-    spread = sorted((int(unpack(r.blob)[0][0]), r.a) for r in spread)
-    heavy_tables = np.array([a for _, a in spread])
-    heavy_names = np.array([u for u, _ in spread], np.uint64)
+    spread = pairs.filter("kind = 4").groupBy("b").agg(F.sum("a").alias("a")).collect()  # 2 n at most
+    spread = {int(r.b): r.a for r in spread}
+    heavy_tables = np.array([spread.get(i, 0.0) for i in heavy_number.tolist()])
 
     # 3. The parent: its customers are the contexts' tables.
     def seat_parent(state: pa.Table, tables: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return _messages([])
         kinds = state.column("kind").to_pylist()
         blobs, chunk_of = state.column("blob").to_pylist(), state.column("chunk").to_pylist()
-        merged = [b for k, b in zip(kinds, blobs) if k == 1]
-        if not merged:
-            return _messages([])
-        names = unpack(merged[0])[0]
         bucket = state.column("bucket")[0].as_py()
-        short = unsix(six(names))
-        customers = np.zeros(len(names))
+        customers = np.zeros(many[bucket])
         for blob in sorted(tables.column("blob").to_pylist()):
-            w, sent = unpack(blob)
-            at = np.searchsorted(short, unsix(w))
-            customers[at] += sent
+            index, sent = unpack(blob)
+            customers[index] += sent
         c = np.rint(customers).astype(np.int64)
         random = np.random.default_rng([seed, 2, bucket])
         weight = (parent_strength + parent_discount * n_words) / (n_words + 1)
@@ -379,7 +375,7 @@ def score(
                 out.append((7, chunk, bucket, 0.0, 0.0, pack(mass.astype(np.float32))))
         return _messages(out)
 
-    state = words.filter("kind IN (1, 3)").groupBy("bucket")
+    state = words.filter("kind = 3").groupBy("bucket")
     parent = settle(state.cogroup(pairs.filter("kind = 5").groupBy("bucket")).applyInArrow(seat_parent, _MESSAGE))
     swept(spark)
     total = parent.filter("kind = 6").agg(F.sum("a"), F.sum("b")).first()
@@ -400,10 +396,9 @@ def score(
         p = (mass + rest) / (parent_strength + all_customers)
         begin = np.flatnonzero(np.concatenate([[True], (own.u[1:] != own.u[:-1]) | (own.bucket[1:] != own.bucket[:-1])]))
         of_context = np.repeat(tables.astype(float), np.diff(np.append(begin, len(own.u))))
-        if len(heavy_names):
-            short = unsix(six(own.words))[own.u]
-            at = np.minimum(np.searchsorted(heavy_names, short), len(heavy_names) - 1)
-            of_context = np.where(heavy_names[at] == short, heavy_tables[at], of_context)
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, own.words), len(heavy) - 1)
+            of_context = np.where((heavy[at] == own.words)[own.u], heavy_tables[at][own.u], of_context)
         stay = np.where(c > 0, c - discount * sums / samples, 0)
         chance = (stay + (strength + discount * of_context) * p[own.w]) / (strength + count[own.u])
         logs = np.log10(chance)[own.pair]

@@ -99,5 +99,3 @@ def test_tables_follow_their_distribution():
 def test_packing():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.uint32), np.array([1.5], np.float32)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, hpylm.unpack(hpylm.pack(*arrays))))
-    words = np.array([0x1234567890ABCDEF, 0xFFFF000000000000], np.uint64)
-    assert (hpylm.unsix(hpylm.six(words)) == words >> np.uint64(16) << np.uint64(16)).all()
