@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, id_and_text, matching, numbered, settle, slices
+from reviewlake.llm.common import bounded_batches, freeing, id_and_text, matching, numbered, settle, slices
 
 BLOCK = 8192
+# So many first bytes of a block are in the short key that rows are dealt out by.
+HEAD = 32
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -54,22 +56,43 @@ def cut(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, "row long, doc_id long, pos int, n int, block binary, sha binary")
+    return rows.mapInArrow(freeing(run), "row long, doc_id long, pos int, n int, block binary, sha binary")
 
 
 def named(df: DataFrame, *key: str) -> DataFrame:
-    """df with the columns of `key`, not NULL, replaced by `name`: equal keys have equal numbers, others do not."""
+    """df with the columns of `key`, not NULL, replaced by `name`: equal keys have equal numbers, others do not.
+
+    Rows are dealt out by a short key, the first bytes of a block and a hash, so that the borders of the partitions
+    are short too; within a partition whole contents are compared.  Should two contents ever share a
+    short key, rows are dealt out by whole contents instead.
+    """
+    head = F.substring(key[0], 1, HEAD) if dict(df.dtypes)[key[0]] == "binary" else F.col(key[0])
+    short = df.withColumns({"_head": head, "_hash": F.xxhash64(*key)})
+    done = _numbered(short, key, ["_head", "_hash"])
+    if done.filter("mixed > 0").head(1):
+        done = _numbered(short, key, list(key))
+    return _global(done, [c for c in df.columns if c not in key])
+
+
+def _numbered(df: DataFrame, key: tuple[str, ...], by: list[str]) -> DataFrame:
+    """The rows with `part` and, within it, `local`, the number of the run of equal keys; and a row on each partition.
+
+    That row has its number of runs, whether its first run goes on from the partition before, and
+    how many runs of different contents share a short key with the run before them.
+    """
     spark = df.sparkSession
-    keep = [c for c in df.columns if c not in key]
+    keep = [c for c in df.columns if c not in (*key, "_head", "_hash")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *key, "row", "pos").sortWithinPartitions(*key, "row", "pos")
+    inner = [*by, *(k for k in key if k not in by), "row", "pos"]
+    ordered = df.repartitionByRange(parts, *by, "row", "pos").sortWithinPartitions(*inner)
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    edges = [f"{side}_{c}" for side in ("first", "last") for c in key]
+    compared = [*key, "_hash"]
+    edges = [f"{side}_{c}" for side in ("first", "last") for c in compared]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         first = last = kinds = None
-        runs = -1
+        runs, mixed = -1, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -79,35 +102,51 @@ def named(df: DataFrame, *key: str) -> DataFrame:
                 column = batch.column(c)
                 changed = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
                 differ = changed if differ is None else pc.or_(differ, changed)
-            begins = last is None or any(batch.column(c)[0].as_py() != v for c, v in zip(key, last))
+            hashes = batch.column("_hash")
+            same_hash = pc.equal(hashes.slice(1), hashes.slice(0, len(hashes) - 1))
+            mixed += pc.sum(pc.and_(differ, same_hash).cast(pa.int64())).as_py() or 0
+            now = [batch.column(c)[0].as_py() for c in compared]
+            begins = last is None or now[:-1] != last[:-1]
+            mixed += last is not None and begins and now[-1] == last[-1]
             steps = pa.concat_arrays([pa.array([begins]), differ]).cast(pa.int64())
             local = pc.add(pc.cumulative_sum(steps), runs)
             runs = local[-1].as_py()
-            first = first or [batch.column(c)[0].as_py() for c in key]
-            last = [batch.column(c)[-1].as_py() for c in key]
-            empty = [pa.nulls(len(local), batch.schema.field(c).type) for c in [*key, *key]]
+            first = first or now
+            last = [batch.column(c)[-1].as_py() for c in compared]
+            none = [pa.nulls(len(local), kinds.field(c).type) for c in [*compared, *compared]]
             number = pa.array([part] * len(local), pa.int32())
-            columns = [*(batch.column(c) for c in keep), number, local, pa.nulls(len(local), pa.int64()), *empty]
-            yield pa.record_batch(columns, names=[*keep, "part", "local", "runs", *edges])
+            blank = pa.nulls(len(local), pa.int64())
+            columns = [*(batch.column(c) for c in keep), number, local, blank, blank, *none]
+            yield pa.record_batch(columns, names=names)
         if kinds is not None:  # one row on the partition itself
-            types = [*(kinds.field(c).type for c in keep), pa.int32(), pa.int64(), pa.int64(), *(kinds.field(c).type for c in [*key, *key])]
-            values = [*(None for _ in keep), part, None, runs + 1, *first, *last]
-            yield pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=[*keep, "part", "local", "runs", *edges])
+            types = [*(kinds.field(c).type for c in keep), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            types += [kinds.field(c).type for c in [*compared, *compared]]
+            values = [*(None for _ in keep), part, None, runs + 1, mixed, *first, *last]
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
-    schema = [f"{c} {fields[c]}" for c in keep] + ["part int", "local long", "runs long"]
+    schema = [f"{c} {fields[c]}" for c in keep] + ["part int", "local long", "runs long", "mixed long"]
     schema += [f"{e} {fields[e.split('_', 1)[1]]}" for e in edges]
-    done = settle(ordered.mapInArrow(run, ", ".join(schema)))
-    # One row for each partition: a border within a run is where a first block equals the last one before it.
-    across = [F.col(f"first_{c}") == F.lag(f"last_{c}").over(Window.orderBy("part")) for c in key]
-    joined = across[0]
-    for a in across[1:]:
-        joined = joined & a
-    borders = done.filter("runs IS NOT NULL").select("part", "runs", F.coalesce(joined, F.lit(False)).alias("joined"))
+    names = [c.split(" ")[0] for c in schema]
+    done = settle(ordered.mapInArrow(freeing(run), ", ".join(schema)))
+    # One row for each partition: a run crosses a border where a first key equals the last one before it.
+    before = Window.orderBy("part")
+    equal = F.lit(True)
+    for c in key:
+        equal = equal & (F.col(f"first_{c}") == F.lag(f"last_{c}").over(before))
+    alike = F.coalesce(F.col("first__hash") == F.lag("last__hash").over(before), F.lit(False))
+    borders = done.filter("runs IS NOT NULL").withColumns({"joined": F.coalesce(equal, F.lit(False)), "alike": alike})
+    borders = borders.select("part", "runs", "joined", (F.col("mixed") + (F.col("alike") & ~F.col("joined")).cast("long")).alias("mixed"))
+    rows = done.filter("runs IS NULL").drop("runs", "mixed", *edges)
+    return rows.unionByName(borders, allowMissingColumns=True)
+
+
+def _global(done: DataFrame, keep: list[str]) -> DataFrame:
+    """Local numbers made global by sums over the partitions; as many rows pass the driver as there are partitions."""
     base, total = [], 0
-    for r in borders.orderBy("part").collect():
+    for r in done.filter("runs IS NOT NULL").select("part", "runs", "joined").orderBy("part").collect():
         base.append((r.part, total - r.joined))
         total += r.runs - r.joined
-    bases = spark.createDataFrame(base, "part int, base long")  # as many rows as partitions
+    bases = done.sparkSession.createDataFrame(base, "part int, base long")
     rows = done.filter("runs IS NULL").join(F.broadcast(bases), "part")
     return rows.select(*keep, (F.col("base") + F.col("local")).alias("name"))
 

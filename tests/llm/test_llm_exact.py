@@ -53,3 +53,12 @@ def test_many_copies_over_many_blocks(spark, size):
 
 def test_normalised():
     assert [exact.normalised(t) for t in (b"", b" \n", b"a", b"\ta  b\x0b", b"a\r\n b")] == [b"", b" ", b"a", b" a b ", b"a b"]
+
+
+def test_contents_of_one_short_key(spark, monkeypatch):
+    """If the hash of the short key told nothing, names would still be those of whole contents."""
+    monkeypatch.setattr(exact, "HEAD", 1)
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: exact.F.lit(7).cast("long"))
+    rows = [(i, f"a{i % 17} same beginning") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(exact.deduplicate(df, 8)) == brute(rows)
