@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reviewlake.llm.common import bounded_batches, id_and_text, slices
+from reviewlake.llm.common import bounded_batches, freeing, id_and_text, slices
 
 END = "</w>"
 # Words kept between batches; beyond it the cache starts anew, results are the same.
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 
 
 def _class(kind: str, most: int) -> str:
@@ -92,7 +92,7 @@ class WordBpe:
                 node = node.setdefault(c, {})
             node[""] = number
             self._size[number] = len(body)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[str, int]]:
         """Parts at the left (0) or right (1) edge of a token while it is made, and the rank that ends each."""
@@ -128,15 +128,15 @@ class WordBpe:
                 break
             token = node.get("")
             if token is not None:
-                behind.append((last[start], token))
                 if not start:
                     return token
+                behind.append(last[start] << 32 | token)
         for pair in reversed(behind):
             fits = pairs.get(pair)
             if fits is None:
-                fits = pairs[pair] = self._compatible(*pair)
+                fits = pairs[pair] = self._compatible(pair >> 32, pair & 0xFFFFFFFF)
             if fits:
-                return pair[1]
+                return pair & 0xFFFFFFFF
         raise ValueError(f"no token ends {text[:depth]!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = pa.ListArray.from_arrays(pa.array(ends), flat)
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), ids], names=["doc_id", "ids"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(freeing(run), "doc_id long, text string")
 
 
 def encode_and_decode(
@@ -287,7 +287,7 @@ def encode_and_decode(
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     names = [c.split()[0] for c in schema.split(", ")]
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), schema)
 
 
 def default_tokenizer() -> str:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Arrow batches are bounded by their size too, as texts may be very long.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,13 +77,31 @@ def numbered(docs: DataFrame) -> DataFrame:
 FEW_KEYS = 2_000_000
 
 
-def matching(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+def matching(rows: DataFrame, keys: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """A left semi or left anti join; the keys are counted first and only broadcast if they are few."""
     few = keys.count() <= FEW_KEYS
     return rows.join(F.broadcast(keys) if few else keys, key, how)
 
 
-def slices(texts: pa.Array, most: int = 2 * 1024 * 1024) -> Iterator[tuple[int, list]]:
+def freeing(run: Callable) -> Callable:
+    """A map over Arrow batches that gives its memory back when a task ends; workers are used again and stay."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.unfreeze()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def slices(texts: pa.Array, most: int = 1024 * 1024) -> Iterator[tuple[int, list]]:
     """(first row, rows) in runs of about `most` bytes; one long text makes a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

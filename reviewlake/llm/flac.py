@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reviewlake.llm.common import bounded_batches, id_and_text, slices
+from reviewlake.llm.common import bounded_batches, freeing, id_and_text, slices
 
 BLOCK = 576
 PAD = 255
@@ -395,7 +395,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 keys = batch.column("doc_id").slice(first, len(texts))
                 yield pa.record_batch([keys, pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, media binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), "doc_id long, media binary")
 
 
 def pcm_blocks(media: DataFrame, samples: int = 64 * BLOCK, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -427,7 +427,7 @@ def pcm_blocks(media: DataFrame, samples: int = 64 * BLOCK, id_col: str = "doc_i
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     picked = media.select(media[id_col].cast("long").alias("doc_id"), media[media_col].alias("media"))
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(freeing(run), schema)
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -442,7 +442,8 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            for first, texts in slices(batch.column("text").cast(pa.binary())):
+            # The decoder steps through all frames of a run at once, so longer runs cost less.
+            for first, texts in slices(batch.column("text").cast(pa.binary()), 2 * 1024 * 1024):
                 media = encode_streams([payload(t) for t in texts])
                 rows = []
                 for text, stream, x in zip(texts, media, decode_streams(media)):
@@ -452,4 +453,4 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keys = batch.column("doc_id").slice(first, len(texts))
                 yield pa.record_batch([keys, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=names)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm import wordhash
-from reviewlake.llm.common import bounded_batches, held_out, id_and_text, slices
+from reviewlake.llm.common import bounded_batches, freeing, held_out, id_and_text, slices
 
 # Bounds of the samples the model is fitted on; everything else covers all rows.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -183,7 +183,7 @@ def _featured(docs: DataFrame) -> np.ndarray:
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), flat], names=["doc_id", "x"])
 
-    rows = docs.mapInArrow(run, "doc_id long, x array<float>").toPandas().sort_values("doc_id")
+    rows = docs.mapInArrow(freeing(run), "doc_id long, x array<float>").toPandas().sort_values("doc_id")
     return np.stack(rows.x.to_list()).astype(np.float64) if len(rows) else np.zeros((0, 1))
 
 
@@ -206,7 +206,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
                 keys = batch.column("doc_id").slice(first, len(texts))
                 yield pa.record_batch([keys, pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(freeing(run), "doc_id long, score double")
 
 
 def classify(
@@ -248,4 +248,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
                 keep = np.full(len(part), True) if net is None else _sigmoid(net.scores(features(part, hasher))) >= threshold
                 yield batch.slice(first, len(part)).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, components, forget, id_and_text, matching, numbered, settle, slices
+from reviewlake.llm.common import bounded_batches, components, forget, freeing, id_and_text, matching, numbered, settle, slices
 
 BITS = 64
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(
                 found += [fingerprint(t, shingle, seed, repeats) for t in texts]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 def correlated_partitions(distinct: DataFrame, parts: int) -> list[list[int]]:
@@ -88,7 +88,7 @@ def correlated_partitions(distinct: DataFrame, parts: int) -> list[list[int]]:
         cell = pa.array(np.arange(BITS * BITS))
         yield pa.record_batch([cell, pa.array(total.ravel())], names=["cell", "n"])
 
-    sums = distinct.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = distinct.select("fp").mapInArrow(freeing(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     both = np.zeros(BITS * BITS)
     for row in sums.collect():  # 64 x 64 numbers at most
         both[row.cell] = row.n
@@ -145,7 +145,7 @@ def estimates(distinct: DataFrame, groups: list[list[int]], most: int) -> list[n
                 [pa.array(np.full(len(at), i)), pa.array(at), pa.array(count[at])], names=["part", "value", "n"]
             )
 
-    sums = distinct.select("fp").mapInArrow(run, "part long, value long, n long")
+    sums = distinct.select("fp").mapInArrow(freeing(run), "part long, value long, n long")
     rows = sums.groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()  # parts x 2**16 rows at most
     out = []
     for i, g in enumerate(groups):
@@ -252,8 +252,10 @@ def links(distinct: DataFrame, most: int = 3, parts: int | None = None) -> DataF
                         yield pa.record_batch([part, pa.array(value[of] ^ mask), pa.array(fp[of])], names=names)
 
     schema = "part int, value long, fp long"
-    found = distinct.select("fp").mapInArrow(probe, schema).withColumnRenamed("fp", "a")
-    there = distinct.select("fp").mapInArrow(index, schema).withColumnRenamed("fp", "b")
+    # Few bytes, but many probes each: dealt out evenly, whatever the files they lie in.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = distinct.select("fp").repartition(tasks).mapInArrow(freeing(probe), schema).withColumnRenamed("fp", "a")
+    there = distinct.select("fp").mapInArrow(freeing(index), schema).withColumnRenamed("fp", "b")
     near = found.join(there, ["part", "value"]).filter(f"a < b AND bit_count(a ^ b) <= {most}")
     return near.select("a", "b").distinct()
 
@@ -340,7 +342,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float,
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), lists], names=["id", "s"])
 
     ids = settle(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = settle(matching(rows, ids, "doc_id", "left_semi").mapInArrow(run, "id long, s array<long>"))
+    sets = settle(matching(rows, ids, "doc_id", "left_semi").mapInArrow(freeing(run), "id long, s array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("p")), "x")
     both = both.join(sets.select(F.col("id").alias("y"), F.col("s").alias("q")), "y")
     common = F.size(F.array_intersect("p", "q"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bounded_batches
+from reviewlake.llm.common import bounded_batches, freeing
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The vocabulary and the number of soft terms that reject are parameters; these are their defaults.
@@ -112,7 +112,7 @@ def judge(
                 names=["page_id", "url", "strict_hits", "soft_hits"],
             )
 
-    counted = rows.mapInArrow(run, f"page_id {kind}, url string, strict_hits long, soft_hits long").select(
+    counted = rows.mapInArrow(freeing(run), f"page_id {kind}, url string, strict_hits long, soft_hits long").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "strict_hits", "soft_hits"
     )
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)

@@ -29,8 +29,8 @@ class Hasher:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self._up) <= len(data):
-            self._up = _powers(_BASE, 2 * len(data) + 1)
-            self._down = _powers(pow(_BASE, -1, 1 << 64), 2 * len(data) + 1)
+            self._up = _powers(_BASE, len(data) + len(data) // 8 + 1)
+            self._down = _powers(pow(_BASE, -1, 1 << 64), len(data) + len(data) // 8 + 1)
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * self._up[: len(data)], out=out[1:])
         return out
