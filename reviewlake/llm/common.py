@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Arrow batches are bounded by their size too, as texts may be very long.
 BATCH_BYTES = 4 * 1024 * 1024
@@ -121,6 +122,45 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def bucket_links(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """x, y: the verified pairs by which every row (id) of a bucket (band) is linked in it or has met all that are not.
+
+    In the first round a row meets the first and the previous row of its bucket.  What is linked to one of them rests;
+    the others go on and meet the first 1, 2, 4, ... of those left in their bucket, until none are left.  So a large
+    group does not meet pair by pair, however many groups share its bucket.
+    """
+    ordered = Window.partitionBy("band").orderBy("id")
+    rows = buckets.select("band", "id", F.row_number().over(ordered).alias("at"), F.lag("id").over(ordered).alias("before"), F.first("id").over(ordered).alias("first"))
+    rows = settle(rows.filter("at > 1"))
+    met = rows.select("band", "at", F.explode(F.array_distinct(F.array("before", "first"))).alias("x"), F.col("id").alias("y"))
+    # The first of a bucket has met the second alone, as each later row has met it.
+    left, found, leaders, done = rows.select("band", "at", "id"), [], 1, [rows]
+    while True:
+        links = settle(verified(settle(met.select("x", "y").distinct())))
+        found.append(links)
+        linked = met.join(links, ["x", "y"]).select("band", F.col("y").alias("id")).distinct()
+        left = left.join(linked, ["band", "id"], "left_anti")
+        if len(found) > 1:
+            left = left.filter(f"place > {leaders // 2}").drop("place")
+        # A row is left with others, or has met all there are.
+        many = left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+        left = left.join(many, "band", "left_semi")
+        left = settle(left.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("at"))))
+        done.append(left)
+        if not left.head(1):
+            break
+        first = left.filter(f"place <= {leaders}").select("band", F.col("at").alias("x_at"), F.col("id").alias("x"))
+        pairs = left.join(first, "band").filter("x_at < at")
+        # Neighbours have met in the first round.
+        met = pairs.filter("at - x_at > 1").select("band", "at", "x", F.col("id").alias("y"))
+        leaders *= 2
+    out = found[0]
+    for links in found[1:]:
+        out = out.union(links)
+    forget(*done)
+    return out.distinct()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has an edge: the smallest node it is connected with.
 
