@@ -17,9 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, components, forget, freeing, id_and_text, matching, numbered, settle, slices
+from reviewlake.llm.common import bounded_batches, bucket_links, components, forget, freeing, id_and_text, matching, numbered, settle, slices
 
 BITS = 64
 SEED = 42
@@ -44,10 +43,9 @@ def hashed_shingles(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(p, seed) for p in parts), np.uint64, total)
 
 
-def fingerprint(text: bytes, shingle: int, seed: int, repeats: bool = True) -> int:
-    """Majority of each bit over the hashes of all word shingles, or of the distinct ones; no words give zero."""
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    """Majority of each bit over the hashes of all word shingles; no words give zero."""
     hashes = hashed_shingles(text, shingle, seed)
-    hashes = hashes if repeats else np.unique(hashes)
     total = len(hashes)
     if not total:
         return 0
@@ -58,9 +56,7 @@ def fingerprint(text: bytes, shingle: int, seed: int, repeats: bool = True) -> i
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(
-    docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col="doc_id", text_col="text", repeats: bool = True
-) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row's whole text."""
     bounded_batches(docs.sparkSession)
 
@@ -68,7 +64,7 @@ def fingerprints(
         for batch in batches:
             found = []
             for _, texts in slices(batch.column("text").cast(pa.binary())):
-                found += [fingerprint(t, shingle, seed, repeats) for t in texts]
+                found += [fingerprint(t, shingle, seed) for t in texts]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), "doc_id long, fp long")
@@ -284,8 +280,22 @@ def near_duplicates(
     )
 
 
-# Stages of similar_groups(): close pairs first, so that a large group shrinks before wide ones are searched.
-REACHES = (2, 4, 8)
+# Keys of similar_groups(): each is made of so many minima.  At a similarity of 0.8 a pair shares none with 1 in 1300.
+KEYS, MINIMA = 10, 3
+
+
+def keys(hashes: np.ndarray, seed: int) -> list[int]:
+    """Independent keys of a set of hashes; two sets share one of them with their similarity to the power of MINIMA."""
+    if not len(hashes):
+        return [seed]
+    odd = np.random.default_rng(seed).integers(0, 2**64, KEYS * MINIMA, np.uint64, endpoint=False) | np.uint64(1)
+    least = np.empty(KEYS * MINIMA, np.uint64)
+    for i, factor in enumerate(odd):
+        mixed = hashes * factor
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= factor
+        least[i] = mixed.min()
+    return [xxhash.xxh64_intdigest(least[i : i + MINIMA].tobytes(), i) - 2**63 for i in range(0, KEYS * MINIMA, MINIMA)]
 
 
 def similar_groups(
@@ -293,41 +303,28 @@ def similar_groups(
 ) -> DataFrame:
     """row, doc_id, root (a row): rows connected by a similarity of their word shingles of at least `similarity`.
 
-    Fingerprints of the distinct words find candidates, the exact Jaccard similarity of the shingles decides.  A changed
-    word changes one word but `shingle` shingles, so similar texts have near fingerprints of words.  Candidates are sought
-    within 2, then 4, then 8 bits; after each reach a component goes on as the row with most links, so a large group
-    does not meet pair by pair.  Rows of equal fingerprints meet the first and the one before.  Texts without words
-    are similar to one another; a NULL text is empty.
+    Independent MinHash keys of the shingles find candidates, the exact Jaccard similarity decides.  The chance to share a
+    key depends on the similarity alone, neither on the length of the texts nor on where they differ.  Every row keeps all
+    its keys, and rows with a common key are compared until they are in one component.  Texts without words are similar
+    to one another; a NULL text is empty.
     """
     bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     keyed = rows.select(F.col("row").alias("doc_id"), "text")
-    marked = settle(fingerprints(keyed, 1, seed, repeats=False).withColumnRenamed("doc_id", "row"))
-    order = Window.partitionBy("fp").orderBy("row")
-    equal = marked.select("row", F.lag("row").over(order).alias("before"), F.first("row").over(order).alias("first"))
-    equal = equal.filter("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("x"), F.col("row").alias("y"))
-    known = settle(_similar(settle(equal), keyed, shingle, similarity, seed))
-    live = marked
-    for reach in REACHES:
-        live = _leaders(marked, known) if known.head(1) else marked
-        distinct = settle(live.groupBy("fp").agg(F.min("row").alias("row")))
-        near = links(distinct, reach)
-        near = near.join(distinct.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a")
-        near = near.join(distinct.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select("x", "y")
-        known = settle(known.union(_similar(settle(near), keyed, shingle, similarity, seed)).distinct())
-    of = components(known, "x", "y")
-    ids = rows.select("row", "doc_id")
-    return ids.join(of, ids.row == of.node, "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("doc_id"))
+            for first, texts in slices(batch.column("text").cast(pa.binary())):
+                found = [keys(np.unique(hashed_shingles(t, shingle, seed)), seed) for t in texts]
+                of = np.repeat(ids[first : first + len(texts)], [len(k) for k in found])
+                yield pa.record_batch([pa.array(np.concatenate(found).astype(np.int64)), pa.array(of)], names=["band", "id"])
 
-def _leaders(marked: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of marked without those linked to another; of each component the row with most links stays."""
+    buckets = settle(keyed.mapInArrow(freeing(run), "band long, id long"))
+    known = settle(bucket_links(buckets, lambda pairs: _similar(pairs, keyed, shingle, similarity, seed)))
     of = components(known, "x", "y")
-    degree = known.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", (-F.col("node")).alias("node")))
-    leader = of.join(degree, "node").groupBy("root").agg((-best["node"]).alias("node")).select("node")
-    others = of.select("node").join(leader, "node", "left_anti").withColumnRenamed("node", "row")
-    return settle(matching(marked, settle(others), "row", "left_anti"))
+    ids = rows.select("row", "doc_id")
+    return ids.join(of, ids.row == of.node, "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:

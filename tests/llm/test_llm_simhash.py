@@ -100,3 +100,42 @@ def test_similar_groups(spark):
     kept = {r.doc_id for r in simhash.without_similar(df).collect()}
     assert kept == {base * 4 for base in range(30)} | {1000 + i for i in range(20)} | {2000}
     assert simhash.without_similar(nasty.empty(spark)).count() == 0
+
+
+def brute_force(spark, texts):
+    """Pairs of texts whose five-word shingles have a similarity of at least 0.8, and the root of each text found."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    holds = {}
+    for i, s in enumerate(sets):
+        for v in s:
+            holds.setdefault(v, []).append(i)
+    pairs = {(i, j) for of in holds.values() for j in of for i in of if i < j}
+    pairs = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return pairs, {r.doc_id: r.root for r in simhash.similar_groups(df).collect()}
+
+
+@pytest.mark.parametrize("zipf", [False, True])
+def test_recall_at_the_threshold(spark, zipf):
+    """Text appended, cut off or edited here and there, short and long: 99 % of all pairs of 0.8 and more are found."""
+    rng = random.Random(13 + zipf)
+    draw = lambda: f"w{int(rng.paretovariate(1)) % 20000 if zipf else rng.randrange(20000)}"
+    texts = []
+    for n in (50, 100, 200, 400, 700, 1000):
+        for kind in range(3):
+            for _ in range(25):
+                words = [draw() for _ in range(n)]
+                texts.append(" ".join(words))
+                part = int(n * rng.uniform(0.12, 0.23))
+                if kind == 0:
+                    words += [draw() for _ in range(part)]
+                elif kind == 1:
+                    words = words[: n - int(0.8 * part)]
+                else:
+                    for at in rng.sample(range(n), max(1, n // 50)):
+                        words[at] = draw()
+                texts.append(" ".join(words))
+    pairs, roots = brute_force(spark, texts)
+    assert len(pairs) > 350
+    assert sum(roots[i] == roots[j] for i, j in pairs) >= 0.99 * len(pairs)
+    assert all((i, j) in pairs for i, j in zip(range(0, len(texts), 2), range(1, len(texts), 2)) if roots[i] == roots[j])
