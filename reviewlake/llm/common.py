@@ -122,12 +122,13 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def bucket_links(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], whole: bool = False) -> DataFrame:
     """x, y: the verified pairs by which every row (id) of a bucket (band) is linked in it or has met all that are not.
 
     In the first round a row meets the first and the previous row of its bucket.  What is linked to one of them rests;
     the others go on and meet the first 1, 2, 4, ... of those left in their bucket, until none are left.  So a large
-    group does not meet pair by pair, however many groups share its bucket.
+    group does not meet pair by pair, however many groups share its bucket.  If `whole`, at last rows of one bucket that
+    are in different components meet, those at rest too: the components are those of all pairs that share a bucket.
     """
     ordered = Window.partitionBy("band").orderBy("id")
     rows = buckets.select("band", "id", F.row_number().over(ordered).alias("at"), F.lag("id").over(ordered).alias("before"), F.first("id").over(ordered).alias("first"))
@@ -158,9 +159,24 @@ def bucket_links(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame])
     for links in found[1:]:
         out = out.union(links)
     forget(*done)
+    if whole:
+        out = settle(out.distinct())
+        out = out.union(settle(verified(settle(_apart(buckets, out)))))
     return out.distinct()
 
 
+def _apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """x, y: all pairs of one bucket in different components; the rows beside a bucket's largest one meet all others."""
+    of = components(links, "x", "y").withColumnRenamed("node", "id")
+    placed = settle(buckets.join(of, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    mixed = settle(placed.join(most, "band").select("band", "id", "root", (F.col("root") != F.col("most.root")).alias("beside")))
+    others = mixed.filter("beside").select("band", F.col("id").alias("of"), F.col("root").alias("of_root"))
+    pairs = mixed.join(others, "band").filter("root <> of_root AND (NOT beside OR id < of)")
+    return pairs.select(F.least("id", "of").alias("x"), F.greatest("id", "of").alias("y")).distinct()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has an edge: the smallest node it is connected with.
 

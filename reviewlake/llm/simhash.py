@@ -321,7 +321,7 @@ def similar_groups(
                 yield pa.record_batch([pa.array(np.concatenate(found).astype(np.int64)), pa.array(of)], names=["band", "id"])
 
     buckets = settle(keyed.mapInArrow(freeing(run), "band long, id long"))
-    known = settle(bucket_links(buckets, lambda pairs: _similar(pairs, keyed, shingle, similarity, seed)))
+    known = settle(bucket_links(buckets, lambda pairs: _similar(pairs, keyed, shingle, similarity, seed), whole=True))
     of = components(known, "x", "y")
     ids = rows.select("row", "doc_id")
     return ids.join(of, ids.row == of.node, "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from reviewlake.llm import simhash
+from reviewlake.llm.common import bucket_links
 
 
 def naive(text, k=3):
@@ -139,3 +140,12 @@ def test_recall_at_the_threshold(spark, zipf):
     assert len(pairs) > 350
     assert sum(roots[i] == roots[j] for i, j in pairs) >= 0.99 * len(pairs)
     assert all((i, j) in pairs for i, j in zip(range(0, len(texts), 2), range(1, len(texts), 2)) if roots[i] == roots[j])
+
+
+def test_members_at_rest_are_met(spark):
+    """A row that is similar only to one in the middle of its bucket, linked to another already, is linked as well."""
+    rows = [(7, i) for i in (1, 2, 3, 4, 5, 6, 9)]
+    alike = {(1, i) for i in (2, 3, 4, 5, 6)} | {(3, 9)}
+    pairs = spark.createDataFrame(list(alike), "x long, y long")
+    links = bucket_links(spark.createDataFrame(rows, "band long, id long"), lambda p: p.join(pairs, ["x", "y"]), whole=True)
+    assert {(r.x, r.y) for r in links.collect()} == alike
