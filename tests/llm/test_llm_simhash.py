@@ -149,3 +149,22 @@ def test_members_at_rest_are_met(spark):
     pairs = spark.createDataFrame(list(alike), "x long, y long")
     links = bucket_links(spark.createDataFrame(rows, "band long, id long"), lambda p: p.join(pairs, ["x", "y"]), whole=True)
     assert {(r.x, r.y) for r in links.collect()} == alike
+
+
+def test_same_words_in_other_orders(spark):
+    """Families of one set of words in other orders, interleaved: each family is one group and stays apart from the others."""
+    rng = random.Random(21)
+    words, families = [f"w{i}" for i in range(200)], []
+    for _ in range(6):
+        rng.shuffle(words)
+        families.append(list(words))
+    texts = []
+    for copy in range(5):
+        for f in families:
+            changed = list(f)
+            at = 30 * copy + 10
+            changed[at : at + 3] = changed[at : at + 3][::-1]
+            texts.append(" ".join(changed))
+    pairs, roots = brute_force(spark, texts)
+    assert len(pairs) == 6 * 10
+    assert all(roots[i] == roots[i % 6] for i in roots) and len(set(roots.values())) == 6
