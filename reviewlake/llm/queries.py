@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, exact, flac, hpylm, lines, mixing, quality, simhash, toxicity, urls
+from reviewlake.llm import bpe, exact, flac, hpylm, lines, mixing, quality, repeats, simhash, toxicity, urls
 from reviewlake.llm.common import table
 
 MIX_WEIGHTS = [3, 1, 2]
@@ -57,7 +57,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op6_line_dedup, op7_quality, op8_toxicity, op9_flac, op10_url_filter)}
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op6_line_dedup, op7_quality, op8_toxicity, op9_flac, op10_url_filter, op11_repeats)}
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
     "op5_mixing": mixing.oracle(MIX_WEIGHTS),
