@@ -45,11 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def settle(df: DataFrame, *sort: str) -> DataFrame:
+def settle(df: DataFrame, *sort: str, codec: str = "snappy") -> DataFrame:
     """Write the rows to the shared folder and read them back: later steps survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

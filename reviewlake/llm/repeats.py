@@ -23,52 +23,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.llm.common import bounded_batches, forget, freeing, id_and_text, settle, slices, swept
-from reviewlake.llm.wordhash import Hasher, mixed
+from reviewlake.llm.common import bounded_batches, forget, freeing, id_and_text, matching, settle, slices, swept
+from reviewlake.llm.wordhash import Hasher
 
 ANCHOR = 16
 # Bytes of a long text that are looked at together.
 SEGMENT = 1 << 22
+# Bytes of several texts that are looked at together: what is computed from them stays in the processor's cache.
+PIECE = 1 << 18
 # An anchor with more different cuts than this is cut into single strings, which meet only their equals.
 MANY_CUTS = 4096
 # Suffixes that are sorted together, at the most one anchor's beyond it.
 SUFFIXES = 400_000
 _PLACE = 24
 _MASK = (1 << 62) - 1
+# A span as one number; none is longer than two strings.
+_SPAN = 1 << 20
 # A row without doc_id comes after all others.
 NO_ID = (1 << 63) - 1
 
 
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each place on; places past the last whole one are left out."""
+    n = len(data) - ANCHOR + 1
+    eight = np.empty(len(data) - 7, np.uint64)
+    for i in range(min(8, len(eight))):
+        own = eight[i::8]
+        own[:] = np.frombuffer(data, "<u8", len(own), i)
+    out = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    out += eight[8 : n + 8]
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out
+
+
 def anchored(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last start of the strings that share an anchor, and the anchor's hash; no string crosses one of ends."""
     width = least - ANCHOR + 1
-    n = len(data) - ANCHOR + 1
     none = np.zeros(0, np.int64)
-    if n < width:
+    if len(data) < least:
         return none, none, none
-    hasher = Hasher()
-    at = np.arange(n)
-    hashes = hasher.spans(hasher.sums(data), at, at + ANCHOR)
+    hashes = _hashes(data)
     # Of equal hashes the first; the place is needed to find it again.
-    low = np.uint64((1 << _PLACE) - 1)
-    least_of = (mixed(hashes) & ~low) | at.astype(np.uint64)
+    least_of = hashes & ~np.uint64((1 << _PLACE) - 1)
+    least_of |= np.arange(len(hashes), dtype=np.uint64)
     step = 1
     while 2 * step <= width:
         least_of = np.minimum(least_of[:-step], least_of[step:])
         step *= 2
     rest = width - step
     least_of = np.minimum(least_of[: len(least_of) - rest], least_of[rest:])
-    anchor = (least_of & low).astype(np.int64)
-    start = np.arange(len(anchor))
-    end = ends[np.searchsorted(ends, start, "right")]
-    inside = start + least <= end
-    new = inside & np.r_[True, (anchor[1:] != anchor[:-1]) | (end[1:] != end[:-1])]
-    first = np.flatnonzero(new)
+    new = np.empty(len(least_of), bool)
+    new[0] = True
+    np.not_equal(least_of[1:], least_of[:-1], out=new[1:])
+    begins = np.r_[0, ends[:-1]]
+    new[begins[begins < len(new)]] = True
+    # No string begins where it would cross the end of its text.
+    edges = np.zeros(len(new) + 1, np.int8)
+    long = ends - begins >= least
+    np.add.at(edges, begins[long], 1)
+    np.add.at(edges, np.minimum(ends[long] - least + 1, len(new)), -1)
+    first = np.flatnonzero(new & (np.cumsum(edges[:-1], dtype=np.int8) > 0))
     if not len(first):
         return none, none, none
-    # A run ends before the next one begins, or where strings would cross the end of their text.
-    last = np.minimum(np.r_[first[1:], len(anchor)] - 1, end[first] - least)
-    return first, last, hashes[anchor[first]].view(np.int64)
+    end = ends[np.searchsorted(ends, first, "right")]
+    last = np.minimum(np.r_[first[1:], len(new)] - 1, end - least)
+    anchor = (least_of[first] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    return first, last, hashes[anchor].view(np.int64)
 
 
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -82,7 +105,7 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 def segments(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, ends of the texts in them, place of each text's first byte) in parts of bounded size."""
     texts = batch.column("text").cast(pa.binary())
-    for first, some in slices(texts):
+    for first, some in slices(texts, PIECE):
         if len(some) == 1 and len(some[0]) > SEGMENT:
             # Parts of one long text overlap, so that each string of it is in one of them.
             for at in range(0, len(some[0]) - least + 1, SEGMENT):
@@ -137,8 +160,22 @@ def suffix_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, least:
     count = size - least + 1
     of = np.repeat(np.arange(len(start)), count)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    begin, left = start[of] + offset, size[of] - offset
-    widest = int(size.max())
+    classes = np.arange(len(of))
+    # A string whose hash is here once is a class of its own; the others are sorted.
+    hasher = Hasher()
+    sums = hasher.sums(data)
+    begin = start[of] + offset
+    hashes = hasher.spans(sums, begin, begin + least)
+    order = np.argsort(hashes)
+    twice = hashes[order[1:]] == hashes[order[:-1]]
+    may = np.zeros(len(of), bool)
+    may[order[1:][twice]] = True
+    may[order[:-1][twice]] = True
+    at = np.flatnonzero(may)
+    if not len(at):
+        return of, offset, classes
+    begin, left = begin[at], (size[of] - offset)[at]
+    widest = int(left.max())
     padded = np.r_[data, np.zeros(widest, np.uint8)]
     rows = np.lib.stride_tricks.sliding_window_view(padded, widest)[begin]
     # Bytes beyond the cut's end are blanked.
@@ -151,8 +188,7 @@ def suffix_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, least:
     head = np.arange(len(order))
     for _, low, high in intervals(common, least):
         head[low : high + 1] = low  # the outermost comes last
-    classes = np.empty(len(order), np.int64)
-    classes[order] = head
+    classes[at[order]] = at[head]
     return of, offset, classes
 
 
@@ -168,8 +204,9 @@ def grown(of: np.ndarray, classes: np.ndarray, count: np.ndarray) -> np.ndarray:
     return one[classes]
 
 
-def _grams(rows: DataFrame, least: int) -> DataFrame:
-    """gram, doc_id: the anchors of every text, once each."""
+def _grams(rows: DataFrame, least: int, with_id: bool) -> DataFrame:
+    """gram (and doc_id): the anchors of every text, once each."""
+    names = ["gram", "doc_id"] if with_id else ["gram"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +215,10 @@ def _grams(rows: DataFrame, least: int) -> DataFrame:
                 order = np.lexsort((gram, row))
                 row, gram = row[order], gram[order]
                 new = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]
-                yield pa.record_batch([pa.array(gram[new]), pa.array(ids[row[new]])], names=["gram", "doc_id"])
+                columns = [pa.array(gram[new]), pa.array(ids[row[new]])]
+                yield pa.record_batch(columns[: len(names)], names=names)
 
-    return rows.select("doc_id", "text").mapInArrow(freeing(run), "gram long, doc_id long")
+    return rows.select("doc_id", "text").mapInArrow(freeing(run), ", ".join(f"{n} long" for n in names))
 
 
 def _cuts(rows: DataFrame, least: int) -> DataFrame:
@@ -301,43 +339,47 @@ def _classes(contents: DataFrame, least: int) -> DataFrame:
 def _settled_cuts(rows: DataFrame, least: int) -> DataFrame:
     """The cuts of all anchors that two rows of (doc_id, text_key, text) share, as a written table."""
     spark = rows.sparkSession
-    grams = _grams(rows, least)
     # Counts are summed before they are shuffled, so a frequent anchor is few rows.
-    shared = settle(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    counted = _grams(rows, least, False).groupBy("gram").agg(F.count("*").alias("n"))
+    shared = settle(counted.filter("n > 1").select("gram"))
     swept(spark)
-    lists = settle(grams.join(shared, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("grams")))
+    own = _grams(rows, least, True).join(shared.hint("shuffle_hash"), "gram", "left_semi")
+    lists = settle(own.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")))
     forget(shared)
     swept(spark)
-    cuts = settle(_cuts(rows.join(lists, "doc_id").select("doc_id", "text_key", "text", "grams"), least))
+    # Neighbouring cuts overlap, so they take little room.
+    cuts = settle(_cuts(rows.join(lists, "doc_id").select("doc_id", "text_key", "text", "grams"), least), codec="zstd")
     forget(lists)
     swept(spark)
-    # Anchors with very many different cuts meet string by string.
-    different = cuts.groupBy("gram", "bytes").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("n"))
-    hot = settle(different.filter(f"n > {MANY_CUTS}").select("gram"))
-    if hot.head(1):
-        halves = [cuts.join(hot, "gram", "left_anti"), _single(cuts.join(hot, "gram", "left_semi"), least)]
-        whole, cuts = cuts, settle(halves[0].unionByName(halves[1]))
-        forget(whole)
-    forget(hot)
-    swept(spark)
     return cuts
 
 
+def _contents(cuts: DataFrame, least: int, *figures: Column) -> tuple[DataFrame, DataFrame]:
+    """Equal cuts as one row with those figures, and the cuts themselves, both with two hashes of their bytes.
+
+    Anchors with very many different cuts are cut string by string in both.
+    """
+    by = ["gram", "bytes"]
+    contents = settle(cuts.groupBy(*by).agg(*figures), codec="zstd")
+    hot = settle(contents.groupBy("gram").agg(F.count("*").alias("n")).filter(f"n > {MANY_CUTS}").select("gram"))
+    if not hot.head(1):
+        return _keyed(contents), _keyed(cuts)
+    single = settle(_single(matching(cuts, hot, "gram", "left_semi"), least))
+    cold = matching(cuts, hot, "gram", "left_anti")
+    both = matching(contents, hot, "gram", "left_anti").unionByName(single.groupBy(*by).agg(*figures))
+    return _keyed(both), _keyed(cold.unionByName(single))
+
+
 def _keyed(cuts: DataFrame) -> DataFrame:
     return cuts.withColumns({"h1": F.xxhash64("bytes"), "h2": F.xxhash64("bytes", F.lit(2))})
 
 
-def _owners(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """All rows as doc_id, text, n_bytes, sha, known (a row without id: NO_ID); of each text the smallest of those ids."""
-    rows = id_and_text(docs, id_col, text_col).select(
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows as doc_id (without one: NO_ID), known, text, n_bytes, text_key."""
+    return id_and_text(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text",
-        F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
+        F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("text_key"),
     )
-    long = rows.filter(f"n_bytes >= {least}")
-    return rows, long.groupBy("sha").agg(F.min("doc_id").alias("owner"))
-
-
-_TEXT_KEY = "xxhash64(sha)"
 
 
 def repeat_groups(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="text") -> DataFrame:
@@ -350,13 +392,12 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="t
     repeats; rows with a NULL id are one document, the last.  An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    rows, _ = _owners(docs, id_col, text_col, least)
-    rows = rows.filter(f"n_bytes >= {least}").select("doc_id", F.expr(_TEXT_KEY).alias("text_key"), "text").distinct()
-    cuts = _keyed(_settled_cuts(rows, least))
+    rows = _rows(docs, id_col, text_col).filter(f"n_bytes >= {least}").select("doc_id", "text_key", "text").distinct()
+    cuts = _settled_cuts(rows, least)
     place = F.struct("doc_id", "text_key", "at")
     weight = _weight(0).cast("decimal(38,0)")
-    at = F.col("at").cast("decimal(38,0)")
-    contents = cuts.groupBy("gram", "bytes", "h1", "h2").agg(
+    contents, cuts = _contents(
+        cuts, least,
         F.count("*").alias("n"), F.min(place).alias("place"), F.max("doc_id").alias("most_doc"),
         *(_modular(F.sum(F.pmod((w * x).cast("decimal(38,0)"), F.lit(_MASK + 1).cast("decimal(38,0)")))).alias(s)
           for s, w, x in (("s0", weight, F.lit(1).cast("decimal(1,0)")), ("s1", _weight(0).cast("decimal(13,0)"), F.col("at").cast("decimal(11,0)")),
@@ -389,16 +430,15 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="t
 
 
 def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
-    """doc_id, text_key, spans (start, length): of rows (doc_id, text_key, text) what repeats a smaller doc_id."""
-    cuts = _keyed(_settled_cuts(rows, least))
-    contents = cuts.groupBy("gram", "bytes", "h1", "h2").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc")
-    )
+    """doc_id, text_key, spans (start * _SPAN + length): of rows (doc_id, text_key, text) what repeats a smaller doc_id."""
+    cuts = _settled_cuts(rows, least)
+    figures = F.count("*").alias("n"), F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc")
+    contents, cuts = _contents(cuts, least, *figures)
     runs = settle(_classes(contents, least))
     found = cuts.select("h1", "h2", "doc_id", "text_key", "at").join(runs, ["h1", "h2"]).filter("least_doc < doc_id")
-    span = F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("strings") + least - 1).alias("length"))
+    span = (F.col("at") + F.col("start")) * _SPAN + F.col("strings") + least - 1
     spans = settle(found.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans")))
-    forget(runs, cuts)
+    forget(runs)
     swept(rows.sparkSession)
     return spans
 
@@ -419,22 +459,29 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="
     that occurs again with a larger doc_id goes there as a whole.  An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    rows, owners = _owners(docs, id_col, text_col, least)
-    owners = settle(owners)
-    mine = rows.filter(f"n_bytes >= {least}").join(owners.withColumnRenamed("owner", "doc_id"), ["sha", "doc_id"], "left_semi")
-    spans = repeated_spans(mine.select("doc_id", F.expr(_TEXT_KEY).alias("text_key"), "text"), least)
+    rows = _rows(docs, id_col, text_col)
+    # Rows whose text a smaller doc_id has go as a whole; the others are compared.
+    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")
+    names = settle(rows.filter(f"n_bytes >= {least}").select("doc_id", "text_key", sha))
+    owners = names.groupBy("sha").agg(F.min("doc_id").alias("owner"))
+    copies = names.join(owners, "sha").filter("owner < doc_id").select("doc_id", "text_key").distinct()
+    copies = settle(copies.withColumn("copy", F.lit(True)))
+    forget(names)
+    mine = matching(rows.filter(f"n_bytes >= {least}"), copies.drop("copy"), ["doc_id", "text_key"], "left_anti")
+    spans = repeated_spans(mine.select("doc_id", "text_key", "text"), least)
+    found = spans.unionByName(copies.select("doc_id", "text_key", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             removed, count, kept = [0] * n, [0] * n, [b""] * n
-            lists, owner = batch.column("spans"), np.asarray(batch.column("copy"))
+            lists, copy = batch.column("spans"), np.asarray(batch.column("copy"))
             sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             ends, flat = np.r_[0, np.cumsum(sizes)], lists.flatten()
-            starts, lengths = np.asarray(flat.field("start")), np.asarray(flat.field("length"))
+            starts, lengths = np.divmod(np.asarray(flat), _SPAN)
             for first, texts in slices(batch.column("text").cast(pa.binary())):
                 for i, text in enumerate(texts, first):
-                    if owner[i]:
+                    if copy[i]:
                         removed[i], count[i] = len(text), 1
                     elif sizes[i]:
                         own = slice(ends[i], ends[i + 1])
@@ -451,7 +498,12 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    marked = rows.join(owners, "sha", "left").withColumn("copy", F.coalesce(F.col("owner") < F.col("doc_id"), F.lit(False)))
-    marked = marked.withColumn("text_key", F.expr(_TEXT_KEY)).join(spans, ["doc_id", "text_key"], "left")
+    # Only rows that lose something meet their spans.
+    keys = found.select("doc_id", "text_key")
+    whole = matching(rows, keys, ["doc_id", "text_key"], "left_anti").select(
+        "known", "doc_id", "text", "n_bytes", F.lit(False).alias("copy"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    )
+    cut_up = rows.join(found, ["doc_id", "text_key"]).select("known", "doc_id", "text", "n_bytes", F.col("spans").isNull().alias("copy"), "spans")
+    marked = whole.unionByName(cut_up)
     shown = marked.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "text", "n_bytes", "copy", "spans")
     return shown.mapInArrow(freeing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
