@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, exact, flac, hpylm, lines, mixing, quality, repeats, simhash, toxicity, urls
+from reviewlake.llm import aligned, bpe, exact, flac, hpylm, lines, mixing, quality, ranked, repeats, simhash, toxicity, urls
 from reviewlake.llm.common import table
 
 MIX_WEIGHTS = [3, 1, 2]
@@ -61,9 +61,18 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op6_line_dedup, op7_quality, op8_toxicity, op9_flac, op10_url_filter, op11_repeats)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hpylm, op3_exact_dedup, op4_simhash, op5_mixing, op6_line_dedup, op7_quality, op8_toxicity, op9_flac, op10_url_filter, op11_repeats, op12_ranked_search, op13_token_alignment)}
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
     "op5_mixing": mixing.oracle(MIX_WEIGHTS),
     "op10_url_filter": urls.oracle(URL_RULES),
+    "op12_ranked_search": ranked.oracle(),
 }
