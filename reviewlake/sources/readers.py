@@ -30,7 +30,7 @@ TRUTH = J.fields(
 )
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str) -> str:
     """The path as Spark spells it in the paths of its files."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
@@ -49,7 +49,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         .load(path)
     )
     parts = F.split("path", "/")
-    depth = len(_qualified(spark, path).split("/"))
+    depth = len(qualified(spark, path).split("/"))
     return files.select(
         F.array_join(F.slice(parts, depth + 1, F.size(parts) - depth - 1), "/").alias("folder"),
         F.element_at(parts, -1).alias("file"),
@@ -93,7 +93,12 @@ def read_truth(spark: SparkSession, path: str) -> Checked:
     """Ground truth files ``<run>.expected.json``: run and its list of bugs, maybe empty."""
     files = read_files(spark, path, "*.expected.json")
     run = F.regexp_extract("file", r"\A(.*)\.expected\.json\z", 1)
-    checked = check_json(files.select(run.alias("run"), "text"), "text", TRUTH, S.TRUTH)
+    return truth_files(files.select(run.alias("run"), "text"))
+
+
+def truth_files(files: DataFrame) -> Checked:
+    """Texts of ground truth files by run."""
+    checked = check_json(files.select("run", "text"), "text", TRUTH, S.TRUTH)
     valid, rejected = split_checked(checked)
     return Checked(valid.select("run", "value.bugs"), rejected)
 

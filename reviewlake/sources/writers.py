@@ -103,8 +103,13 @@ def _known(events: DataFrame) -> DataFrame:
     return events.select(*[c for c in events.columns if c in {*EVENT_COLUMNS, "ts", "started_at"}])
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    event_lines(_known(events)).write.mode("append").text(path)
+def write_events(events: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append events as lines.  A numbered batch has a folder of its own, so writing it again replaces it."""
+    lines = event_lines(_known(events)).write
+    if batch is None:
+        lines.mode("append").text(path)
+    else:
+        lines.mode("overwrite").text(f"{path}/batch={batch}")
 
 
 def stream_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
