@@ -1,6 +1,7 @@
 """The registered queries: every operator over whole test tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -525,23 +526,32 @@ def diff_stats(documents):
 # --- contracts ------------------------------------------------------------------
 
 
+_TESTS = [f"{v}_{c}" for v in S.VERSIONS for c in ("rows", "failed", "total")]
+
+
 @query("orders", "lineitem", "part")
 def contract_audit(orders, lineitem, part):
-    issues = C.issues(lineitem)
-    shifted = issues.withColumn("pos", F.col("pos") + F.when(F.col("part") % 11 == 0, 1).otherwise(0))
-    fixes = lineitem.filter("l_linestatus = 'F'").select(
-        F.col("l_orderkey").alias("run"),
-        F.concat(F.lit("E"), (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("string")).alias("issue_id"),
-    )
-    cases = C.cases(issues)
-    mistagged = cases.withColumn(
-        "issue_id", F.when(F.col("pos") == 3, F.lit("E9")).otherwise(F.col("issue_id"))
-    )
-    found = cases.filter("pos <> 5").select("run", "name")
-    originals = orders.select(
-        F.col("o_orderkey").alias("run"),
-        F.array_join(F.array_repeat("o_orderpriority", (F.col("o_orderkey") % 7 + 1).cast("int")), "\n").alias("code"),
+    code = F.array_join(F.array_repeat("o_orderpriority", (F.col("o_orderkey") % 7 + 1).cast("int")), "\n")
+    originals = orders.select(F.col("o_orderkey").alias("run"), F.size(T.split_lines(code)).alias("lines"))
+    rows = C.line_facts(lineitem).join(originals, "run", "left")
+    shifted = F.col("pos") + F.when(F.col("part") % 11 == 0, 1).otherwise(0)
+    tag = F.when(F.col("pos") == 3, F.lit("E9")).otherwise(F.col("case_issue_id"))
+    stated = rows.select(
+        F.inline(F.array(
+            A.fact(
+                "run", A.issue_key("issue_id"), issue=F.lit(1), urgent=A.is_urgent("severity"), case=F.col("case_issue_id").isNotNull(),
+                ids_in_order=F.col("issue_id") != F.concat(F.lit("E"), (shifted + 1).cast("string")),
+                line_exists=A.line_is_off("line", "lines"),
+            ),
+            A.fact(
+                "run", A.title_key("name"), title=F.when(F.col("pos") == 5, 1).otherwise(0),
+                tag_is_issue=~T.issue_tag("name").eqNullSafe(tag),
+            ),
+        )),
+        *_TESTS,
     )
+    fix = F.concat(F.lit("E"), (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("string"))
+    fixes = lineitem.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("run"), fix.alias("issue_id"))
     analyses = orders.select(F.col("o_orderkey").alias("run"), C.risk().alias("risk_level"))
     advice = part.select(
         F.col("p_partkey").alias("run"),
@@ -549,13 +559,18 @@ def contract_audit(orders, lineitem, part):
             F.array_join(F.array_repeat("p_name", F.col("p_size") % 14 + 1), " "), F.col("p_size") % 6
         ).alias("recommendations"),
     )
-    return A.contract_audit(
-        A.issue_order(shifted),
-        A.issue_lines(issues, originals),
-        A.clean_is_low(analyses, issues),
-        A.issue_links(issues, fixes, cases),
-        A.tests_prove_fix(testruns.verification(C.test_runs(lineitem), cases)),
-        A.declared_cases(cases, found),
-        A.recommendation_style(advice),
-        A.case_tags(mistagged),
-    )
+    others = [
+        A.facts(fixes, A.fact("run", A.issue_key("issue_id"), fix=F.lit(1))),
+        A.facts(analyses, A.fact("run", raised=F.col("risk_level") != "Low")),
+        A.facts(advice, A.advice_fact("run", "recommendations")),
+    ]
+    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, stated)
+    # An issue is stated twice, as itself and by its title; its tests count once.
+    once = {c: F.when(F.col("issue") == 1, F.col(c)) for c in _TESTS}
+    # A crashed run counts all its cases as failed.
+    failed = {
+        v: F.when(F.col(f"{v}_rows") > 0, F.when(F.col(f"{v}_total") == 0, F.col("issue")).otherwise(F.col(f"{v}_failed"))) for v in S.VERSIONS
+    }
+    proven = (failed["fixed"] == 0) & (failed["original"] > 0)
+    has_tests = F.coalesce(sum(F.col(f"{v}_rows") for v in S.VERSIONS) > 0, F.lit(False))
+    return A.audit_facts(facts, once, tests_prove_fix=has_tests & ~F.coalesce(proven, F.lit(False)))

@@ -74,7 +74,7 @@ def test_plan_scales(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["report_card", "assemble", "headline", "flatten_report", "index_entries"])
+@pytest.mark.parametrize("name", ["report_card", "assemble", "headline", "flatten_report", "index_entries", "contract_audit"])
 def test_few_scans(spark, name):
     """Composite queries read lineitem at most three times."""
     df = driver.queries()[name](spark, SF_DIR)

@@ -168,12 +168,14 @@ def test_contract_audit(spark):
         [("sample", samples.summary()["recommendations"]), ("one", [" a  b "]), ("five", ["x"] * 5)],
         "run string, recommendations array<string>",
     )
+    facts = audit.all_facts(issues, originals, analyses, fixes, cases, found, sides, advice)
+    one_pass = {(r.rule, r.run): r.violations for r in audit.audit_facts(facts).collect()}
     rows = audit.contract_audit(
         audit.issue_order(issues), audit.issue_lines(issues, originals), audit.clean_is_low(analyses, issues),
         audit.issue_links(issues, fixes, cases), audit.tests_prove_fix(sides), audit.declared_cases(cases, found),
         audit.recommendation_style(advice), audit.case_tags(cases),
     ).collect()
-    assert {(r.rule, r.run): r.violations for r in rows} == {
+    assert {(r.rule, r.run): r.violations for r in rows} == one_pass == {
         ("ids_in_order", "a"): 2,
         ("line_exists", "a"): 2,
         ("clean_is_low", "b"): 1,
