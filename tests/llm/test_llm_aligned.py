@@ -86,9 +86,19 @@ def test_files_that_join_words_are_used_whole(monkeypatch):
     assert own.apart
     text = "one two  three été"
     apart = list(own.texts([text]))[0]
-    own.apart, own._seen = False, {}
-    whole = list(own.texts([text]))[0]
-    assert len(whole) == 1 and whole[0][3] == b";".join(p[3] for p in apart) and whole[0][4] == b"".join(p[4] for p in apart)
+    own.apart = False
+    own._forget()
+    whole = list(own.texts([text, "x", ""]))
+    assert len(own.place) == 2 and whole[2] is None
+    assert list(whole[0][0]) == list(apart[0]) and whole[0][1:] == apart[1:]
+
+
+def test_the_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(aligned, "CACHE_PARTS", 3)
+    monkeypatch.setattr(aligned, "LEARN_CHARS", 5)
+    own = aligned.Aligner(*aligned.default_files())
+    once = [x[1:] for t in ("a bc def", "bc ghi é") for x in own.texts([t])]
+    assert [x[1:] for x in own.texts(["a bc def", "bc ghi é"])] == once
 
 
 def test_nasty_rows(spark):
