@@ -354,20 +354,21 @@ def _settled_cuts(rows: DataFrame, least: int) -> DataFrame:
     return cuts
 
 
-def _contents(cuts: DataFrame, least: int, *figures: Column) -> tuple[DataFrame, DataFrame]:
-    """Equal cuts as one row with those figures, and the cuts themselves, both with two hashes of their bytes.
+def _contents(cuts: DataFrame, least: int, *figures: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Equal cuts as one row with those figures, the cuts themselves, both with two hashes of their bytes, and a table to forget.
 
     Anchors with very many different cuts are cut string by string in both.
     """
     by = ["gram", "bytes"]
     contents = settle(cuts.groupBy(*by).agg(*figures), codec="zstd")
     hot = settle(contents.groupBy("gram").agg(F.count("*").alias("n")).filter(f"n > {MANY_CUTS}").select("gram"))
+    swept(cuts.sparkSession)
     if not hot.head(1):
-        return _keyed(contents), _keyed(cuts)
+        return _keyed(contents), _keyed(cuts), contents
     single = settle(_single(matching(cuts, hot, "gram", "left_semi"), least))
     cold = matching(cuts, hot, "gram", "left_anti")
     both = matching(contents, hot, "gram", "left_anti").unionByName(single.groupBy(*by).agg(*figures))
-    return _keyed(both), _keyed(cold.unionByName(single))
+    return _keyed(both), _keyed(cold.unionByName(single)), contents
 
 
 def _keyed(cuts: DataFrame) -> DataFrame:
@@ -396,7 +397,7 @@ def repeat_groups(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="t
     cuts = _settled_cuts(rows, least)
     place = F.struct("doc_id", "text_key", "at")
     weight = _weight(0).cast("decimal(38,0)")
-    contents, cuts = _contents(
+    contents, cuts, _ = _contents(
         cuts, least,
         F.count("*").alias("n"), F.min(place).alias("place"), F.max("doc_id").alias("most_doc"),
         *(_modular(F.sum(F.pmod((w * x).cast("decimal(38,0)"), F.lit(_MASK + 1).cast("decimal(38,0)")))).alias(s)
@@ -433,12 +434,14 @@ def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
     """doc_id, text_key, spans (start * _SPAN + length): of rows (doc_id, text_key, text) what repeats a smaller doc_id."""
     cuts = _settled_cuts(rows, least)
     figures = F.count("*").alias("n"), F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc")
-    contents, cuts = _contents(cuts, least, *figures)
+    contents, cuts, written = _contents(cuts, least, *figures)
     runs = settle(_classes(contents, least))
+    forget(written)
+    swept(rows.sparkSession)
     found = cuts.select("h1", "h2", "doc_id", "text_key", "at").join(runs, ["h1", "h2"]).filter("least_doc < doc_id")
     span = (F.col("at") + F.col("start")) * _SPAN + F.col("strings") + least - 1
     spans = settle(found.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans")))
-    forget(runs)
+    forget(runs, cuts)
     swept(rows.sparkSession)
     return spans
 
@@ -463,10 +466,11 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col="doc_id", text_col="
     # Rows whose text a smaller doc_id has go as a whole; the others are compared.
     sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")
     names = settle(rows.filter(f"n_bytes >= {least}").select("doc_id", "text_key", sha))
-    owners = names.groupBy("sha").agg(F.min("doc_id").alias("owner"))
+    many = names.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    owners = settle(many.select("sha", "owner"))
     copies = names.join(owners, "sha").filter("owner < doc_id").select("doc_id", "text_key").distinct()
     copies = settle(copies.withColumn("copy", F.lit(True)))
-    forget(names)
+    forget(names, owners)
     mine = matching(rows.filter(f"n_bytes >= {least}"), copies.drop("copy"), ["doc_id", "text_key"], "left_anti")
     spans = repeated_spans(mine.select("doc_id", "text_key", "text"), least)
     found = spans.unionByName(copies.select("doc_id", "text_key", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
