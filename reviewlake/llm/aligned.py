@@ -31,7 +31,7 @@ BORDER = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 VISIBLE = re.compile(f"[^{_WHITE}]")
 MARK = "\u2581"
 # Parts kept between batches; beyond it the cache starts anew, results are the same.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
 # Characters of new parts that are encoded together.
 LEARN_CHARS = 1 << 15
 # Pairs up to this number are sent to every executor (40 MB); more are met by a shuffled join.
@@ -135,7 +135,7 @@ class Aligner:
         char_begins, begins = np.cumsum(chars) - chars, np.cumsum(sizes) - sizes
         a = self.a.encode(" " + text, add_special_tokens=False)
         b = self.b.encode(text, return_type="proto").pieces
-        a_at = np.fromiter((o[0] for o in a.offsets), np.int64, len(a.ids))
+        a_at = np.array(a.offsets, np.int64).reshape(-1, 2)[:, 0]
         b_at = np.fromiter((p.begin for p in b), np.int64, len(b)) + 1  # the spans do not count the space in front
         sides = [
             Side(np.array(a.ids, np.int64), np.searchsorted(char_begins, a_at, "right") - 1, self.a_tokens, begins),
@@ -177,14 +177,15 @@ class Aligner:
         return np.where(good[:, None], np.stack([np.bincount(x.of, minlength=n), np.bincount(y.of, minlength=n), link_counts], 1), -1)
 
     def _know(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.place]
+        new = parts.difference(self.place)
         if len(self.place) + len(new) > CACHE_PARTS:
             self._forget()
-            new = list(parts)
+            new = parts
         # Parts with white space at an edge, as a text begins or ends with, are no neighbours for others.
         joined, alone = [], []
+        seen = VISIBLE.match
         for part in new:
-            (joined if self.apart and VISIBLE.match(part[0]) and VISIBLE.match(part[-1]) else alone).append(part)
+            (joined if self.apart and seen(part[0]) and seen(part[-1]) else alone).append(part)
         for part in (*joined, *alone):
             self.place[part] = len(self.place)
         counts, at, size = [self.counts], 0, 0
@@ -199,14 +200,14 @@ class Aligner:
         """Of each text: A tokens, B tokens and groups, groups as text, links as bytes; None if it has no tokens."""
         split = BORDER.split if self.apart else lambda t: [t]
         parts = [split(t) if t else [] for t in texts]
-        self._know({p for own in parts for p in own})
+        self._know(set().union(*parts))
         for own in parts:
-            at = [self.place[p] for p in own]
-            counts = self.counts[at]
+            at = list(map(self.place.__getitem__, own))
+            counts = self.counts[np.array(at, np.int64)]
             if not at or (counts[:, 0] < 0).any():
                 yield None
             else:
-                yield counts.sum(0), b"".join([self.groups[i] for i in at])[:-1], b"".join([self.links[i] for i in at])
+                yield counts.sum(0), b"".join(map(self.groups.__getitem__, at))[:-1], b"".join(map(self.links.__getitem__, at))
 
 
 @lru_cache(maxsize=1)

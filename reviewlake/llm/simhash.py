@@ -9,16 +9,16 @@ cost by dynamic programming over the partitions, probes the values within them a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bounded_batches, bucket_links, components, forget, freeing, id_and_text, matching, numbered, settle, slices
+from reviewlake.llm.common import bounded_batches, components, forget, freeing, id_and_text, matching, numbered, settle, slices, swept
 
 BITS = 64
 SEED = 42
@@ -280,22 +280,54 @@ def near_duplicates(
     )
 
 
-# Keys of similar_groups(): each is made of so many minima.  At a similarity of 0.8 a pair shares none with 1 in 1300.
-KEYS, MINIMA = 10, 3
+# similar_groups(): minima of a set of shingles, keys made of so many of them each, and the words of its fingerprint, a bit of
+# each minimum.  At a similarity of 0.8 two sets share none of the 36 keys with 1 in 1800.
+MINIMA, PER_KEY, KEYS = 256, 7, 36
+WORDS = MINIMA // 64
+# Fingerprints of sets of similarity s differ in (1 - s) / 2 of their bits.  So many standard deviations beyond that a pair is
+# taken for unlike: 1 in 1000 at the threshold.
+DEVIATIONS = 3.1
+# Rows beside their key's largest component meet so many of its rows, in so many rounds, before they meet all.
+PARTNERS, ROUNDS = 4, 2
+_BLOCK = 4096
 
 
-def keys(hashes: np.ndarray, seed: int) -> list[int]:
-    """Independent keys of a set of hashes; two sets share one of them with their similarity to the power of MINIMA."""
+def _factors(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.random.default_rng(seed).integers(0, 2**32, (2, MINIMA, 1), np.uint32, endpoint=False) | np.uint32(1)
+    return both[0], both[1]
+
+
+def minima(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """The least value of each of MINIMA hash functions over a set of hashes; two sets share one with their similarity."""
+    a, b = _factors(seed)
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MINIMA, 2**32 - 1, np.uint32)
+    for at in range(0, len(hashes), _BLOCK):
+        mixed = low[at : at + _BLOCK] * a
+        mixed += high[at : at + _BLOCK] * b
+        np.minimum(least, mixed.min(1), out=least)
+    return least
+
+
+def keys_and_bits(hashes: np.ndarray, seed: int) -> tuple[list[int], np.ndarray]:
+    """Independent keys of a set of hashes, and its fingerprint; an empty set has a key of its own."""
     if not len(hashes):
-        return [seed]
-    odd = np.random.default_rng(seed).integers(0, 2**64, KEYS * MINIMA, np.uint64, endpoint=False) | np.uint64(1)
-    least = np.empty(KEYS * MINIMA, np.uint64)
-    for i, factor in enumerate(odd):
-        mixed = hashes * factor
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= factor
-        least[i] = mixed.min()
-    return [xxhash.xxh64_intdigest(least[i : i + MINIMA].tobytes(), i) - 2**63 for i in range(0, KEYS * MINIMA, MINIMA)]
+        return [seed], np.zeros(WORDS, np.int64)
+    least = minima(hashes, seed)
+    keys = [xxhash.xxh64_intdigest(least[i * PER_KEY : (i + 1) * PER_KEY].tobytes(), i) - 2**63 for i in range(KEYS)]
+    return keys, np.packbits((least >> np.uint32(9) & np.uint32(1)).astype(np.uint8)).view(np.int64)
+
+
+def most_differing(similarity: float) -> int:
+    """Bits in which the fingerprints of a pair at the similarity hardly ever differ more."""
+    p = (1 - similarity) / 2
+    return math.floor(MINIMA * p + DEVIATIONS * math.sqrt(MINIMA * p * (1 - p)))
+
+
+def _unlike(x: str, y: str, most: int) -> Column:
+    """Do two fingerprints (arrays of words) differ in more bits?"""
+    words = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(WORDS)]
+    return sum(words[1:], words[0]) > most
 
 
 def similar_groups(
@@ -303,10 +335,10 @@ def similar_groups(
 ) -> DataFrame:
     """row, doc_id, root (a row): rows connected by a similarity of their word shingles of at least `similarity`.
 
-    Independent MinHash keys of the shingles find candidates, the exact Jaccard similarity decides.  The chance to share a
-    key depends on the similarity alone, neither on the length of the texts nor on where they differ.  Every row keeps all
-    its keys, and rows with a common key are compared until they are in one component.  Texts without words are similar
-    to one another; a NULL text is empty.
+    Rows that share a key of their shingles' minima are compared, first by their fingerprints' differing bits, and the exact
+    Jaccard similarity decides.  Both chances depend on the similarity alone, neither on the length of the texts nor on where
+    they differ.  Rows with a common key are compared until each pair of them is in one component or was found unlike.  Texts
+    without words are similar to one another; a NULL text is empty.  Repeated rows are similar rows; an empty table gives none.
     """
     bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
@@ -314,21 +346,93 @@ def similar_groups(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
             for first, texts in slices(batch.column("text").cast(pa.binary())):
-                found = [keys(np.unique(hashed_shingles(t, shingle, seed)), seed) for t in texts]
-                of = np.repeat(ids[first : first + len(texts)], [len(k) for k in found])
-                yield pa.record_batch([pa.array(np.concatenate(found).astype(np.int64)), pa.array(of)], names=["band", "id"])
-
-    buckets = settle(keyed.mapInArrow(freeing(run), "band long, id long"))
-    known = settle(bucket_links(buckets, lambda pairs: _similar(pairs, keyed, shingle, similarity, seed), whole=True))
+                found = [keys_and_bits(np.unique(hashed_shingles(t, shingle, seed)), seed) for t in texts]
+                lists = []
+                for each in ([k for k, _ in found], [b for _, b in found]):
+                    ends = pa.array(np.cumsum([0, *map(len, each)], dtype=np.int32))
+                    lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.array(x, np.int64) for x in each]))))
+                yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), *lists], names=["id", "keys", "bits"])
+
+    marked = settle(keyed.mapInArrow(freeing(run), "id long, keys array<long>, bits array<long>"))
+    known = _links(marked, lambda pairs: _similar(pairs, keyed, shingle, similarity, seed), most_differing(similarity))
     of = components(known, "x", "y")
+    forget(marked, known)
     ids = rows.select("row", "doc_id")
     return ids.join(of, ids.row == of.node, "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
 
+def _links(marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """x, y: links of marked rows (id, keys, bits) that connect all similar rows with a common key.
+
+    verified() gives the similar ones of pairs x, y as a written table.
+    """
+    spark = marked.sparkSession
+    each = marked.select("id", F.explode("keys").alias("key"))
+    shared = settle(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    held = settle(each.join(shared, "key"))
+    # The row that shares its keys with most others leads: in a family of copies it is the one they were made from.
+    reach = settle(held.groupBy("id").agg(F.sum("n").alias("reach")))
+    held_by = settle(held.select("key", "id").join(reach, "id"))
+    lead = settle(held_by.groupBy("key").agg(F.max(F.struct("reach", "id")).alias("lead")).select("key", F.col("lead.id").alias("of")))
+    pairs = held_by.join(lead, "key").filter("id <> of")
+    found = _found(pairs, marked, verified, most)
+    forget(shared, held, reach, lead)
+    swept(spark)
+    for turn in range(ROUNDS + 1):
+        mixed = _mixed(held_by.select("key", "id"), found)
+        if not mixed.head(1):
+            forget(mixed)
+            break
+        beside = mixed.filter("beside")
+        if turn < ROUNDS:
+            # Some rows of the largest component, others for each key and turn.
+            some = [F.max_by("id", F.xxhash64("id", "key", F.lit(turn * PARTNERS + i))) for i in range(PARTNERS)]
+            partners = settle(mixed.filter("NOT beside").groupBy("key").agg(F.array_distinct(F.array(*some)).alias("of")))
+            pairs = beside.join(partners, "key").select("id", F.explode("of").alias("of"))
+            more = _found(pairs, marked, verified, most)
+        else:
+            # All that are not connected yet, but for pairs whose fingerprints are unlike.
+            with_bits = settle(mixed.join(marked.select("id", "bits"), "id"))
+            others = with_bits.filter("beside").select("key", F.col("id").alias("of"), F.col("root").alias("of_root"), F.col("bits").alias("of_bits"))
+            apart = (F.col("root") != F.col("of_root")) & (~F.col("beside") | (F.col("id") < F.col("of"))) & ~_unlike("bits", "of_bits", most)
+            same = with_bits["key"] == others["key"]
+            pairs = settle(with_bits.join(others, same & apart).select("id", "of").distinct())
+            likely = settle(pairs.select(F.least("id", "of").alias("x"), F.greatest("id", "of").alias("y")).distinct())
+            more = verified(likely)
+            forget(with_bits, pairs, likely)
+        before, found = found, settle(found.union(more).distinct())
+        forget(before, more, mixed)
+        swept(spark)
+    forget(held_by)
+    return found
+
+
+def _found(pairs: DataFrame, marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """The verified ones of pairs (id, of), as x, y."""
+    pairs = settle(pairs.select(F.least("id", "of").alias("x"), F.greatest("id", "of").alias("y")).distinct())
+    bits = lambda c: marked.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits"))
+    likely = pairs.join(bits("x"), "x").join(bits("y"), "y").filter(~_unlike("x_bits", "y_bits", most))
+    likely = settle(likely.select("x", "y"))
+    links = verified(likely)
+    forget(pairs, likely)
+    return links
+
+
+def _mixed(held: DataFrame, links: DataFrame) -> DataFrame:
+    """key, id, root, beside: the rows of keys that hold several components, and which are not in its largest."""
+    of = components(links, "x", "y").withColumnRenamed("node", "id")
+    placed = settle(held.join(of, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    largest = settle(most.select("key", F.col("most.root").alias("largest")))
+    mixed = settle(placed.join(largest, "key").select("key", "id", "root", (F.col("root") != F.col("largest")).alias("beside")))
+    forget(placed, largest)
+    return mixed
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """The pairs x, y of rows (doc_id, text) whose sets of shingles have the similarity at least."""
+    """The pairs x, y of rows (doc_id, text) whose sets of shingles have the similarity at least, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +448,9 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float,
     both = both.join(sets.select(F.col("id").alias("y"), F.col("s").alias("q")), "y")
     common = F.size(F.array_intersect("p", "q"))
     total = F.size("p") + F.size("q") - common
-    return both.filter((common >= F.lit(similarity) * total) | (total == 0)).select("x", "y")
+    out = settle(both.filter((common >= F.lit(similarity) * total) | (total == 0)).select("x", "y"))
+    forget(ids, sets)
+    return out
 
 
 def without_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col="doc_id", text_col="text") -> DataFrame:

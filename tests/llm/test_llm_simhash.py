@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from reviewlake.llm import simhash
-from reviewlake.llm.common import bucket_links
+from reviewlake.llm.common import components, settle
 
 
 def naive(text, k=3):
@@ -144,11 +144,59 @@ def test_recall_at_the_threshold(spark, zipf):
 
 def test_members_at_rest_are_met(spark):
     """A row that is similar only to one in the middle of its bucket, linked to another already, is linked as well."""
-    rows = [(7, i) for i in (1, 2, 3, 4, 5, 6, 9)]
     alike = {(1, i) for i in (2, 3, 4, 5, 6)} | {(3, 9)}
-    pairs = spark.createDataFrame(list(alike), "x long, y long")
-    links = bucket_links(spark.createDataFrame(rows, "band long, id long"), lambda p: p.join(pairs, ["x", "y"]), whole=True)
-    assert {(r.x, r.y) for r in links.collect()} == alike
+    # The row that shares most keys leads.
+    for first in (1, 9):
+        rows = [(i, [7, 100 + i, 200 + i] if i != first else [7, 8, 9], [0] * simhash.WORDS) for i in (1, 2, 3, 4, 5, 6, 9)]
+        rows += [(50 + first, [8, 9], [-1] * simhash.WORDS)]
+        marked = settle(spark.createDataFrame(rows, "id long, keys array<long>, bits array<long>"))
+        pairs = spark.createDataFrame(list(alike), "x long, y long")
+        links = simhash._links(marked, lambda p: settle(p.join(pairs, ["x", "y"])), simhash.most_differing(0.8))
+        of = {r.node: r.root for r in components(links, "x", "y").collect()}
+        assert of == {i: 1 for i in (1, 2, 3, 4, 5, 6, 9)}
+
+
+def test_recall_in_mixed_keys(spark):
+    """Families of edits of edits whose members are often below 0.8 to each other, beside texts that share a long passage."""
+    rng = random.Random(17)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base = draw(120)
+        for _ in range(40):
+            words = list(base if rng.random() < 0.5 else texts[-1].split())
+            for at in rng.sample(range(len(words)), rng.randint(1, 5)):
+                words[at] = draw(1)[0]
+            texts.append(" ".join(words))
+    passage = draw(100)
+    texts += [" ".join(passage + draw(rng.randint(5, 60))) for _ in range(150)]
+    pairs, roots = brute_force(spark, texts)
+    assert len(pairs) > 500
+    assert sum(roots[i] == roots[j] for i, j in pairs) >= 0.99 * len(pairs)
+    of = {}
+    for i, j in pairs:
+        of.setdefault(i, set()).add(j)
+        of.setdefault(j, set()).add(i)
+    # No group holds more than what brute force connects.
+    seen = {}
+    for i in range(len(texts)):
+        stack = [i]
+        while stack:
+            k = stack.pop()
+            if k not in seen:
+                seen[k] = i
+                stack += of.get(k, ())
+    assert all(seen[i] == seen[j] for i in roots for j in [next(k for k in roots if roots[k] == roots[i])])
+
+
+def test_near_dedup_of_nasty_rows(spark):
+    """Clashing columns, repeated rows, very long texts, NULL ids and texts: one row of each group stays, whole."""
+    docs = nasty.documents(spark)
+    kept = simhash.without_similar(docs)
+    assert kept.columns == docs.columns
+    rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    # Without words (2, 3, 4), the long texts (5, 6), the short copies (7, 8 and a NULL id), `one` (11, 12).
+    assert sorted((i for i, _ in rows), key=repr) == [1, 10, 11, 2, 5, 7, 9]
 
 
 def test_same_words_in_other_orders(spark):
