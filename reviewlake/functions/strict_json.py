@@ -2,8 +2,8 @@
 
 ``from_json`` coerces, ignores trailing text and cannot tell an absent key
 from a null one, so texts are parsed to VARIANT and the checks look at that.
-A check returns NULL for a good value and the path of the first bad field
-otherwise; checks nest, and run in the order the fields are declared.
+A check finds the path of the first bad field, or of all of them; checks nest,
+and run in the order the fields are declared.
 """
 
 from collections.abc import Callable
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions.text import _col
 from reviewlake.schemas import SAFE_INTEGER
 
-Check = Callable[["Value", str], str]
+Check = Callable[["Value", str, "Fold"], str]
 
 _END = "\x7fend-of-value\x7f"
 
@@ -65,11 +65,20 @@ def object_text(text) -> Column:
 
 # --- checks -----------------------------------------------------------------
 #
-# A check takes a value and its path as SQL text and gives SQL text: NULL for a
-# good value, else the path of the first bad field.  Text, because a document
+# A check takes a value, its path as SQL text and a way to fold what it finds, and gives SQL text: in FIRST, NULL for a
+# good value, else the path of the first bad field; in ALL, a list of every bad path.  Text, because a document
 # needs hundreds of expressions and one parse is far cheaper than building each.
 
 
+class Fold(NamedTuple):
+    """How the findings of parts make that of a whole."""
+
+    nothing: str
+    unless: Callable[[str, str], str]  # a condition and the path that is bad without it
+    within: Callable[[str, str, list[str]], str]  # the same, and what is looked at only if it holds
+    each: Callable[[str], str]  # over a list of findings
+
+
 class Value(NamedTuple):
     """SQL of a VARIANT and a place inside it."""
 
@@ -99,6 +108,21 @@ def _unless(ok: str, path: str) -> str:
     return f"if(coalesce({ok}, false), null, coalesce({path}, ''))"
 
 
+_NO_PATHS = "cast(array() as array<string>)"
+FIRST = Fold(
+    "null",
+    _unless,
+    lambda ok, path, parts: f"coalesce({_unless(ok, path)}, {', '.join(parts)})",
+    lambda found: f"get(filter({found}, p -> p is not null), 0)",
+)
+ALL = Fold(
+    _NO_PATHS,
+    lambda ok, path: f"if(coalesce({ok}, false), {_NO_PATHS}, array(coalesce({path}, '')))",
+    lambda ok, path, parts: f"if(coalesce({ok}, false), concat({', '.join(parts)}), array(coalesce({path}, '')))",
+    lambda found: f"flatten({found})",
+)
+
+
 def _let(value: str, body: Callable[[str], str]) -> str:
     """SQL that evaluates ``value`` once and names it."""
     name = f"v{next(_names)}"
@@ -106,15 +130,15 @@ def _let(value: str, body: Callable[[str], str]) -> str:
 
 
 def text() -> Check:
-    return lambda value, path: _unless(f"{value.type} = 'STRING'", path)
+    return lambda value, path, fold: fold.unless(f"{value.type} = 'STRING'", path)
 
 
 def one_of(values: list[str]) -> Check:
     """One of some plain words."""
     listed = ", ".join(f"'{v}'" for v in values)
 
-    def check(value, path):
-        return _unless(f"{value.type} = 'STRING' and {value.read('string')} in ({listed})", path)
+    def check(value, path, fold):
+        return fold.unless(f"{value.type} = 'STRING' and {value.read('string')} in ({listed})", path)
 
     return check
 
@@ -126,9 +150,9 @@ def _is_number(value: Value) -> str:
 def number() -> Check:
     """A finite number."""
 
-    def check(value, path):
+    def check(value, path, fold):
         finite = f"abs({value.read('double')}) <= 1.7976931348623157E308D"
-        return _unless(f"{_is_number(value)} and {finite}", path)
+        return fold.unless(f"{_is_number(value)} and {finite}", path)
 
     return check
 
@@ -136,18 +160,18 @@ def number() -> Check:
 def integer() -> Check:
     """A number without a fraction, within the range doubles hold exactly."""
 
-    def check(value, path):
+    def check(value, path, fold):
         n = value.read("double")
         whole = f"{_is_number(value)} and {n} = rint({n}) and abs({n}) <= {SAFE_INTEGER}D"
         plain = f"{value.read('bigint')} between -{SAFE_INTEGER} and {SAFE_INTEGER}"
-        return _unless(f"if({value.type} = 'BIGINT', {plain}, {whole})", path)
+        return fold.unless(f"if({value.type} = 'BIGINT', {plain}, {whole})", path)
 
     return check
 
 
 def equals(constant: int) -> Check:
-    def check(value, path):
-        return _unless(f"{_is_number(value)} and {value.read('double')} = {constant}D", path)
+    def check(value, path, fold):
+        return fold.unless(f"{_is_number(value)} and {value.read('double')} = {constant}D", path)
 
     return check
 
@@ -155,27 +179,26 @@ def equals(constant: int) -> Check:
 def nullable(inner: Check) -> Check:
     """JSON null is fine; an absent key is not."""
 
-    def check(value, path):
-        return f"if(coalesce(is_variant_null({value.sql}), false), null, {inner(value, path)})"
+    def check(value, path, fold):
+        return f"if(coalesce(is_variant_null({value.sql}), false), {fold.nothing}, {inner(value, path, fold)})"
 
     return check
 
 
 def optional(inner: Check) -> Check:
     """An absent key is fine; JSON null is not."""
-    return lambda value, path: f"if({value.sql} is null, null, {inner(value, path)})"
+    return lambda value, path, fold: f"if({value.sql} is null, {fold.nothing}, {inner(value, path, fold)})"
 
 
 def list_of(inner: Check) -> Check:
-    def check(value, path):
+    def check(value, path, fold):
         item, i = f"v{next(_names)}", f"i{next(_names)}"
-        of_item = inner(Value(item), _at(path, f"cast({i} as string)"))
+        of_item = inner(Value(item), _at(path, f"cast({i} as string)"), fold)
 
-        def first(items):
-            bad = f"filter(transform({items}, ({item}, {i}) -> {of_item}), p -> p is not null)"
-            return f"coalesce({_unless(f'{items} is not null', path)}, get({bad}, 0))"
+        def found(items):
+            return fold.within(f"{items} is not null", path, [fold.each(f"transform({items}, ({item}, {i}) -> {of_item})")])
 
-        return _let(value.read("array<variant>"), first)
+        return _let(value.read("array<variant>"), found)
 
     return check
 
@@ -187,19 +210,24 @@ def fields(**checks: Check) -> Check:
     VARIANT would decode its keys again and again.
     """
 
-    def check(value, path):
-        def first(members):
+    def check(value, path, fold):
+        def found(members):
             parts = [
-                one(Value(f"try_element_at({members}, '{name}')"), _at(path, f"'{name}'"))
+                one(Value(f"try_element_at({members}, '{name}')"), _at(path, f"'{name}'"), fold)
                 for name, one in checks.items()
             ]
-            return f"coalesce({_unless(f'{members} is not null', path)}, {', '.join(parts)})"
+            return fold.within(f"{members} is not null", path, parts)
 
-        return _let(value.read("map<string,variant>"), first)
+        return _let(value.read("map<string,variant>"), found)
 
     return check
 
 
 def first_bad_path(value: Value, check: Check) -> Column:
     """Path of the first bad field ('' is the value itself), NULL when all is well."""
-    return F.expr(check(value, "cast(null as string)"))
+    return F.expr(check(value, "cast(null as string)", FIRST))
+
+
+def bad_paths(value: Value, check: Check) -> Column:
+    """Paths of all bad fields, in the order they are declared; what lies below a bad one is not looked at."""
+    return F.expr(check(value, "cast(null as string)", ALL))

@@ -127,6 +127,22 @@ def check_json(df: DataFrame, text: str, check: J.Check, typed: str, out: str =
     return _checked(df, text, F.lit("bad_json"), check, typed, out)
 
 
+def bad_fields(df: DataFrame, text: str, check: J.Check = REPORT) -> DataFrame:
+    """Every bad field of JSON texts as a row: the other columns, ``pos`` and ``bad_path`` ('' is the whole document).
+
+    ``pos`` counts the bad fields of a document from 0, in the order of the shape; the first one is what ``check_json``
+    names.  Only documents that ``check_json`` rejects for a field are looked through again.
+    """
+    others = [c for c in df.columns if c != text]
+    # As in _checked, each step is done once for a row.
+    parsed = df.select("*", F.inline(F.array(F.struct(J.parse_listed(text).alias("_v")))))
+    value = J.Value("_v", "$[0]")
+    first = F.when(F.col("_v").isNotNull(), J.first_bad_path(value, check))
+    bad = parsed.select("*", F.inline(F.array(F.struct(first.alias("_first"))))).filter("_first IS NOT NULL")
+    found = bad.select(*others, F.posexplode(J.bad_paths(value, check)).alias("pos", "bad_path"))
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def split_checked(df: DataFrame, out: str = "value") -> Checked:
     valid = df.filter(F.col("reason").isNull()).drop("reason", "bad_path")
     rejected = df.filter(F.col("reason").isNotNull()).drop(out)

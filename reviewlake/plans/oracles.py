@@ -535,6 +535,13 @@ SELECT CAST(o_orderkey AS VARCHAR) AS run,
     WHEN 5 THEN 'source.recordedAt' WHEN 6 THEN 'source.model' WHEN 7 THEN 'originalCode' WHEN 8 THEN 'analysis.risk_level'
     WHEN 9 THEN 'analysis.errors.1.line' WHEN 10 THEN 'tests.cases' WHEN 11 THEN 'report.recommendations.1' END AS bad_path
 FROM orders
+""",
+    "bad_fields": """
+SELECT CAST(o_orderkey AS VARCHAR) AS run, row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1 AS pos, bad_path
+FROM (SELECT DISTINCT o_orderkey FROM orders) o JOIN (VALUES (1, 1, 'schemaVersion'), (2, 2, 'title'), (3, 3, 'language'), (4, 4, 'source.kind'),
+  (6, 5, 'source.model'), (5, 6, 'source.recordedAt'), (7, 7, 'originalCode'), (9, 8, 'analysis.errors.1.line'),
+  (8, 9, 'analysis.risk_level'), (10, 10, 'tests.cases'), (11, 11, 'report.recommendations.1')) swaps(number, place, bad_path)
+  ON number IN (o_orderkey % 12, (o_orderkey // 12) % 12)
 """,
     "test_results": """
 SELECT CAST(o_orderkey AS VARCHAR) AS run, v AS version, o_orderkey % 10 AS passed,

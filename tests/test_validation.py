@@ -107,6 +107,29 @@ def test_report_schema(spark):
     assert got[102] == ("bad_json", None) and got[103] == ("bad_field", "schemaVersion")
 
 
+def test_all_bad_fields(spark):
+    """Every single fault of the cases above at once, in the order of the shape; nothing below a fault that hides it."""
+    doc = copy.deepcopy(samples.report())
+    errors = doc["analysis"]["errors"]
+    errors[0] |= {"line": 12.5, "severity": "high", "suggestion": None}
+    errors[2] = "x"
+    del errors[3]["id"]
+    doc["source"] = {"kind": "other", "model": 1, "author": None}
+    doc["schemaVersion"], doc["tests"]["cases"], doc["verification"]["fixed"]["total"] = 2, {}, "3"
+    doc["report"]["recommendations"][1] = 5
+    want = [
+        "schemaVersion", "source.kind", "source.model", "source.recordedAt", "source.author", "analysis.errors.0.line",
+        "analysis.errors.0.severity", "analysis.errors.0.suggestion", "analysis.errors.2", "analysis.errors.3.id", "tests.cases",
+        "report.recommendations.1", "verification.fixed.total",
+    ]
+    texts = [(1, json.dumps(doc)), (2, json.dumps(samples.report())), (3, "[]"), (4, "{"), (5, '{"analysis": {"errors": []}}'), (6, None)]
+    rows = V.bad_fields(spark.createDataFrame(texts, "i int, text string"), "text").orderBy("i", "pos").collect()
+    assert [r.bad_path for r in rows if r.i == 1] == want
+    assert [(r.i, r.bad_path) for r in rows if r.i in (2, 3, 4, 6)] == [(3, "")]
+    assert [r.bad_path for r in rows if r.i == 5][:2] == ["schemaVersion", "id"] and [r.pos for r in rows if r.i == 5][:2] == [0, 1]
+    assert {"analysis.risk_level", "analysis.summary", "fix", "report"} <= {r.bad_path for r in rows if r.i == 5}
+
+
 def test_valid_report_is_read_with_its_types(spark):
     text = changed((*FIRST, "line"), 12.0)
     df = spark.createDataFrame([("a", text), ("b", "{")], "path string, text string")
