@@ -138,6 +138,16 @@ _RENDERED = (
 # White space as JavaScript trims it; the texts hold none but these.
 _TRIM = r"regexp_replace({x}, '^[\s\x{{feff}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\v]+|[\s\x{{feff}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\v]+$', '', 'g')"
 
+_INDEX = """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'src/order' || o_orderkey || '.ts' AS "fileName",
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS "recordedAt",
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS author,
+  coalesce(n, 0) AS issues
+FROM orders LEFT JOIN (
+  SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey
+) ON l_orderkey = o_orderkey
+"""
+
 ORACLES: dict[str, str] = {
     "detection": f"""
 WITH {_SCORED}
@@ -267,15 +277,8 @@ SELECT CAST(run AS VARCHAR) AS run,
   CASE WHEN part % 2 = 0 THEN 'replace it' END AS suggestion
 FROM issues JOIN orders ON o_orderkey = run
 """,
-    "index_entries": """
-SELECT CAST(o_orderkey AS VARCHAR) AS id, 'src/order' || o_orderkey || '.ts' AS "fileName",
-  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS "recordedAt",
-  CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS author,
-  coalesce(n, 0) AS issues
-FROM orders LEFT JOIN (
-  SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey
-) ON l_orderkey = o_orderkey
-""",
+    "index_entries": _INDEX,
+    "published_index": _INDEX,
     "analyze_prompts": f"""
 WITH requests AS (SELECT doc_id, {_TRIM.format(x='text')} AS code FROM documents),
   sized AS (
@@ -571,6 +574,16 @@ SELECT event_id, CASE kind WHEN 'bad' THEN 'error' ELSE kind END AS type,
   CASE kind WHEN 'bad' THEN 'bad_json' WHEN 'error' THEN 'failed at ' || event_id END AS message,
   CASE WHEN kind = 'result' THEN replace(props, ' ', '') END AS report
 FROM e
+""",
+    "logged_events": f"""
+WITH e AS (
+  SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'result' ELSE 'stage' END AS kind FROM events)
+SELECT CAST(user_id AS VARCHAR) AS run, event_id AS seq, kind AS type, {_STAGE.format(n='(event_id % 4)')} AS stage,
+  CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type IN ('purchase', 'signup') THEN 'done' ELSE 'error' END AS status,
+  CASE WHEN kind = 'stage' THEN CAST(round(value * 100) AS DOUBLE) END AS ms,
+  CASE WHEN kind = 'error' THEN 'failed at ' || event_id END AS message,
+  CASE WHEN kind = 'result' THEN replace(props, ' ', '') END AS report
+FROM e
 """,
     "event_lines": f"""
 WITH e AS (

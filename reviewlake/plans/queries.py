@@ -22,7 +22,7 @@ from reviewlake.operators import (
 )
 from reviewlake.plans import casting as C
 from reviewlake.plans import prompts
-from reviewlake.session import configure
+from reviewlake.session import configure, scratch, settle
 from reviewlake.sources import readers, writers
 from reviewlake.streaming import progress
 
@@ -298,6 +298,16 @@ def parse_events(events):
     return readers.parse_events(C.event_texts(events), "line", "event_id")
 
 
+@query("events")
+def logged_events(events):
+    """Events as they are read back from a log written in two batches, the first of which came twice."""
+    path = f"{scratch(events.sparkSession)}/log"
+    rows = C.run_events(events).withColumn("seq", F.col("seq.event_id"))
+    for batch in (0, 1, 0):
+        writers.write_events(rows.filter(F.col("seq") % 2 == batch), path, batch=batch)
+    return readers.read_event_lines(events.sparkSession, path).select("run", "seq", "type", "stage", "status", "ms", "message", "report")
+
+
 @query("events")
 def event_lines(events):
     rows = C.run_events(events).withColumn("seq", F.col("seq.event_id"))
@@ -317,6 +327,18 @@ def index_entries(orders, lineitem):
     return assembly.index_rows(C.heads(orders), C.issues(lineitem))
 
 
+@query("orders", "lineitem")
+def published_index(orders, lineitem):
+    """The index as it is read after two publishes, the second of which came twice: of all runs, then of those with issues."""
+    path = scratch(orders.sparkSession)
+    entries = settle(assembly.index_rows(C.heads(orders), C.issues(lineitem)), f"{path}/entries")
+    writers.publish_index(entries.withColumn("issues", F.lit(0).cast("bigint")), f"{path}/index", "recordedAt", per_range=20_000)
+    for _ in range(2):
+        raised = entries.filter("issues > 0")
+        writers.publish_index(raised, f"{path}/index", "recordedAt", per_range=20_000, writer="queries", batch=0)
+    return readers.read_index(orders.sparkSession, f"{path}/index")
+
+
 # --- text ---------------------------------------------------------------------
 
 

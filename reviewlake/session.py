@@ -1,5 +1,8 @@
 """Session settings the operators rely on."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only; sizing (executors, memory, shuffle partitions) stays
@@ -26,6 +29,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below the checkpoint folder the session names, else, as in tests, a local one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/reviewlake-{uuid.uuid4().hex}" if named else f"file://{tempfile.mkdtemp(prefix='reviewlake-')}/x"
+
+
 def settle(df: DataFrame, folder: str) -> DataFrame:
     """Cut the lineage by writing the rows once to a folder every executor can read."""
     df.write.parquet(folder)
