@@ -80,6 +80,39 @@ def _aligned_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, n_key
         yield flush()
 
 
+def _prepared(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Both sides with one kind of line end; pairs that lack a side are left out."""
+    sides = pairs.select(*keys, normalise_eol("left").alias("left"), normalise_eol("right").alias("right"))
+    return sides.filter(F.col("left").isNotNull() & F.col("right").isNotNull())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (l, r, left, right) to l, r and how many aligned rows are of each kind."""
+    names = ["l", "r", "same", "changed", "left_only", "right_only"]
+    for batch in batches:
+        columns: list[list[int]] = [[], [], [], []]
+        for left, right in zip(batch.column("left"), batch.column("right")):
+            counts = [0, 0, 0, 0]
+            for same, a, b in align(left.as_py().split("\n"), right.as_py().split("\n")):
+                counts[0 if same else 2 if b is None else 3 if a is None else 1] += 1
+            for column, n in zip(columns, counts):
+                column.append(n)
+        yield pa.record_batch([batch.column("l"), batch.column("r"), *(pa.array(c, pa.int64()) for c in columns)], names=names)
+
+
+def pair_stats(pairs: DataFrame, *keys: str) -> DataFrame:
+    """``diff_stats`` of ``side_by_side`` for every pair, without its rows: only counts leave the alignment.
+
+    Sides are named by their content; a pair of texts that several pairs have is brought together by an aggregation and
+    aligned once.  The keys alone meet its counts again, repeated ones too.
+    """
+    named = _prepared(pairs, *keys).withColumns({"l": F.sha2("left", 256), "r": F.sha2("right", 256)})
+    texts = named.groupBy("l", "r").agg(F.any_value("left").alias("left"), F.any_value("right").alias("right"))
+    kinds = ", ".join(f"{n} bigint" for n in ("same", "changed", "left_only", "right_only"))
+    stats = texts.mapInArrow(_counted, f"l string, r string, {kinds}")
+    return named.select(*keys, "l", "r").join(stats, ["l", "r"]).drop("l", "r")
+
+
 def side_by_side(pairs: DataFrame, *keys: str) -> DataFrame:
     """Aligned rows of every pair: ``pos``, ``kind``, both lines and their numbers.
 
@@ -89,9 +122,7 @@ def side_by_side(pairs: DataFrame, *keys: str) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    prepared = pairs.select(
-        *keys, normalise_eol("left").alias("left"), normalise_eol("right").alias("right")
-    ).filter(F.col("left").isNotNull() & F.col("right").isNotNull())
+    prepared = _prepared(pairs, *keys)
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prepared = prepared.repartition(parts, F.xxhash64(*keys) if keys else F.rand(1))
     key_ddl = ", ".join(f"`{k}` {prepared.schema[k].dataType.simpleString()}" for k in keys)

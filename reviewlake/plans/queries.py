@@ -560,8 +560,7 @@ def side_by_side(documents):
 
 @query("documents")
 def diff_stats(documents):
-    rows = versions.side_by_side(C.version_pairs(documents), "source", "doc_id")
-    return versions.change_share(versions.diff_stats(rows, "source", "doc_id"), "source")
+    return versions.change_share(versions.pair_stats(C.version_pairs(documents), "source", "doc_id"), "source")
 
 
 # --- contracts ------------------------------------------------------------------

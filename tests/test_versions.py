@@ -6,6 +6,7 @@ import pytest
 import samples
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reviewlake.functions.lcs import align
 from reviewlake.operators import secrets, versions
@@ -91,6 +92,10 @@ def test_rows_rebuild_both_files(spark):
     texts += ["\n".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(20)]
     pairs = [(f"{i}-{j}", a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
     df = spark.createDataFrame(pairs, PAIRS)
+    # Counts alone are those of the rows, for equal pairs of other names too.
+    again = df.union(df.limit(9).withColumn("pair", F.concat(F.lit("again "), "pair"))).union(df.limit(1).select("pair", F.lit(None).cast("string"), "right"))
+    rows = {r.pair: tuple(r) for r in versions.diff_stats(versions.side_by_side(again, "pair"), "pair").collect()}
+    assert {r.pair: tuple(r) for r in versions.pair_stats(again, "pair").collect()} == rows and len(rows) == len(pairs) + 9
     sides = {}
     for r in versions.side_by_side(df, "pair").orderBy("pair", "pos").collect():
         left, right = sides.setdefault(r.pair, ([], []))
