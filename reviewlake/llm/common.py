@@ -122,12 +122,15 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def bucket_links(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """x, y: the verified pairs by which every row (id) of a bucket (band) is linked in it or has met all that are not.
+def bucket_links(
+    buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, likely: Callable[[str, str], Column] | None = None
+) -> DataFrame:
+    """x, y: verified pairs that connect what all pairs of rows (id) in common buckets (band) would connect.
 
     In the first round a row meets the first and the previous row of its bucket.  What is linked to one of them rests;
     the others go on and meet the first 1, 2, 4, ... of those left in their bucket, until none are left.  So a large
-    group does not meet pair by pair, however many groups share its bucket.
+    group does not meet pair by pair, however many groups share its bucket.  At last rows of one bucket that are in different
+    components meet, those at rest too, but for pairs whose marks (id, mark) are not likely() to be of similar rows.
     """
     ordered = Window.partitionBy("band").orderBy("id")
     rows = buckets.select("band", "id", F.row_number().over(ordered).alias("at"), F.lag("id").over(ordered).alias("before"), F.first("id").over(ordered).alias("first"))
@@ -158,7 +161,29 @@ def bucket_links(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame])
     for links in found[1:]:
         out = out.union(links)
     forget(*done)
-    return out.distinct()
+    # Rows at rest may be similar to rows that were not linked to those they met.
+    out = settle(out.distinct())
+    return out.union(settle(verified(_apart(buckets, out, marks, likely)))).distinct()
+
+
+def _apart(buckets: DataFrame, links: DataFrame, marks: DataFrame | None, likely: Callable[[str, str], Column] | None) -> DataFrame:
+    """x, y: likely pairs of one bucket in different components; the rows beside a bucket's largest one meet all others."""
+    of = components(links, "x", "y").withColumnRenamed("node", "id")
+    placed = settle(buckets.join(of, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    mixed = placed.join(most, "band").select("band", "id", "root", (F.col("root") != F.col("most.root")).alias("beside"))
+    mixed = settle(mixed if marks is None else mixed.join(marks, "id"))
+    mark = [] if marks is None else [F.col("mark").alias("of_mark")]
+    others = mixed.filter("beside").select("band", F.col("id").alias("of"), F.col("root").alias("of_root"), *mark)
+    # The condition is part of the join, so that unlike pairs are compared there and never made.
+    apart = (F.col("root") != F.col("of_root")) & (~F.col("beside") | (F.col("id") < F.col("of")))
+    if marks is not None:
+        apart = apart & likely("mark", "of_mark")
+    pairs = mixed.join(others, (mixed["band"] == others["band"]) & apart)
+    out = settle(pairs.select(F.least("id", "of").alias("x"), F.greatest("id", "of").alias("y")).distinct())
+    forget(placed, mixed)
+    return out
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

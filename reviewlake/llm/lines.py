@@ -1,13 +1,15 @@
 """Operator 6: fuzzy line dedup by MinHash, with DataFrame functions only.
 
 A line's shingles are all runs of `size` characters, spaces included.  Signatures are minima of one seeded hash each,
-banded for high recall; lines that meet in a band are verified by the exact Jaccard similarity of their shingles, or else
-of their pieces, one a word or more, which together hold every character too; connected lines form a component, of which
-the first line stays.
+banded for high recall; lines that meet in a band are verified by the exact Jaccard similarity of their shingles; connected
+lines form a component, of which the first line stays.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,6 @@ def shingles(line: Column, size: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{size}}}|^.{{1,{size - 1}}}\z))."), F.lit(1))
 
 
-def pieces(line: Column, size: int) -> Column:
-    """`size` characters from the start of each word; a longer word is cut every `size`, the last piece runs to its end."""
-    own = rf"\S{{{size},{2 * size - 1}}}(?!\S)|\S{{{size}}}|\S.{{0,{size - 1}}}"
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({own}))(?:\S{{{size}}}(?=\S{{{size}}})|\S+)"), F.lit(1))
-
-
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row, line_no, norm, a, b: every line that is not blank; a and b are 128 bits that name its lower-cased text."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", "\n").alias("lines"))
@@ -52,8 +48,25 @@ def candidates(signed: DataFrame) -> DataFrame:
     return signed.select(F.struct("a", "b").alias("id"), F.explode(bands).alias("band"))
 
 
+def signs(signed: DataFrame) -> DataFrame:
+    """id, mark: the minima of each line."""
+    return signed.select(F.struct("a", "b").alias("id"), F.array(*(f"m{i}" for i in range(BANDS * ROWS))).alias("mark"))
+
+
+def likely(similarity: float) -> Callable[[str, str], Column]:
+    """Do two signatures share as many minima as those of lines at the similarity hardly ever fall short of (1 in 1000)?"""
+    n = BANDS * ROWS
+    least = math.ceil(n * similarity - 3.1 * math.sqrt(n * similarity * (1 - similarity)))
+
+    def enough(x: str, y: str) -> Column:
+        same = [F.when(F.col(x)[i] == F.col(y)[i], 1).otherwise(0) for i in range(n)]
+        return sum(same[1:], same[0]) >= least
+
+    return enough
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose shingles, or else whose pieces, have the similarity at least; texts has a, b, norm of every line."""
+    """The pairs whose shingles have the similarity at least; texts has a, b, norm of every line."""
     texts = texts.select(F.struct("a", "b").alias("id"), "norm")
     both = pairs.join(texts.select(F.col("id").alias("x"), F.col("norm").alias("p")), "x")
     both = both.join(texts.select(F.col("id").alias("y"), F.col("norm").alias("q")), "y")
@@ -62,7 +75,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
         common = F.size(F.array_intersect(p, q))
         return common >= F.lit(similarity) * (F.size(F.array_distinct(p)) + F.size(F.array_distinct(q)) - common)
 
-    return both.filter(alike(shingles(F.col("p"), size), shingles(F.col("q"), size)) | alike(pieces(F.col("p"), size), pieces(F.col("q"), size))).select("x", "y")
+    return both.filter(alike(shingles(F.col("p"), size), shingles(F.col("q"), size))).select("x", "y")
 
 
 def deduplicate(
@@ -78,7 +91,8 @@ def deduplicate(
     texts = settle(lines.select("a", "b", "norm").distinct())
     signed = settle(signatures(texts, size))
     swept(docs.sparkSession)
-    links = settle(bucket_links(candidates(signed), lambda pairs: verified(pairs, texts, size, similarity)))
+    check = lambda pairs: verified(pairs, texts, size, similarity)
+    links = settle(bucket_links(candidates(signed), check, signs(signed), likely(similarity)))
     forget(signed, texts)
     swept(docs.sparkSession)
     of = components(links, "x", "y").select("node.a", "node.b", "root")
@@ -102,7 +116,7 @@ def deduplicate(
 
 
 def clean(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text of every row without the lines that were dropped; blank lines stay."""
+    """doc_id, text of every row without the lines that were dropped; blank lines stay, and a NULL text is an empty one."""
     base = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     drop = deduplicate(docs, size, similarity, id_col, text_col).filter("NOT kept")
     drop = drop.groupBy("row").agg(F.collect_list("line_no").alias("gone"))  # lines of one document

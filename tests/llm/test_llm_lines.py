@@ -1,16 +1,16 @@
 """Fuzzy lines against all pairs."""
 
 import random
-import re
 
 import nasty
+from pyspark.sql import functions as F
 
 from reviewlake.llm import lines
 from reviewlake.llm.common import bucket_links
 
 
-def shingles(line):
-    return frozenset(line[m.start() : m.start() + lines.SIZE] for m in re.finditer(r"(?<!\S)(?=\S)", line))
+def characters(line):
+    return frozenset(line[i : i + lines.SIZE] for i in range(max(1, len(line) - lines.SIZE + 1)))
 
 
 def all_lines(rows):
@@ -51,7 +51,7 @@ def test_recall_and_no_false_links(spark):
     docs.append((99, "\n".join(" ".join(f"other{rng.randrange(10**6)}" for _ in range(30)) for _ in range(50))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     root = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in lines.deduplicate(df).collect()}
-    rows = [(i, n, shingles(x)) for i, n, x in all_lines(docs)]
+    rows = [(i, n, characters(x)) for i, n, x in all_lines(docs)]
     parent = {(i, n): (i, n) for i, n, _ in rows}
 
     def find(x):
@@ -66,7 +66,7 @@ def test_recall_and_no_false_links(spark):
                 links += 1
                 found += root[i, n] == root[j, m]
                 parent[find((i, n))] = find((j, m))
-    assert links > 400 and found >= 0.99 * links
+    assert links > 200 and found >= 0.99 * links
     assert all(find(k) == find(v) for k, v in root.items())  # nothing meets that is not connected
 
 
@@ -76,10 +76,6 @@ def test_main_path_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def characters(line):
-    return frozenset(line[i : i + lines.SIZE] for i in range(max(1, len(line) - lines.SIZE + 1)))
-
-
 def found_links(spark, texts):
     """Of lines of one document: pairs alike by brute-force character shingles, and those in one component."""
     df = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
@@ -106,6 +102,20 @@ def test_spaceless_lines_and_long_words(spark):
     assert all(root[i] == i for i in range(apart))
 
 
+def test_lines_that_differ_in_a_long_word_stay(spark):
+    """Ten long words of which one differs: 0.75 by characters at the most, however many words are alike."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=17))
+    texts = []
+    for _ in range(30):
+        words = [word() for _ in range(10)]
+        texts.append(" ".join(words))
+        words[rng.randrange(1, 9)] = word()
+        texts.append(" ".join(words))
+    links, _, root = found_links(spark, texts)
+    assert not links and all(root[i] == i for i in root)
+
+
 def test_recall_of_short_lines(spark):
     """Lines of 4 to 12 shingles: the bands miss no more pairs than independent hashes do (0.3 % at a similarity of 0.8)."""
     rng = random.Random(11)
@@ -119,6 +129,15 @@ def test_recall_of_short_lines(spark):
     assert sum(keep[2 * i + 1] == keep[2 * i] for i in range(1500)) >= 0.995 * 1500
 
 
+def test_lines_at_rest_are_met(spark):
+    """3 and 9 are alike; 3 is linked to the first line before 9 has met it."""
+    alike = [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (3, 9)]
+    pairs = spark.createDataFrame(alike, "x long, y long")
+    rows = spark.createDataFrame([(7, i) for i in (1, 2, 3, 4, 5, 6, 9)], "band long, id long")
+    links = {(r.x, r.y) for r in bucket_links(rows, lambda p: p.join(pairs, ["x", "y"])).collect()}
+    assert links == set(alike)
+
+
 def test_mixed_hot_bucket(spark):
     """25 families of 8 interleaved in one bucket: every row meets its family, without all pairs being made."""
     rows = [(7, f"{copy}{family:02}") for family in range(25) for copy in range(8)] + [(8, "000"), (9, "001"), (9, "103")]
@@ -128,7 +147,10 @@ def test_mixed_hot_bucket(spark):
         checked.append(pairs.count())
         return pairs.filter("right(x, 2) = right(y, 2)")
 
-    links = {(r.x, r.y) for r in bucket_links(spark.createDataFrame(rows, "band long, id string"), of_a_family).collect()}
+    df = spark.createDataFrame(rows, "band long, id string")
+    marks = df.select("id", F.right("id", F.lit(2)).alias("mark")).distinct()
+    found = bucket_links(df, of_a_family, marks, lambda x, y: F.col(x) == F.col(y))
+    links = {(r.x, r.y) for r in found.collect()}
     parent = {i: i for _, i in rows}
 
     def find(v):
