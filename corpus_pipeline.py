@@ -21,8 +21,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of texts connected by similar shingles of five words the smallest doc_id stays."""
-    return simhash.without_similar(docs, shingle=5, similarity=0.8)
+    """Operator 4: of texts connected by fingerprints within 3 bits or by similar shingles of five words the smallest doc_id stays."""
+    return simhash.without_similar(docs, shingle=5, similarity=0.8, most=3)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,16 +58,22 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row's whole text."""
-    bounded_batches(docs.sparkSession)
+    return _marked(id_and_text(docs, id_col, text_col), shingle, seed)
+
+
+def _marked(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """The other columns, all of them long, and fp of the text."""
+    bounded_batches(rows.sparkSession)
+    keys = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, texts in slices(batch.column("text").cast(pa.binary())):
                 found += [fingerprint(t, shingle, seed) for t in texts]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([*(batch.column(k) for k in keys), pa.array(found, pa.int64())], names=[*keys, "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(freeing(run), "doc_id long, fp long")
+    return rows.mapInArrow(freeing(run), ", ".join(f"{c} long" for c in [*keys, "fp"]))
 
 
 def correlated_partitions(distinct: DataFrame, parts: int) -> list[list[int]]:
@@ -266,18 +272,24 @@ def near_duplicates(
     names no component unless nothing else is in it; an empty table gives no rows.  Equal fingerprints are one node.
     """
     marked = settle(fingerprints(docs, shingle, seed, id_col, text_col))
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = _named(marked, F.min("doc_id"), "component_id", most, parts)
+    return marked.join(named, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _named(marked: DataFrame, least: Column, name: str, most: int, parts: int | None) -> DataFrame:
+    """fp and the name of its component, the smallest of what `least` takes from its rows, as a written table."""
+    distinct = settle(marked.groupBy("fp").agg(least.alias("least")))
     of = components(links(distinct, most, parts), "a", "b")
     of = distinct.join(of, distinct.fp == of.node, "left").select(
         distinct.fp, F.coalesce("root", distinct.fp).alias("root"), "least"
     )
     of = settle(of)
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(of.join(named, "root").select("fp", "component_id"))
+    named = of.groupBy("root").agg(F.min("least").alias(name))
+    named = settle(of.join(named, "root").select("fp", name))
     forget(distinct, of)
-    return marked.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return named
 
 
 # similar_groups(): minima of a set of shingles, keys made of so many of them each, and the words of its fingerprint, a bit of
@@ -331,7 +343,7 @@ def _unlike(x: str, y: str, most: int) -> Column:
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = SEED, id_col="doc_id", text_col="text"
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = SEED, id_col="doc_id", text_col="text", most: int | None = None
 ) -> DataFrame:
     """row, doc_id, root (a row): rows connected by a similarity of their word shingles of at least `similarity`.
 
@@ -339,6 +351,9 @@ def similar_groups(
     Jaccard similarity decides.  Both chances depend on the similarity alone, neither on the length of the texts nor on where
     they differ.  Rows with a common key are compared until each pair of them is in one component or was found unlike.  Texts
     without words are similar to one another; a NULL text is empty.  Repeated rows are similar rows; an empty table gives none.
+
+    With `most`, rows are connected first as near_duplicates() connects them, by SimHash fingerprints that differ in so many bits;
+    then similar rows are sought that are in different components.
     """
     bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
@@ -355,17 +370,34 @@ def similar_groups(
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), *lists], names=["id", "keys", "bits"])
 
     marked = settle(keyed.mapInArrow(freeing(run), "id long, keys array<long>, bits array<long>"))
-    known = _links(marked, lambda pairs: _similar(pairs, keyed, shingle, similarity, seed), most_differing(similarity))
+    near = None if most is None else _near_links(rows, most, seed)
+    verified = lambda pairs: _similar(pairs, keyed, shingle, similarity, seed)
+    # As a condition of a join of rows with their sets, s and of_s.
+    last = (lambda ids: _sets(ids, keyed, shingle, seed), _alike("s", "of_s", similarity))
+    known = _links(marked, verified, most_differing(similarity), near, last)
     of = components(known, "x", "y")
     forget(marked, known)
     ids = rows.select("row", "doc_id")
     return ids.join(of, ids.row == of.node, "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
 
-def _links(marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+def _near_links(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """x, y: every row (row, doc_id, text) and the first one of its component of near_duplicates(), as a written table."""
+    prints = settle(_marked(rows.select("row", "text"), 3, seed))
+    named = _named(prints, F.min("row"), "first", most, None)
+    out = settle(prints.join(named, "fp").filter("row <> first").select(F.col("first").alias("x"), F.col("row").alias("y")))
+    forget(prints, named)
+    return out
+
+
+def _links(
+    marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int, known: DataFrame | None = None,
+    last: tuple[Callable[[DataFrame], DataFrame], Column] | None = None,
+) -> DataFrame:
     """x, y: links of marked rows (id, keys, bits) that connect all similar rows with a common key.
 
-    verified() gives the similar ones of pairs x, y as a written table.
+    verified() gives the similar ones of pairs x, y as a written table.  `known` are links to start from, a written table.
+    `last` gives what the last comparison needs of ids, and its condition; rows are compared in a join then, and only links are made.
     """
     spark = marked.sparkSession
     each = marked.select("id", F.explode("keys").alias("key"))
@@ -377,6 +409,9 @@ def _links(marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most:
     lead = settle(held_by.groupBy("key").agg(F.max(F.struct("reach", "id")).alias("lead")).select("key", F.col("lead.id").alias("of")))
     pairs = held_by.join(lead, "key").filter("id <> of")
     found = _found(pairs, marked, verified, most)
+    if known is not None:
+        first, found = found, settle(found.union(known).distinct())
+        forget(first, known)
     forget(shared, held, reach, lead)
     swept(spark)
     for turn in range(ROUNDS + 1):
@@ -391,6 +426,8 @@ def _links(marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most:
             partners = settle(mixed.filter("NOT beside").groupBy("key").agg(F.array_distinct(F.array(*some)).alias("of")))
             pairs = beside.join(partners, "key").select("id", F.explode("of").alias("of"))
             more = _found(pairs, marked, verified, most)
+        elif last:
+            more = _met_in_join(mixed, marked, *last, most)
         else:
             # All that are not connected yet, but for pairs whose fingerprints are unlike.
             with_bits = settle(mixed.join(marked.select("id", "bits"), "id"))
@@ -408,6 +445,23 @@ def _links(marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most:
     return found
 
 
+def _met_in_join(mixed: DataFrame, marked: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: Column, most: int) -> DataFrame:
+    """x, y: the similar ones of all rows of a key in different components, as a written table.
+
+    Two rows are compared in the least of their common keys.  All is a condition of the join: rows are made of links only.
+    """
+    ids = settle(mixed.select("id").distinct())
+    own = sets(ids)
+    rows = settle(mixed.join(matching(marked, ids, "id", "left_semi").join(own, "id"), "id"))
+    others = rows.filter("beside").select(*(F.col(c).alias(f"of_{c}") for c in ("key", "id", "root", "bits", "keys", "s")))
+    apart = (F.col("root") != F.col("of_root")) & (~F.col("beside") | (F.col("id") < F.col("of_id"))) & ~_unlike("bits", "of_bits", most)
+    here = F.array_min(F.array_intersect("keys", "of_keys")) == F.col("key")
+    met = rows.join(others, (F.col("key") == F.col("of_key")) & apart & here & alike)
+    out = settle(met.select(F.least("id", "of_id").alias("x"), F.greatest("id", "of_id").alias("y")).distinct())
+    forget(ids, own, rows)
+    return out
+
+
 def _found(pairs: DataFrame, marked: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
     """The verified ones of pairs (id, of), as x, y."""
     pairs = settle(pairs.select(F.least("id", "of").alias("x"), F.greatest("id", "of").alias("y")).distinct())
@@ -431,8 +485,8 @@ def _mixed(held: DataFrame, links: DataFrame) -> DataFrame:
     return mixed
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """The pairs x, y of rows (doc_id, text) whose sets of shingles have the similarity at least, as a written table."""
+def _sets(ids: DataFrame, rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """id, s: the sets of shingles of those rows (doc_id, text) that ids (id) name, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,20 +496,32 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float,
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), lists], names=["id", "s"])
 
-    ids = settle(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = settle(matching(rows, ids, "doc_id", "left_semi").mapInArrow(freeing(run), "id long, s array<long>"))
+    ids = ids.withColumnRenamed("id", "doc_id")
+    return settle(matching(rows, ids, "doc_id", "left_semi").mapInArrow(freeing(run), "id long, s array<long>"))
+
+
+def _alike(p: str, q: str, similarity: float) -> Column:
+    common = F.size(F.array_intersect(p, q))
+    total = F.size(p) + F.size(q) - common
+    return (common >= F.lit(similarity) * total) | (total == 0)
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The pairs x, y of rows (doc_id, text) whose sets of shingles have the similarity at least, as a written table."""
+    ids = settle(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    sets = _sets(ids, rows, shingle, seed)
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("p")), "x")
     both = both.join(sets.select(F.col("id").alias("y"), F.col("s").alias("q")), "y")
-    common = F.size(F.array_intersect("p", "q"))
-    total = F.size("p") + F.size("q") - common
-    out = settle(both.filter((common >= F.lit(similarity) * total) | (total == 0)).select("x", "y"))
+    out = settle(both.filter(_alike("p", "q", similarity)).select("x", "y"))
     forget(ids, sets)
     return out
 
 
-def without_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of docs, with all their columns: of each group of similar ones that with the smallest doc_id (NULL last)."""
-    found = similar_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col)
+def without_similar(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col="doc_id", text_col="text", most: int | None = None
+) -> DataFrame:
+    """The rows of docs, with all their columns: of each of similar_groups() that with the smallest doc_id (NULL last)."""
+    found = similar_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col, most=most)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     found = settle(found)
     first = found.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first"))

@@ -216,3 +216,38 @@ def test_same_words_in_other_orders(spark):
     pairs, roots = brute_force(spark, texts)
     assert len(pairs) == 6 * 10
     assert all(roots[i] == roots[i % 6] for i in roots) and len(set(roots.values())) == 6
+
+
+def test_near_fingerprints_connect_in_the_pipelines_stage(spark):
+    """What operator 4 links goes, though few shingles of five words are common; without `most` it stays."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(40)}" for _ in range(900)]
+    base, rows = " ".join(words), []
+    # Edits dealt out evenly break many shingles of five words; of some such texts the fingerprints are near.
+    for i in range(400):
+        changed = list(words)
+        for at in range(rng.randrange(18), 900, 18):
+            changed[at] = f"w{rng.randrange(40)}"
+        rows.append((i + 1, " ".join(changed)))
+    base_print, base_set = naive(base), {tuple(words[i : i + 5]) for i in range(896)}
+
+    def similarity(text):
+        w = text.split()
+        own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return len(own & base_set) / len(own | base_set)
+
+    i, text = next((i, t) for i, t in rows if (naive(t) ^ base_print).bit_count() <= 3 and similarity(t) < 0.75)
+    df = spark.createDataFrame([(0, base), (i, text), (1000, "apart")], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_similar(df).collect()} == {0, i, 1000}
+    assert {r.doc_id for r in simhash.without_similar(df, most=3).collect()} == {0, 1000}
+
+
+def test_last_comparison_makes_rows_of_links_only(spark):
+    """Many rows of one key that are unlike by exact sets, though their fingerprints are alike: one link is one row."""
+    n = 300
+    rows = [(i, [7, i + 100], [0] * simhash.WORDS, [i * 10 + k for k in range(10)]) for i in range(n)]
+    rows += [(n, [7, 8], [0] * simhash.WORDS, [*range(9), -1])]  # as row 0 but for one element
+    df = settle(spark.createDataFrame(rows, "id long, keys array<long>, bits array<long>, s array<long>"))
+    mixed = settle(df.selectExpr("7L AS key", "id", "id AS root", "id > 0 AS beside"))
+    met = simhash._met_in_join(mixed, df.drop("s"), lambda ids: settle(df.select("id", "s")), simhash._alike("s", "of_s", 0.8), 40)
+    assert [tuple(r) for r in met.collect()] == [(0, n)]
