@@ -100,3 +100,51 @@ def test_word_hashes():
     words = [bytes(data[a:b]) for a, b in zip(start, end)]
     assert words == [b"one", b"two", b"one", b"two", b"three"]
     assert got[0] == got[2] and got[1] == got[3] and len(set(got.tolist())) == 3
+
+
+def test_every_labelled_text_is_learnt_from(spark):
+    """Toxic texts count that come after the first 6000 by a hash of the id, and however the texts are cut into shards."""
+    ids = spark.range(9000).select(F.col("id").alias("doc_id")).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").collect()]
+    late = set(order[6000:])
+    words = random.Random(4)
+    docs = [(i, " ".join(f"{words.choice('abcdefgh')}{words.choice('abcdefgh')}word" for _ in range(8)) + (" grimble" if i in late else ""), "en") for i in order]
+    labels = spark.createDataFrame([(i, None, int(i in late)) for i in order], SCHEMA)
+    df = spark.createDataFrame(docs + [(10**6, "abword grimble cdword", "en"), (10**6 + 1, "abword cdword", "en")], "doc_id long, text string, lang string")
+    rows = toxicity._shards(df, labels)
+    assert rows.count() == len(order) and rows.select("shard").distinct().count() == 2
+    _, _, toxic, others = toxicity._document_counts(rows)
+    assert (toxic, others) == (len(late), 6000)
+    score = {r.doc_id: r.score for r in toxicity.classify(df, labels).collect() if r.doc_id >= 10**6}
+    assert score[10**6] > 0.5 > score[10**6 + 1]
+
+
+def test_slopes_are_those_of_the_loss():
+    """Dense parameters and a word's embeddings, against differences of the loss."""
+    rng = np.random.default_rng(1)
+    net = toxicity.Cnn()
+    for part in [*net.tables, *net.dense]:
+        part += rng.normal(0, 0.3, part.shape).astype(np.float32)
+    count, toxic = np.array([5, 0, 9]), np.array([1, 0, 0])
+    ids = rng.integers(0, toxicity.BUCKETS, (14, len(toxicity.PREFIXES))).astype(np.uint16)
+
+    def loss():
+        p = net.scores(ids, count)
+        return -np.mean(np.where(toxic == 1, np.log(p), np.log(1 - p)))
+
+    def difference(part, at, step=1e-2):
+        was, out = part[at], []
+        for by in (step, -step):
+            part[at] = was + by
+            out.append(loss())
+        part[at] = was
+        return (out[0] - out[1]) / (2 * step)
+
+    dense, words, slopes = net.slopes(ids, count, toxic, 3)
+    for part, slope in zip(net.dense, dense):
+        for at in list(np.ndindex(part.shape))[:: max(1, part.size // 9)]:
+            assert difference(part, at) == pytest.approx(slope[at], abs=3e-3)
+    total = np.zeros((14, toxicity.DIMENSIONS))
+    np.add.at(total, words, slopes)
+    for word in range(14):
+        assert difference(net.tables[0], (ids[word, 0], 3)) == pytest.approx(total[word, 3], abs=3e-3)
