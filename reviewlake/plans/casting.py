@@ -12,10 +12,23 @@ from reviewlake.functions.text import iso_time
 from reviewlake.schemas import RECORDED, STAGES, VERSIONS
 
 
+HEAD_COLUMNS = ["o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority"]
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Those columns of a table, its rows dealt out evenly over the session's shuffle partitions, whatever the files they lie in.
+
+    For steps with much work per row: a small file, or one with large row groups, is read by one task.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*columns).repartition(tasks)
+
+
 # --- lineitem: issues, bugs, fixes, cases ------------------------------------
 
 

@@ -324,14 +324,18 @@ def iso_times(events):
 @query("orders", "lineitem")
 def index_entries(orders, lineitem):
     """What the index holds about every run; its issues are counted, no document is built."""
-    return assembly.index_rows(C.heads(orders), C.issues(lineitem))
+    return _index_rows(orders, lineitem)
+
+
+def _index_rows(orders, lineitem):
+    return assembly.index_rows(C.heads(C.dealt(orders, *C.HEAD_COLUMNS)), C.issues(C.dealt(lineitem, *C.LINE_COLUMNS)))
 
 
 @query("orders", "lineitem")
 def published_index(orders, lineitem):
     """The index as it is read after two publishes, the second of which came twice: of all runs, then of those with issues."""
     path = scratch(orders.sparkSession)
-    entries = settle(assembly.index_rows(C.heads(orders), C.issues(lineitem)), f"{path}/entries")
+    entries = settle(_index_rows(orders, lineitem), f"{path}/entries")
     writers.publish_index(entries.withColumn("issues", F.lit(0).cast("bigint")), f"{path}/index", "recordedAt", per_range=20_000)
     for _ in range(2):
         raised = entries.filter("issues > 0")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlake import schemas as S
 from reviewlake.operators.index import upsert_index
+from reviewlake.session import settle
 from reviewlake.sources import commits
 from reviewlake.sources.commits import Commit, Part
 
@@ -88,8 +89,14 @@ def _merged(entries: DataFrame, now: Commit, path: str, firsts: list[str], order
     placed = entries.select(range_of(firsts).alias("range")).distinct()
     touched = sorted(r[0] for r in placed.collect())  # ranges, not entries
     old = read_parts(entries.sparkSession, path, [now.parts[i] for i in touched if i < len(now.parts)])
-    merged = upsert_index(old, entries.select(*old.columns), *order)
-    return _written(merged.withColumn("range", range_of(firsts)), path, per_range)
+    merged = upsert_index(old, entries.select(*old.columns), *order).withColumn("range", range_of(firsts))
+    # Counted, dealt out and written: merged and placed once for all three.
+    staged = f"{path}/data-{uuid.uuid4().hex}"
+    try:
+        return _written(settle(merged, staged), path, per_range)
+    finally:
+        place, files = commits.place_of(entries.sparkSession, staged)
+        files.delete(place, True)
 
 
 def replace_index(index: DataFrame, path: str, per_range: int = PER_RANGE) -> int:

@@ -137,3 +137,19 @@ def test_unused_folders_go(spark, tmp_path):
     commits.clean(spark, path, orphan_ms=-10_000)
     assert not (tmp_path / "index/data-dead").exists()
     assert set(ids_of(spark, path)) == {"a0", "a1", "a2", "a3"}
+
+
+def test_a_publish_computes_its_entries_twice_at_most(spark, tmp_path):
+    """Once to find the ranges, once to write; what is staged in between is removed."""
+    path, seen = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = entries(spark, names(300)).mapInArrow(count, INDEX_ENTRY)
+    writers.publish_index(counted, path, "recordedAt", per_range=100)
+    assert seen.value <= 2 * 300
+    assert len(ids_of(spark, path)) == 300
+    assert {n for n in commits.names_in(spark, path) if n.startswith("data-")} == {f.split("/")[0] for f in folders(spark, path)}

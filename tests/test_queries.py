@@ -81,3 +81,15 @@ def test_few_scans(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") <= 3
     assert plan.count("Exchange hashpartitioning") <= 7
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["index_entries"])
+def test_rows_with_much_work_are_dealt_out(spark, name):
+    """A table in one file is read by one task; its rows do not stay in it."""
+    df = driver.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= plan.count("RoundRobinPartitioning(4)")
+    if name in {"bad_fields", "validate_reports"}:
+        assert df.rdd.getNumPartitions() == 4
+
