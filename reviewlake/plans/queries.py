@@ -172,6 +172,7 @@ def assemble(orders, lineitem):
 
 def _reports(orders, lineitem):
     """Documents from one aggregation of a run's lines, beside its detection."""
+    orders, lineitem = C.dealt(orders, *C.HEAD_COLUMNS), C.dealt(lineitem, *C.LINE_COLUMNS)
     children = C.line_facts(lineitem).groupBy("run").agg(
         *assembly.child_lists(fixes=F.col("fixed")), F.count("*").alias("n_cases"), *C.test_sums()
     )
