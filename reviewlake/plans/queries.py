@@ -221,7 +221,7 @@ def headline(orders, lineitem):
 def _good_reports(orders):
     """A report document per order: run, good."""
     none = orders.sparkSession.createDataFrame([], "run bigint, expected bigint, caught bigint, missed array<string>")
-    heads = C.heads(orders).withColumns({"model": F.lit("m")})
+    heads = C.heads(C.dealt(orders, *C.HEAD_COLUMNS)).withColumns({"model": F.lit("m")})
     two = F.transform(
         F.array(F.lit(1), F.lit(2)),
         lambda n: F.struct(
@@ -275,7 +275,8 @@ def bad_fields(orders):
     text = F.col("good")
     for number, (old, new) in _SWAPS.items():
         if number < 12:
-            text = F.when((first == number) | (second == number), F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+            # The text stands in each step once: twice, and its expression would double with each.
+            text = F.replace(text, F.lit(old), F.when((first == number) | (second == number), F.lit(new)).otherwise(F.lit(old)))
     return V.bad_fields(_good_reports(orders).select("run", text.alias("text")), "text")
 
 

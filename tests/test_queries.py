@@ -84,7 +84,7 @@ def test_few_scans(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["flatten_report", "index_entries"])
+@pytest.mark.parametrize("name", ["bad_fields", "validate_reports", "flatten_report", "index_entries"])
 def test_rows_with_much_work_are_dealt_out(spark, name):
     """A table in one file is read by one task; its rows do not stay in it."""
     df = driver.queries()[name](spark, SF_DIR)
@@ -93,3 +93,9 @@ def test_rows_with_much_work_are_dealt_out(spark, name):
     if name in {"bad_fields", "validate_reports"}:
         assert df.rdd.getNumPartitions() == 4
 
+
+@needs_tables
+def test_texts_of_bad_fields_stay_small_expressions(spark):
+    """Each way to break a report adds to the expression and does not double it."""
+    plan = driver.queries()["bad_fields"](spark, SF_DIR)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("replace(") < 50
