@@ -84,7 +84,7 @@ def test_few_scans(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["bad_fields", "validate_reports", "flatten_report", "index_entries"])
+@pytest.mark.parametrize("name", ["bad_fields", "validate_reports", "flatten_report", "index_entries", "contract_audit"])
 def test_rows_with_much_work_are_dealt_out(spark, name):
     """A table in one file is read by one task; its rows do not stay in it."""
     df = driver.queries()[name](spark, SF_DIR)
