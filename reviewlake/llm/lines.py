@@ -1,7 +1,7 @@
 """Operator 6: fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line's shingles are all runs of `size` characters, spaces included.  Signatures are minima of one seeded hash each,
-banded for high recall; lines that meet in a band are verified by the exact Jaccard similarity of their shingles; connected
+A line's shingles are all runs of `size` characters, spaces included.  They are dealt into parts by their hash; signatures
+are minima of one seeded hash each within a part, banded for high recall; lines that meet in a band are verified by the exact Jaccard similarity of their shingles; connected
 lines form a component, of which the first line stays.
 """
 
@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bucket_links, components, forget, id_and_text, settle, swept
+from reviewlake.llm.common import bucket_links, components, forget, id_and_text, in_company, matching, settle, swept
 
 SIZE, SIMILARITY = 9, 0.8
-BANDS, ROWS = 8, 3
+# Shingles are dealt into parts by their hash; each part has bands of its own.
+PARTS, BANDS, ROWS = 4, 2, 3
 
 
 def shingles(line: Column, size: int) -> Column:
@@ -33,49 +36,64 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, size: int) -> DataFrame:
-    """a, b, m0, m1, ...: one row per distinct line.  Each minimum is taken of hashes of its own seed.
+    """a, b, part, m0, m1, ...: a row per distinct line and part that has shingles; a minimum is taken of hashes of its own seed.
 
-    Shingles become rows and are folded by a compiled aggregation before the shuffle.
+    Shingles become rows and are folded by a compiled aggregation before the shuffle.  They are cut from four bytes a
+    character, where each has a known place.
     """
-    each = lines.select("a", "b", F.explode(shingles(F.col("norm"), size)).alias("s"))
-    each = each.select("a", "b", F.xxhash64("s").alias("h"))
-    return each.groupBy("a", "b").agg(*(F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    wide = lines.select("a", "b", F.encode("norm", "UTF-32").alias("wide"))
+    last = F.greatest(F.shiftright(F.octet_length("wide"), 2) - size, F.lit(0))
+    each = wide.select("a", "b", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    each = each.select("a", "b", F.xxhash64(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * size))).alias("h"))
+    part = F.col("h").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")
+    return each.groupBy("a", "b", part).agg(*(F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """band, id: the buckets each line is in; lines of a bucket are candidates."""
-    bands = F.array(*(F.xxhash64(F.lit(i), *(f"m{i * ROWS + j}" for j in range(ROWS))) for i in range(BANDS)))
-    return signed.select(F.struct("a", "b").alias("id"), F.explode(bands).alias("band"))
+    """band, a, b: the buckets each line is in; lines of a bucket are candidates."""
+    bands = F.array(*(F.xxhash64("part", F.lit(i), *(f"m{i * ROWS + j}" for j in range(ROWS))) for i in range(BANDS)))
+    return signed.select(F.explode(bands).alias("band"), "a", "b")
 
 
 def signs(signed: DataFrame) -> DataFrame:
-    """id, mark: the minima of each line."""
-    return signed.select(F.struct("a", "b").alias("id"), F.array(*(f"m{i}" for i in range(BANDS * ROWS))).alias("mark"))
+    """id, mark: the minima of each line, NULL where a part has no shingle."""
+    each = [F.max(F.when(F.col("part") == p, F.col(f"m{i}"))).alias(f"m{p}_{i}") for p in range(PARTS) for i in range(BANDS * ROWS)]
+    mark = F.array(*(f"m{p}_{i}" for p in range(PARTS) for i in range(BANDS * ROWS)))
+    return signed.groupBy("a", "b").agg(*each).select(F.struct("a", "b").alias("id"), mark.alias("mark"))
 
 
 def likely(similarity: float) -> Callable[[str, str], Column]:
-    """Do two signatures share as many minima as those of lines at the similarity hardly ever fall short of (1 in 1000)?"""
-    n = BANDS * ROWS
-    least = math.ceil(n * similarity - 3.1 * math.sqrt(n * similarity * (1 - similarity)))
+    """Do two signatures share as many minima as those of lines at the similarity hardly ever fall short of (1 in 1000)?
+
+    Lines so short that a part has no shingle always may be similar.
+    """
+    n = PARTS * BANDS * ROWS
+    least = math.ceil(n * similarity - 3.5 * math.sqrt(n * similarity * (1 - similarity)))
 
     def enough(x: str, y: str) -> Column:
         same = [F.when(F.col(x)[i] == F.col(y)[i], 1).otherwise(0) for i in range(n)]
-        return sum(same[1:], same[0]) >= least
+        short = [F.col(mark)[i].isNull() for mark in (x, y) for i in range(0, n, BANDS * ROWS)]
+        return reduce(or_, short, sum(same[1:], same[0]) >= least)
 
     return enough
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose shingles have the similarity at least; texts has a, b, norm of every line."""
-    texts = texts.select(F.struct("a", "b").alias("id"), "norm")
-    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("norm").alias("p")), "x")
-    both = both.join(texts.select(F.col("id").alias("y"), F.col("norm").alias("q")), "y")
+def in_pairs(lines: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, norm, n: the text and the number of different shingles of the lines whose a, b are given."""
+    texts = matching(lines.select("a", "b", "norm"), ids, ["a", "b"], "left_semi").distinct()
+    return texts.select(F.struct("a", "b").alias("id"), "norm", F.size(F.array_distinct(shingles(F.col("norm"), size))).alias("n"))
 
-    def alike(p: Column, q: Column) -> Column:
-        common = F.size(F.array_intersect(p, q))
-        return common >= F.lit(similarity) * (F.size(F.array_distinct(p)) + F.size(F.array_distinct(q)) - common)
 
-    return both.filter(alike(shingles(F.col("p"), size), shingles(F.col("q"), size))).select("x", "y")
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose shingles have the similarity at least; texts has id, norm, n of every line in a pair."""
+    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("norm").alias("p"), F.col("n").alias("of_x")), "x")
+    both = both.join(texts.select(F.col("id").alias("y"), F.col("norm").alias("q"), F.col("n").alias("of_y")), "y")
+    # The smaller set is all they can have in common.
+    both = both.filter(F.least("of_x", "of_y") >= F.lit(similarity) * F.greatest("of_x", "of_y"))
+    common = F.size(F.array_intersect(shingles(F.col("p"), size), shingles(F.col("q"), size)))
+    # Exploded, so that a filter does not count the common ones anew for each use.
+    both = both.select("x", "y", "of_x", "of_y", F.explode(F.array(common)).alias("common"))
+    return both.filter(F.col("common") >= F.lit(similarity) * (F.col("of_x") + F.col("of_y") - F.col("common"))).select("x", "y")
 
 
 def deduplicate(
@@ -88,12 +106,18 @@ def deduplicate(
     component by doc_id (NULL last), then row and line number, stays; repeated rows count each.
     """
     lines = split_lines(id_and_text(docs, id_col, text_col))
-    texts = settle(lines.select("a", "b", "norm").distinct())
-    signed = settle(signatures(texts, size))
+    signed = settle(signatures(lines, size))
+    swept(docs.sparkSession)
+    # Most lines are alone in all their buckets and need no text, no signature and no round.
+    shared = settle(in_company(candidates(signed)))
     swept(docs.sparkSession)
+    ids = settle(shared.select("a", "b").distinct())
+    texts = settle(in_pairs(lines, ids, size))
+    marks = settle(signs(matching(signed, ids, ["a", "b"], "left_semi")))
+    forget(signed, ids)
     check = lambda pairs: verified(pairs, texts, size, similarity)
-    links = settle(bucket_links(candidates(signed), check, signs(signed), likely(similarity)))
-    forget(signed, texts)
+    links = settle(bucket_links(shared.select("band", F.struct("a", "b").alias("id")), check, marks, likely(similarity)))
+    forget(shared, texts, marks)
     swept(docs.sparkSession)
     of = components(links, "x", "y").select("node.a", "node.b", "root")
     own = F.struct("a", "b")

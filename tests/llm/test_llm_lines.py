@@ -162,3 +162,20 @@ def test_mixed_hot_bucket(spark):
         parent[find(x)] = find(y)
     assert len({find(v) for v in parent}) == 25
     assert sum(checked) < 200 * 199 / 2 / 2
+
+
+def test_lines_alone_in_their_buckets_are_not_compared(spark, monkeypatch):
+    """The comparison reads texts of lines that share a bucket, not those of the whole table."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(200)]
+    texts.append(texts[0] + "z")
+    read, plain = [], lines.verified
+
+    def counted(pairs, table, size, similarity):
+        read.append(table.count())
+        return plain(pairs, table, size, similarity)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    links, found, _ = found_links(spark, texts)
+    assert links == found == [(200, 0)]
+    assert max(read) == 2
