@@ -179,3 +179,17 @@ def test_lines_alone_in_their_buckets_are_not_compared(spark, monkeypatch):
     links, found, _ = found_links(spark, texts)
     assert links == found == [(200, 0)]
     assert max(read) == 2
+
+
+def test_no_pair_is_verified_twice(spark):
+    """Rows that meet in several buckets and rounds are compared once; those linked in an earlier round count as linked."""
+    rows = spark.createDataFrame([(band, i) for band in (7, 8) for i in range(12 - band, 12)], "band long, id long")
+    seen = []
+
+    def halves(pairs):
+        seen.extend((r.x, r.y) for r in pairs.collect())
+        return pairs.filter("x % 3 = y % 3")
+
+    links = {(r.x, r.y) for r in bucket_links(rows, halves).collect()}
+    assert len(seen) == len(set(seen))
+    assert {(4, 7), (5, 8), (6, 9)} <= links and all(x % 3 == y % 3 for x, y in links)
