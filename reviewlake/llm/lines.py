@@ -1,25 +1,28 @@
 """Operator 6: fuzzy line dedup by MinHash, with DataFrame functions only.
 
 A line's shingles are all runs of `size` characters, spaces included.  They are dealt into parts by their hash; signatures
-are minima of one seeded hash each within a part, banded for high recall; lines that meet in a band are verified by the exact Jaccard similarity of their shingles; connected
-lines form a component, of which the first line stays.
+are minima of one seeded hash each within a part, banded for high recall.  Lines of a crowded bucket meet by their rarest
+shingles, of which similar lines always share one.  Lines that meet are verified by the exact Jaccard similarity of their
+shingles; connected lines form a component, of which the first line stays.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reviewlake.llm.common import bucket_links, components, forget, id_and_text, in_company, matching, settle, swept
 
 SIZE, SIMILARITY = 9, 0.8
 # Shingles are dealt into parts by their hash; each part has bands of its own.
 PARTS, BANDS, ROWS = 4, 2, 3
+# In buckets of more lines than this, those lines meet that share one of their rarest shingles.
+CROWD = 16
+# Against rounding, in bounds that leave pairs out.
+SLACK = 1e-6
 
 
 def shingles(line: Column, size: int) -> Column:
@@ -55,33 +58,53 @@ def candidates(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(bands).alias("band"), "a", "b")
 
 
-def signs(signed: DataFrame) -> DataFrame:
-    """id, mark: the minima of each line, NULL where a part has no shingle."""
-    each = [F.max(F.when(F.col("part") == p, F.col(f"m{i}"))).alias(f"m{p}_{i}") for p in range(PARTS) for i in range(BANDS * ROWS)]
-    mark = F.array(*(f"m{p}_{i}" for p in range(PARTS) for i in range(BANDS * ROWS)))
-    return signed.groupBy("a", "b").agg(*each).select(F.struct("a", "b").alias("id"), mark.alias("mark"))
+def in_pairs(lines: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, a, b, norm, n: a number, the text and the number of different shingles of the lines whose a, b are given."""
+    texts = matching(lines.select("a", "b", "norm"), ids, ["a", "b"], "left_semi").distinct()
+    n = F.size(F.array_distinct(shingles(F.col("norm"), size)))
+    return texts.select(F.monotonically_increasing_id().alias("id"), "a", "b", "norm", n.alias("n"))
 
 
-def likely(similarity: float) -> Callable[[str, str], Column]:
-    """Do two signatures share as many minima as those of lines at the similarity hardly ever fall short of (1 in 1000)?
+def marked(place: Column) -> Column:
+    """What a bucket knows of a line: its number of shingles, and how many of them are none of any line it is similar to."""
+    return F.struct((place / F.col("n")).alias("early"), place.cast("int").alias("place"), F.col("n"))
 
-    Lines so short that a part has no shingle always may be similar.
-    """
-    n = PARTS * BANDS * ROWS
-    least = math.ceil(n * similarity - 3.5 * math.sqrt(n * similarity * (1 - similarity)))
+
+def likely(similarity: float) -> Callable[[str, str], Column]:
+    """Can lines of these marks be similar?  They have no more in common than either has left behind its place."""
 
     def enough(x: str, y: str) -> Column:
-        same = [F.when(F.col(x)[i] == F.col(y)[i], 1).otherwise(0) for i in range(n)]
-        short = [F.col(mark)[i].isNull() for mark in (x, y) for i in range(0, n, BANDS * ROWS)]
-        return reduce(or_, short, sum(same[1:], same[0]) >= least)
+        left = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
+        return left >= F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - F.lit(SLACK)
 
     return enough
 
 
-def in_pairs(lines: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, norm, n: the text and the number of different shingles of the lines whose a, b are given."""
-    texts = matching(lines.select("a", "b", "norm"), ids, ["a", "b"], "left_semi").distinct()
-    return texts.select(F.struct("a", "b").alias("id"), "norm", F.size(F.array_distinct(shingles(F.col("norm"), size))).alias("n"))
+def rarest(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """band, id, mark: lines by their rarest shingles, as many as two similar lines need to share one for certain.
+
+    A line that is similar to one of n shingles has at least n times the similarity in common with it, so one of any
+    other n - ceil(n * similarity) + 1 is too.  All lines order their shingles by the lines they are in, so of what two
+    have in common the first is among these in both, and all before it are in one of them only.
+    """
+    each = texts.select("id", "n", F.explode(F.array_distinct(shingles(F.col("norm"), size))).alias("shingle"))
+    each = each.select("id", "n", F.xxhash64("shingle").alias("band"))
+    counts = each.groupBy("band").agg(F.count("*").alias("lines"))
+    ordered = Window.partitionBy("id").orderBy("lines", "band")
+    placed = each.join(counts, "band").withColumn("place", F.row_number().over(ordered) - 1)
+    few = F.col("place") <= F.floor(F.col("n") * F.lit(1 - similarity) + F.lit(SLACK))
+    return placed.filter(few & (F.col("lines") > 1)).select("band", "id", marked(F.col("place")).alias("mark"))
+
+
+def meetings(shared: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """band, id, mark: lines by their buckets, and those of crowded buckets by their rarest shingles instead."""
+    rows = settle(shared.join(texts.select("a", "b", "id", "n"), ["a", "b"]).select("band", "id", "n"))
+    counts = rows.groupBy("band").agg(F.count("*").alias("lines"))
+    small = rows.join(counts.filter(F.col("lines") <= CROWD), "band").select("band", "id", marked(F.lit(0)).alias("mark"))
+    crowd = settle(rows.join(counts.filter(F.col("lines") > CROWD), "band").select("id").distinct())
+    out = settle(small.union(rarest(matching(texts, crowd, "id", "left_semi"), size, similarity)))
+    forget(rows, crowd)
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -106,20 +129,21 @@ def deduplicate(
     component by doc_id (NULL last), then row and line number, stays; repeated rows count each.
     """
     lines = split_lines(id_and_text(docs, id_col, text_col))
-    signed = settle(signatures(lines, size))
-    swept(docs.sparkSession)
-    # Most lines are alone in all their buckets and need no text, no signature and no round.
-    shared = settle(in_company(candidates(signed)))
+    # Most lines are alone in all their buckets and need no text.
+    shared = settle(in_company(candidates(signatures(lines, size))))
     swept(docs.sparkSession)
     ids = settle(shared.select("a", "b").distinct())
     texts = settle(in_pairs(lines, ids, size))
-    marks = settle(signs(matching(signed, ids, ["a", "b"], "left_semi")))
-    forget(signed, ids)
-    check = lambda pairs: verified(pairs, texts, size, similarity)
-    links = settle(bucket_links(shared.select("band", F.struct("a", "b").alias("id")), check, marks, likely(similarity)))
-    forget(shared, texts, marks)
+    met = meetings(shared, texts, size, similarity)
+    forget(shared, ids)
+    swept(docs.sparkSession)
+    links = bucket_links(met, lambda pairs: verified(pairs, texts, size, similarity), likely=likely(similarity))
+    forget(met)
     swept(docs.sparkSession)
-    of = components(links, "x", "y").select("node.a", "node.b", "root")
+    named = texts.select(F.col("id").alias("root"), F.struct("a", "b").alias("name"))
+    of = components(links, "x", "y").withColumnRenamed("node", "id").join(named, "root")
+    of = settle(of.join(texts.select("id", "a", "b"), "id").select("a", "b", F.col("name").alias("root")))
+    forget(links, texts)
     own = F.struct("a", "b")
     placed = lines.select("doc_id", "row", "line_no", "a", "b").join(of, ["a", "b"], "left")
     placed = settle(placed.select("doc_id", "row", "line_no", F.coalesce("root", own).alias("root")))

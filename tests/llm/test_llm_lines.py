@@ -193,3 +193,23 @@ def test_no_pair_is_verified_twice(spark):
     links = {(r.x, r.y) for r in bucket_links(rows, halves).collect()}
     assert len(seen) == len(set(seen))
     assert {(4, 7), (5, 8), (6, 9)} <= links and all(x % 3 == y % 3 for x, y in links)
+
+
+def test_lines_with_a_common_passage_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """50 lines of one passage and 40 characters of their own (0.69 alike) share buckets; near copies among them are found."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = letters(220)
+    texts = [passage + letters(40) for _ in range(50)]
+    texts += [t[:-5] + letters(5) for t in texts[:10]]
+    asked, plain = [], lines.verified
+
+    def counted(pairs, table, size, similarity):
+        asked.append(pairs.count())
+        return plain(pairs, table, size, similarity)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    links, found, root = found_links(spark, texts)
+    assert links == found == [(50 + i, i) for i in range(10)]
+    assert all(root[i] == i for i in range(50))
+    assert sum(asked) < 3 * len(texts)
