@@ -19,6 +19,8 @@ from reviewlake.llm.common import bucket_links, components, forget, id_and_text,
 SIZE, SIMILARITY = 9, 0.8
 # Shingles are dealt into parts by their hash; each part has bands of its own.
 PARTS, BANDS, ROWS = 4, 2, 3
+# Seeds of a part's minima: a minimum is the hash that differs from its seed in no higher bit than all others.
+SEEDS = [0x12345678, -0x5A5A1111, 0x3779B97F, -0x13579BDF, 0x6B43A9B5, -0x7C1E2F03]
 # In buckets of more lines than this, those lines meet that share one of their rarest shingles.
 CROWD = 16
 # Against rounding, in bounds that leave pairs out.
@@ -39,7 +41,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, size: int) -> DataFrame:
-    """a, b, part, m0, m1, ...: a row per distinct line and part that has shingles; a minimum is taken of hashes of its own seed.
+    """a, b, part, m0, m1, ...: a row per distinct line and part that has shingles; a minimum is taken of hashes turned by its own seed.
 
     Shingles become rows and are folded by a compiled aggregation before the shuffle.  They are cut from four bytes a
     character, where each has a known place.
@@ -49,7 +51,8 @@ def signatures(lines: DataFrame, size: int) -> DataFrame:
     each = wide.select("a", "b", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     each = each.select("a", "b", F.xxhash64(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * size))).alias("h"))
     part = F.col("h").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")
-    return each.groupBy("a", "b", part).agg(*(F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    each = each.select("a", "b", part, F.shiftright("h", 32).cast("int").alias("high"))
+    return each.groupBy("a", "b", "part").agg(*(F.min(F.col("high").bitwiseXOR(F.lit(seed))).alias(f"m{i}") for i, seed in enumerate(SEEDS)))
 
 
 def candidates(signed: DataFrame) -> DataFrame:
