@@ -1,9 +1,12 @@
 """Operator 11: repeated byte strings by the common-prefix intervals of an enhanced suffix array.
 
 Only suffixes that may repeat are sorted.  Every string of `least` bytes has one anchor, its run of ANCHOR bytes
-of the smallest hash, at the same place wherever the string occurs.  Anchors in one document only are put aside;
-the rest are cut out as *cuts*: the bytes of all strings that have one occurrence of an anchor.  Equal cuts become
-one row, and all cuts of an anchor meet in one place, so every occurrence of a repeated string does.
+of the smallest hash, at the same place wherever the string occurs.  Strings that begin near before their anchor have
+twice as many bytes in common as the anchor has, and so have those that begin far before it: these are the keys of an
+anchor's occurrence.  Texts lie in blocks; a block asks with its keys, 32 bits each, and is answered a bit for each: does
+another text have it?  Strings whose key is in one text only are put aside; the rest are cut out as *cuts*: the bytes of
+all strings that have one occurrence of an anchor.  Equal cuts become one row, and all cuts of an anchor meet in one
+place, so every occurrence of a repeated string does.
 
 There the suffixes that begin a string are sorted, the common prefixes of neighbours give the enhanced array, and a
 stack scan gives its intervals: each is a string with all its occurrences.  An interval whose occurrences are all
@@ -15,7 +18,7 @@ document of their first occurrence, by sums over their occurrences that do not d
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +27,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reviewlake.llm.common import bounded_batches, forget, freeing, id_and_text, matching, settle, slices, swept
-from reviewlake.llm.wordhash import Hasher
+from reviewlake.llm.wordhash import Hasher, mixed
 
 ANCHOR = 16
 # Bytes of a long text that are looked at together.
 SEGMENT = 1 << 22
 # Bytes of several texts that are looked at together: what is computed from them stays in the processor's cache.
 PIECE = 1 << 18
+# Bytes of the texts that are one block, at the most a segment's beyond it: fewer rows than its bits of a key count.
+BLOCK = 1 << 22
+# Keys that are compared together, at the most one part's beyond it.
+KEYS = 1 << 20
 # An anchor with more different cuts than this is cut into single strings, which meet only their equals.
 MANY_CUTS = 4096
 # Suffixes that are sorted together, at the most one anchor's beyond it.
 SUFFIXES = 400_000
 _PLACE = 24
+# A key is the upper bits of its hash, the row of its text in a block takes the others; what is sent is 32 bits in a part.
+_ROWS = 20
+_PART = 32
 _MASK = (1 << 62) - 1
 # A span as one number; none is longer than two strings.
 _SPAN = 1 << 20
@@ -59,12 +69,12 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchored(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of the strings that share an anchor, and the anchor's hash; no string crosses one of ends."""
+def anchored(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of the strings that share an anchor, its place, and the hashes of all places; no string crosses one of ends."""
     width = least - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if len(data) < least:
-        return none, none, none
+        return none, none, none, np.zeros(0, np.uint64)
     hashes = _hashes(data)
     # Of equal hashes the first; the place is needed to find it again.
     least_of = hashes & ~np.uint64((1 << _PLACE) - 1)
@@ -87,11 +97,24 @@ def anchored(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray
     np.add.at(edges, np.minimum(ends[long] - least + 1, len(new)), -1)
     first = np.flatnonzero(new & (np.cumsum(edges[:-1], dtype=np.int8) > 0))
     if not len(first):
-        return none, none, none
+        return none, none, none, hashes
     end = ends[np.searchsorted(ends, first, "right")]
     last = np.minimum(np.r_[first[1:], len(new)] - 1, end - least)
     anchor = (least_of[first] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    return first, last, hashes[anchor].view(np.int64)
+    return first, last, anchor, hashes
+
+
+def halved(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, hashes: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Twice, for the strings of each cut that begin near before its anchor and for those far before it: is there one, the first, the last, and a key.
+
+    A key is a hash of bytes that all those strings have at one place beside the anchor, whatever the cut around them.
+    """
+    width = least - ANCHOR + 1
+    half = (width + 1) // 2
+    own = hashes[anchor]
+    right, left = hashes[np.minimum(anchor + width - half, len(hashes) - 1)], hashes[np.maximum(anchor - half, 0)]
+    yield anchor - last < half, np.maximum(first, anchor - half + 1), last, mixed(mixed(own) + right)
+    yield anchor - first >= half, first, np.minimum(last, anchor - half), mixed(mixed(left) + own + np.uint64(1))
 
 
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -102,28 +125,58 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), buffers)
 
 
-def segments(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(block: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, ends of the texts in them, place of each text's first byte) in parts of bounded size."""
-    texts = batch.column("text").cast(pa.binary())
-    for first, some in slices(texts, PIECE):
-        if len(some) == 1 and len(some[0]) > SEGMENT:
-            # Parts of one long text overlap, so that each string of it is in one of them.
-            for at in range(0, len(some[0]) - least + 1, SEGMENT):
-                part = some[0][at : at + SEGMENT + least - 1]
-                yield first, np.frombuffer(part, np.uint8), np.array([len(part)]), np.array([at])
-        else:
-            ends = np.cumsum([len(t) for t in some])
-            yield first, np.frombuffer(b"".join(some), np.uint8), ends, np.zeros(len(some), np.int64)
+    place = np.asarray(block.column("place"))
+    for first, some in slices(block.column("bytes"), PIECE):
+        ends = np.cumsum([len(t) for t in some])
+        yield first, np.frombuffer(b"".join(some), np.uint8), ends, place[first : first + len(some)]
 
 
-def cut(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
-    """(row of the batch, place in its text, hash of the anchor, bytes, starts, sizes) of all cuts."""
-    for row, data, ends, place in segments(batch, least):
-        first, last, gram = anchored(data, ends, least)
+def cut(block: pa.RecordBatch, least: int) -> Iterator[tuple]:
+    """(row of the block, place in its text of the first byte of data, anchors' hashes, bytes, both halves of all cuts)."""
+    for row, data, ends, place in segments(block):
+        first, last, anchor, hashes = anchored(data, ends, least)
         if len(first):
             of = np.searchsorted(ends, first, "right")
             begin = np.r_[0, ends[:-1]][of]
-            yield row + of, first - begin + place[of], gram, data, first, last - first + least
+            yield row + of, place[of] - begin, hashes[anchor].view(np.int64), data, list(halved(first, last, anchor, hashes, least))
+
+
+def asked(cuts: list[tuple]) -> np.ndarray:
+    """The keys of a block in order: once those of one text, twice those of several."""
+    rest = np.uint64((1 << _ROWS) - 1)
+    each = [key[there] & ~rest | row[there].astype(np.uint64) for row, _, _, _, halves in cuts for there, _, _, key in halves]
+    keys = np.sort(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]] >> np.uint64(_ROWS)
+    keep = np.ones(len(keys), bool)
+    keep[2:] = keys[2:] != keys[:-2]
+    return keys[keep]
+
+
+def told(keys: np.ndarray, parts: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Those of the asked keys that another text has, as the answers (part, a bit for each of its keys) say."""
+    bounds = np.searchsorted(keys >> np.uint64(_PART), np.r_[parts, parts + 1].astype(np.uint64)).reshape(2, -1)
+    each = [keys[low:high][np.unpackbits(np.frombuffer(b, np.uint8), count=high - low).view(bool)] for low, high, b in zip(*bounds.tolist(), bits)]
+    return np.sort(np.concatenate(each))
+
+
+def compared(parts: np.ndarray, sizes: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of so many keys each, the keys' parts and lower bits: which rows have one that is here twice, where their bits end, and the bits."""
+    keys = np.repeat(parts.astype(np.uint64), sizes) << np.uint64(_PART) | low
+    order = np.argsort(keys, kind="stable")
+    twice = keys[order[1:]] == keys[order[:-1]]
+    shared = np.zeros(len(keys), bool)
+    shared[order[1:][twice]] = True
+    shared[order[:-1][twice]] = True
+    some = np.add.reduceat(shared, np.cumsum(sizes) - sizes, dtype=np.int64) > 0
+    # The bits of a row begin with a byte.
+    room = np.where(some, (sizes + 7) // 8, 0)
+    ends, keep = np.cumsum(room), np.repeat(some, sizes)
+    at = np.arange(len(keys)) + np.repeat(8 * (ends - room) - (np.cumsum(sizes) - sizes), sizes)
+    bits = np.zeros(8 * int(room.sum()), bool)
+    bits[at[keep]] = shared[keep]
+    return some, ends[some], np.packbits(bits)
 
 
 def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -204,43 +257,132 @@ def grown(of: np.ndarray, classes: np.ndarray, count: np.ndarray) -> np.ndarray:
     return one[classes]
 
 
-def _grams(rows: DataFrame, least: int, with_id: bool) -> DataFrame:
-    """gram (and doc_id): the anchors of every text, once each."""
-    names = ["gram", "doc_id"] if with_id else ["gram"]
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of binary values (first a zero) and their bytes."""
+    values = column.combine_chunks()
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return offsets - offsets[0], np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], by: str, weight: Callable[[pa.RecordBatch], int], most: int) -> Iterator[pa.Table]:
+    """The rows in tables of whole groups, which come in order, with little more weight than `most` but for one group's."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        groups = np.asarray(batch.column(by))
+        # Where the last group of the batch begins: it may go on in the next one.
+        border = int(np.flatnonzero(groups != groups[-1])[-1]) + 1 if groups[0] != groups[-1] else 0
+        if border == 0 and waiting and np.asarray(waiting[-1].column(by))[-1] != groups[0]:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+        size += weight(batch)
+        if border and size > most:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, border)])
+            waiting, size = [batch.slice(border)], 0
+        else:
+            waiting.append(batch)
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _blocks(rows: DataFrame, least: int) -> DataFrame:
+    """block, data: the texts of rows (doc_id, text_key, text), some MB of them in a row of their own, compressed.
+
+    Parts of a long text overlap, so that each string of it is in one of them.
+    """
+    names = ["doc_id", "text_key", "place", "bytes"]
+
+    def closed(waiting: list[list]) -> pa.RecordBatch:
+        block = pa.record_batch([pa.concat_arrays(column) for column in zip(*waiting)], names=names)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(block)
+        return pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            for row, _, gram, _, _, _ in cut(batch, least):
-                order = np.lexsort((gram, row))
-                row, gram = row[order], gram[order]
-                new = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]
-                columns = [pa.array(gram[new]), pa.array(ids[row[new]])]
-                yield pa.record_batch(columns[: len(names)], names=names)
+            for first, some in slices(batch.column("text").cast(pa.binary())):
+                ids, keys = (batch.column(c).slice(first, len(some)) for c in names[:2])
+                if len(some) == 1 and len(some[0]) > SEGMENT:
+                    parts = [(at, [some[0][at : at + SEGMENT + least - 1]]) for at in range(0, len(some[0]) - least + 1, SEGMENT)]
+                else:
+                    parts = [(0, some)]
+                for at, texts in parts:
+                    waiting.append([ids, keys, pa.array([at] * len(texts), pa.int64()), pa.array(texts, pa.binary())])
+                    size += sum(map(len, texts))
+                    if size >= BLOCK:
+                        yield closed(waiting)
+                        waiting, size = [], 0
+        if waiting:
+            yield closed(waiting)
+
+    packed = rows.select("doc_id", "text_key", "text").mapInArrow(freeing(run), "data binary")
+    return packed.select(F.monotonically_increasing_id().alias("block"), "data")
+
 
-    return rows.select("doc_id", "text").mapInArrow(freeing(run), ", ".join(f"{n} long" for n in names))
+def _opened(data: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
 
 
-def _cuts(rows: DataFrame, least: int) -> DataFrame:
-    """gram, bytes, doc_id, text_key, at: the cuts of rows (doc_id, text_key, text, grams) whose anchor is one of grams."""
+def _asked(blocks: DataFrame, least: int) -> DataFrame:
+    """part, block, keys: the keys of every block that are in a part, 32 bits each, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
-            lists = batch.column("grams")
-            wanted, ends = np.asarray(lists.flatten()), np.r_[0, np.cumsum(pa.compute.list_value_length(lists))]
-            for row, at, gram, data, start, size in cut(batch, least):
-                keep = np.zeros(len(row), bool)
-                for r in np.unique(row):
-                    own = row == r if row[0] != row[-1] else slice(None)
-                    keep[own] = np.isin(gram[own], wanted[ends[r] : ends[r + 1]])
-                row, at, gram, start, size = row[keep], at[keep], gram[keep], start[keep], size[keep]
-                yield pa.record_batch(
-                    [pa.array(gram), gathered(data, start, size), pa.array(ids[row]), pa.array(keys[row]), pa.array(at)],
-                    names=["gram", "bytes", "doc_id", "text_key", "at"],
-                )
-
-    return rows.mapInArrow(freeing(run), "gram long, bytes binary, doc_id long, text_key long, at long")
+            for block, data in zip(batch.column("block"), batch.column("data")):
+                keys = asked(list(cut(_opened(data), least)))
+                parts = (keys >> np.uint64(_PART)).astype(np.int32)
+                start = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]][: len(parts)])
+                ends = pa.py_buffer((4 * np.r_[start, len(keys)]).astype(np.int32))
+                values = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(keys.astype(np.uint32))])
+                yield pa.record_batch([pa.array(parts[start]), pa.array([block.as_py()] * len(start), pa.int64()), values], names=["part", "block", "keys"])
+
+    return blocks.mapInArrow(freeing(run), "part int, block long, keys binary")
+
+
+def _answers(keys: DataFrame) -> DataFrame:
+    """block, part, bits: of a block's keys in a part a bit each, whether another text has it; none if none has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = lambda batch: int(pa.compute.sum(pa.compute.binary_length(batch.column("keys"))).as_py()) // 4
+        for rows in _whole(batches, "part", weight, KEYS):
+            offsets, data = _binary(rows.column("keys"))
+            some, ends, bits = compared(np.asarray(rows.column("part")), np.diff(offsets) // 4, data.view(np.uint32))
+            own = [rows.column(c).combine_chunks().filter(pa.array(some)) for c in ("block", "part")]
+            values = pa.Array.from_buffers(pa.binary(), int(some.sum()), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(bits)])
+            yield pa.record_batch([*own, values], names=["block", "part", "bits"])
+
+    return keys.repartition("part").sortWithinPartitions("part").mapInArrow(freeing(run), "block long, part int, bits binary")
+
+
+def _cuts(blocks: DataFrame, least: int) -> DataFrame:
+    """gram, bytes, doc_id, text_key, at: the cuts of blocks (block, data, answers) of strings whose key another text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, answers in zip(batch.column("data"), batch.column("answers")):
+                block = _opened(data)
+                ids, names = np.asarray(block.column("doc_id")), np.asarray(block.column("text_key"))
+                cuts = list(cut(block, least))
+                shared = told(asked(cuts), np.asarray(answers.values.field("part")), answers.values.field("bits").to_pylist())
+                for row, place, gram, text, halves in cuts:
+                    (near, near_first, last, _), (far, first, far_last, _) = halves
+                    near, far = (there & _among(shared, key >> np.uint64(_ROWS)) for there, _, _, key in halves)
+                    first, last = np.where(far, first, near_first), np.where(near, last, far_last)
+                    keep = near | far
+                    row, place, gram, first, last = row[keep], place[keep], gram[keep], first[keep], last[keep]
+                    yield pa.record_batch(
+                        [pa.array(gram), gathered(text, first, last - first + least), pa.array(ids[row]), pa.array(names[row]), pa.array(first + place)],
+                        names=["gram", "bytes", "doc_id", "text_key", "at"],
+                    )
+
+    return blocks.mapInArrow(freeing(run), "gram long, bytes binary, doc_id long, text_key long, at long")
+
+
+def _among(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among some, which are in order."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
 def _single(cuts: DataFrame, least: int) -> DataFrame:
@@ -271,9 +413,7 @@ def _classes(contents: DataFrame, least: int) -> DataFrame:
     u64 = lambda x: np.asarray(x).astype(np.uint64)
 
     def found(rows: pa.Table) -> pa.RecordBatch:
-        values = rows.column("bytes").combine_chunks()
-        offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
-        data = np.frombuffer(values.buffers()[2], np.uint8)
+        offsets, data = _binary(rows.column("bytes"))
         of, offset, classes = suffix_classes(data, offsets[:-1], np.diff(offsets), least)
         low, high = np.asarray(rows.column("least_doc")), np.asarray(rows.column("most_doc"))
         n = len(classes)
@@ -313,23 +453,8 @@ def _classes(contents: DataFrame, least: int) -> DataFrame:
         return pa.record_batch(out, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            grams = np.asarray(batch.column("gram"))
-            # Where the last gram of the batch begins: it may go on in the next one.
-            border = int(np.flatnonzero(grams != grams[-1])[-1]) + 1 if grams[0] != grams[-1] else 0
-            if border == 0 and waiting and np.asarray(waiting[-1].column("gram"))[-1] != grams[0]:
-                yield found(pa.Table.from_batches(waiting))
-                waiting, size = [], 0
-            size += int(pa.compute.sum(pa.compute.binary_length(batch.column("bytes"))).as_py()) - (least - 1) * len(grams)
-            if border and size > SUFFIXES:
-                yield found(pa.Table.from_batches([*waiting, batch.slice(0, border)]))
-                waiting, size = [batch.slice(border)], 0
-            else:
-                waiting.append(batch)
-        if waiting:
-            yield found(pa.Table.from_batches(waiting))
+        weight = lambda batch: int(pa.compute.sum(pa.compute.binary_length(batch.column("bytes"))).as_py()) - (least - 1) * batch.num_rows
+        yield from map(found, _whole(batches, "gram", weight, SUFFIXES))
 
     types = ", ".join(f"{n} long" for n in names)
     dealt = contents.repartition("gram").sortWithinPartitions("gram")
@@ -337,19 +462,16 @@ def _classes(contents: DataFrame, least: int) -> DataFrame:
 
 
 def _settled_cuts(rows: DataFrame, least: int) -> DataFrame:
-    """The cuts of all anchors that two rows of (doc_id, text_key, text) share, as a written table."""
+    """The cuts of all strings whose key two rows of (doc_id, text_key, text) share, as a written table."""
     spark = rows.sparkSession
-    # Counts are summed before they are shuffled, so a frequent anchor is few rows.
-    counted = _grams(rows, least, False).groupBy("gram").agg(F.count("*").alias("n"))
-    shared = settle(counted.filter("n > 1").select("gram"))
-    swept(spark)
-    own = _grams(rows, least, True).join(shared.hint("shuffle_hash"), "gram", "left_semi")
-    lists = settle(own.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")))
-    forget(shared)
+    # What is read again is the same blocks; they are compressed.
+    blocks = settle(_blocks(rows, least), codec="uncompressed")
+    answers = settle(_answers(_asked(blocks, least)))
     swept(spark)
+    own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
     # Neighbouring cuts overlap, so they take little room.
-    cuts = settle(_cuts(rows.join(lists, "doc_id").select("doc_id", "text_key", "text", "grams"), least), codec="zstd")
-    forget(lists)
+    cuts = settle(_cuts(blocks.join(own.hint("shuffle_hash"), "block").select("data", "answers"), least), codec="zstd")
+    forget(blocks, answers)
     swept(spark)
     return cuts
 

@@ -115,3 +115,44 @@ def test_query_over_the_table(spark):
     out = QUERIES["op11_repeats"](spark, sf)
     assert got(out) == brute(docs, 50)
     assert out.filter(F.col("n_removed") > 0).count() > 0
+
+
+def lone(rng, phrases):
+    """A text of phrases that other texts have too, but no longer string of theirs."""
+    return "".join(rng.choice(phrases) + "".join(rng.choices("ghijklmnop", k=30)) for _ in range(40))
+
+
+def test_only_strings_that_may_repeat_are_cut_out(spark):
+    rng = random.Random(7)
+    phrases = ["".join(rng.choices("abcdef", k=20)) for _ in range(5)]
+    passage = "".join(rng.choices("qrstuv", k=70))
+    rows = [(i, lone(rng, phrases)) for i in range(30)]
+    rows[4], rows[9] = (4, rows[4][1] + passage), (9, passage + rows[9][1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cuts = repeats._settled_cuts(df.withColumn("text_key", F.xxhash64("text")), 50)
+    # Only the passage's cuts are left, however many 16 bytes the texts share.
+    assert {r.doc_id for r in cuts.select("doc_id").distinct().collect()} == {4, 9}
+    assert cuts.count() <= 2 * 21
+    assert got(repeats.remove_repeats(df, 50)) == brute(rows, 50)
+
+
+def test_parts_of_a_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghijklmnop", k=repeats.SEGMENT + 5000))
+    border = repeats.SEGMENT
+    rows = [(1, long), (2, long[border - 30 : border + 30] + "Z"), (3, "Z" + long[border - 60 : border]), (4, long[border - 60 : border + 1]), (5, long[-50:])]
+    by = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert [by[i].n_removed for i in range(1, 6)] == [0, 60, 60, 61, 50]
+    assert [by[i].n_spans for i in range(1, 6)] == [0, 1, 1, 1, 1]
+
+
+def test_answers_are_a_bit_for_each_key():
+    np = repeats.np
+    parts, sizes = np.array([3, 3, 4, 5]), np.array([9, 2, 2, 1])
+    low = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 8, 8, 8], np.uint32)
+    some, ends, bits = repeats.compared(parts, sizes, low)
+    assert some.tolist() == [True, True, True, False]
+    assert ends.tolist() == [2, 3, 4]
+    assert np.unpackbits(bits).tolist() == [0] * 8 + [1] + [0] * 7 + [1] + [0] * 7 + [1, 1] + [0] * 6
+    keys = np.r_[parts[0].astype(np.uint64) << np.uint64(32) | low[:9], np.uint64(5 << 32 | 8)]
+    assert repeats.told(keys, np.array([3]), [bits[:2].tobytes()]).tolist() == [3 << 32 | 8]
